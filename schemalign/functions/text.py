@@ -44,17 +44,20 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
 
 
-def word_ngrams(toks: Column, longest: int = 3) -> Column:
-    """All runs of 1..longest consecutive tokens, each joined by a blank."""
+def word_ngrams(toks: str, longest: int = 3) -> Column:
+    """All runs of 1..longest consecutive tokens, each joined by a blank.
+
+    toks names a column: an expression would be computed anew for every element of the lambdas.
+    """
+
+    def starting_at(first: Column, i: Column, n: int) -> Column:
+        return F.concat_ws(" ", first, *[F.get(F.col(toks), i + k) for k in range(1, n)])
 
     def of_length(n: int) -> Column:
-        grams = F.transform(
-            F.sequence(F.lit(1), F.size(toks) - n + 1),
-            lambda i: F.array_join(F.slice(toks, i, n), " "),
-        )
-        return F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>"))
+        starts = F.slice(toks, F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(0)))
+        return F.transform(starts, lambda first, i: starting_at(first, i, n))
 
-    return F.concat(*[of_length(n) for n in range(1, longest + 1)])
+    return F.concat(F.col(toks), *[of_length(n) for n in range(2, longest + 1)])
 
 
 def characters(text: Column) -> Column:

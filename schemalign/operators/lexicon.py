@@ -43,28 +43,26 @@ def lexicon(dictionary: DataFrame, top_n: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class LexiconFacts:
-    """What plan choices depend on; one row read from the dictionary, never from the data."""
+    """What plan choices depend on: a few numbers and at most 2 * top_n names, never the data."""
 
     keys: int
     characters: int
     has_terms: bool
     has_empty: bool
+    first_keys: list[str]
 
     def fits_broadcast(self, max_keys: int, max_characters: int = 200_000) -> bool:
         return self.keys <= max_keys and self.characters <= max_characters
 
 
-def inspect(dictionary: DataFrame) -> LexiconFacts:
-    key = text.normalize_name(F.col("src"))
-    row = (
-        dictionary.select(key.alias("key"))
-        .distinct()
-        .agg(
-            F.count(F.lit(1)).alias("keys"),
-            F.coalesce(F.sum(F.length("key")), F.lit(0)).alias("characters"),
-            F.coalesce(F.max(F.col("key").rlike(r"[\p{L}\p{N}_]{2}")), F.lit(False)).alias("has_terms"),
-            F.coalesce(F.max(F.col("key") == ""), F.lit(False)).alias("has_empty"),
-        )
-        .first()
-    )
-    return LexiconFacts(row["keys"], row["characters"], row["has_terms"], row["has_empty"])
+def inspect(sources: DataFrame, top_n: int) -> LexiconFacts:
+    key = F.col("key")
+    row = sources.agg(
+        F.count(F.lit(1)).alias("keys"),
+        F.coalesce(F.sum(F.length(key)), F.lit(0)).alias("characters"),
+        F.coalesce(F.max(key.rlike(r"[\p{L}\p{N}_]{2}")), F.lit(False)).alias("has_terms"),
+        F.coalesce(F.max(key == ""), F.lit(False)).alias("has_empty"),
+    ).first()
+    in_order = sources.orderBy(F.get("rows", F.lit(0))["src"].asc_nulls_last()).limit(2 * top_n)
+    first_keys = [r["key"] for r in in_order.select("key").collect()]
+    return LexiconFacts(row["keys"], row["characters"], row["has_terms"], row["has_empty"], first_keys)

@@ -8,6 +8,10 @@ g  the input lies inside the source name: one gram of the input against all gram
 h  the source name lies inside the input: the reverse
 w  a shared word, met at the rarest one
 q  nothing shared but characters: combinations of rare character tokens (only for low thresholds)
+l  the same for long names: the length class
+e  an empty input, with the first source names: it scores the same with all of them
+b  an empty source name, with every input
+z  nothing shared at all, with the first source names (only for a threshold of 0)
 """
 
 from __future__ import annotations
@@ -95,14 +99,14 @@ def character_tokens(key: Column) -> Column:
 
     As sets they overlap in exactly as many tokens as the names share characters. NULL for long names.
     """
-    chars = text.characters(key)
 
     def token(ch: Column, i: Column) -> Column:
-        nth = F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda c: c == ch))
+        so_far = F.substring(key, F.lit(1), i + 1)
+        nth = F.length(so_far) - F.length(F.replace(so_far, ch, F.lit("")))
         rank = F.instr(F.lit(RARE_TO_COMMON), ch)
         return F.concat(F.lpad((99 - nth).cast("string"), 2, "0"), F.lpad(rank.cast("string"), 2, "0"), ch)
 
-    return F.when(F.length(key).between(1, SHORT_NAME), F.sort_array(F.transform(chars, token)))
+    return F.when(F.length(key).between(1, SHORT_NAME), F.sort_array(F.transform(text.characters(key), token)))
 
 
 def needed_characters(total_length: Column, ratio: float) -> Column:

@@ -2,43 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The 1000 most frequent keys are split; any other key holds at most a thousandth of the rows.
 HEAVY_KEYS = 1000
 
+ROWS_PER_TASK = 200_000
+
 
-def heavy_keys(df: DataFrame, key: str, rows_per_task: int, splits: str) -> DataFrame:
-    """At most HEAVY_KEYS keys with more than rows_per_task rows, and into how many parts each is split."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > rows_per_task)
+def heaviest(counts: DataFrame, keys: Sequence[str], rows_per_task: int, splits: str) -> DataFrame:
+    """(keys..., rows) -> at most HEAVY_KEYS keys with more than rows_per_task rows, and their number of parts."""
     return (
-        counts.orderBy(F.col("rows").desc(), F.col(key))
+        counts.filter(F.col("rows") > rows_per_task)
+        .orderBy(F.col("rows").desc(), *keys)
         .limit(HEAVY_KEYS)
-        .select(key, F.ceil(F.col("rows") / rows_per_task).cast("int").alias(splits))
+        .select(*keys, F.ceil(F.col("rows") / rows_per_task).cast("int").alias(splits))
     )
 
 
-def _parts(splits: str):
+def heavy_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int, splits: str) -> DataFrame:
+    return heaviest(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), keys, rows_per_task, splits)
+
+
+def _parts(splits: str) -> Column:
     return F.coalesce(F.col(splits), F.lit(1))
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, key: str, how: str, rows_per_task: int) -> DataFrame:
-    """Join many left rows to a right side holding each key once.
+def salted_lookup(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str,
+    rows_per_task: int = ROWS_PER_TASK,
+    counts: DataFrame | None = None,
+) -> DataFrame:
+    """Join many left rows to a right side holding each key at most once (inner, left, left_semi or left_anti).
 
     A heavy key's left rows spread over several tasks and its right row is copied to each of them. The salt comes
-    from the partition number, so a retried task sends its rows to the same place again.
+    from the partition number, so a retried task sends its rows to the same place again. counts are (keys..., rows)
+    of the left side where they are known already.
     """
-    heavy = F.broadcast(heavy_keys(left, key, rows_per_task, "_splits"))
-    spread = left.join(heavy, key, "left").withColumn("_salt", F.pmod(F.spark_partition_id(), _parts("_splits")))
-    copied = right.join(heavy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), _parts("_splits") - 1)))
-    return spread.drop("_splits").join(copied.drop("_splits"), [key, "_salt"], how).drop("_salt")
+    keys = list(keys)
+    if counts is None:
+        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    heavy = F.broadcast(heaviest(counts, keys, rows_per_task, "_splits"))
+    spread = left.join(heavy, keys, "left").withColumn("_salt", F.pmod(F.spark_partition_id(), _parts("_splits")))
+    copied = right.join(heavy, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), _parts("_splits") - 1)))
+    return spread.drop("_splits").join(copied.drop("_splits"), [*keys, "_salt"], how).drop("_salt")
 
 
 def salted_grid_join(left: DataFrame, right: DataFrame, key: str, rows_per_task: int) -> DataFrame:
     """Inner join where a key may be heavy on both sides: its rows form a grid of (left part, right part) cells."""
-    heavy_left = F.broadcast(heavy_keys(left, key, rows_per_task, "_lsplits"))
-    heavy_right = F.broadcast(heavy_keys(right, key, rows_per_task, "_rsplits"))
+    heavy_left = F.broadcast(heavy_keys(left, [key], rows_per_task, "_lsplits"))
+    heavy_right = F.broadcast(heavy_keys(right, [key], rows_per_task, "_rsplits"))
 
     def located(df: DataFrame, own: str, other: str, own_part: str, other_part: str) -> DataFrame:
         return (
@@ -52,3 +71,10 @@ def salted_grid_join(left: DataFrame, right: DataFrame, key: str, rows_per_task:
     lhs = located(left, "_lsplits", "_rsplits", "_lpart", "_rpart")
     rhs = located(right, "_rsplits", "_lsplits", "_rpart", "_lpart")
     return lhs.join(rhs, [key, "_lpart", "_rpart"]).drop("_lpart", "_rpart")
+
+
+def spread_lookup(left: DataFrame, few: DataFrame, keys: Sequence[str], how: str, copies: int = 64) -> DataFrame:
+    """salted_lookup without counting first: for a right side so much smaller that it can be copied throughout."""
+    salted = left.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(copies)))
+    copied = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return salted.join(copied, [*keys, "_salt"], how).drop("_salt")

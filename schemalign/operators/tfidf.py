@@ -16,7 +16,6 @@ def fit_terms(keys: DataFrame) -> DataFrame:
 
     Every occurrence adds to tf, the first one in a name also to df, so one map-side combined sum gives both.
     """
-    grams = text.word_ngrams(text.tokens(F.col("key")))
     none = F.lit(0).cast("bigint")
     occurrences = F.concat(
         F.transform("grams", lambda g: F.struct(g.alias("term"), F.col("copies").alias("tf"), none.alias("df"))),
@@ -27,7 +26,8 @@ def fit_terms(keys: DataFrame) -> DataFrame:
     )
     n_docs = keys.agg(F.sum("copies").alias("n_docs")).scalar()
     return (
-        keys.select("copies", grams.alias("grams"))
+        keys.select("copies", text.tokens(F.col("key")).alias("toks"))
+        .select("copies", text.word_ngrams("toks").alias("grams"))
         .select(F.inline(occurrences))
         .groupBy("term")
         .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
@@ -47,9 +47,10 @@ def weigh(keys: DataFrame, vocabulary: DataFrame) -> DataFrame:
     The vocabulary never exceeds MAX_TERMS rows, so it is broadcast; keys arrive partitioned by key, so the two
     groupings need no further shuffle. The empty term keeps names without any vocabulary term.
     """
-    grams = F.concat(text.word_ngrams(text.tokens(F.col("key"))), F.array(F.lit("")))
+    grams = F.concat(text.word_ngrams("toks"), F.array(F.lit("")))
     counted = (
-        keys.select("key", F.explode(grams).alias("term"))
+        keys.select("key", text.tokens(F.col("key")).alias("toks"))
+        .select("key", F.explode(grams).alias("term"))
         .join(F.broadcast(vocabulary.select("term", "idf")), "term", "left")
         .groupBy("key", "term")
         .agg(F.count(F.lit(1)).alias("tf"), F.max("idf").alias("idf"))

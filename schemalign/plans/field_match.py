@@ -15,12 +15,10 @@ from schemalign.functions import text
 from schemalign.functions.sequence import sequence_ratio
 from schemalign.operators import lexicon as lx
 from schemalign.operators import probes, skew, tfidf
+from schemalign.operators.settle import settle
 
 SCORES = ("combined_score", "exact_score", "substring_score", "sequence_score", "word_overlap", "tfidf_score")
 
-# Rows of one join key or one sort a single task is meant to take.
-ROWS_PER_TASK = 200_000
-
 # Up to this many distinct source names (and 200,000 characters of them) the index is broadcast.
 BROADCAST_KEYS = 5_000
 
@@ -38,19 +36,20 @@ def field_match(
     top_n: int = 3,
     min_threshold: float = 0.1,
     input_col: str = "input_field",
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int = skew.ROWS_PER_TASK,
     broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """Up to top_n matches per input row, best first, with combined score >= min_threshold.
 
     inputs keeps all its columns; repeated names are answered on every row but scored once. The dictionary is
-    (src, target). One row of facts about the dictionary is read while the plan is built.
+    (src, target). The distinct names of both sides are settled first (see operators.settle), so calling this runs jobs.
     """
     keyed = inputs.withColumn("_key", text.normalize_name(F.col(input_col)))
+    names = settle(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("rows")))
     answers = match_keys(
-        keyed.select(F.col("_key").alias("key")).distinct(), dictionary, top_n, min_threshold, rows_per_task, broadcast_keys
+        names.select(F.col("_key").alias("key")), dictionary, top_n, min_threshold, rows_per_task, broadcast_keys
     ).withColumnRenamed("key", "_key")
-    joined = skew.salted_lookup(keyed, answers, "_key", "inner", rows_per_task)
+    joined = skew.salted_lookup(keyed, answers, ["_key"], "inner", rows_per_task, counts=names)
     return joined.select(*inputs.columns, F.inline("matches"))
 
 
@@ -67,11 +66,11 @@ def match_keys(
     keys: DataFrame, dictionary: DataFrame, top_n: int, min_threshold: float, rows_per_task: int, broadcast_keys: int
 ) -> DataFrame:
     """(key) distinct normal forms -> (key, matches): an array of at most top_n result structs, only where any."""
-    facts = lx.inspect(dictionary)
+    sources = settle(lx.lexicon(dictionary, top_n))
+    facts = lx.inspect(sources, top_n)
     # Without any term in the dictionary the basic score counts in full.
     share = (text.BASIC_SHARE if facts.has_terms else 1.0) * text.SEQUENCE_WEIGHT
     small = facts.fits_broadcast(broadcast_keys)
-    sources = lx.lexicon(dictionary, top_n)
     vocabulary = tfidf.cap_vocabulary(tfidf.fit_terms(sources.select("key", "copies")))
     common = [] if small else _common_grams(sources)
 
@@ -79,15 +78,13 @@ def match_keys(
     ratio = max(min_threshold, 1e-6) / share
     by_characters = ratio < 1 - _SLACK
 
-    def featured(side: DataFrame, indexed: bool) -> DataFrame:
-        weighed = tfidf.weigh(side.select("key"), vocabulary)
-        full = side.join(weighed, "key") if indexed else weighed
-        full = full.withColumn("words", probes.rarity_order(text.word_set(F.col("key")), F.col("entries")))
-        no_toks = F.lit(None).cast("array<string>")
-        full = full.withColumn("toks", probes.character_tokens(F.col("key")) if by_characters else no_toks)
-        return full.withColumn("probe", F.explode(_probes(indexed))).withColumn("vec", tfidf.vector(F.col("entries")))
+    def prepared(weighed: DataFrame) -> DataFrame:
+        toks = probes.character_tokens(F.col("key")) if by_characters else F.lit(None).cast("array<string>")
+        return weighed.withColumns(
+            {"words": probes.rarity_order(text.word_set(F.col("key")), F.col("entries")), "toks": toks}
+        ).withColumn("vec", tfidf.vector(F.col("entries")))
 
-    def _probes(indexed: bool) -> Column:
+    def probes_of(indexed: bool) -> Column:
         key, words = F.col("key"), F.col("words")
         if min_threshold > share:
             words = probes.reachable_words(words, F.col("entries"), share, min_threshold)
@@ -98,17 +95,19 @@ def match_keys(
             probes.tagged("g", grams[0]),
             probes.tagged("h", grams[1]),
             probes.tagged("w", words),
+            _trivial_probes(facts, share, min_threshold, indexed),
         ]
         if by_characters:
             tagged.append(probes.character_probes(key, F.col("toks"), ratio, indexed))
-        return F.concat(*tagged)
+        return F.explode(F.concat(*tagged)).alias("probe")
 
-    left = featured(keys, indexed=False).select(
-        "probe", F.col("key").alias("a"), F.col("words").alias("words_a"), F.col("vec").alias("vec_a"), F.col("toks").alias("toks_a")
+    left = prepared(tfidf.weigh(keys, vocabulary)).select(
+        F.col("key").alias("a"), F.col("words").alias("words_a"), F.col("vec").alias("vec_a"),
+        F.col("toks").alias("toks_a"), probes_of(indexed=False),
     )
-    index = featured(sources, indexed=True).select(
-        "probe", F.col("key").alias("b"), F.col("words").alias("words_b"), F.col("vec").alias("vec_b"),
-        F.col("toks").alias("toks_b"), "rows",
+    index = prepared(sources.select("key", "rows").join(tfidf.weigh(sources.select("key"), vocabulary), "key")).select(
+        F.col("key").alias("b"), F.col("words").alias("words_b"), F.col("vec").alias("vec_b"),
+        F.col("toks").alias("toks_b"), "rows", probes_of(indexed=True),
     )
     met = left.join(F.broadcast(index), "probe") if small else skew.salted_grid_join(left, index, "probe", rows_per_task)
     pairs = met.filter(_counts_here(ratio if by_characters else None)).select(
@@ -118,11 +117,26 @@ def match_keys(
         text.overlap_of_sets(F.col("words_a"), F.col("words_b")).alias("overlap"),
         tfidf.dot(F.col("vec_a"), F.col("vec_b")).alias("tfidf"),
     )
-    pairs = pairs.unionByName(_trivial_pairs(keys, sources, top_n, min_threshold, share, facts.has_empty))
     hopeful = _can_be_among_best(pairs, facts.has_terms, share, top_n, min_threshold, 1 if small else 16)
     return _ranked(_scored(hopeful, facts.has_terms, min_threshold), top_n)
 
 
+def _trivial_probes(facts: lx.LexiconFacts, share: float, min_threshold: float, indexed: bool) -> Column:
+    """Probes for pairs that need no index: an empty name on either side, and nothing in common at all.
+
+    An empty input scores the same with every source name, so only the first top_n of them can be its answer. For a
+    threshold of 0, an input with fewer than top_n better pairs is filled up from the first 2 * top_n source names.
+    """
+    key = F.col("key")
+    first = key.isin(facts.first_keys) & (key != "")
+    given = {"e": first if indexed else key == ""}
+    if facts.has_empty and min_threshold <= share:
+        given["b"] = key == "" if indexed else key != ""
+    if min_threshold <= 0:
+        given["z"] = first if indexed else key != ""
+    return F.array_compact(F.array(*[F.when(holds, f"{kind}:") for kind, holds in given.items()]))
+
+
 def _common_grams(sources: DataFrame, limit: int = 512, at_least: int = 64) -> list[str]:
     """The grams most source names have: at most `limit` strings, kept out of the signatures."""
     grams = sources.select(F.explode(probes.all_grams(F.col("key"))).alias("gram"))
@@ -141,6 +155,8 @@ def _counts_here(ratio: float | None) -> Column:
         .when(kind == "g", (a != b) & F.contains(b, a))
         .when(kind == "h", (a != b) & F.contains(a, b))
         .when(kind == "w", (F.concat(F.lit("w:"), rarest) == probe) & ~contained)
+        .when(kind.isin("e", "b"), F.lit(True))
+        .when(kind == "z", text.shared_characters(a, b) == 0)
     )
     if ratio is None:
         return here
@@ -149,38 +165,6 @@ def _counts_here(ratio: float | None) -> Column:
     return here.otherwise(met & ~F.arrays_overlap("words_a", "words_b") & ~contained & enough)
 
 
-def _trivial_pairs(
-    keys: DataFrame, sources: DataFrame, top_n: int, min_threshold: float, share: float, has_empty: bool
-) -> DataFrame:
-    """Pairs that need no index: an empty name on either side, and, for a threshold of 0, nothing in common.
-
-    An empty input scores the same with every source name, so only the first top_n of them can be its answer (the
-    equal, empty one is met by probe x). For a threshold of 0, an input with fewer than top_n better pairs is filled
-    up from the first 2 * top_n source names. Those lists are a few names long and travel as one array value.
-    """
-    first_src = F.element_at("rows", 1)["src"]
-    first = sources.orderBy(first_src.asc_nulls_last(), "key").limit(2 * top_n)
-
-    def with_each(some_keys: DataFrame, listed: DataFrame) -> DataFrame:
-        packed = listed.agg(F.collect_list(F.struct(F.col("key").alias("b"), "rows")).alias("listed")).scalar()
-        return some_keys.withColumn("listed", packed).select(F.col("key").alias("a"), F.inline("listed"))
-
-    named, unnamed = keys.filter(F.col("key") != ""), keys.filter(F.col("key") == "")
-    pairs = with_each(unnamed, first).filter(F.col("b") != "")
-    if has_empty and min_threshold <= share:
-        pairs = pairs.unionByName(with_each(named, sources.filter(F.col("key") == "")))
-    if min_threshold <= 0:
-        unlike = (F.col("b") != "") & (text.shared_characters(F.col("a"), F.col("b")) == 0)
-        pairs = pairs.unionByName(with_each(named, first).filter(unlike))
-    return pairs.select(
-        "a", "b", "rows",
-        F.lit(0.0).alias("exact"),
-        text.substring_score(F.col("a"), F.col("b")).alias("inside"),
-        F.lit(0.0).alias("overlap"),
-        F.lit(0.0).alias("tfidf"),
-    )
-
-
 def _can_be_among_best(
     pairs: DataFrame, fitted: bool, share: float, top_n: int, min_threshold: float, parts: int
 ) -> DataFrame:
