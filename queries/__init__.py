@@ -1,5 +1,5 @@
 """The registered queries, by area; each module has QUERIES and ORACLES."""
 
-from queries import matching
+from queries import dictionary, mapping, matching
 
-REGISTERED = (matching,)
+REGISTERED = (matching, mapping, dictionary)
