@@ -1,5 +1,5 @@
 """The registered queries, by area; each module has QUERIES and ORACLES."""
 
-from queries import dictionary, mapping, matching
+from queries import answers, conforming, dictionary, mapping, matching
 
-REGISTERED = (matching, mapping, dictionary)
+REGISTERED = (matching, mapping, dictionary, conforming, answers)

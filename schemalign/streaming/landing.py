@@ -24,15 +24,21 @@ def land_stream(
     columns: Sequence[str],
     mapping: Sequence[tuple[str, str]],
     targets: Sequence[str],
-    table: str,
     checkpoint: str,
+    table: str | None = None,
+    path: str | None = None,
     delimiter: str = ",",
 ) -> StreamingQuery:
-    """Append all files not yet landed to the table and stop; the checkpoint remembers them. Stateless, exactly once."""
-    conformed = conform(arriving(spark, folder, columns, delimiter), mapping, targets)
-    return (
-        conformed.writeStream.outputMode("append")
+    """Append all files not yet landed to the table, or to parquet files at the path, and stop.
+
+    The checkpoint remembers what was landed, so every file is landed once. Nothing is kept between files.
+    """
+    if (table is None) == (path is None):
+        raise ValueError("give either a table or a path")
+    writer = (
+        conform(arriving(spark, folder, columns, delimiter), mapping, targets)
+        .writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .toTable(table)
     )
+    return writer.toTable(table) if table else writer.format("parquet").start(path)
