@@ -95,7 +95,7 @@ def word_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.substring_score(a, b).alias("substring_score"),
         F.bround(text.word_overlap(a, b), 4).alias("word_overlap"),
         F.size(F.array_intersect(text.word_set(a), text.word_set(b))).alias("shared_words"),
-        text.shared_characters(a, b).alias("shared_characters"),
+        text.shared_characters("a", "b").alias("shared_characters"),
     )
 
 

@@ -50,19 +50,11 @@ def word_ngrams(toks: str, longest: int = 3) -> Column:
     toks names a column: an expression would be computed anew for every element of the lambdas.
     """
 
-    def starting_at(first: Column, i: Column, n: int) -> Column:
-        return F.concat_ws(" ", first, *[F.get(F.col(toks), i + k) for k in range(1, n)])
+    def of_length(n: int) -> str:
+        following = "".join(f", get({toks}, i + {k})" for k in range(1, n))
+        return f"transform(slice({toks}, 1, greatest(size({toks}) - {n - 1}, 0)), (w, i) -> concat_ws(' ', w{following}))"
 
-    def of_length(n: int) -> Column:
-        starts = F.slice(toks, F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(0)))
-        return F.transform(starts, lambda first, i: starting_at(first, i, n))
-
-    return F.concat(F.col(toks), *[of_length(n) for n in range(2, longest + 1)])
-
-
-def characters(text: Column) -> Column:
-    """The characters of a non-empty text (by code point)."""
-    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, 1))
+    return F.expr(f"concat({', '.join([toks, *map(of_length, range(2, longest + 1))])})")
 
 
 def exact_score(a: Column, b: Column) -> Column:
@@ -84,20 +76,16 @@ def word_overlap(a: Column, b: Column) -> Column:
     return overlap_of_sets(word_set(a), word_set(b))
 
 
-def shared_characters(a: Column, b: Column) -> Column:
-    """Size of the common character multiset: no alignment of a and b can match more characters."""
+def shared_characters(a: str, b: str) -> Column:
+    """Size of the common character multiset of two columns: no alignment of them matches more characters."""
 
-    def copies(text: Column, ch: Column) -> Column:
-        return F.length(text) - F.length(F.replace(text, ch, F.lit("")))
+    def copies(text: str) -> str:
+        return f"length({text}) - length(replace({text}, ch, ''))"
 
-    return F.when(
-        F.length(a) > 0,
-        F.aggregate(
-            F.array_distinct(characters(a)),
-            F.lit(0),
-            lambda total, ch: total + F.least(copies(a, ch), copies(b, ch)),
-        ),
-    ).otherwise(F.lit(0))
+    return F.expr(
+        f"if(length({a}) = 0, 0, aggregate(array_distinct(transform(sequence(1, length({a})), "
+        f"i -> substring({a}, i, 1))), 0, (total, ch) -> total + least({copies(a)}, {copies(b)})))"
+    )
 
 
 def basic_score(exact: Column, substring: Column, sequence: Column, overlap: Column) -> Column:

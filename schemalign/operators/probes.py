@@ -1,7 +1,8 @@
 """Join keys under which every pair of names that can reach a score must meet.
 
 Each side turns a name into a set of probes; pairs meet by one equi-join on them. The kinds of meeting are disjoint,
-and inside a kind a pair is kept at one probe only, so no de-duplication is needed afterwards:
+and inside a kind a pair is kept at one probe only, so no de-duplication is needed afterwards. The functions take column names or SQL expressions; those returning
+strings give SQL expressions for the caller to put together:
 
 x  equal normal forms
 g  the input lies inside the source name: one gram of the input against all grams of the source name
@@ -34,84 +35,74 @@ RARE_TO_COMMON = "zqxjkvbpygfwmucldrhsnioate0123456789 _"
 UNKNOWN_IDF = 99.0
 
 
-def tagged(kind: str, values: Column) -> Column:
-    return F.transform(values, lambda v: F.concat(F.lit(kind + ":"), v))
+def tagged(kind: str, values: str) -> str:
+    return f"transform({values}, v -> concat('{kind}:', v))"
 
 
-def _grams(key: Column, n: int) -> Column:
-    grams = F.transform(F.sequence(F.lit(1), F.length(key) - n + 1), lambda i: F.substring(key, i, n))
-    return F.when(F.length(key) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+def _grams(key: str, n: int) -> str:
+    grams = f"array_distinct(transform(sequence(1, length({key}) - {n - 1}), i -> substring({key}, i, {n})))"
+    return f"if(length({key}) >= {n}, {grams}, cast(array() AS array<string>))"
 
 
-def all_grams(key: Column) -> Column:
-    return F.concat(*[_grams(key, n) for n in GRAM_LENGTHS])
+def all_grams(key: str) -> str:
+    return f"concat({', '.join(_grams(key, n) for n in GRAM_LENGTHS)})"
 
 
-def signature_gram(key: Column, common: list[str]) -> Column:
-    """One gram of the key, as an array (empty for the empty key): an uncommon one if there is any."""
+def signature_grams(key: str, common: str = "") -> str:
+    """The grams one of which is the key's signature: its longest kind, without the common ones if any are left."""
     grams = _grams(key, GRAM_LENGTHS[0])
     for n in GRAM_LENGTHS[1:]:
-        grams = F.when(F.length(key) >= n, _grams(key, n)).otherwise(grams)
-    if common:
-        rare = F.filter(grams, lambda g: ~g.isin(common))
-        grams = F.when(F.size(rare) > 0, rare).otherwise(grams)
-    pick = F.pmod(F.xxhash64(key), F.greatest(F.size(grams), F.lit(1))).cast("int")
-    return F.slice(grams, pick + 1, 1)
+        grams = f"if(length({key}) >= {n}, {_grams(key, n)}, {grams})"
+    if not common:
+        return grams
+    rare = f"filter({grams}, g -> g NOT IN ({common}))"
+    return f"if(size({rare}) > 0, {rare}, {grams})"
 
 
-def rarity_order(words: Column, entries: Column) -> Column:
-    """Words from rare to common: unknown to the vocabulary, then by falling idf, single characters last."""
+def one_gram(key: str, grams: str) -> str:
+    """One of the grams, as an array; each key takes one of its own, so that keys with like grams spread out."""
+    return f"slice({grams}, 1 + CAST(pmod(xxhash64({key}), greatest(size({grams}), 1)) AS int), 1)"
 
-    def idf(word: Column) -> Column:
-        known = F.aggregate(
-            entries, F.lit(UNKNOWN_IDF), lambda found, e: F.when(e["term"] == word, e["idf"]).otherwise(found)
-        )
-        return F.when(F.length(word) < 2, F.lit(0.0)).otherwise(known)
 
-    ranked = F.transform(words, lambda w: F.struct((-idf(w)).alias("rank"), w.alias("word")))
-    return F.transform(F.array_sort(ranked), lambda r: r["word"])
+def rarity_order(words: str, entries: str) -> Column:
+    """Words from rare to common: unknown to the vocabulary, then by falling idf, single characters last."""
+    known = f"aggregate({entries}, {UNKNOWN_IDF}D, (idf, e) -> if(e.term = w, e.idf, idf))"
+    rank = f"if(length(w) < 2, 0D, -{known})"
+    ranked = f"transform({words}, w -> struct({rank} AS rank, w AS word))"
+    return F.expr(f"transform(array_sort({ranked}), r -> r.word)")
 
 
-def reachable_words(ordered: Column, entries: Column, share: float, threshold: float) -> Column:
+def reachable_words(ordered: str, entries: str, share: float, threshold: float) -> str:
     """The words at which a pair sharing no rarer word can still reach the threshold.
 
     A pair met at word i of n shares at most the words from i on: its overlap is at most (n-i+1)/n and its cosine at
     most the length of the vector's part made of those words. Nothing else but the sequence ratio, at most 1, adds
     to its score (containment is met elsewhere). Very long names keep all their words.
     """
-    n = F.size(ordered)
-
-    def bound(i: Column) -> Column:
-        rest = F.slice(ordered, i + 1, F.greatest(n, F.lit(1)))
-        inside = lambda e: F.forall(F.split(e["term"], " "), lambda w: F.array_contains(rest, w))
-        squares = F.aggregate(
-            entries, F.lit(0.0), lambda total, e: total + F.when(inside(e), e["weight"] * e["weight"]).otherwise(0.0)
-        )
-        return share * (1 + (n - i) / n) + text.TFIDF_SHARE * F.sqrt(squares)
+    n = f"size({ordered})"
+    rest = f"slice({ordered}, i + 1, greatest({n}, 1))"
+    inside = f"forall(split(e.term, ' '), x -> array_contains({rest}, x))"
+    squares = f"aggregate({entries}, 0D, (total, e) -> total + if({inside}, e.weight * e.weight, 0D))"
+    bound = f"{share}D * (1 + ({n} - i) / {n}) + {text.TFIDF_SHARE}D * sqrt({squares})"
+    kept = f"filter({ordered}, (w, i) -> {bound} >= {threshold - 1e-9}D)"
+    return f"if({n} <= {SHORT_NAME}, {kept}, {ordered})"
 
-    bounded = F.transform(ordered, lambda w, i: F.struct(w.alias("word"), bound(i).alias("bound")))
-    kept = F.filter(bounded, lambda r: r["bound"] >= threshold - 1e-9)
-    return F.when(n <= SHORT_NAME, F.transform(kept, lambda r: r["word"])).otherwise(ordered)
 
-
-def character_tokens(key: Column) -> Column:
+def character_tokens(key: str) -> Column:
     """The characters of a short name numbered per kind, rarest first: 'anna' gives second n, second a, n, a.
 
     As sets they overlap in exactly as many tokens as the names share characters. NULL for long names.
     """
-
-    def token(ch: Column, i: Column) -> Column:
-        so_far = F.substring(key, F.lit(1), i + 1)
-        nth = F.length(so_far) - F.length(F.replace(so_far, ch, F.lit("")))
-        rank = F.instr(F.lit(RARE_TO_COMMON), ch)
-        return F.concat(F.lpad((99 - nth).cast("string"), 2, "0"), F.lpad(rank.cast("string"), 2, "0"), ch)
-
-    return F.when(F.length(key).between(1, SHORT_NAME), F.sort_array(F.transform(text.characters(key), token)))
+    nth = f"length(substring({key}, 1, i)) - length(replace(substring({key}, 1, i), substring({key}, i, 1), ''))"
+    rank = f"instr('{RARE_TO_COMMON}', substring({key}, i, 1))"
+    token = f"concat(lpad(99 - ({nth}), 2, '0'), lpad({rank}, 2, '0'), substring({key}, i, 1))"
+    tokens = f"sort_array(transform(sequence(1, length({key})), i -> {token}))"
+    return F.expr(f"if(length({key}) BETWEEN 1 AND {SHORT_NAME}, {tokens}, NULL)")
 
 
-def needed_characters(total_length: Column, ratio: float) -> Column:
-    """How many characters two names of this total length must share for the given sequence ratio."""
-    return F.greatest(F.ceil(ratio * total_length / 2 - 1e-9), F.lit(1))
+def needed_characters(a: str, b: str, ratio: float) -> str:
+    """How many characters two names must share for the given sequence ratio."""
+    return f"greatest(ceil({ratio}D * (length({a}) + length({b})) / 2 - 1e-9D), 1)"
 
 
 def _length_ratio(ratio: float) -> float:
@@ -119,43 +110,31 @@ def _length_ratio(ratio: float) -> float:
     return ratio / (2 - ratio)
 
 
-def character_probes(key: Column, toks: Column, ratio: float, indexed: bool) -> Column:
-    """Probes of kind q: two names of sequence ratio >= ratio (0 < ratio < 1) have one in common.
+def character_probes(key: str, toks: str, ratio: float, indexed: bool) -> str:
+    """Probes of kinds q and l: two names of sequence ratio >= ratio (0 < ratio < 1) have one in common.
 
     They share at least r(|a|+|b|)/2 characters. Where that is two or more, the two rarest shared tokens are among
     the first |a| - f|a| + 2 tokens of a (f the length ratio), and likewise for b: pairs of tokens from that prefix
     are the probes. Tiny names, which may share one character only, add their single tokens. Long names meet by
     length class, the indexed side being present in the neighbouring classes too.
     """
-    none = F.array().cast("array<string>")
-    shrink = _length_ratio(ratio)
-    size = F.length(key)
-    prefix = F.slice(toks, F.lit(1), size - F.ceil(shrink * size - 1e-9).cast("int") + 2)
-    pairs = F.flatten(
-        F.transform(
-            prefix,
-            lambda one, i: F.transform(F.slice(prefix, i + 2, F.greatest(size, F.lit(1))), lambda two: F.concat(one, two)),
-        )
-    )
-    singles = F.when(size < 2 / ratio, toks).otherwise(none)
-    length_class = F.floor(F.log(size.cast("double")) / -F.log(F.lit(shrink))).cast("int")
-    classes = F.sequence(length_class - 1, length_class + 1) if indexed else F.array(length_class)
-    long_names = F.when(size > SHORT_NAME * shrink, tagged("l", F.transform(classes, lambda c: c.cast("string"))))
-    return F.concat(
-        F.coalesce(tagged("q", pairs), none),
-        F.coalesce(tagged("q", singles), none),
-        F.coalesce(long_names, none),
-    )
-
-
-def met_by_characters(probe: Column, a: Column, b: Column, toks_a: Column, toks_b: Column, ratio: float) -> Column:
-    """Whether this probe is the one at which the pair counts, and the pair can reach the ratio."""
-    shared = F.array_intersect(toks_a, toks_b)
-    total = F.length(a) + F.length(b)
-    first = F.when(needed_characters(total, ratio) > 1, F.array_join(F.slice(shared, 1, 2), "")).otherwise(
-        F.get(shared, F.lit(0))
-    )
-    by_tokens = (probe == F.concat(F.lit("q:"), first)) & toks_a.isNotNull() & toks_b.isNotNull()
-    by_length = probe.startswith("l:") & (F.greatest(F.length(a), F.length(b)) > SHORT_NAME)
-    similar_length = F.least(F.length(a), F.length(b)) >= _length_ratio(ratio) * F.greatest(F.length(a), F.length(b)) - 1e-9
-    return similar_length & F.coalesce(by_tokens | by_length, F.lit(False))
+    none = "cast(array() AS array<string>)"
+    shrink, size = _length_ratio(ratio), f"length({key})"
+    prefix = f"slice({toks}, 1, {size} - CAST(ceil({shrink}D * {size} - 1e-9D) AS int) + 2)"
+    pairs = f"flatten(transform({prefix}, (x, i) -> transform(slice({prefix}, i + 2, {size}), y -> concat(x, y))))"
+    singles = f"if({size} < {2 / ratio}D, {toks}, {none})"
+    length_class = f"CAST(floor(ln({size}) / -ln({shrink}D)) AS int)"
+    classes = f"sequence({length_class} - 1, {length_class} + 1)" if indexed else f"array({length_class})"
+    long_names = f"if({size} > {SHORT_NAME * shrink}D, {tagged('l', classes)}, {none})"
+    return f"concat(coalesce({tagged('q', pairs)}, {none}), coalesce({tagged('q', singles)}, {none}), {long_names})"
+
+
+def met_by_characters(probe: str, a: str, b: str, toks_a: str, toks_b: str, ratio: float) -> Column:
+    """Whether this probe is the one at which the pair counts, and its lengths allow the ratio."""
+    shared = f"array_intersect({toks_a}, {toks_b})"
+    shorter, longer = f"least(length({a}), length({b}))", f"greatest(length({a}), length({b}))"
+    first = f"if({needed_characters(a, b, ratio)} > 1, concat(get({shared}, 0), get({shared}, 1)), get({shared}, 0))"
+    by_tokens = f"{probe} = concat('q:', {first})"
+    by_length = f"startswith({probe}, 'l:') AND {longer} > {SHORT_NAME}"
+    similar_length = f"{shorter} >= {_length_ratio(ratio)}D * {longer} - 1e-9D"
+    return F.expr(f"{similar_length} AND (coalesce({by_tokens}, false) OR ({by_length}))")

@@ -16,13 +16,9 @@ def fit_terms(keys: DataFrame) -> DataFrame:
 
     Every occurrence adds to tf, the first one in a name also to df, so one map-side combined sum gives both.
     """
-    none = F.lit(0).cast("bigint")
-    occurrences = F.concat(
-        F.transform("grams", lambda g: F.struct(g.alias("term"), F.col("copies").alias("tf"), none.alias("df"))),
-        F.transform(
-            F.array_distinct("grams"),
-            lambda g: F.struct(g.alias("term"), none.alias("tf"), F.col("copies").alias("df")),
-        ),
+    occurrences = F.expr(
+        "concat(transform(grams, g -> struct(g AS term, copies AS tf, 0L AS df)), "
+        "transform(array_distinct(grams), g -> struct(g AS term, 0L AS tf, copies AS df)))"
     )
     n_docs = keys.agg(F.sum("copies").alias("n_docs")).scalar()
     return (
@@ -62,41 +58,24 @@ def weigh(keys: DataFrame, vocabulary: DataFrame) -> DataFrame:
             )
         ).alias("raw")
     )
-    length = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda total, e: total + e["weight"] * e["weight"]))
-    return raw.withColumn("length", length).select(
-        "key",
-        F.transform(
-            "raw",
-            lambda e: F.struct(
-                e["term"].alias("term"), e["idf"].alias("idf"), (e["weight"] / F.col("length")).alias("weight")
-            ),
-        ).alias("entries"),
-    )
+    length = F.expr("sqrt(aggregate(raw, 0D, (total, e) -> total + e.weight * e.weight))")
+    unit = F.expr("transform(raw, e -> struct(e.term AS term, e.idf AS idf, e.weight / length AS weight))")
+    return raw.withColumn("length", length).select("key", unit.alias("entries"))
 
 
-def vector(entries: Column) -> Column:
-    return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["term"], e["weight"])))
+def vector(entries: str) -> Column:
+    return F.expr(f"map_from_entries(transform({entries}, e -> struct(e.term, e.weight)))")
 
 
-def dot(left: Column, right: Column) -> Column:
+def dot(left: str, right: str) -> Column:
     """Inner product of two term -> weight maps."""
-    return F.aggregate(
-        F.array_intersect(F.map_keys(left), F.map_keys(right)),
-        F.lit(0.0),
-        lambda total, term: total + F.element_at(left, term) * F.element_at(right, term),
-    )
+    shared = f"array_intersect(map_keys({left}), map_keys({right}))"
+    return F.expr(f"aggregate({shared}, 0D, (total, term) -> total + {left}[term] * {right}[term])")
 
 
-def rarest_first(entries: Column) -> Column:
+def rarest_first(entries: str) -> Column:
     """Entries in one order shared by all names: highest idf first, then by term."""
-    return F.array_sort(
-        entries,
-        lambda x, y: F.when(x["idf"] > y["idf"], -1)
-        .when(x["idf"] < y["idf"], 1)
-        .when(x["term"] < y["term"], -1)
-        .when(x["term"] > y["term"], 1)
-        .otherwise(0),
-    )
+    return F.expr(f"transform(array_sort(transform({entries}, e -> struct(-e.idf AS rank, e.term AS term, e AS e))), r -> r.e)")
 
 
 def sparse_cosine(
@@ -114,25 +93,18 @@ def sparse_cosine(
 
     def postings(keys: DataFrame, name: str, vec: str) -> DataFrame:
         ordered = weigh(keys, vocabulary).select(
-            F.col("key").alias(name), rarest_first(F.col("entries")).alias("entries"), vector(F.col("entries")).alias(vec)
-        )
-        tail = lambda i: F.aggregate(
-            F.slice("entries", i + 1, F.greatest(F.size("entries"), F.lit(1))),
-            F.lit(0.0),
-            lambda total, e: total + e["weight"] * e["weight"],
-        )
-        reach = F.filter(
-            F.transform("entries", lambda e, i: F.struct(e["term"].alias("term"), F.sqrt(tail(i)).alias("tail"))),
-            lambda p: p["tail"] >= least,
+            F.col("key").alias(name), rarest_first("entries").alias("entries"), vector("entries").alias(vec)
         )
-        order = F.transform("entries", lambda e: e["term"])
-        return ordered.select(name, vec, order.alias(f"{vec}_order"), F.explode(reach["term"]).alias("term"))
+        tail = "sqrt(aggregate(slice(entries, i + 1, size(entries)), 0D, (total, x) -> total + x.weight * x.weight))"
+        met_at = f"transform(filter(entries, (e, i) -> {tail} >= {least}D), e -> e.term)"
+        order = F.expr("transform(entries, e -> e.term)")
+        return ordered.select(name, vec, order.alias(f"{vec}_order"), F.explode(F.expr(met_at)).alias("term"))
 
     met = skew.salted_grid_join(
         postings(queries, "input_key", "v_input"), postings(documents, "src_key", "v_src"), "term", rows_per_task
     )
     return (
         met.filter(F.get(F.array_intersect("v_input_order", "v_src_order"), F.lit(0)) == F.col("term"))
-        .select("input_key", "src_key", dot(F.col("v_input"), F.col("v_src")).alias("cosine"))
+        .select("input_key", "src_key", dot("v_input", "v_src").alias("cosine"))
         .filter(F.col("cosine") >= least)
     )

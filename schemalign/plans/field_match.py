@@ -79,27 +79,28 @@ def match_keys(
     by_characters = ratio < 1 - _SLACK
 
     def prepared(weighed: DataFrame) -> DataFrame:
-        toks = probes.character_tokens(F.col("key")) if by_characters else F.lit(None).cast("array<string>")
-        return weighed.withColumns(
-            {"words": probes.rarity_order(text.word_set(F.col("key")), F.col("entries")), "toks": toks}
-        ).withColumn("vec", tfidf.vector(F.col("entries")))
+        unique = weighed.withColumn("unique", text.word_set(F.col("key")))
+        toks = probes.character_tokens("key") if by_characters else F.lit(None).cast("array<string>")
+        return unique.select(
+            *weighed.columns, probes.rarity_order("unique", "entries").alias("words"), toks.alias("toks"),
+            tfidf.vector("entries").alias("vec"),
+        ).withColumn("grams", F.expr(probes.signature_grams("key", _quoted_list(common))))
 
     def probes_of(indexed: bool) -> Column:
-        key, words = F.col("key"), F.col("words")
+        words = "words"
         if min_threshold > share:
-            words = probes.reachable_words(words, F.col("entries"), share, min_threshold)
-        inside, around = probes.all_grams(key), probes.signature_gram(key, common)
-        grams = (inside, around) if indexed else (around, inside)
+            words = probes.reachable_words(words, "entries", share, min_threshold)
+        inside, around = probes.all_grams("key"), probes.one_gram("key", "grams")
         tagged = [
-            probes.tagged("x", F.array(key)),
-            probes.tagged("g", grams[0]),
-            probes.tagged("h", grams[1]),
+            probes.tagged("x", "array(key)"),
+            probes.tagged("g", inside if indexed else around),
+            probes.tagged("h", around if indexed else inside),
             probes.tagged("w", words),
-            _trivial_probes(facts, share, min_threshold, indexed),
         ]
         if by_characters:
-            tagged.append(probes.character_probes(key, F.col("toks"), ratio, indexed))
-        return F.explode(F.concat(*tagged)).alias("probe")
+            tagged.append(probes.character_probes("key", "toks", ratio, indexed))
+        every = F.concat(F.expr(f"concat({', '.join(tagged)})"), _trivial_probes(facts, share, min_threshold, indexed))
+        return F.explode(every).alias("probe")
 
     left = prepared(tfidf.weigh(keys, vocabulary)).select(
         F.col("key").alias("a"), F.col("words").alias("words_a"), F.col("vec").alias("vec_a"),
@@ -115,7 +116,7 @@ def match_keys(
         text.exact_score(F.col("a"), F.col("b")).alias("exact"),
         text.substring_score(F.col("a"), F.col("b")).alias("inside"),
         text.overlap_of_sets(F.col("words_a"), F.col("words_b")).alias("overlap"),
-        tfidf.dot(F.col("vec_a"), F.col("vec_b")).alias("tfidf"),
+        tfidf.dot("vec_a", "vec_b").alias("tfidf"),
     )
     hopeful = _can_be_among_best(pairs, facts.has_terms, share, top_n, min_threshold, 1 if small else 16)
     return _ranked(_scored(hopeful, facts.has_terms, min_threshold), top_n)
@@ -139,30 +140,54 @@ def _trivial_probes(facts: lx.LexiconFacts, share: float, min_threshold: float,
 
 def _common_grams(sources: DataFrame, limit: int = 512, at_least: int = 64) -> list[str]:
     """The grams most source names have: at most `limit` strings, kept out of the signatures."""
-    grams = sources.select(F.explode(probes.all_grams(F.col("key"))).alias("gram"))
+    grams = sources.select(F.explode(F.expr(probes.all_grams("key"))).alias("gram"))
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("names")).filter(F.col("names") >= at_least)
     return [row["gram"] for row in counts.orderBy(F.col("names").desc(), "gram").limit(limit).collect()]
 
 
+def _quoted_list(values: list[str]) -> str:
+    """Normalised names hold word characters and blanks only, so quoting them needs no escapes."""
+    return ", ".join(f"'{v}'" for v in values)
+
+
 def _counts_here(ratio: float | None) -> Column:
     """Whether a pair met at this probe is to be kept here: every pair is kept at exactly one probe."""
-    a, b, probe = F.col("a"), F.col("b"), F.col("probe")
-    kind = F.substring(probe, 1, 1)
-    contained = F.contains(a, b) | F.contains(b, a)
-    rarest = F.get(F.array_intersect("words_a", "words_b"), F.lit(0))
-    here = (
-        F.when(kind == "x", F.lit(True))
-        .when(kind == "g", (a != b) & F.contains(b, a))
-        .when(kind == "h", (a != b) & F.contains(a, b))
-        .when(kind == "w", (F.concat(F.lit("w:"), rarest) == probe) & ~contained)
-        .when(kind.isin("e", "b"), F.lit(True))
-        .when(kind == "z", text.shared_characters(a, b) == 0)
+    here = F.expr(
+        """
+        CASE substring(probe, 1, 1)
+          WHEN 'x' THEN true
+          WHEN 'g' THEN a <> b AND contains(b, a)
+          WHEN 'h' THEN a <> b AND contains(a, b)
+          WHEN 'w' THEN probe = concat('w:', get(array_intersect(words_a, words_b), 0))
+                        AND NOT contains(a, b) AND NOT contains(b, a)
+          WHEN 'e' THEN true
+          WHEN 'b' THEN true
+        END"""
     )
+    no_more = text.shared_characters("a", "b") == 0
+    here = F.when(F.expr("substring(probe, 1, 1) = 'z'"), no_more).when(here.isNotNull(), here)
     if ratio is None:
         return here
-    enough = text.shared_characters(a, b) >= probes.needed_characters(F.length(a) + F.length(b), ratio)
-    met = probes.met_by_characters(probe, a, b, F.col("toks_a"), F.col("toks_b"), ratio)
-    return here.otherwise(met & ~F.arrays_overlap("words_a", "words_b") & ~contained & enough)
+    met = probes.met_by_characters("probe", "a", "b", "toks_a", "toks_b", ratio)
+    apart = F.expr("NOT arrays_overlap(words_a, words_b) AND NOT contains(a, b) AND NOT contains(b, a)")
+    enough = text.shared_characters("a", "b") >= F.expr(probes.needed_characters("a", "b", ratio))
+    return here.otherwise(met & apart & enough)
+
+
+def _trivial_probes(facts: lx.LexiconFacts, share: float, min_threshold: float, indexed: bool) -> Column:
+    """Probes for pairs that need no index: an empty name on either side, and nothing in common at all.
+
+    An empty input scores the same with every source name, so only the first top_n of them can be its answer. For a
+    threshold of 0, an input with fewer than top_n better pairs is filled up from the first 2 * top_n source names.
+    """
+    key = F.col("key")
+    first = key.isin(facts.first_keys) & (key != "")
+    given = {"e": first if indexed else key == ""}
+    if facts.has_empty and min_threshold <= share:
+        given["b"] = key == "" if indexed else key != ""
+    if min_threshold <= 0:
+        given["z"] = first if indexed else key != ""
+    return F.array_compact(F.array(*[F.when(holds, f"{kind}:") for kind, holds in given.items()]))
 
 
 def _can_be_among_best(
@@ -179,7 +204,7 @@ def _can_be_among_best(
         F.length(b) < _POPULAR_FROM,
         F.when(F.col("exact") == 1, F.lit(1.0)).when(F.col("inside") == 1, 2 * F.least(F.length(a), F.length(b)) / total),
     )
-    most = F.when(total > 0, 2 * text.shared_characters(a, b) / total).otherwise(F.lit(1.0))
+    most = F.when(total > 0, 2 * text.shared_characters("a", "b") / total).otherwise(F.lit(1.0))
 
     def score(sequence: Column) -> Column:
         basic = text.basic_score(F.col("exact"), F.col("inside"), sequence, F.col("overlap"))
