@@ -26,3 +26,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
                 matcher.set_seq1(left[row])
                 ratios[row] = matcher.ratio()
     return pd.Series(ratios).where(~np.isnan(ratios), None).astype("Float64")
+
+
+# Declared nondeterministic so that a filter on the ratio is not pushed below, which would compute it twice.
+sequence_ratio = sequence_ratio.asNondeterministic()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from schemalign.functions import text
 from schemalign.operators import skew
+from schemalign.operators.settle import settle
 
 # Cell texts read as missing.
 MISSING = (
@@ -21,6 +22,10 @@ MISSING = (
 )
 
 
+# Layouts up to about this many bytes are broadcast.
+BROADCAST_LAYOUTS = 50_000_000
+
+
 def quoted(name: str) -> str:
     """A column reference by name, whatever characters the name has."""
     return "`" + name.replace("`", "``") + "`"
@@ -76,10 +81,18 @@ def conform_many(
 ) -> DataFrame:
     """Any number of layouts in one pass; sources with nothing mapped give no rows.
 
-    A layout row is at most the target schema long. Rows of one huge source spread over many tasks, each with a copy
-    of its layout.
+    The layouts are settled first: they decide what becomes of the data and are a small fraction of it. While they are
+    few they are broadcast and the rows do not move; beyond that, rows of one huge source spread over many tasks, each
+    with a copy of its layout.
     """
-    laid_out = skew.spread_lookup(rows, layouts(mapping), ["source_id"], "inner")
+    settled = settle(layouts(mapping))
+    size = settled.agg(
+        F.coalesce(F.sum(F.length("source_id") + 50 * F.size("positions")), F.lit(0)).alias("estimate")
+    ).first()
+    if size["estimate"] <= BROADCAST_LAYOUTS:
+        laid_out = rows.join(F.broadcast(settled), "source_id")
+    else:
+        laid_out = skew.spread_lookup(rows, settled, ["source_id"], "inner")
 
     def column(target: str) -> Column:
         position = F.try_element_at("positions", F.lit(target))
@@ -124,18 +137,15 @@ def sample_values(df: DataFrame, order_by: str, k: int = 3, width: int = 30) ->
     Each task keeps only its own first k values per column before the shuffle.
     """
     names = [c for c in df.columns if c != order_by]
-    cells = df.select(
-        F.col(quoted(order_by)).alias("_at"),
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(c).alias("column_name"), F.col(quoted(c)).cast("string").alias("value")) for c in names]
-            )
-        ),
-    ).filter(F.col("value").isNotNull())
+
+    def cell(name: str) -> Column:
+        cut = F.substring(F.col(quoted(name)).cast("string"), 1, width)
+        return F.struct(F.lit(name).alias("column_name"), cut.alias("value"))
+
+    cells = df.select(F.col(quoted(order_by)).alias("_at"), F.inline(F.array(*[cell(name) for name in names])))
     nth = F.row_number().over(Window.partitionBy("column_name").orderBy("_at"))
-    first = cells.withColumn("nth", nth).filter(F.col("nth") <= k)
-    cut = F.struct("nth", F.substring("value", 1, width).alias("value"))
-    listed = F.transform(F.sort_array(F.collect_list(cut)), lambda v: v["value"])
+    first = cells.filter(F.col("value").isNotNull()).withColumn("nth", nth).filter(F.col("nth") <= k)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("nth", "value"))), lambda v: v["value"])
     return first.groupBy("column_name").agg(F.concat(F.array_join(listed, ", "), F.lit("...")).alias("sample"))
 
 

@@ -60,12 +60,16 @@ def dictionary_stats(dictionary: DataFrame) -> DataFrame:
 
 
 def _checked(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows as they are; running into a NULL key fails the job."""
-    missing = F.lit(False)
-    for key in keys:
-        missing = missing | F.col(key).isNull()
-    stop = F.raise_error(F.lit(f"keys must not be NULL: {', '.join(keys)}")).cast("boolean")
-    return df.filter(F.when(missing, stop).otherwise(F.lit(True)))
+    """Rows as they are; running into a NULL key fails the job.
+
+    The check is part of the key itself, so no filter on the key can drop the row unseen.
+    """
+
+    def known(key: str) -> Column:
+        stop = F.raise_error(F.lit(f"key must not be NULL: {key}")).cast(df.schema[key].dataType)
+        return F.coalesce(F.col(key), stop)
+
+    return df.withColumns({key: known(key) for key in keys})
 
 
 def insert_if_absent(base: DataFrame, new: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -43,7 +43,7 @@ def lexicon(dictionary: DataFrame, top_n: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class LexiconFacts:
-    """What plan choices depend on: a few numbers and at most 2 * top_n names, never the data."""
+    """What plan choices depend on: a few numbers and names, never the data."""
 
     keys: int
     characters: int
@@ -51,11 +51,12 @@ class LexiconFacts:
     has_empty: bool
     first_keys: list[str]
 
-    def fits_broadcast(self, max_keys: int, max_characters: int = 200_000) -> bool:
+    def fits_broadcast(self, max_keys: int, max_characters: int = 100_000) -> bool:
         return self.keys <= max_keys and self.characters <= max_characters
 
 
-def inspect(sources: DataFrame, top_n: int) -> LexiconFacts:
+def inspect(sources: DataFrame, first_names: int) -> LexiconFacts:
+    """The facts, with the keys of the first so many source names (0 where they are not needed)."""
     key = F.col("key")
     row = sources.agg(
         F.count(F.lit(1)).alias("keys"),
@@ -63,6 +64,8 @@ def inspect(sources: DataFrame, top_n: int) -> LexiconFacts:
         F.coalesce(F.max(key.rlike(r"[\p{L}\p{N}_]{2}")), F.lit(False)).alias("has_terms"),
         F.coalesce(F.max(key == ""), F.lit(False)).alias("has_empty"),
     ).first()
-    in_order = sources.orderBy(F.get("rows", F.lit(0))["src"].asc_nulls_last()).limit(2 * top_n)
-    first_keys = [r["key"] for r in in_order.select("key").collect()]
+    first_keys: list[str] = []
+    if first_names:
+        in_order = sources.orderBy(F.get("rows", F.lit(0))["src"].asc_nulls_last()).limit(first_names)
+        first_keys = [r["key"] for r in in_order.select("key").collect()]
     return LexiconFacts(row["keys"], row["characters"], row["has_terms"], row["has_empty"], first_keys)

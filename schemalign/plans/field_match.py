@@ -8,6 +8,8 @@ the answer; tests compare with all pairs scored one by one.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +21,17 @@ from schemalign.operators.settle import settle
 
 SCORES = ("combined_score", "exact_score", "substring_score", "sequence_score", "word_overlap", "tfidf_score")
 
-# Up to this many distinct source names (and 200,000 characters of them) the index is broadcast.
+# Up to this many distinct source names (and 100,000 characters of them) the index is broadcast: at most about a
+# million short rows.
 BROADCAST_KEYS = 5_000
 
+# Up to this many distinct inputs (and 5 million characters of them) their answers are broadcast.
+BROADCAST_ANSWERS = 100_000
+
+# Distinct inputs one task scores; more tasks than MOST_TASKS are not made.
+KEYS_PER_TASK = 1_000
+MOST_TASKS = 20_000
+
 # Scores closer than this count as equal when ranking: sums of doubles differ in the last bits.
 _RANK_DIGITS = 10
 _SLACK = 1e-9
@@ -46,10 +56,19 @@ def field_match(
     """
     keyed = inputs.withColumn("_key", text.normalize_name(F.col(input_col)))
     names = settle(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("rows")))
-    answers = match_keys(
-        names.select(F.col("_key").alias("key")), dictionary, top_n, min_threshold, rows_per_task, broadcast_keys
-    ).withColumnRenamed("key", "_key")
-    joined = skew.salted_lookup(keyed, answers, ["_key"], "inner", rows_per_task, counts=names)
+    asked = names.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("_key")), F.lit(0)).alias("chars"),
+        F.coalesce(F.bool_or(F.col("_key") == ""), F.lit(False)).alias("has_empty"),
+    ).first()
+    tasks = min(max(math.ceil(asked["n"] / KEYS_PER_TASK), 1), MOST_TASKS)
+    keys = names.select(F.col("_key").alias("key")).repartition(tasks, "key")
+    first_names = 2 * top_n if asked["has_empty"] or min_threshold <= 0 else 0
+    answers = match_keys(keys, dictionary, top_n, min_threshold, rows_per_task, broadcast_keys, first_names)
+    answers = answers.withColumnRenamed("key", "_key")
+    if asked["n"] * top_n <= BROADCAST_ANSWERS and asked["chars"] <= 5_000_000 and broadcast_keys:
+        joined = keyed.join(F.broadcast(answers), "_key")
+    else:
+        joined = skew.salted_lookup(keyed, answers, ["_key"], "inner", rows_per_task, counts=names)
     return joined.select(*inputs.columns, F.inline("matches"))
 
 
@@ -63,11 +82,17 @@ def field_match_names(spark: SparkSession, names: list[str], dictionary: DataFra
 
 
 def match_keys(
-    keys: DataFrame, dictionary: DataFrame, top_n: int, min_threshold: float, rows_per_task: int, broadcast_keys: int
+    keys: DataFrame,
+    dictionary: DataFrame,
+    top_n: int,
+    min_threshold: float,
+    rows_per_task: int,
+    broadcast_keys: int,
+    first_names: int,
 ) -> DataFrame:
     """(key) distinct normal forms -> (key, matches): an array of at most top_n result structs, only where any."""
     sources = settle(lx.lexicon(dictionary, top_n))
-    facts = lx.inspect(sources, top_n)
+    facts = lx.inspect(sources, first_names)
     # Without any term in the dictionary the basic score counts in full.
     share = (text.BASIC_SHARE if facts.has_terms else 1.0) * text.SEQUENCE_WEIGHT
     small = facts.fits_broadcast(broadcast_keys)
@@ -102,15 +127,24 @@ def match_keys(
         every = F.concat(F.expr(f"concat({', '.join(tagged)})"), _trivial_probes(facts, share, min_threshold, indexed))
         return F.explode(every).alias("probe")
 
-    left = prepared(tfidf.weigh(keys, vocabulary)).select(
-        F.col("key").alias("a"), F.col("words").alias("words_a"), F.col("vec").alias("vec_a"),
-        F.col("toks").alias("toks_a"), probes_of(indexed=False),
-    )
-    index = prepared(sources.select("key", "rows").join(tfidf.weigh(sources.select("key"), vocabulary), "key")).select(
-        F.col("key").alias("b"), F.col("words").alias("words_b"), F.col("vec").alias("vec_b"),
-        F.col("toks").alias("toks_b"), "rows", probes_of(indexed=True),
-    )
-    met = left.join(F.broadcast(index), "probe") if small else skew.salted_grid_join(left, index, "probe", rows_per_task)
+    features = ("words", "vec", "toks")
+    left = prepared(tfidf.weigh(keys, vocabulary))
+    known = settle(prepared(sources.select("key", "rows").join(tfidf.weigh(sources.select("key"), vocabulary), "key")))
+
+    def side(df: DataFrame, name: str, *columns: str | Column) -> DataFrame:
+        return df.select(F.col("key").alias(name), *[F.col(f).alias(f"{f}_{name}") for f in features], *columns)
+
+    if small:
+        # The index proper is (probe, b); what else is known of b is looked up for pairs that meet.
+        met = side(left, "a", probes_of(indexed=False)).join(
+            F.broadcast(known.select(F.col("key").alias("b"), probes_of(indexed=True))), "probe"
+        )
+        met = met.filter(_may_count_here()).join(F.broadcast(side(known, "b", "rows")), "b")
+    else:
+        met = skew.salted_grid_join(
+            side(settle(left), "a", probes_of(indexed=False)), side(known, "b", "rows", probes_of(indexed=True)),
+            "probe", rows_per_task,
+        )
     pairs = met.filter(_counts_here(ratio if by_characters else None)).select(
         "a", "b", "rows",
         text.exact_score(F.col("a"), F.col("b")).alias("exact"),
@@ -118,7 +152,7 @@ def match_keys(
         text.overlap_of_sets(F.col("words_a"), F.col("words_b")).alias("overlap"),
         tfidf.dot("vec_a", "vec_b").alias("tfidf"),
     )
-    hopeful = _can_be_among_best(pairs, facts.has_terms, share, top_n, min_threshold, 1 if small else 16)
+    hopeful = _can_be_among_best(pairs, facts.has_terms, share, top_n, min_threshold, math.ceil(facts.keys / rows_per_task))
     return _ranked(_scored(hopeful, facts.has_terms, min_threshold), top_n)
 
 
@@ -150,6 +184,19 @@ def _quoted_list(values: list[str]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
+def _may_count_here() -> Column:
+    """The part of _counts_here that needs the two names only."""
+    return F.expr(
+        """
+        CASE substring(probe, 1, 1)
+          WHEN 'g' THEN a <> b AND contains(b, a)
+          WHEN 'h' THEN a <> b AND contains(a, b)
+          WHEN 'x' THEN true
+          ELSE a <> b
+        END"""
+    )
+
+
 def _counts_here(ratio: float | None) -> Column:
     """Whether a pair met at this probe is to be kept here: every pair is kept at exactly one probe."""
     here = F.expr(
@@ -261,3 +308,10 @@ def _ranked(scored: DataFrame, top_n: int) -> DataFrame:
     return rows.groupBy(F.col("a").alias("key")).agg(
         F.transform(F.sort_array(F.collect_list(result)), in_order).alias("matches")
     )
+
+
+def match_view(
+    spark: SparkSession, inputs: str, dictionary: str, result: str, top_n: int = 3, min_threshold: float = 0.1
+) -> None:
+    """For SQL users: a temporary view of the matches of a view of names (input_field and any other columns)."""
+    field_match(spark.table(inputs), spark.table(dictionary), top_n, min_threshold).createOrReplaceTempView(result)
