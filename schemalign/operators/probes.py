@@ -1,18 +1,18 @@
 """Join keys under which every pair of names that can reach a score must meet.
 
 Each side turns a name into a set of probes; pairs meet by one equi-join on them. The kinds of meeting are disjoint,
-and inside a kind a pair is kept at one probe only, so no de-duplication is needed afterwards. The functions take column names or SQL expressions; those returning
-strings give SQL expressions for the caller to put together:
+and inside a kind a pair is kept at one probe only, so no de-duplication is needed afterwards:
 
 x  equal normal forms
 g  the input lies inside the source name: one gram of the input against all grams of the source name
 h  the source name lies inside the input: the reverse
 w  a shared word, met at the rarest one
-q  nothing shared but characters: combinations of rare character tokens (only for low thresholds)
-l  the same for long names: the length class
 e  an empty input, with the first source names: it scores the same with all of them
 b  an empty source name, with every input
 z  nothing shared at all, with the first source names (only for a threshold of 0)
+
+Pairs that share nothing but characters are found in operators.characters. The functions take column names or SQL
+expressions; those returning strings give SQL expressions for the caller to put together.
 """
 
 from __future__ import annotations
@@ -25,11 +25,8 @@ from schemalign.functions import text
 # Gram lengths of the containment index; a name uses the longest one it can fill.
 GRAM_LENGTHS = (1, 2, 3, 8)
 
-# Character combinations are built for names up to this length; longer ones meet by length class.
-SHORT_NAME = 64
-
-# English letters from rare to common, then digits and separators; only the number of candidates depends on it.
-RARE_TO_COMMON = "zqxjkvbpygfwmucldrhsnioate0123456789 _"
+# Names with more words than this keep all their words as probes.
+MANY_WORDS = 64
 
 # Above any idf a dictionary of fewer than 10^40 rows can give.
 UNKNOWN_IDF = 99.0
@@ -85,56 +82,4 @@ def reachable_words(ordered: str, entries: str, share: float, threshold: float)
     squares = f"aggregate({entries}, 0D, (total, e) -> total + if({inside}, e.weight * e.weight, 0D))"
     bound = f"{share}D * (1 + ({n} - i) / {n}) + {text.TFIDF_SHARE}D * sqrt({squares})"
     kept = f"filter({ordered}, (w, i) -> {bound} >= {threshold - 1e-9}D)"
-    return f"if({n} <= {SHORT_NAME}, {kept}, {ordered})"
-
-
-def character_tokens(key: str) -> Column:
-    """The characters of a short name numbered per kind, rarest first: 'anna' gives second n, second a, n, a.
-
-    As sets they overlap in exactly as many tokens as the names share characters. NULL for long names.
-    """
-    nth = f"length(substring({key}, 1, i)) - length(replace(substring({key}, 1, i), substring({key}, i, 1), ''))"
-    rank = f"instr('{RARE_TO_COMMON}', substring({key}, i, 1))"
-    token = f"concat(lpad(99 - ({nth}), 2, '0'), lpad({rank}, 2, '0'), substring({key}, i, 1))"
-    tokens = f"sort_array(transform(sequence(1, length({key})), i -> {token}))"
-    return F.expr(f"if(length({key}) BETWEEN 1 AND {SHORT_NAME}, {tokens}, NULL)")
-
-
-def needed_characters(a: str, b: str, ratio: float) -> str:
-    """How many characters two names must share for the given sequence ratio."""
-    return f"greatest(ceil({ratio}D * (length({a}) + length({b})) / 2 - 1e-9D), 1)"
-
-
-def _length_ratio(ratio: float) -> float:
-    """Two names with this sequence ratio: the shorter has at least this share of the longer one's length."""
-    return ratio / (2 - ratio)
-
-
-def character_probes(key: str, toks: str, ratio: float, indexed: bool) -> str:
-    """Probes of kinds q and l: two names of sequence ratio >= ratio (0 < ratio < 1) have one in common.
-
-    They share at least r(|a|+|b|)/2 characters. Where that is two or more, the two rarest shared tokens are among
-    the first |a| - f|a| + 2 tokens of a (f the length ratio), and likewise for b: pairs of tokens from that prefix
-    are the probes. Tiny names, which may share one character only, add their single tokens. Long names meet by
-    length class, the indexed side being present in the neighbouring classes too.
-    """
-    none = "cast(array() AS array<string>)"
-    shrink, size = _length_ratio(ratio), f"length({key})"
-    prefix = f"slice({toks}, 1, {size} - CAST(ceil({shrink}D * {size} - 1e-9D) AS int) + 2)"
-    pairs = f"flatten(transform({prefix}, (x, i) -> transform(slice({prefix}, i + 2, {size}), y -> concat(x, y))))"
-    singles = f"if({size} < {2 / ratio}D, {toks}, {none})"
-    length_class = f"CAST(floor(ln({size}) / -ln({shrink}D)) AS int)"
-    classes = f"sequence({length_class} - 1, {length_class} + 1)" if indexed else f"array({length_class})"
-    long_names = f"if({size} > {SHORT_NAME * shrink}D, {tagged('l', classes)}, {none})"
-    return f"concat(coalesce({tagged('q', pairs)}, {none}), coalesce({tagged('q', singles)}, {none}), {long_names})"
-
-
-def met_by_characters(probe: str, a: str, b: str, toks_a: str, toks_b: str, ratio: float) -> Column:
-    """Whether this probe is the one at which the pair counts, and its lengths allow the ratio."""
-    shared = f"array_intersect({toks_a}, {toks_b})"
-    shorter, longer = f"least(length({a}), length({b}))", f"greatest(length({a}), length({b}))"
-    first = f"if({needed_characters(a, b, ratio)} > 1, concat(get({shared}, 0), get({shared}, 1)), get({shared}, 0))"
-    by_tokens = f"{probe} = concat('q:', {first})"
-    by_length = f"startswith({probe}, 'l:') AND {longer} > {SHORT_NAME}"
-    similar_length = f"{shorter} >= {_length_ratio(ratio)}D * {longer} - 1e-9D"
-    return F.expr(f"{similar_length} AND (coalesce({by_tokens}, false) OR ({by_length}))")
+    return f"if({n} <= {MANY_WORDS}, {kept}, {ordered})"

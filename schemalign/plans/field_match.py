@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from schemalign.functions import text
 from schemalign.functions.sequence import sequence_ratio
 from schemalign.operators import lexicon as lx
-from schemalign.operators import probes, skew, tfidf
+from schemalign.operators import characters, probes, skew, tfidf
 from schemalign.operators.settle import settle
 
 SCORES = ("combined_score", "exact_score", "substring_score", "sequence_score", "word_overlap", "tfidf_score")
@@ -29,7 +29,7 @@ BROADCAST_KEYS = 5_000
 BROADCAST_ANSWERS = 100_000
 
 # Distinct inputs one task scores; more tasks than MOST_TASKS are not made.
-KEYS_PER_TASK = 1_000
+KEYS_PER_TASK = 250
 MOST_TASKS = 20_000
 
 # Scores closer than this count as equal when ranking: sums of doubles differ in the last bits.
@@ -99,17 +99,11 @@ def match_keys(
     vocabulary = tfidf.cap_vocabulary(tfidf.fit_terms(sources.select("key", "copies")))
     common = [] if small else _common_grams(sources)
 
-    # The sequence ratio a pair needs when it has nothing else to offer; none can have it from 1 on.
-    ratio = max(min_threshold, 1e-6) / share
-    by_characters = ratio < 1 - _SLACK
-
     def prepared(weighed: DataFrame) -> DataFrame:
-        unique = weighed.withColumn("unique", text.word_set(F.col("key")))
-        toks = probes.character_tokens("key") if by_characters else F.lit(None).cast("array<string>")
-        return unique.select(
-            *weighed.columns, probes.rarity_order("unique", "entries").alias("words"), toks.alias("toks"),
-            tfidf.vector("entries").alias("vec"),
-        ).withColumn("grams", F.expr(probes.signature_grams("key", _quoted_list(common))))
+        return weighed.withColumn("unique", text.word_set(F.col("key"))).select(
+            *weighed.columns, probes.rarity_order("unique", "entries").alias("words"), tfidf.vector("entries").alias("vec"),
+            F.expr(probes.signature_grams("key", _quoted_list(common))).alias("grams"),
+        )
 
     def probes_of(indexed: bool) -> Column:
         words = "words"
@@ -122,12 +116,10 @@ def match_keys(
             probes.tagged("h", around if indexed else inside),
             probes.tagged("w", words),
         ]
-        if by_characters:
-            tagged.append(probes.character_probes("key", "toks", ratio, indexed))
         every = F.concat(F.expr(f"concat({', '.join(tagged)})"), _trivial_probes(facts, share, min_threshold, indexed))
         return F.explode(every).alias("probe")
 
-    features = ("words", "vec", "toks")
+    features = ("words", "vec")
     left = prepared(tfidf.weigh(keys, vocabulary))
     known = settle(prepared(sources.select("key", "rows").join(tfidf.weigh(sources.select("key"), vocabulary), "key")))
 
@@ -145,13 +137,26 @@ def match_keys(
             side(settle(left), "a", probes_of(indexed=False)), side(known, "b", "rows", probes_of(indexed=True)),
             "probe", rows_per_task,
         )
-    pairs = met.filter(_counts_here(ratio if by_characters else None)).select(
+    pairs = met.filter(_counts_here()).select(
         "a", "b", "rows",
         text.exact_score(F.col("a"), F.col("b")).alias("exact"),
         text.substring_score(F.col("a"), F.col("b")).alias("inside"),
         text.overlap_of_sets(F.col("words_a"), F.col("words_b")).alias("overlap"),
         tfidf.dot("vec_a", "vec_b").alias("tfidf"),
     )
+    # The sequence ratio a pair needs when it has nothing else to offer; none can have it from 1 on.
+    ratio = max(min_threshold, 1e-6) / share
+    if ratio < 1 - _SLACK:
+        rows = known.select(F.col("key").alias("b"), "rows")
+        if small:
+            names = [r["key"] for r in known.select("key").collect()]
+            alike = characters.pairs_by_counts(keys, names, ratio).filter(_share_characters_only())
+            alike = alike.join(F.broadcast(rows), "b")
+        else:
+            alike = characters.pairs_by_index(keys, known.select("key"), ratio, rows_per_task)
+            alike = skew.salted_lookup(alike.filter(_share_characters_only()), rows, ["b"], "inner", rows_per_task)
+        nothing = {name: F.lit(0.0) for name in ("exact", "inside", "overlap", "tfidf")}
+        pairs = pairs.unionByName(alike.withColumns(nothing))
     hopeful = _can_be_among_best(pairs, facts.has_terms, share, top_n, min_threshold, math.ceil(facts.keys / rows_per_task))
     return _ranked(_scored(hopeful, facts.has_terms, min_threshold), top_n)
 
@@ -197,7 +202,7 @@ def _may_count_here() -> Column:
     )
 
 
-def _counts_here(ratio: float | None) -> Column:
+def _counts_here() -> Column:
     """Whether a pair met at this probe is to be kept here: every pair is kept at exactly one probe."""
     here = F.expr(
         """
@@ -211,30 +216,13 @@ def _counts_here(ratio: float | None) -> Column:
           WHEN 'b' THEN true
         END"""
     )
-    no_more = text.shared_characters("a", "b") == 0
-    here = F.when(F.expr("substring(probe, 1, 1) = 'z'"), no_more).when(here.isNotNull(), here)
-    if ratio is None:
-        return here
-    met = probes.met_by_characters("probe", "a", "b", "toks_a", "toks_b", ratio)
-    apart = F.expr("NOT arrays_overlap(words_a, words_b) AND NOT contains(a, b) AND NOT contains(b, a)")
-    enough = text.shared_characters("a", "b") >= F.expr(probes.needed_characters("a", "b", ratio))
-    return here.otherwise(met & apart & enough)
+    return F.coalesce(here, text.shared_characters("a", "b") == 0)
 
 
-def _trivial_probes(facts: lx.LexiconFacts, share: float, min_threshold: float, indexed: bool) -> Column:
-    """Probes for pairs that need no index: an empty name on either side, and nothing in common at all.
-
-    An empty input scores the same with every source name, so only the first top_n of them can be its answer. For a
-    threshold of 0, an input with fewer than top_n better pairs is filled up from the first 2 * top_n source names.
-    """
-    key = F.col("key")
-    first = key.isin(facts.first_keys) & (key != "")
-    given = {"e": first if indexed else key == ""}
-    if facts.has_empty and min_threshold <= share:
-        given["b"] = key == "" if indexed else key != ""
-    if min_threshold <= 0:
-        given["z"] = first if indexed else key != ""
-    return F.array_compact(F.array(*[F.when(holds, f"{kind}:") for kind, holds in given.items()]))
+def _share_characters_only() -> Column:
+    return F.expr(
+        "NOT contains(a, b) AND NOT contains(b, a) AND NOT arrays_overlap(split(a, ' '), split(b, ' '))"
+    )
 
 
 def _can_be_among_best(
