@@ -60,10 +60,11 @@ def field_match(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("_key")), F.lit(0)).alias("chars"),
         F.coalesce(F.bool_or(F.col("_key") == ""), F.lit(False)).alias("has_empty"),
     ).first()
-    tasks = min(max(math.ceil(asked["n"] / KEYS_PER_TASK), 1), MOST_TASKS)
-    keys = names.select(F.col("_key").alias("key")).repartition(tasks, "key")
+    keys = _spread(names.select(F.col("_key").alias("key")), asked["n"])
     first_names = 2 * top_n if asked["has_empty"] or min_threshold <= 0 else 0
-    answers = match_keys(keys, dictionary, top_n, min_threshold, rows_per_task, broadcast_keys, first_names)
+    answers = match_keys(
+        keys, asked["n"], dictionary, top_n, min_threshold, rows_per_task, broadcast_keys, first_names
+    )
     answers = answers.withColumnRenamed("key", "_key")
     if asked["n"] * top_n <= BROADCAST_ANSWERS and asked["chars"] <= 5_000_000 and broadcast_keys:
         joined = keyed.join(F.broadcast(answers), "_key")
@@ -81,8 +82,14 @@ def field_match_names(spark: SparkSession, names: list[str], dictionary: DataFra
     return field_match(listed, dictionary, top_n, min_threshold).orderBy("pos", "match_rank").drop("pos")
 
 
+def _spread(keyed: DataFrame, n_keys: int) -> DataFrame:
+    """Distinct keys over as many tasks as their scoring is worth; their files alone would make few."""
+    return keyed.repartition(min(max(math.ceil(n_keys / KEYS_PER_TASK), 1), MOST_TASKS), "key")
+
+
 def match_keys(
     keys: DataFrame,
+    n_keys: int,
     dictionary: DataFrame,
     top_n: int,
     min_threshold: float,
@@ -121,7 +128,11 @@ def match_keys(
 
     features = ("words", "vec")
     left = prepared(tfidf.weigh(keys, vocabulary))
+    if not small:
+        left = _spread(settle(left), n_keys)
     known = settle(prepared(sources.select("key", "rows").join(tfidf.weigh(sources.select("key"), vocabulary), "key")))
+    if not small:
+        known = _spread(known, facts.keys)
 
     def side(df: DataFrame, name: str, *columns: str | Column) -> DataFrame:
         return df.select(F.col("key").alias(name), *[F.col(f).alias(f"{f}_{name}") for f in features], *columns)
@@ -134,7 +145,7 @@ def match_keys(
         met = met.filter(_may_count_here()).join(F.broadcast(side(known, "b", "rows")), "b")
     else:
         met = skew.salted_grid_join(
-            side(settle(left), "a", probes_of(indexed=False)), side(known, "b", "rows", probes_of(indexed=True)),
+            side(left, "a", probes_of(indexed=False)), side(known, "b", "rows", probes_of(indexed=True)),
             "probe", rows_per_task,
         )
     pairs = met.filter(_counts_here()).select(
