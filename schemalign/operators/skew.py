@@ -7,19 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The 1000 most frequent keys are split; any other key holds at most a thousandth of the rows.
-HEAVY_KEYS = 1000
-
 ROWS_PER_TASK = 200_000
 
+# A key is split if it holds more than this share of all rows (and more than rows_per_task), so there are at most as many
+# heavy keys as the share's inverse, and a key that is not split holds at most that share.
+LEAST_SHARE = 1e-4
+
+_NO_HASH = ("map<", "variant", "interval")
+
 
 def heaviest(counts: DataFrame, keys: Sequence[str], rows_per_task: int, splits: str) -> DataFrame:
-    """(keys..., rows) -> at most HEAVY_KEYS keys with more than rows_per_task rows, and their number of parts."""
+    """(keys..., rows) -> (_key long, splits int) of the keys to be split; _key is a hash, so a row has 12 bytes.
+
+    Keys that share a hash are split alike, which does no harm. At most 1 / LEAST_SHARE rows.
+    """
+    share = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)) * LEAST_SHARE).scalar()
     return (
-        counts.filter(F.col("rows") > rows_per_task)
-        .orderBy(F.col("rows").desc(), *keys)
-        .limit(HEAVY_KEYS)
-        .select(*keys, F.ceil(F.col("rows") / rows_per_task).cast("int").alias(splits))
+        counts.filter((F.col("rows") > rows_per_task) & (F.col("rows") > share))
+        .select(_hash(keys).alias("_key"), F.ceil(F.col("rows") / rows_per_task).cast("int").alias(splits))
+        .groupBy("_key")
+        .agg(F.max(splits).alias(splits))
     )
 
 
@@ -27,10 +34,32 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int, splits: s
     return heaviest(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), keys, rows_per_task, splits)
 
 
+def _hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*keys)
+
+
 def _parts(splits: str) -> Column:
     return F.coalesce(F.col(splits), F.lit(1))
 
 
+def _salt(df: DataFrame, keys: Sequence[str], parts: Column) -> Column:
+    """A part for each row: by what the row holds besides its keys, and by the partition it stands in.
+
+    Both are the same when a task is run again. The content spreads rows that a shuffle has put together by their key,
+    the partition spreads rows that hold nothing but the key.
+    """
+    rest = [F.col(f"`{c}`") for c, kind in df.dtypes if c not in keys and not any(k in kind for k in _NO_HASH)]
+    return F.pmod(F.xxhash64(F.spark_partition_id(), *rest), parts).cast("int")
+
+
+def _with_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame) -> DataFrame:
+    return df.withColumn("_key", _hash(keys)).join(F.broadcast(heavy), "_key", "left").drop("_key")
+
+
+def _copied(df: DataFrame, part: str, parts: Column) -> DataFrame:
+    return df.withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1)))
+
+
 def salted_lookup(
     left: DataFrame,
     right: DataFrame,
@@ -41,32 +70,27 @@ def salted_lookup(
 ) -> DataFrame:
     """Join many left rows to a right side holding each key at most once (inner, left, left_semi or left_anti).
 
-    A heavy key's left rows spread over several tasks and its right row is copied to each of them. The salt comes
-    from the partition number, so a retried task sends its rows to the same place again. counts are (keys..., rows)
-    of the left side where they are known already.
+    A heavy key's left rows spread over several tasks and its right row is copied to each of them. counts are
+    (keys..., rows) of the left side where they are known already.
     """
     keys = list(keys)
     if counts is None:
         counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    heavy = F.broadcast(heaviest(counts, keys, rows_per_task, "_splits"))
-    spread = left.join(heavy, keys, "left").withColumn("_salt", F.pmod(F.spark_partition_id(), _parts("_splits")))
-    copied = right.join(heavy, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), _parts("_splits") - 1)))
+    heavy = heaviest(counts, keys, rows_per_task, "_splits")
+    spread = _with_heavy(left, keys, heavy).withColumn("_salt", _salt(left, keys, _parts("_splits")))
+    copied = _copied(_with_heavy(right, keys, heavy), "_salt", _parts("_splits"))
     return spread.drop("_splits").join(copied.drop("_splits"), [*keys, "_salt"], how).drop("_salt")
 
 
 def salted_grid_join(left: DataFrame, right: DataFrame, key: str, rows_per_task: int) -> DataFrame:
     """Inner join where a key may be heavy on both sides: its rows form a grid of (left part, right part) cells."""
-    heavy_left = F.broadcast(heavy_keys(left, [key], rows_per_task, "_lsplits"))
-    heavy_right = F.broadcast(heavy_keys(right, [key], rows_per_task, "_rsplits"))
+    heavy_left = heavy_keys(left, [key], rows_per_task, "_lsplits")
+    heavy_right = heavy_keys(right, [key], rows_per_task, "_rsplits")
 
     def located(df: DataFrame, own: str, other: str, own_part: str, other_part: str) -> DataFrame:
-        return (
-            df.join(heavy_left, key, "left")
-            .join(heavy_right, key, "left")
-            .withColumn(own_part, F.pmod(F.spark_partition_id(), _parts(own)))
-            .withColumn(other_part, F.explode(F.sequence(F.lit(0), _parts(other) - 1)))
-            .drop("_lsplits", "_rsplits")
-        )
+        both = _with_heavy(_with_heavy(df, [key], heavy_left), [key], heavy_right)
+        placed = both.withColumn(own_part, _salt(df, [key], _parts(own)))
+        return _copied(placed, other_part, _parts(other)).drop("_lsplits", "_rsplits")
 
     lhs = located(left, "_lsplits", "_rsplits", "_lpart", "_rpart")
     rhs = located(right, "_rsplits", "_lsplits", "_rpart", "_lpart")
@@ -75,6 +99,5 @@ def salted_grid_join(left: DataFrame, right: DataFrame, key: str, rows_per_task:
 
 def spread_lookup(left: DataFrame, few: DataFrame, keys: Sequence[str], how: str, copies: int = 64) -> DataFrame:
     """salted_lookup without counting first: for a right side so much smaller that it can be copied throughout."""
-    salted = left.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(copies)))
-    copied = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    return salted.join(copied, [*keys, "_salt"], how).drop("_salt")
+    salted = left.withColumn("_salt", _salt(left, keys, F.lit(copies)))
+    return salted.join(_copied(few, "_salt", F.lit(copies)), [*keys, "_salt"], how).drop("_salt")
