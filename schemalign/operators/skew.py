@@ -17,15 +17,15 @@ _NO_HASH = ("map<", "variant", "interval")
 
 
 def heaviest(counts: DataFrame, keys: Sequence[str], rows_per_task: int, splits: str) -> DataFrame:
-    """(keys..., rows) -> (_key long, splits int) of the keys to be split; _key is a hash, so a row has 12 bytes.
+    """(keys..., rows) -> (_key_hash long, splits int) of the keys to be split; the hash is 8 bytes, so a row has 12 bytes.
 
     Keys that share a hash are split alike, which does no harm. At most 1 / LEAST_SHARE rows.
     """
     share = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)) * LEAST_SHARE).scalar()
     return (
         counts.filter((F.col("rows") > rows_per_task) & (F.col("rows") > share))
-        .select(_hash(keys).alias("_key"), F.ceil(F.col("rows") / rows_per_task).cast("int").alias(splits))
-        .groupBy("_key")
+        .select(_hash(keys).alias("_key_hash"), F.ceil(F.col("rows") / rows_per_task).cast("int").alias(splits))
+        .groupBy("_key_hash")
         .agg(F.max(splits).alias(splits))
     )
 
@@ -53,7 +53,7 @@ def _salt(df: DataFrame, keys: Sequence[str], parts: Column) -> Column:
 
 
 def _with_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame) -> DataFrame:
-    return df.withColumn("_key", _hash(keys)).join(F.broadcast(heavy), "_key", "left").drop("_key")
+    return df.withColumn("_key_hash", _hash(keys)).join(F.broadcast(heavy), "_key_hash", "left").drop("_key_hash")
 
 
 def _copied(df: DataFrame, part: str, parts: Column) -> DataFrame:
