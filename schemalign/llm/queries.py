@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemalign.llm import chat, lattice, packing, simhash, spaced_seeds, token_files, toxicity
+from schemalign.llm import chat, lattice, packing, simhash, spaced_seeds, token_files, toxicity, url_filter
 from schemalign.operators.settle import shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +28,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, limit=4)
 
 
+def op2_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, n_words, n_equal): the benchmark items found in documents."""
     return spaced_seeds.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -66,6 +70,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_lattice_hashing,
+        op2_url_models,
         op3_spaced_seeds,
         op4_toxicity,
         op6_simhash,
@@ -76,6 +81,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_url_models": url_filter.oracle(),
     "op7_reply_trees": rf"""
     WITH turns AS (
       SELECT conv_id, turn, role AS r, text AS t, coalesce(role, '') AS role, coalesce(text, '') AS text
