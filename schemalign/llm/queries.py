@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemalign.llm import chat, lattice, packing, simhash, spaced_seeds, token_files, toxicity, url_filter
+from schemalign.llm import chat, lattice, licenses, packing, simhash, spaced_seeds, token_files, toxicity, url_filter
 from schemalign.operators.settle import shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,6 +24,11 @@ def op1_lattice_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op5_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, paragraph, family, probability, template_share, confirmed): licence paragraphs of all documents."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, limit=4)
 
@@ -73,6 +78,7 @@ QUERIES = {
         op2_url_models,
         op3_spaced_seeds,
         op4_toxicity,
+        op5_license_paragraphs,
         op6_simhash,
         op7_reply_trees,
         op8_length_buckets,
