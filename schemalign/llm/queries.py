@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemalign.llm import chat, lattice, licenses, packing, simhash, spaced_seeds, token_files, toxicity, url_filter
+from schemalign.llm import chat, language_id, lattice, licenses, packing, simhash, spaced_seeds, token_files, toxicity, url_filter
 from schemalign.operators.settle import shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,6 +71,12 @@ def op9_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path)
 
 
+def op10_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, language, probability, text_language) of all pages."""
+    found = language_id.identify(language_id.page_evidence(_table(spark, sf_dir, "pages")), markup=True)
+    return found.withColumnRenamed("key", "page_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +89,7 @@ QUERIES = {
         op7_reply_trees,
         op8_length_buckets,
         op9_addressable_codes,
+        op10_language_evidence,
     )
 }
 
