@@ -63,6 +63,15 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.insert_if_absent(_old(spark, sf_dir), _new(spark, sf_dir))
 
 
+def insert_two_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with two values: what is inserted is one of the new rows, not a mixture."""
+
+    def valued(df: DataFrame) -> DataFrame:
+        return df.withColumn("clerk", F.when(F.col("description") == "F", "a").when(F.col("description") == "O", "z"))
+
+    return d.insert_if_absent(valued(_old(spark, sf_dir)), valued(_new(spark, sf_dir)).withColumn("description", F.reverse("clerk")))
+
+
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.upsert(_old(spark, sf_dir), _updates(spark, sf_dir), ["src", "target"], ["description"])
 
@@ -130,7 +139,8 @@ def filter_targets_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deletable_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.deletable_sources(_parts(spark, sf_dir))
+    without = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("src"), F.lit(None).cast("string").alias("target"))
+    return d.deletable_sources(_parts(spark, sf_dir).unionByName(without))
 
 
 _ONE_EACH = "SELECT src, target, min(coalesce(description, '')) AS v FROM ({}) GROUP BY src, target"
@@ -141,6 +151,7 @@ FROM ({_ONE_EACH.format(OLD_SQL)}) o FULL JOIN ({_ONE_EACH.format(NEW_SQL)}) n U
 
 QUERIES = {
     "insert_if_absent": insert_if_absent,
+    "insert_two_values": insert_two_values,
     "upsert": upsert,
     "delete_keys": delete_keys,
     "delete_sources": delete_sources,
@@ -162,6 +173,13 @@ ORACLES = {
     "insert_if_absent": f"""
 WITH o AS ({OLD_SQL}), n AS ({NEW_SQL}) SELECT * FROM o UNION ALL
 SELECT src, target, min(description) FROM n WHERE (src, target) NOT IN (SELECT (src, target) FROM o) GROUP BY src, target""",
+    "insert_two_values": f"""
+WITH clerks AS (SELECT 'F' AS description, 'a' AS clerk UNION ALL SELECT 'O', 'z'),
+o AS (SELECT src, target, description, clerk FROM ({OLD_SQL}) LEFT JOIN clerks USING (description)),
+n AS (SELECT src, target, clerk AS description, clerk FROM ({NEW_SQL}) LEFT JOIN clerks USING (description))
+SELECT * FROM o UNION ALL
+SELECT * FROM (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY src, target ORDER BY description NULLS LAST, clerk NULLS LAST) = 1)
+WHERE (src, target) NOT IN (SELECT (src, target) FROM o)""",
     "upsert": f"""
 WITH o AS ({OLD_SQL}), u AS ({UPDATES_SQL})
 SELECT o.src, o.target, CASE WHEN u.src IS NULL THEN o.description ELSE u.description END AS description
@@ -192,5 +210,7 @@ FROM ({PARTS_SQL} UNION ALL SELECT description, target FROM ({NEW_SQL}))""",
     "search_src": f"SELECT * FROM ({PARTS_SQL}) WHERE regexp_matches(src, '(?i)^(RED|s.*l) .*(in|DG)')",
     "filter_targets": f"SELECT * FROM ({PARTS_SQL}) WHERE target IN ('ECONOMY', 'PROMO', 'absent')",
     "filter_targets_listed": f"SELECT * FROM ({PARTS_SQL}) WHERE target LIKE '%M%'",
-    "deletable_sources": f"SELECT DISTINCT src FROM ({PARTS_SQL}) WHERE src <> target ORDER BY src",
+    "deletable_sources": f"""
+SELECT DISTINCT src FROM ({PARTS_SQL} UNION ALL SELECT s_name, NULL FROM supplier) WHERE src IS DISTINCT FROM target AND src IS NOT NULL
+ORDER BY src""",
 }

@@ -105,11 +105,13 @@ def valid_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.duplicate_targets(_mapping(spark, sf_dir)).withColumn("columns", F.array_join("columns", ", "))
+    return m.duplicate_targets(_mapping(spark, sf_dir))
 
 
 def also_mapped_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.also_mapped_by(_mapping(spark, sf_dir)).withColumn("others", F.array_join("others", ", "))
+    """Asked for the first column of every file and target."""
+    mapping = _mapping(spark, sf_dir)
+    return m.also_mapped_by(mapping, mapping.groupBy("source_id", "target").agg(F.min("position").alias("position")))
 
 
 def mapping_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,9 +131,8 @@ def matches_above(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DUPLICATES_SQL = """
-, shared AS (SELECT source_id, target, position // 1000 AS block, src_col, position,
-                    count(*) OVER (PARTITION BY source_id, target) AS n_columns
-             FROM mapping WHERE target <> '(Ignored)')"""
+, shared AS (SELECT source_id, target, position, src_col, count(*) OVER (PARTITION BY source_id, target) AS n_columns
+             FROM mapping WHERE target <> '(Ignored)' QUALIFY n_columns > 1)"""
 
 # Match results with a score and a rank, made from the order lines.
 RESULTS_SQL = """
@@ -190,13 +191,13 @@ ORACLES = {
     "select_mapping": FOUND_SQL + "SELECT * FROM mapping",
     "valid_targets": f"SELECT * FROM ({SUGGESTIONS_SQL}) WHERE target IN ({TARGETS_SQL})",
     "duplicate_targets": FOUND_SQL + DUPLICATES_SQL + """
-SELECT source_id, target, block, any_value(n_columns) AS n_columns, string_agg(src_col, ', ' ORDER BY position) AS columns
-FROM shared WHERE n_columns > 1 GROUP BY source_id, target, block""",
+SELECT * FROM shared""",
     "also_mapped_by": FOUND_SQL + DUPLICATES_SQL + """
-SELECT s.source_id, s.src_col, s.target, s.n_columns - 1 AS n_others,
-       coalesce((SELECT string_agg(t.src_col, ', ' ORDER BY t.position) FROM shared t
-        WHERE t.source_id = s.source_id AND t.target = s.target AND t.block = s.block AND t.src_col <> s.src_col), '') AS others
-FROM shared s WHERE n_columns > 1""",
+, firsts AS (SELECT source_id, target, min(position) AS position FROM shared GROUP BY ALL)
+SELECT s.source_id, s.position, s.src_col, s.target, s.n_columns - 1 AS n_others,
+       o.position AS other_position, o.src_col AS other_col
+FROM shared s JOIN firsts USING (source_id, target, position) JOIN shared o ON o.source_id = s.source_id AND o.target = s.target
+WHERE o.position <> s.position""",
     "mapping_summary": FOUND_SQL + """, counts AS (SELECT source_id, target, count(*) AS n FROM mapping GROUP BY ALL)
 SELECT source_id, sum(CASE WHEN target <> '(Ignored)' THEN n ELSE 0 END)::BIGINT AS mapped,
        sum(CASE WHEN target = '(Ignored)' THEN n ELSE 0 END)::BIGINT AS ignored, sum(n)::BIGINT AS total,

@@ -33,8 +33,9 @@ def search_src(dictionary: DataFrame, term: str) -> DataFrame:
 
 
 def deletable_sources(dictionary: DataFrame) -> DataFrame:
-    """Source names with a mapping to something other than themselves, sorted."""
-    return dictionary.filter(F.col("src") != F.col("target")).select("src").distinct().orderBy("src")
+    """Source names with a mapping to something other than themselves, a missing target included, sorted."""
+    other = F.col("src").isNotNull() & ~F.col("src").eqNullSafe(F.col("target"))
+    return dictionary.filter(other).select("src").distinct().orderBy("src")
 
 
 def distinct_targets(dictionary: DataFrame) -> DataFrame:
@@ -73,9 +74,14 @@ def _checked(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def insert_if_absent(base: DataFrame, new: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """base and the new rows whose keys it lacks; of new rows with equal keys one is taken."""
+    """base and the new rows whose keys it lacks; of new rows with equal keys the least is taken, by its columns in order, nulls last."""
     rest = [c for c in new.columns if c not in keys]
-    one_each = new.groupBy(*keys).agg(*[F.min(c).alias(c) for c in rest]) if rest else new.select(*keys).distinct()
+    if rest:
+        nulls_last = [x for i, c in enumerate(rest) for x in (F.col(c).isNull().alias(f"_{i}"), F.col(c))]
+        least = F.col("_least")
+        one_each = new.groupBy(*keys).agg(F.min(F.struct(*nulls_last)).alias("_least")).select(*keys, *[least[c].alias(c) for c in rest])
+    else:
+        one_each = new.select(*keys).distinct()
     absent = one_each.join(base.select(*keys).distinct(), list(keys), "left_anti")
     return base.unionByName(absent.select(*new.columns), allowMissingColumns=True)
 

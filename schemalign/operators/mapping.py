@@ -18,13 +18,10 @@ from schemalign.plans.field_match import SCORES, field_match
 MAPPING_THRESHOLD = 0.3
 MATCH_THRESHOLD = 0.1
 
-# Lists are given per block of this many columns of a file; ordinary files have one block.
-BLOCK_COLUMNS = 1000
 
-
-def auto_map(columns: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """The best match of every column, as suggestions."""
-    best = field_match(columns, dictionary, 1, MATCH_THRESHOLD, input_col="src_col")
+def auto_map(columns: DataFrame, dictionary: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
+    """The best match of every column that scores at least the threshold, as suggestions."""
+    best = field_match(columns, dictionary, 1, threshold, input_col="src_col")
     return best.select(
         "source_id", "position", F.col("src_col").alias("input_field"), F.col("target_field").alias("target"),
         F.col("combined_score").alias("score"), F.col("src_field").alias("src_match"),
@@ -74,34 +71,28 @@ def _chosen(mapping: DataFrame) -> DataFrame:
 
 
 def duplicate_targets(mapping: DataFrame) -> DataFrame:
-    """Targets chosen by more than one column of a file, with the columns in file order.
+    """Columns that share their target with others of their file: (source_id, target, position, src_col, n_columns).
 
-    (source_id, target, block, columns, n_columns): a list holds the columns of one block of the file, so that no
-    list grows with the data; n_columns counts them all.
+    One row per column, so a target chosen by any number of columns is told in full without a list that grows with it.
     """
-    chosen = _chosen(mapping)
-    listed = chosen.groupBy("source_id", "target", F.floor(F.col("position") / BLOCK_COLUMNS).alias("block")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("position", "src_col"))), lambda c: c["src_col"]).alias("columns")
-    )
-    shared = chosen.groupBy("source_id", "target").agg(F.count(F.lit(1)).alias("n_columns")).filter("n_columns > 1")
-    return listed.join(shared, ["source_id", "target"])
+    chosen = _chosen(mapping).select("source_id", "target", "position", "src_col")
+    counts = chosen.groupBy("source_id", "target").agg(F.count(F.lit(1)).alias("rows"))
+    shared = counts.filter("rows > 1").select("source_id", "target", F.col("rows").alias("n_columns"))
+    keys = ["source_id", "target"]
+    return skew.salted_lookup(chosen, shared, keys, "inner", counts=counts).select(*chosen.columns, "n_columns")
 
 
-def also_mapped_by(mapping: DataFrame, listed_up_to: int = 100) -> DataFrame:
-    """Every column sharing its target: how many others do, and their names.
+def also_mapped_by(mapping: DataFrame, asked: DataFrame) -> DataFrame:
+    """For the columns asked for, (source_id, position), the other columns that have their target.
 
-    Names are repeated on each row only in groups of at most listed_up_to columns, as the output would grow with the
-    square of the group; a larger group's names are in duplicate_targets.
+    (source_id, position, src_col, target, n_others, other_position, other_col): one row per column asked for and other
+    column, so the result grows with what is asked, not with the square of a target's columns.
     """
-    return (
-        duplicate_targets(mapping)
-        .select("source_id", "target", "n_columns", "columns", F.explode("columns").alias("src_col"))
-        .select(
-            "source_id", "src_col", "target", (F.col("n_columns") - 1).alias("n_others"),
-            F.when(
-                F.col("n_columns") <= listed_up_to, F.filter("columns", lambda c: c != F.col("src_col"))
-            ).alias("others"),
-        )
+    shared = duplicate_targets(mapping)
+    wanted = shared.join(asked.select("source_id", "position").distinct(), ["source_id", "position"])
+    others = shared.select("source_id", "target", F.col("position").alias("other_position"), F.col("src_col").alias("other_col"))
+    return wanted.join(others, ["source_id", "target"]).filter("position <> other_position").select(
+        "source_id", "position", "src_col", "target", (F.col("n_columns") - 1).alias("n_others"), "other_position", "other_col"
     )
 
 

@@ -19,7 +19,7 @@ def parse_name_list(df: DataFrame, text_col: str, manual: Sequence[str] = (), id
 
     (id_col, pos, input_field), pos counting from 0 before repeats are dropped.
     """
-    lines = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
     names = F.concat(lines, F.array(*[F.lit(m) for m in manual]).cast("array<string>"))
     return (
         df.select(id_col, F.posexplode(names).alias("pos", "input_field"))

@@ -95,3 +95,14 @@ def test_stats(spark):
     assert tuple(d.dictionary_stats(base).first()) == (4, 2, 3)
     assert tuple(d.dictionary_stats(base.limit(0)).first()) == (0, 0, 0)
     assert rows(d.deletable_sources(base.unionByName(spark.createDataFrame([("B", "B", None)], SCHEMA)))) == [("a",), ("b",)]
+
+
+def test_inserted_rows_are_given_ones(spark):
+    base = spark.createDataFrame([], "src string, target string, x string, y string")
+    new = spark.createDataFrame([("k", "K", "a", "z"), ("k", "K", "b", "y")], base.schema)
+    assert [tuple(r) for r in d.insert_if_absent(base, new).collect()] == [("k", "K", "a", "z")]
+
+
+def test_sources_without_target_can_be_deleted(spark):
+    rows = spark.createDataFrame([("a", None), ("b", "b"), (None, "c")], "src string, target string")
+    assert [r["src"] for r in d.deletable_sources(rows).collect()] == ["a"]

@@ -36,8 +36,9 @@ def test_duplicates_and_gate(spark):
         ],
         MAPPING,
     )
-    assert [tuple(r) for r in m.duplicate_targets(mapping).collect()] == [("f", "X", 0, ["a", "b"], 2)]
-    assert sorted(tuple(r) for r in m.also_mapped_by(mapping).collect()) == [("f", "a", "X", 1, ["b"]), ("f", "b", "X", 1, ["a"])]
+    assert sorted(tuple(r) for r in m.duplicate_targets(mapping).collect()) == [("f", "X", 0, "a", 2), ("f", "X", 1, "b", 2)]
+    others = sorted(tuple(r) for r in m.also_mapped_by(mapping, mapping).collect())
+    assert others == [("f", 0, "a", "X", 1, 1, "b"), ("f", 1, "b", "X", 1, 0, "a")]
     summary = {r["source_id"]: tuple(r)[1:] for r in m.mapping_summary(mapping).collect()}
     assert summary == {"f": (2, 2, 4, 1, False), "g": (1, 1, 2, 0, True), "h": (0, 1, 1, 0, False)}
     assert {(r["source_id"], tuple(r["positions"].items())) for r in layouts(mapping).collect()} == {
@@ -47,11 +48,13 @@ def test_duplicates_and_gate(spark):
     assert counts == {("f", "Mapped", 2), ("f", "Ignored", 2), ("g", "Mapped", 1), ("g", "Ignored", 1), ("h", "Ignored", 1)}
 
 
-def test_wide_files_are_listed_in_blocks(spark):
+def test_wide_files_are_told_in_full(spark):
     mapping = spark.range(2500).selectExpr("'f' AS source_id", "CAST(id AS int) AS position", "concat('c', id) AS src_col", "'X' AS target")
-    got = sorted((r["block"], len(r["columns"]), r["n_columns"]) for r in m.duplicate_targets(mapping).collect())
-    assert got == [(0, 1000, 2500), (1, 1000, 2500), (2, 500, 2500)]
-    assert m.also_mapped_by(mapping).filter("others IS NULL AND n_others = 2499").count() == 2500
+    got = m.duplicate_targets(mapping).collect()
+    assert len(got) == 2500 and {r["n_columns"] for r in got} == {2500}
+    others = m.also_mapped_by(mapping, mapping.filter("position = 999")).collect()
+    assert sorted(r["other_position"] for r in others) == [k for k in range(2500) if k != 999]
+    assert {r["n_others"] for r in others} == {2499}
 
 
 def test_answer(spark):
@@ -68,7 +71,7 @@ def test_answer(spark):
     assert got == {("f", "q", "A", 0.9, "LLM"), ("f", "r", "B", 0.5, "LLM"), ("j", "Q", "B", 0.5, "LLM")}
     status = {r["source_id"]: r["status"] for r in a.response_status(responses).collect()}
     assert status == {
-        "f": "ok", "g": "No JSON found", "h": "Failed to parse JSON", "i": "No response from LLM", "j": "ok"
+        "f": "ok", "g": "no_json", "h": "bad_json", "i": "no_response", "j": "ok"
     }
     columns = spark.createDataFrame([("j", 0, "q")], COLUMNS)
     folded = m.select_mapping(columns, a.resolve_responses(responses, targets), targets).first()
@@ -85,6 +88,32 @@ def test_prompts(spark):
     assert [r["source_id"] for r in a.resolve_responses(answered, targets).collect()] == ["f"]
 
 
+def test_of_repeated_members_the_last_counts(spark):
+    responses = spark.createDataFrame([("f", '{"a":"1","b":"2","a":"2"}'), ("g", '{"a":"1"}')], "source_id string, response string")
+    got = sorted(tuple(r) for r in a.parse_mapping(responses).collect())
+    assert got == [("f", 0, "a", "2", 0.5), ("f", 1, "b", "2", 0.5), ("g", 0, "a", "1", 0.5)]
+    targets = spark.createDataFrame([("1",), ("2",)], "target string")
+    assert [(r["source_id"], r["input_field"]) for r in a.resolve_responses(responses, targets).orderBy("source_id").collect()] == [("f", "a"), ("g", "a")]
+
+
+def test_blocks_keep_the_order_of_answers(spark):
+    responses = spark.createDataFrame([("f", 1, '{"z":"T"}'), ("f", 0, '{"y":"N", "zz":"T"}')], "source_id string, block long, response string")
+    targets = spark.createDataFrame([("T",)], "target string")
+    assert [r["input_field"] for r in a.resolve_responses(responses, targets).collect()] == ["zz"]
+
+
+def test_a_failing_call_leaves_the_others(spark):
+    prompts = spark.createDataFrame([("f", 0, "ok"), ("g", 0, "bad"), ("h", 0, "none")], "source_id string, block long, prompt string")
+
+    def answer(prompt):
+        if prompt == "bad":
+            raise RuntimeError("down")
+        return "fine" if prompt == "ok" else None
+
+    got = sorted((r["source_id"], r["response"], r["error"]) for r in a.complete(prompts, answer).collect())
+    assert got == [("f", "fine", None), ("g", None, "RuntimeError: down"), ("h", None, None)]
+
+
 def test_unknown_placeholder(spark):
     import pytest
 
