@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from queries.books import workbook_bytes
 from queries.common import fresh_folder, table
 from schemalign.functions import text
 from schemalign.operators import conform as c
 from schemalign.plans.map_files import map_files as run_map_files
-from schemalign.sources import delimited, tables
+from schemalign.sources import delimited, tables, workbook
 from schemalign.streaming.landing import land_stream as run_land_stream
 
 TARGETS = ["Account Name", "Account No.", "Nation/Key?", "Segment", "Unused Field"]
@@ -142,10 +144,35 @@ FROM customer UNION ALL SELECT s_name, s_suppkey::VARCHAR, s_nationkey::VARCHAR,
 
 
 def write_conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written and read back by path, as the place for managed tables is the caller's."""
+    """The table's rows, and as one more row what the writer told about them."""
     folder = fresh_folder(spark)
-    conform_lineitem(spark, sf_dir).write.parquet(folder)
-    return spark.read.parquet(folder)
+    name = f"conformed_{folder.rsplit('/', 1)[-1]}"
+    told = tables.write_conformed(conform_lineitem(spark, sf_dir), name, [t for _, t in LINE_MAPPING], folder)
+    written = spark.table(name)
+    numbers = [f"rows {told.rows}", f"mapped {told.mapped_columns}", f"null {told.null_columns}"]
+    said = spark.range(1).select(*[F.lit(x).alias(c) for c, x in zip(written.columns, [*numbers, None, None, None], strict=True)])
+    return written.unionByName(said)
+
+
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored dictionary, together with that of a table that is not there."""
+    folder = fresh_folder(spark)
+    name = f"dictionary_{folder.rsplit('/', 1)[-1]}"
+    part = table(spark, sf_dir, "part").select(F.col("p_name").alias("src"), F.col("p_type").alias("target"), F.col("p_brand").alias("description"))
+    part.withColumn("extra", F.lit(1)).write.option("path", folder).saveAsTable(name)
+    return tables.dictionary(spark, name).unionByName(tables.dictionary(spark, f"{name}_absent"))
+
+
+def read_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as workbooks, one per nation, made in tasks and read back."""
+    customers = table(spark, sf_dir, "customer").withColumn("c_custkey", F.col("c_custkey").cast("string"))
+    kinds = {"c_custkey": "number", "c_name": "shared", "c_mktsegment": "inline"}
+    books = customers.groupBy(F.col("c_nationkey").cast("string").alias("path")).applyInPandas(
+        lambda key, rows: pd.DataFrame({"path": [f"{key[0]}.xlsx"], "content": [workbook_bytes(rows, kinds)]}), "path string, content binary"
+    )
+    files, rows = workbook.sheets_of(books)
+    named = rows.join(files.select("source_id", "columns"), "source_id")
+    return named.select("source_id", F.array_join("columns", "~").alias("header"), F.array_join("values", "~", "?").alias("fields"))
 
 
 LINES_SQL = """
@@ -189,6 +216,8 @@ QUERIES = {
     "read_dictionary": read_dictionary,
     "map_files": map_files,
     "write_conformed": write_conformed,
+    "dictionary": dictionary,
+    "read_workbook": read_workbook,
     "land_stream": land_stream,
 }
 ORACLES = {
@@ -222,6 +251,11 @@ FROM (SELECT page_id, regexp_replace(regexp_replace(url, '\.[^.]*$', ''), '[^a-z
 SELECT p_name AS src, p_type AS target, 'say "' || p_brand || '", once, or' || chr(10) || 'twice' AS description
 FROM part WHERE p_size > 3""",
     "map_files": MAP_FILES_SQL,
-    "write_conformed": LINES_SQL,
+    "write_conformed": "WITH t AS (" + LINES_SQL + """)
+SELECT * FROM t UNION ALL SELECT 'rows ' || count(*), 'mapped 5', 'null 1', NULL, NULL, NULL FROM t""",
+    "dictionary": "SELECT p_name AS src, p_type AS target, p_brand AS description FROM part",
+    "read_workbook": """
+SELECT c_nationkey || '.xlsx' AS source_id, 'c_custkey~c_name~c_mktsegment' AS header,
+       c_custkey || '~' || c_name || '~' || c_mktsegment AS fields FROM customer""",
     "land_stream": CONFORM_CUSTOMER_SQL,
 }

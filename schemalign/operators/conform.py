@@ -44,35 +44,54 @@ def first_sources(mapping: Sequence[tuple[str, str]]) -> dict[str, str]:
     return chosen
 
 
+def target_columns(targets: Sequence[str]) -> list[str]:
+    """The targets sorted, each once; none, or two that differ in case only, are an error."""
+    ordered = sorted(set(targets))
+    if not ordered:
+        raise ValueError("no target fields")
+    folded: dict[str, str] = {}
+    for target in ordered:
+        if folded.setdefault(target.lower(), target) != target:
+            raise ValueError(f"targets differ in case only: {folded[target.lower()]}, {target}")
+    return ordered
+
+
 def conform(
     df: DataFrame, mapping: Sequence[tuple[str, str]], targets: Sequence[str], missing: Sequence[str] = MISSING
 ) -> DataFrame:
-    """One layout: a single projection onto the sorted targets, without any shuffle."""
+    """One layout: a single projection onto the sorted targets, without any shuffle.
+
+    Columns are addressed by position, so names that differ in case only are told apart; of several columns with one
+    name the first counts. Targets that differ in case only cannot stand in one table and are refused.
+    """
     sources = first_sources(mapping)
-    if not targets:
-        raise ValueError("no target fields")
     if not sources:
         raise ValueError("no columns mapped")
+    ordered = target_columns(targets)
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    place = {name: i for i, name in reversed(list(enumerate(df.columns)))}
 
     def column(target: str) -> Column:
-        source = sources.get(target)
-        if source is None or source not in df.columns:
+        at = place.get(sources.get(target))
+        if at is None:
             return F.lit(None).cast("string").alias(target)
-        return clean_tokens(F.col(quoted(source)).cast("string"), missing).alias(target)
+        return clean_tokens(F.col(f"c{at}").cast("string"), missing).alias(target)
+
+    return numbered.select(*[column(target) for target in ordered])
 
-    return df.select(*[column(target) for target in sorted(set(targets))])
 
+def layouts(mapping: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """(source_id, positions): for each of the sorted targets the position of the first column mapped to it, or NULL.
 
-def layouts(mapping: DataFrame) -> DataFrame:
-    """(source_id, positions): target -> position of the first column mapped to it. One small row per source."""
+    One row per source with something mapped to a target.
+    """
     first = (
-        mapping.filter(F.col("target") != text.IGNORED)
+        mapping.filter(F.col("target").isin(list(targets)) & (F.col("target") != text.IGNORED))
         .groupBy("source_id", "target")
-        .agg(F.min("position").alias("position"))
-    )
-    return first.groupBy("source_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("target", "position"))).alias("positions")
+        .agg(F.min("position").cast("int").alias("position"))
     )
+    by_target = first.groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("target", "position"))).alias("m"))
+    return by_target.select("source_id", F.transform(F.array(*map(F.lit, targets)), lambda t: F.try_element_at("m", t)).alias("positions"))
 
 
 def conform_many(
@@ -83,22 +102,20 @@ def conform_many(
 
     The layouts are settled first: they decide what becomes of the data and are a small fraction of it. While they are
     few they are broadcast and the rows do not move; beyond that, rows of one huge source spread over many tasks, each
-    with a copy of its layout.
+    with a copy of its layout. A layout holds one number per target, so a cell is found without a search.
     """
-    settled = settle(layouts(mapping))
-    size = settled.agg(
-        F.coalesce(F.sum(F.length("source_id") + 50 * F.size("positions")), F.lit(0)).alias("estimate")
-    ).first()
-    if size["estimate"] <= BROADCAST_LAYOUTS:
+    ordered = target_columns(targets)
+    settled = settle(layouts(mapping, ordered))
+    size = settled.agg(F.coalesce(F.sum(F.octet_length("source_id") + 8 * F.size("positions") + 64), F.lit(0)).alias("bytes")).first()
+    if size["bytes"] <= BROADCAST_LAYOUTS:
         laid_out = rows.join(F.broadcast(settled), "source_id")
     else:
-        laid_out = skew.spread_lookup(rows, settled, ["source_id"], "inner")
+        laid_out = skew.salted_lookup(rows, settled, ["source_id"], "inner")
 
-    def column(target: str) -> Column:
-        position = F.try_element_at("positions", F.lit(target))
-        return clean_tokens(F.get("values", position), missing).alias(target)
+    def column(at: int, target: str) -> Column:
+        return clean_tokens(F.get("values", F.get("positions", F.lit(at))), missing).alias(target)
 
-    return laid_out.select(*keep, *[column(target) for target in sorted(set(targets))])
+    return laid_out.select(*keep, *[column(at, target) for at, target in enumerate(ordered)])
 
 
 def preview(df: DataFrame, n: int, rename: Sequence[tuple[str, str]] | None = None) -> DataFrame:

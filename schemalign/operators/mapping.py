@@ -50,7 +50,7 @@ def suggestion_for(columns: DataFrame, suggestions: DataFrame) -> DataFrame:
 
 def valid_targets(df: DataFrame, targets: DataFrame) -> DataFrame:
     """The rows whose target is one of the known targets."""
-    return skew.spread_lookup(df, targets.select("target").distinct(), ["target"], "left_semi").select(*df.columns)
+    return skew.salted_lookup(df, targets.select("target").distinct(), ["target"], "left_semi").select(*df.columns)
 
 
 def select_mapping(
@@ -58,7 +58,7 @@ def select_mapping(
 ) -> DataFrame:
     """The mapping: the suggested target if it is a known one and scores at least the threshold, else '(Ignored)'."""
     known = targets.select("target").distinct().withColumn("known", F.lit(True))
-    suggested = skew.spread_lookup(suggestion_for(columns, suggestions), known, ["target"], "left")
+    suggested = skew.salted_lookup(suggestion_for(columns, suggestions), known, ["target"], "left")
     accepted = F.col("known") & (F.col("score") >= threshold)
     return suggested.select(
         "source_id", "position", "src_col", F.when(accepted, F.col("target")).otherwise(F.lit(text.IGNORED)).alias("target"),

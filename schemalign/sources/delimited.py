@@ -7,6 +7,8 @@ fields in file order, so that files with different headers are read together: on
 from __future__ import annotations
 
 import csv
+import io
+import re
 from collections.abc import Sequence
 from urllib.parse import unquote
 
@@ -15,7 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from schemalign.operators.conform import BROADCAST_LAYOUTS
 from schemalign.operators.settle import settle
+from schemalign.operators.skew import salted_lookup
 
 DELIMITERS = ("\t", "|", ",")
 
@@ -28,24 +32,28 @@ def delimiter_of(first_line: Column) -> Column:
 
 
 def distinct_headers(names: Sequence[str]) -> list[str]:
-    """Headers made distinct: repeats get .1, .2 and so on, empty ones a name from their position."""
-    seen: dict[str, int] = {}
-    result: list[str] = []
-    for at, name in enumerate(names):
-        base = name if name else f"Unnamed: {at}"
-        name, nth = base, seen.get(base, 0)
-        while name in seen:
-            nth += 1
-            name = f"{base}.{nth}"
-        seen[base] = nth
-        seen.setdefault(name, 0)
-        result.append(name)
+    """Headers made distinct: the first of equal names keeps it, later ones get the next of .1, .2 ... that no header
+    has; empty ones are named by their position first."""
+    given = [name if name else f"Unnamed: {at}" for at, name in enumerate(names)]
+    taken, result = set(given), []
+    used: dict[str, int] = {}
+    for name in given:
+        if name not in used:
+            used[name] = 0
+            result.append(name)
+            continue
+        while f"{name}.{used[name] + 1}" in taken:
+            used[name] += 1
+        used[name] += 1
+        result.append(f"{name}.{used[name]}")
+        taken.add(result[-1])
     return result
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def header_names(line: pd.Series, delimiter: pd.Series) -> pd.Series:
-    parsed = (next(csv.reader([text], delimiter=sep), []) for text, sep in zip(line, delimiter, strict=True))
+def header_names(text: pd.Series, delimiter: pd.Series) -> pd.Series:
+    """The names in the first record of each text, which may run over line ends inside quotes."""
+    parsed = (next(csv.reader(io.StringIO(t, newline=""), delimiter=sep), []) for t, sep in zip(text, delimiter, strict=True))
     return pd.Series([distinct_headers(names) for names in parsed])
 
 
@@ -53,7 +61,8 @@ def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(source_id, delimiter, columns, spans_lines) per file.
 
     Delimiter and columns come from its first line; spans_lines says whether a line has an odd number of quotes, so
-    that a field may run over a line end. Each task sends one row per file.
+    that a field may run over a line end. Each task sends one row per file. Files whose header itself runs over a line
+    end are opened once more for it, by name.
     """
     lines = spark.read.text(_listed(paths))
     odd_quotes = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
@@ -61,11 +70,27 @@ def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         lines.select(F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_block_start").alias("at"), "value")
         .withColumn("nth", F.monotonically_increasing_id())
         .groupBy("source_id")
-        .agg(F.min_by("value", F.struct("at", "nth")).alias("line"), F.bool_or(odd_quotes).alias("spans_lines"))
-        .withColumn("line", F.regexp_replace("line", r"^\x{FEFF}|\r$", ""))
-        .withColumn("delimiter", delimiter_of(F.col("line")))
+        .agg(
+            F.min_by(F.struct("value", odd_quotes.alias("open")), F.struct("at", "nth")).alias("line"),
+            F.bool_or(odd_quotes).alias("spans_lines"),
+        )
+        .select(
+            "source_id", F.regexp_replace("line.value", r"^\x{FEFF}|\r$", "").alias("text"), "line.open", "spans_lines"
+        )
+        .withColumn("delimiter", delimiter_of(F.col("text")))
     )
-    return first.select("source_id", "delimiter", header_names("line", "delimiter").alias("columns"), "spans_lines")
+    first = settle(first)
+    opened = [unquote(r["source_id"]) for r in first.filter("open").select("source_id").toLocalIterator()]
+    if opened:
+        whole = spark.read.text([_literal(p) for p in opened], wholetext=True)
+        whole = whole.select(F.col("_metadata.file_path").alias("source_id"), F.regexp_replace("value", r"^\x{FEFF}", "").alias("whole"))
+        first = first.join(whole, "source_id", "left").withColumn("text", F.coalesce("whole", "text"))
+    return first.select("source_id", "delimiter", header_names("text", "delimiter").alias("columns"), "spans_lines")
+
+
+def _literal(path: str) -> str:
+    """A path as it is, where patterns are understood."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def _listed(paths: str | Sequence[str]) -> list[str]:
@@ -90,10 +115,11 @@ def read_rows(
 
 
 def read_delimited(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """files and rows of all files under the paths.
+    """files and rows of all files under the paths; every row has the fields its file's header names, NULL where missing.
 
     Which files go together and their widest header decide the plan, so one short row per kind of file comes to the
-    driver, and file names where there are several kinds; the data does not. All values stay text as written.
+    driver, and file names, which the file listing holds anyway, where there are several kinds; the data does not. All
+    values stay text as written. A row with more fields than its header fails the job and names the file.
     """
     files = settle(list_files(spark, paths))
     kinds = files.groupBy("delimiter", "spans_lines").agg(F.max(F.size("columns")).alias("width")).collect()
@@ -102,10 +128,22 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str]) -> tuple[Dat
         members = _listed(paths)
         if len(kinds) > 1:
             same = files.filter((F.col("delimiter") == kind["delimiter"]) & (F.col("spans_lines") == kind["spans_lines"]))
-            members = [unquote(r["source_id"]) for r in same.select("source_id").toLocalIterator()]
-        part = read_rows(spark, members, kind["delimiter"], max(kind["width"], 1), kind["spans_lines"])
+            members = [_literal(unquote(r["source_id"])) for r in same.select("source_id").toLocalIterator()]
+        part = read_rows(spark, members, kind["delimiter"], kind["width"] + 1, kind["spans_lines"])
         rows = rows.unionByName(part)
-    return files, rows
+    return files, _fitted(rows, files.select("source_id", F.size("columns").alias("width")))
+
+
+def _fitted(rows: DataFrame, widths: DataFrame) -> DataFrame:
+    """rows cut to the width of their file; a field beyond it is an error."""
+    size = widths.agg(F.coalesce(F.sum(F.octet_length("source_id") + 64), F.lit(0)).alias("bytes")).first()
+    if size["bytes"] <= BROADCAST_LAYOUTS:
+        known = rows.join(F.broadcast(widths), "source_id")
+    else:
+        known = salted_lookup(rows, widths, ["source_id"], "inner")
+    beyond = F.exists(F.slice("values", F.col("width") + 1, F.greatest(F.size("values") - F.col("width"), F.lit(0))), lambda v: v.isNotNull())
+    stop = F.raise_error(F.concat(F.lit("a row has more fields than the header of "), "source_id")).cast("array<string>")
+    return known.select("source_id", F.when(beyond, stop).otherwise(F.slice("values", F.lit(1), F.col("width"))).alias("values"))
 
 
 def as_table(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -25,18 +26,23 @@ def dictionary(spark: SparkSession, name: str) -> DataFrame:
         return spark.createDataFrame([], DICTIONARY_SCHEMA)
 
 
-def write_conformed(df: DataFrame, table: str, mapped_targets: Sequence[str]) -> str:
-    """Create or replace the table with all target columns and say what was written.
+class Written(NamedTuple):
+    table: str
+    rows: int
+    mapped_columns: int
+    null_columns: int
+
+
+def write_conformed(df: DataFrame, table: str, mapped_targets: Sequence[str], path: str | None = None) -> Written:
+    """Create or replace the table with all target columns, at a path if one is given, and tell what was written.
 
     Rows are counted while they are written, not in a second pass.
     """
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").saveAsTable(table)
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
     mapped = len(set(mapped_targets) & set(df.columns))
-    return (
-        f"Successfully created table {table} with {seen.get['rows']} rows "
-        f"({mapped} mapped columns, {len(df.columns) - mapped} NULL columns)"
-    )
+    return Written(table, seen.get["rows"], mapped, len(df.columns) - mapped)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -23,6 +23,13 @@ def test_conform(spark):
         c.conform(df, mapping, [])
 
 
+def test_columns_that_differ_in_case_only(spark):
+    df = spark.createDataFrame([("1", "2", "3")], "Dob string, dob string, x string")
+    assert tuple(c.conform(df, [("Dob", "A"), ("dob", "B")], ["A", "B"]).first()) == ("1", "2")
+    with pytest.raises(ValueError, match="case only"):
+        c.conform(df, [("Dob", "A")], ["A", "a"])
+
+
 def test_conform_many_both_ways(spark, monkeypatch):
     rows = spark.createDataFrame([("f", ["1", "x"]), ("g", ["y", "2", "3"]), ("h", ["z"])], "source_id string, values array<string>")
     mapping = spark.createDataFrame(
@@ -36,7 +43,8 @@ def test_conform_many_both_ways(spark, monkeypatch):
 
 
 def test_headers():
-    assert delimited.distinct_headers(["A", "a", "A", "", "A.1", "A"]) == ["A", "a", "A.1", "Unnamed: 3", "A.1.1", "A.2"]
+    assert delimited.distinct_headers(["A", "a", "A", "", "A.1", "A"]) == ["A", "a", "A.2", "Unnamed: 3", "A.1", "A.3"]
+    assert delimited.distinct_headers(["A", "A", "A.1"]) == ["A", "A.2", "A.1"]
 
 
 def test_delimited(spark, tmp_path):
@@ -58,6 +66,20 @@ def test_delimited(spark, tmp_path):
     assert named.columns == ["n", "m,k"]
 
 
+def test_headers_over_lines_odd_names_and_long_rows(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "r[1].csv").write_text('"a\nx",b\n1,2\n')
+    (folder / "r{2}.csv").write_text("n|m\n3|4\n5\n")
+    (folder / "wide.csv").write_text("a,b,c,d\n1,2,3,4\n")
+    files, rows = delimited.read_delimited(spark, str(folder))
+    assert sorted(r["columns"] for r in files.collect()) == [["a", "b", "c", "d"], ["a\nx", "b"], ["n", "m"]]
+    assert sorted((r["values"] for r in rows.collect()), key=repr) == [["1", "2", "3", "4"], ["1", "2"], ["3", "4"], ["5", None]]
+    (folder / "long.csv").write_text("a,b\n3,4,5\n")
+    with pytest.raises(Exception, match="more fields than the header"):
+        delimited.read_delimited(spark, str(folder))[1].collect()
+
+
 def test_map_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Order Date,TOT_PRC,junk zzz\n2024-01-01,007,1\nnan,8,2\n")
     (tmp_path / "b.txt").write_text("total-price|Order_Dt\n9|x\n")
@@ -93,11 +115,22 @@ def test_workbook(spark, tmp_path):
             book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>Name</t></si><si><r><t>Al</t></r><r><t>ice</t></r></si></sst>')
             book.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
             book.writestr("xl/worksheets/s.xml", SHEET)
+    (tmp_path / "notes.txt").write_text("not a workbook")
     files, rows = workbook.read_workbook(spark, str(tmp_path))
     assert [r["columns"] for r in files.collect()] == [["Name", "Amount", "Unnamed: 2", "Name.1"]] * 2
     assert sorted((r["values"] for r in rows.collect()), key=repr) == [["Alice", "12.5", "2024-01-01", "True"]] * 2 + [[None, "7"]] * 2
 
 
+def test_moments_and_readings():
+    day = workbook.datetime(1904, 1, 1)
+    assert workbook._as_moment("0", "date", day) == "1904-01-01"
+    assert workbook._as_moment("0.5", "time", day) == "12:00:00"
+    assert workbook._as_moment("45292.25", "date", workbook.datetime(1899, 12, 30)) == "2024-01-01 06:00:00"
+    main = workbook.MAIN[1:-1]
+    si = workbook.ElementTree.fromstring(f'<si xmlns="{main}"><r><t>a</t></r><t>b</t><rPh><t>x</t></rPh></si>')
+    assert sorted(workbook._plain(si)) == ["a", "b"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source, out, mapping, targets = tmp_path / "in", str(tmp_path / "out"), [("a.b", "X"), ("c", "Y")], ["X", "Y", "Z"]
     source.mkdir()
@@ -125,9 +158,7 @@ def test_tables(spark, tmp_path):
     missing = tables.dictionary(spark, "no_such_table")
     assert missing.columns == ["src", "target", "description"] and missing.count() == 0
     conformed = c.conform(dictionary, [("src", "Name")], ["Name", "Other"])
-    assert tables.write_conformed(conformed, "conformed_out", ["Name"]) == (
-        "Successfully created table conformed_out with 2 rows (1 mapped columns, 1 NULL columns)"
-    )
+    assert tables.write_conformed(conformed, "conformed_out", ["Name"]) == ("conformed_out", 2, 1, 1)
     assert spark.table("conformed_out").count() == 2
 
 
