@@ -22,6 +22,7 @@ from schemalign.functions.sequence import sequence_ratio
 from schemalign.operators import names, tfidf
 from schemalign.operators.lexicon import lookup_target
 from schemalign.plans.field_match import field_match
+from schemalign.plans.field_match import field_match_names as match_names
 
 TYPE_OF_NAME = "SELECT p_name AS src, max(p_type) AS target FROM part GROUP BY p_name"
 
@@ -182,6 +183,50 @@ NAMES_SQL = (
 )
 
 
+def _numbered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Names of one word each, alike in their characters only: the nations against all customers."""
+    inputs = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("customer"), "n_nationkey", F.lit("x")).alias("input_field"))
+    dictionary = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("customer"), "c_custkey").alias("src"), F.col("c_mktsegment").alias("target")
+    )
+    return inputs, dictionary
+
+
+def field_match_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At the default threshold; from sf0.1 on the dictionary is beyond what is broadcast."""
+    return field_match(*_numbered(spark, sf_dir))
+
+
+def field_match_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field_match(*_numbered(spark, sf_dir), broadcast_keys=0)
+
+
+def field_match_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The call with a list of names."""
+    _, dictionary = _numbered(spark, sf_dir)
+    names = [r["n_name"] for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").collect()]
+    return match_names(spark, [n.lower().replace("nation_", "customer") for n in names], dictionary, 2, 0.3)
+
+
+CHARACTERS_SQL = (
+    match_sql(
+        "SELECT n_nationkey, 'customer' || n_nationkey || 'x' AS input_field FROM nation",
+        "SELECT 'customer' || c_custkey AS src, c_mktsegment AS target FROM customer",
+        "n_nationkey", 3, 0.1, 14,
+    )
+    + "SELECT * FROM matches"
+)
+
+LIST_SQL = (
+    match_sql(
+        "SELECT replace(lower(n_name), 'nation_', 'customer') AS input_field, n_nationkey FROM nation",
+        "SELECT 'customer' || c_custkey AS src, c_mktsegment AS target FROM customer",
+        "n_nationkey", 2, 0.3, 14,
+    )
+    + "SELECT * EXCLUDE (n_nationkey) FROM matches"
+)
+
+
 def lookup_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     asked = part.select("p_partkey", F.when(F.col("p_size") < 25, F.col("p_name")).otherwise(F.upper("p_name")).alias("src"))
@@ -203,6 +248,9 @@ QUERIES = {
     "tfidf_cosine": tfidf_cosine,
     "field_match_top3": field_match_top3,
     "field_match_names": field_match_names,
+    "field_match_characters": field_match_characters,
+    "field_match_shuffled": field_match_shuffled,
+    "field_match_list": field_match_list,
     "lookup_target": lookup_targets,
 }
 ORACLES = {
@@ -215,5 +263,8 @@ ORACLES = {
     "tfidf_cosine": COSINE_SQL,
     "field_match_top3": TOP3_SQL,
     "field_match_names": NAMES_SQL,
+    "field_match_characters": CHARACTERS_SQL,
+    "field_match_shuffled": CHARACTERS_SQL,
+    "field_match_list": LIST_SQL,
     "lookup_target": LOOKUP_SQL,
 }

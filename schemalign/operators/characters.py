@@ -1,15 +1,11 @@
 """Pairs of names that are alike in their characters only: the candidates for a score made of the sequence ratio alone.
 
 Two names of sequence ratio r share at least r(|a|+|b|)/2 characters, counted with repeats, and the shorter has at
-least r/(2-r) of the longer one's length. Both ways below give exactly the pairs within these bounds.
+least r/(2-r) of the longer one's length. What is below gives exactly the pairs within these bounds, each once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,74 +15,53 @@ from schemalign.operators import probes, skew
 # Character combinations are built for names up to this length; longer ones meet by length class.
 SHORT_NAME = 64
 
-# English letters from rare to common, then digits and separators; only the number of candidates depends on it.
-RARE_TO_COMMON = "zqxjkvbpygfwmucldrhsnioate0123456789 _"
-
-# Characters are counted in this many classes by code point: like characters share a class, and unlike ones in the
-# same class only raise the bound.
-CLASSES = 64
-
-# Cells of one comparison block: inputs x source names x classes.
-BLOCK_CELLS = 20_000_000
+# Characters of the dictionary that get a place in the order from rare to common; others come first. Only the number of
+# candidates depends on it.
+ORDERED_CHARACTERS = 2000
 
 
-def _counts(names: list[str]) -> np.ndarray:
-    """How often each class of characters occurs in each name."""
-    codes = (np.frombuffer(name.encode("utf-32-le"), dtype=np.uint32) % CLASSES for name in names)
-    return np.stack([np.bincount(code, minlength=CLASSES).astype(np.int32) for code in codes])
+def rare_to_common(sources: DataFrame) -> str:
+    """The characters of the source names, those in few names first."""
+    characters = sources.select(F.explode(F.array_distinct(F.split("key", ""))).alias("ch")).filter("ch <> ''")
+    counts = characters.groupBy("ch").agg(F.count(F.lit(1)).alias("names"))
+    frequent = counts.orderBy(F.col("names").desc(), "ch").limit(ORDERED_CHARACTERS).collect()
+    return "".join(r["ch"] for r in reversed(frequent))
 
 
-def pairs_by_counts(keys: DataFrame, known: list[str], ratio: float) -> DataFrame:
-    """(key) x a short list of source names -> (a, b) within the bounds.
+def pairs_by_index(keys: DataFrame, sources: DataFrame, ratio: float, rows_per_task: int) -> DataFrame:
+    """(key), (key) -> (a, b) within the bounds, by an equi-join on character probes of both sides.
 
-    The list, of checked size, goes to every task; a task compares the character counts of its inputs with those of
-    the whole list in blocks of numbers and gives only the pairs within the bounds.
+    A pair that meets at several probes is kept at one: at its two rarest shared tokens, at its only shared one, or at
+    the length class if one of the names is long.
     """
-    known = [name for name in known if name]
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = np.array(known, dtype=object)
-        counts, lengths = _counts(known), np.array([len(name) for name in known])
-        step = max(BLOCK_CELLS // (len(known) * CLASSES), 1)
-        for batch in batches:
-            asked = [key for key in batch["key"] if key]
-            for at in range(0, len(asked), step):
-                block = asked[at : at + step]
-                size = np.array([len(key) for key in block])[:, None] + lengths[None, :]
-                shared = np.minimum(_counts(block)[:, None, :], counts[None, :, :]).sum(axis=2)
-                left, right = np.nonzero(2 * shared >= ratio * size - 1e-9)
-                if len(left):
-                    yield pd.DataFrame({"a": np.array(block, dtype=object)[left], "b": names[right]})
-
-    if not known:
-        return keys.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-    return keys.select("key").mapInPandas(compare, "a string, b string")
-
-
-def pairs_by_index(keys: DataFrame, sources: DataFrame, ratio: float, rows_per_task: int) -> DataFrame:
-    """(key), (key) -> (a, b) within the bounds, by an equi-join on character probes of both sides."""
+    order = rare_to_common(sources)
 
     def probed(side: DataFrame, name: str, indexed: bool) -> DataFrame:
-        toks = side.filter(F.col("key") != "").select("key", character_tokens("key").alias("toks"))
+        toks = side.filter(F.col("key") != "").select("key", character_tokens("key", order).alias("toks"))
         every = F.expr(character_probes("key", "toks", ratio, indexed))
-        return toks.select(F.explode(every).alias("probe"), F.col("key").alias(name))
+        return toks.select(F.explode(every).alias("probe"), F.col("key").alias(name), F.expr(_prefix("key", "toks", ratio)).alias(f"toks_{name}"))
 
     met = skew.salted_grid_join(probed(keys, "a", False), probed(sources, "b", True), "probe", rows_per_task)
     similar = F.expr(
         f"least(length(a), length(b)) >= {_length_ratio(ratio)}D * greatest(length(a), length(b)) - 1e-9D"
     )
+    shared = F.array_intersect("toks_a", "toks_b")
+    rarest = F.concat(F.get(shared, F.lit(0)), F.coalesce(F.get(shared, F.lit(1)), F.lit("")))
+    by_length = F.col("toks_a").isNull() | F.col("toks_b").isNull()
+    here = F.when(F.startswith("probe", F.lit("l:")), by_length).otherwise(F.col("probe") == F.concat(F.lit("q:"), rarest))
     enough = text.shared_characters("a", "b") >= F.expr(needed_characters("a", "b", ratio))
-    return met.filter(similar).select("a", "b").distinct().filter(enough)
+    return met.filter(similar).filter(here).select("a", "b").filter(enough)
 
 
-def character_tokens(key: str) -> Column:
-    """The characters of a short name numbered per kind, rarest first: 'anna' gives second n, second a, n, a.
+def character_tokens(key: str, order: str) -> Column:
+    """The characters of a short name numbered per kind, rarest first: 'anna' gives second n, n, second a, a.
 
-    As sets they overlap in exactly as many tokens as the names share characters. NULL for long names.
+    order has the characters from rare to common. As sets the tokens overlap in exactly as many as the names share
+    characters. NULL for long names.
     """
     nth = f"length(substring({key}, 1, i)) - length(replace(substring({key}, 1, i), substring({key}, i, 1), ''))"
-    rank = f"instr('{RARE_TO_COMMON}', substring({key}, i, 1))"
-    token = f"concat(lpad(99 - ({nth}), 2, '0'), lpad({rank}, 2, '0'), substring({key}, i, 1))"
+    rank = f"instr('{order}', substring({key}, i, 1))"
+    token = f"concat(lpad({rank}, 4, '0'), lpad(99 - ({nth}), 2, '0'), substring({key}, i, 1))"
     tokens = f"sort_array(transform(sequence(1, length({key})), i -> {token}))"
     return F.expr(f"if(length({key}) BETWEEN 1 AND {SHORT_NAME}, {tokens}, NULL)")
 
@@ -101,6 +76,12 @@ def _length_ratio(ratio: float) -> float:
     return ratio / (2 - ratio)
 
 
+def _prefix(key: str, toks: str, ratio: float) -> str:
+    """The tokens of a name among which those it shares with an alike one begin."""
+    size = f"length({key})"
+    return f"slice({toks}, 1, {size} - CAST(ceil({_length_ratio(ratio)}D * {size} - 1e-9D) AS int) + 2)"
+
+
 def character_probes(key: str, toks: str, ratio: float, indexed: bool) -> str:
     """Probes of kinds q and l: two names of sequence ratio >= ratio (0 < ratio < 1) have one in common.
 
@@ -111,7 +92,7 @@ def character_probes(key: str, toks: str, ratio: float, indexed: bool) -> str:
     """
     none = "cast(array() AS array<string>)"
     shrink, size = _length_ratio(ratio), f"length({key})"
-    prefix = f"slice({toks}, 1, {size} - CAST(ceil({shrink}D * {size} - 1e-9D) AS int) + 2)"
+    prefix = _prefix(key, toks, ratio)
     pairs = f"flatten(transform({prefix}, (x, i) -> transform(slice({prefix}, i + 2, {size}), y -> concat(x, y))))"
     singles = f"if({size} < {2 / ratio}D, {toks}, {none})"
     length_class = f"CAST(floor(ln({size}) / -ln({shrink}D)) AS int)"

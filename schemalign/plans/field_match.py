@@ -158,14 +158,15 @@ def match_keys(
     # The sequence ratio a pair needs when it has nothing else to offer; none can have it from 1 on.
     ratio = max(min_threshold, 1e-6) / share
     if ratio < 1 - _SLACK:
+        # With top_n pairs above what characters alone can give, an input needs no such pair.
+        pairs = settle(pairs)
+        sure = _combined(F.lit(0.0), facts.has_terms) >= share
+        done = pairs.groupBy(F.col("a").alias("key")).agg(F.count_if(sure).alias("n")).filter(F.col("n") >= top_n)
+        open_keys = keys.join(done.select("key"), "key", "left_anti")
+        alike = characters.pairs_by_index(open_keys, known.select("key"), ratio, rows_per_task)
+        alike = alike.filter(_share_characters_only())
         rows = known.select(F.col("key").alias("b"), "rows")
-        if small:
-            names = [r["key"] for r in known.select("key").collect()]
-            alike = characters.pairs_by_counts(keys, names, ratio).filter(_share_characters_only())
-            alike = alike.join(F.broadcast(rows), "b")
-        else:
-            alike = characters.pairs_by_index(keys, known.select("key"), ratio, rows_per_task)
-            alike = skew.salted_lookup(alike.filter(_share_characters_only()), rows, ["b"], "inner", rows_per_task)
+        alike = alike.join(F.broadcast(rows), "b") if small else skew.salted_lookup(alike, rows, ["b"], "inner", rows_per_task)
         nothing = {name: F.lit(0.0) for name in ("exact", "inside", "overlap", "tfidf")}
         pairs = pairs.unionByName(alike.withColumns(nothing))
     hopeful = _can_be_among_best(pairs, facts.has_terms, share, top_n, min_threshold, math.ceil(facts.keys / rows_per_task))
@@ -236,6 +237,11 @@ def _share_characters_only() -> Column:
     )
 
 
+def _combined(sequence: Column, fitted: bool) -> Column:
+    basic = text.basic_score(F.col("exact"), F.col("inside"), sequence, F.col("overlap"))
+    return text.combined_score(basic, F.col("tfidf"), F.lit(fitted))
+
+
 def _can_be_among_best(
     pairs: DataFrame, fitted: bool, share: float, top_n: int, min_threshold: float, parts: int
 ) -> DataFrame:
@@ -252,17 +258,13 @@ def _can_be_among_best(
     )
     most = F.when(total > 0, 2 * text.shared_characters("a", "b") / total).otherwise(F.lit(1.0))
 
-    def score(sequence: Column) -> Column:
-        basic = text.basic_score(F.col("exact"), F.col("inside"), sequence, F.col("overlap"))
-        return text.combined_score(basic, F.col("tfidf"), F.lit(fitted))
-
     part = [] if parts == 1 else [F.pmod(F.xxhash64("b"), F.lit(parts))]
     best_first = Window.partitionBy("a", *part).orderBy(F.col("sure").desc())
     so_far = best_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bounded = (
         pairs.withColumn("known", known)
-        .withColumn("sure", score(F.coalesce("known", F.lit(0.0))))
-        .withColumn("most", score(F.coalesce("known", most)))
+        .withColumn("sure", _combined(F.coalesce("known", F.lit(0.0)), fitted))
+        .withColumn("most", _combined(F.coalesce("known", most), fitted))
         .filter(F.col("most") >= min_threshold - _SLACK)
     )
     nth = F.nth_value("sure", top_n).over(so_far)
@@ -276,10 +278,9 @@ def _can_be_among_best(
 def _scored(pairs: DataFrame, fitted: bool, min_threshold: float) -> DataFrame:
     unknown = lambda side: F.when(F.col("known").isNull(), F.col(side))
     sequence = F.coalesce("known", sequence_ratio(unknown("a"), unknown("b")))
-    basic = text.basic_score(F.col("exact"), F.col("inside"), F.col("sequence"), F.col("overlap"))
     return (
         pairs.withColumn("sequence", sequence)
-        .withColumn("combined", text.combined_score(basic, F.col("tfidf"), F.lit(fitted)))
+        .withColumn("combined", _combined(F.col("sequence"), fitted))
         .filter(F.col("combined") >= min_threshold)
     )
 

@@ -31,7 +31,7 @@ def map_files(
     """
     columns = columns_of(files)
     targets = distinct_targets(dictionary)
-    mapping = settle(select_mapping(columns, auto_map(columns, dictionary), targets, threshold))
+    mapping = settle(select_mapping(columns, auto_map(columns, dictionary, threshold), targets, threshold))
     summary = mapping_summary(mapping)
     ready = mapping.join(summary.filter("ready").select("source_id"), "source_id", "left_semi")
     names = [r["target"] for r in targets.collect()]
