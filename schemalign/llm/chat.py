@@ -80,6 +80,8 @@ def chains(conversations: DataFrame) -> DataFrame:
 def _climb(steps: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Self-joins that double the height: tables of (tree_id, msg_id, up), up being 2**k replies higher, and totals.
 
+    Only messages that have not reached their root are joined again, so long conversations do not burden short ones.
+
     totals: (tree_id, msg_id, score) of messages that reach a root, with the scores of the whole path added up. A message
     in a circle of replies, or below one, has none.
     """
@@ -91,11 +93,10 @@ def _climb(steps: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             return heights, state.filter("up IS NULL").select("tree_id", "msg_id", "score")
         heights.append(higher.select("tree_id", "msg_id", "up"))
         above = state.select("tree_id", F.col("msg_id").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"))
-        state = settle(
-            state.join(above, ["tree_id", "up"], "left").select(
-                "tree_id", "msg_id", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")
-            )
+        risen = higher.join(above, ["tree_id", "up"]).select(
+            "tree_id", "msg_id", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score")
         )
+        state = settle(risen.unionByName(state.filter("up IS NULL")))
 
 
 def chosen_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
