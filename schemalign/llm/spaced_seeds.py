@@ -87,11 +87,12 @@ def _items(benchmark: DataFrame) -> DataFrame:
 def _filter_bits(seeds: DataFrame) -> tuple[int, np.ndarray]:
     """A bit field with three bits set for every seed: (number of bits, 64-bit words).
 
-    It has 16 to 32 bits a seed up to MOST_FILTER_BITS (16 MB); beyond that it lets more through, which costs time and
-    loses nothing, as every seed it passes is joined exactly.
+    It has 512 to 1024 bits a seed up to MOST_FILTER_BITS (16 MB), so about one position in some millions passes by
+    chance; beyond that it lets more through, which costs time and loses nothing, as every seed it passes is joined
+    exactly.
     """
     n = seeds.count()
-    bits = min(MOST_FILTER_BITS, 1 << max(16, (16 * n).bit_length()))
+    bits = min(MOST_FILTER_BITS, 1 << max(16, (512 * n).bit_length()))
     place = F.explode(F.array(*[F.shiftrightunsigned("hash", s).bitwiseAND(F.lit(bits - 1)) for s in _PLACES]))
     places = seeds.select(place.alias("p"))
     rows = (
