@@ -34,6 +34,7 @@ WINDOW = 6
 PRIOR = np.array([-4.0, 8.0, 1.0, 5.0])
 
 _OPEN, _CLOSE = "\"'“„«‹‘‚", "\"'”“»›’‘"
+_CLOSING = frozenset(_CLOSE)
 _STRIP = string.punctuation + "“”„«»‹›‘’‚…–—¿¡"
 
 
@@ -148,14 +149,30 @@ class Matcher:
         return found
 
 
+def _opens(token: str) -> bool:
+    return token[0] in _OPEN
+
+
+def _closes(token: str) -> bool:
+    return len(token) > 1 and token.rstrip(".,;:!?")[-1:] in _CLOSING
+
+
 def quoted(tokens: list[str], at: int) -> bool:
-    """Whether quotation marks open at or before the word and close at or after it, within the window."""
-    before, after = tokens[max(0, at - WINDOW) : at + 1], tokens[at : at + WINDOW + 1]
-    opened = next((True for t in reversed(before) if t[0] in _OPEN), False)
-    closed = next((True for t in after if t.rstrip(".,;:!?")[-1:] in _CLOSE), False)
-    last_close = next((k for k, t in enumerate(reversed(before[:-1])) if t.rstrip(".,;:!?")[-1:] in _CLOSE and t[-1] not in _OPEN), 99)
-    last_open = next((k for k, t in enumerate(reversed(before)) if t[0] in _OPEN), 99)
-    return opened and closed and last_open <= last_close + 1
+    """Whether the word stands inside quotation marks that open and close within the window around it."""
+    inside = False
+    for token in tokens[max(0, at - WINDOW) : at]:
+        if all(c in _OPEN or c in _CLOSE for c in token):
+            inside = not inside
+        else:
+            inside = (inside or _opens(token)) and not _closes(token)
+    if not inside and not _opens(tokens[at]):
+        return False
+    for k, token in enumerate(tokens[at : at + WINDOW + 1]):
+        if _closes(token) or all(c in _CLOSE for c in token):
+            return True
+        if k and _opens(token):
+            return False
+    return False
 
 
 def evidence(text: str | None, matcher: Matcher) -> tuple[float, float, float]:

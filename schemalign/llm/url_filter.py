@@ -83,7 +83,7 @@ def _log_ratios(grams: DataFrame) -> DataFrame:
 
         def likely(k: str) -> Column:
             seen = F.col(f"n_{k}") + F.col(f"kinds_{k}")
-            mixed = (F.col(k) + F.col(f"kinds_{k}") * F.col(f"p_{k}")) / seen
+            mixed = F.try_divide(F.col(k) + F.col(f"kinds_{k}") * F.col(f"p_{k}"), seen)
             return F.when(seen > 0, mixed).otherwise(F.col(f"p_{k}"))
 
         shorter = joined.select(F.col("g").alias("tail"), *[likely(k).alias(f"p_{k}") for k in ("allowed", "blocked")])
@@ -109,12 +109,13 @@ def _threshold(scores: DataFrame) -> Column:
     """One row (threshold) of (score, allowed, blocked), each text counted as often as it occurs."""
     kinds = {}
     for k in ("allowed", "blocked"):
-        n, mean = F.sum(k), F.sum(F.col(k) * F.col("score")) / F.sum(k)
-        square = F.sum(F.col(k) * F.col("score") * F.col("score")) / n
+        n = F.sum(k)
+        mean = F.try_divide(F.sum(F.col(k) * F.col("score")), n)
+        square = F.try_divide(F.sum(F.col(k) * F.col("score") * F.col("score")), n)
         kinds[k] = (mean, F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))))
     (low, low_spread), (high, high_spread) = kinds["allowed"], kinds["blocked"]
     spread = low_spread + high_spread
-    between = F.when(spread > 0, (low * high_spread + high * low_spread) / spread).otherwise((low + high) / 2)
+    between = F.when(spread > 0, F.try_divide(low * high_spread + high * low_spread, spread)).otherwise((low + high) / 2)
     return F.round(between, 9)
 
 

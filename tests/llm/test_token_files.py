@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,13 +28,16 @@ def test_every_id_is_read_alone(ids):
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from(" \n\t \x1cab'sé1.<|>") , max_size=30))
 def test_words_are_encoded_as_in_whole_texts(text):
+    texts = [text, "plain words", text + "x", "", text.strip()]
     encoder = token_files.encoder(PATH)
-    assert encoder.encode([text]) == encoder._plain([text])
+    ids, sizes = encoder.encode(pa.array(texts))
+    assert [x.tobytes() for x in np.split(ids, np.cumsum(sizes))[:-1]] == encoder._plain(texts)
 
 
 def test_other_tokenizers_encode_whole_texts():
     encoder = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
-    assert not encoder.by_word and encoder.encode(["A b  c"]) == encoder._plain(["A b  c"])
+    ids, sizes = encoder.encode(pa.array(["A b  c", None]))
+    assert not encoder.by_word and ids.tobytes() == encoder._plain(["A b  c"])[0] and sizes.tolist() == [len(ids), 0]
 
 
 def test_files(spark, rows, tmp_path):
