@@ -124,8 +124,8 @@ SELECT p_partkey, round_even(seq, 4) AS sequence_score FROM pairs JOIN ratios US
 
 def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(text.normalize_name(F.col("text")).alias("key"))
-    counted = docs.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    return tfidf.cap_vocabulary(tfidf.fit_terms(counted)).select("term", "tf", "df", "n_docs", F.bround("idf", 6).alias("idf"))
+    every = docs.withColumn("copies", F.lit(1).cast("bigint"))
+    return tfidf.cap_vocabulary(tfidf.fit_terms(every)).select("term", "tf", "df", "n_docs", F.bround("idf", 6).alias("idf"))
 
 
 TERMS_SQL = f"""

@@ -89,7 +89,8 @@ def insert_if_absent(base: DataFrame, new: DataFrame, keys: Sequence[str] = KEYS
 def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], set_cols: Sequence[str]) -> DataFrame:
     """Matched rows get the listed columns of the update, unmatched updates become rows.
 
-    Two updates for one key fail the job, as does a NULL key.
+    Two updates for one key fail the job, as does a NULL key. The base is counted by key once: that tells its heavy keys
+    and which updates are new.
     """
     twice = F.raise_error(F.concat(F.lit("several updates for "), F.concat_ws(", ", *keys))).cast("boolean")
     single = (
@@ -99,14 +100,15 @@ def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], set_cols: S
         .filter(F.when(F.col("_n") > 1, twice).otherwise(F.lit(True)))
         .drop("_n")
     )
-    matched = skew.salted_lookup(base, single.withColumn("_matched", F.lit(True)), keys, "left")
+    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    matched = skew.salted_lookup(base, single.withColumn("_matched", F.lit(True)), keys, "left", counts=counts)
     kept = matched.select(
         *[
             F.when(F.col("_matched"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in set_cols else F.col(c)
             for c in base.columns
         ]
     )
-    inserted = single.join(base.select(*keys).distinct(), list(keys), "left_anti").select(
+    inserted = single.join(counts.select(*keys), list(keys), "left_anti").select(
         *keys, *[F.col(f"_new_{c}").alias(c) for c in set_cols]
     )
     return kept.unionByName(inserted, allowMissingColumns=True)

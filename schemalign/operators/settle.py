@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
+_written: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a local session without one gets a folder of its own."""
@@ -30,4 +32,17 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/schemalign/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_settled(spark: SparkSession) -> int:
+    """Remove the files settled by this program so far, once the results made from them are written; how many there were.
+
+    DataFrames that still read them fail afterwards.
+    """
+    paths, _written[:] = _written[:], []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)

@@ -313,5 +313,9 @@ def _ranked(scored: DataFrame, top_n: int) -> DataFrame:
 def match_view(
     spark: SparkSession, inputs: str, dictionary: str, result: str, top_n: int = 3, min_threshold: float = 0.1
 ) -> None:
-    """For SQL users: a temporary view of the matches of a view of names (input_field and any other columns)."""
+    """For SQL users: a temporary view of the matches of a view of names (input_field and any other columns).
+
+    It shows the names and the dictionary as they are now; called again with the same names it shows them anew. A list
+    of names comes as a view, e.g. CREATE TEMP VIEW names AS SELECT explode(array('a', 'b')) AS input_field.
+    """
     field_match(spark.table(inputs), spark.table(dictionary), top_n, min_threshold).createOrReplaceTempView(result)

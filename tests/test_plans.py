@@ -62,3 +62,43 @@ def test_sparse_cosine_finds_every_pair(spark, least):
                 want[a, b] = pytest.approx(cosine)
     got = {(r["input_key"], r["src_key"]): r["cosine"] for r in tfidf.sparse_cosine(keys, keys, vocabulary, least, 11).collect()}
     assert got == want
+
+
+def test_settled_files_can_be_dropped(spark):
+    from pathlib import Path
+
+    from schemalign.operators import settle
+
+    held = settle._written[:]
+    settle._written.clear()
+    kept = settle.settle(spark.range(3))
+    path = Path(settle._written[0])
+    assert kept.count() == 3 and path.exists() and settle.drop_settled(spark) == 1 and not path.exists()
+    settle._written[:] = held
+
+
+def test_upsert_has_few_shuffles(spark):
+    from schemalign.operators import dictionary
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        base = spark.range(50).selectExpr("id % 7 AS k", "'x' AS v")
+        done = dictionary.upsert(base, spark.range(10).selectExpr("id AS k", "'y' AS v"), ["k"], ["v"])
+        done.collect()
+        text = plan(done)
+        final = text[: text.find("Initial Plan")] if "Initial Plan" in text else text
+        shuffles = [line for line in final.splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line and "BroadcastExchange" not in line]
+        assert len(shuffles) <= 6 and sorted(map(tuple, done.collect()))[-1] == (9, "y")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_match_view_shows_the_names_as_they_are(spark):
+    from schemalign.plans.field_match import match_view
+
+    spark.createDataFrame([("Order Date", "Date")], "src string, target string").createOrReplaceTempView("known_names")
+    for names, want in ((["order-date", "zzz"], ["order-date"]), (["Order date!"], ["Order date!"])):
+        listed = ", ".join(f"'{n}'" for n in names)
+        spark.sql(f"SELECT explode(array({listed})) AS input_field").createOrReplaceTempView("asked_names")
+        match_view(spark, "asked_names", "known_names", "found_names")
+        assert [r["input_field"] for r in spark.sql("SELECT * FROM found_names").collect()] == want
