@@ -94,6 +94,24 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_lattice_hashing": """
+    WITH RECURSIVE vectors AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    usable AS (
+      SELECT *, sqrt(list_dot_product(e, e)) AS size FROM vectors
+      WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x <> 0)) > 0
+        AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    links AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e)
+      WHERE a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.93
+    ),
+    reached AS (
+      SELECT vec_id AS v, vec_id AS r FROM vectors UNION SELECT reached.v, links.b FROM reached JOIN links ON reached.r = links.a
+    )
+    SELECT vec_id, n_links, component_id, vec_id = component_id AS kept
+    FROM vectors JOIN (SELECT v AS vec_id, min(r) AS component_id FROM reached GROUP BY v) USING (vec_id)
+    JOIN (SELECT vec_id, count(b) AS n_links FROM vectors LEFT JOIN links ON a = vec_id GROUP BY vec_id) USING (vec_id)
+    """,
     "op2_url_models": url_filter.oracle(),
     "op7_reply_trees": rf"""
     WITH turns AS (
