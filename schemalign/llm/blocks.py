@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from schemalign.operators.skew import salted_lookup
+from schemalign.llm.lookups import looked_up
+from schemalign.operators.settle import settle
 
 BLOCK_ROWS = 512
 
@@ -24,10 +25,10 @@ def in_cells(rows: DataFrame, keys: Sequence[str], member: str, block_rows: int
 
     A cell of two blocks has whole = False: only members of unlike side are to be compared there.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    counts = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
     parts = counts.select(*keys, F.ceil(F.col("rows") / block_rows).cast("int").alias("_parts"))
     met = (
-        salted_lookup(rows, parts, keys, "inner", counts=counts)
+        looked_up(rows, parts, keys, counts)
         .withColumn("_own", F.pmod(F.xxhash64(F.lit("block"), member), F.col("_parts")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     )

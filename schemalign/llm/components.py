@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from schemalign.llm.lookups import looked_up
 from schemalign.operators.settle import settle
-from schemalign.operators.skew import salted_lookup
 
 
 def _downhill(a: F.Column, b: F.Column) -> F.Column:
@@ -15,7 +15,7 @@ def _downhill(a: F.Column, b: F.Column) -> F.Column:
 
 def _lowest(links: DataFrame, own: str, other: str) -> tuple[DataFrame, DataFrame]:
     """(own, lowest): the smallest of each node and its neighbours; (own, rows): the number of its links."""
-    grouped = links.groupBy(own).agg(F.min(other).alias("least"), F.count(F.lit(1)).alias("rows"))
+    grouped = settle(links.groupBy(own).agg(F.min(other).alias("least"), F.count(F.lit(1)).alias("rows")))
     return grouped.select(own, F.least(own, "least").alias("lowest")), grouped.select(own, "rows")
 
 
@@ -43,14 +43,14 @@ def components(links: DataFrame) -> DataFrame:
         )
         lowest, rows = _lowest(both, "u", "v")
         large = (
-            salted_lookup(both, lowest, ["u"], "inner", counts=rows)
+            looked_up(both, lowest, ["u"], rows)
             .filter("v > u")
             .select(F.col("v").alias("high"), F.col("lowest").alias("low"))
             .distinct()
         )
         large = settle(large)
         lowest, rows = _lowest(large, "high", "low")
-        small = salted_lookup(large, lowest, ["high"], "inner", counts=rows).select(
+        small = looked_up(large, lowest, ["high"], rows).select(
             F.explode(F.array(F.struct("high", F.col("lowest").alias("low")), F.struct(F.col("low").alias("high"), F.col("lowest").alias("low")))).alias("l")
         )
         stars = settle(small.select("l.*").filter("high <> low").distinct())

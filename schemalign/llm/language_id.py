@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from schemalign.llm.lookups import looked_up, without
 from schemalign.llm.url_filter import host_and_path
 from schemalign.operators.settle import settle
-from schemalign.operators.skew import salted_lookup
 
 LANGUAGES = ("de", "en", "es", "fr")
 UNDETERMINED = "und"
@@ -109,21 +109,20 @@ def _likelihoods(rows: DataFrame, tables: np.ndarray, markup: bool) -> DataFrame
     return rows.mapInArrow(weigh, f"{kinds}, trigrams long, likely array<double>")
 
 
-def _tally(rows: DataFrame, by: str, n: int) -> DataFrame:
-    """(by) -> counts array: how many rows of each value say which language by their text."""
-    return rows.groupBy(by).agg(F.array(*[F.count_if(F.col("says") == k) for k in range(n)]).alias(f"{by}_counts"))
+def _tally(cells: DataFrame, by: list[str], name: str, n: int) -> DataFrame:
+    """(by, name array, rows): how many rows of each value say which language by their text, and how many there are."""
+    says = [F.sum(F.when(F.col("says") == k, F.col("rows")).otherwise(0)) for k in range(n)]
+    return cells.groupBy(*by).agg(F.array(*says).alias(name), F.sum("rows").alias("rows"))
 
 
-def _said_given_language(rows: DataFrame, by: str, total: list[int]) -> DataFrame:
-    """(by) -> log P(value | language) for each language, smoothed by one more row that has any value."""
-    n = len(total)
-    kinds = rows.select(by).distinct().count()
-    counted = _tally(rows, by, n)
+def _said_given_language(tally: DataFrame, by: str, total: list[int]) -> DataFrame:
+    """(by, told array): log P(value | language) for each language, smoothed by one more row that has any value."""
+    kinds = max(tally.count(), 1)
     chances = [
-        F.log((F.get(f"{by}_counts", F.lit(k)) + SAID_WEIGHT) / (F.lit(float(total[k])) + SAID_WEIGHT * max(kinds, 1)))
-        for k in range(n)
+        F.log((F.get("said", F.lit(k)) + SAID_WEIGHT) / (F.lit(float(total[k])) + SAID_WEIGHT * kinds))
+        for k in range(len(total))
     ]
-    return counted.select(by, F.array(*chances).alias(f"{by}_told"))
+    return tally.select(by, F.array(*chances).alias(f"{by}_told"))
 
 
 def _argmax(values: Column, n: int) -> Column:
@@ -146,21 +145,23 @@ def identify(
     known = rows.select("key", "text", *[F.coalesce(c, F.lit("")).alias(c) for c in ("declared", "suffix", "host", "domain")])
     read = settle(_likelihoods(known, tables, markup))
     rows = read.withColumn("says", F.when(F.col("trigrams") > 0, _argmax(F.col("likely"), n)))
-    total = list(rows.agg(*[F.count_if(F.col("says") == k) for k in range(n)]).first())
+    places = ["host", "domain"]
+    cells = settle(rows.groupBy(*places, "declared", "suffix", "says").agg(F.count(F.lit(1)).alias("rows")))
+    total = [r or 0 for r in cells.agg(*[F.sum(F.when(F.col("says") == k, F.col("rows"))) for k in range(n)]).first()]
     overall = [(t + 1) / (sum(total) + n) for t in total]
 
-    hosts = rows.groupBy("host", "domain").agg(F.count(F.lit(1)).alias("rows"), F.array(*[F.count_if(F.col("says") == k) for k in range(n)]).alias("host_counts"))
-    domains = _tally(rows, "domain", n)
-    by_host = hosts.join(domains, "domain")
+    hosts = settle(_tally(cells, places, "host_counts", n))
+    by_host = hosts.drop("rows").join(_tally(cells, ["domain"], "domain_counts", n).drop("rows"), "domain")
 
     def smoothed(counts: str, prior: list[Column], own: Column | None = None) -> list[Column]:
         held = [F.get(counts, F.lit(k)) - (0 if own is None else F.when(own == k, 1).otherwise(0)) for k in range(n)]
         size = sum(held[1:], held[0])
         return [(h + HOST_WEIGHT * p) / (size + HOST_WEIGHT) for h, p in zip(held, prior, strict=True)]
 
-    found = salted_lookup(rows, by_host.drop("rows"), ["host", "domain"], "inner", counts=hosts.select("host", "domain", "rows"))
+    found = looked_up(rows, by_host, places, hosts.select(*places, "rows"))
     for by in ("declared", "suffix"):
-        found = salted_lookup(found, _said_given_language(rows, by, total), [by], "inner")
+        tally = settle(_tally(cells, [by], "said", n))
+        found = looked_up(found, _said_given_language(tally, by, total), [by], tally.select(by, "rows"))
     prior = smoothed("host_counts", smoothed("domain_counts", [F.lit(p) for p in overall], F.col("says")), F.col("says"))
     weight = F.least(F.lit(1.0), F.lit(float(EFFECTIVE)) / F.greatest(F.col("trigrams"), F.lit(1)))
     told = [
@@ -216,4 +217,4 @@ def in_a_language(docs: DataFrame, languages: Sequence[str] = LANGUAGES) -> Data
     found = identify(document_evidence(docs), languages)
     rejected = settle(found.filter(F.col("language") == UNDETERMINED).select("key").distinct())
     rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"), _row_key(docs).alias("key"))
-    return rows.join(rejected, "key", "left_anti").select("doc.*")
+    return without(rows, rejected, "key").select("doc.*")

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from schemalign.llm.blocks import BLOCK_ROWS, in_cells, lowest_reachable, read_cells
 from schemalign.llm.components import components
+from schemalign.llm.lookups import looked_up
 from schemalign.operators.settle import settle
-from schemalign.operators.skew import salted_lookup
 
 TABLES = 4
 PROBES = 3
@@ -193,6 +193,6 @@ def near_duplicates(
     named = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
     lookup = members.join(named, "component").select(*kinds, "n_links", "component_id")
     counts = nodes.select(*kinds, F.col("copies").alias("rows"))
-    found = salted_lookup(usable, lookup, kinds, "inner", counts=counts).select("vec_id", "n_links", "component_id")
+    found = looked_up(usable, lookup, kinds, counts).select("vec_id", "n_links", "component_id")
     alone = own.filter("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

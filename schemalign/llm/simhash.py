@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from schemalign.llm.blocks import BLOCK_ROWS, in_cells, lowest_reachable, read_cells
 from schemalign.llm.components import components
+from schemalign.llm.lookups import among, looked_up, without
 from schemalign.operators.settle import settle
-from schemalign.operators.skew import salted_lookup
 
 SEED = 42
 
@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, limit: int = 4, block_row
     )
     named = members.groupBy("component").agg(F.min("lowest_id").alias("component_id"))
     lookup = members.select("bits", "component").join(named, "component").select("bits", "component_id")
-    found = salted_lookup(prints, lookup, ["bits"], "inner", counts=nodes.select("bits", "rows"))
+    found = looked_up(prints, lookup, ["bits"], nodes.select("bits", "rows"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -169,12 +169,13 @@ def one_per_group(docs: DataFrame, shingle: int = 4, limit: int = 4) -> DataFram
 
     Of rows that repeat such a doc_id one stays. Rows without doc_id stay, as nothing can name them.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"), shingle, limit)
-    stay = settle(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
-    kept = docs.join(stay.filter("rows = 1").select("doc_id"), "doc_id", "left_semi").unionByName(
-        docs.filter("doc_id IS NULL")
-    )
-    repeated = stay.filter("rows > 1").select("doc_id")
+    groups = near_duplicates(docs.select("doc_id", "text"), shingle, limit).filter("doc_id IS NOT NULL")
+    stays = F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")
+    by_id = settle(groups.groupBy("doc_id").agg(stays, F.count(F.lit(1)).alias("rows")))
+    gone = settle(by_id.filter("NOT stays").select("doc_id"))
+    kept = without(docs, gone, "doc_id")
+    repeated = settle(by_id.filter("stays AND rows > 1").select("doc_id"))
     if not repeated.isEmpty():
-        kept = kept.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        once = among(docs, repeated, "doc_id").dropDuplicates(["doc_id"])
+        kept = without(kept, repeated, "doc_id").unionByName(once)
     return kept.select(*docs.columns)

@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from schemalign.llm.lookups import looked_up, without
 from schemalign.operators.settle import settle
-from schemalign.operators.skew import salted_lookup
 
 MASKS = ("1110100111", "1101011011", "1011101101")
 SPAN = len(MASKS[0])
@@ -172,14 +172,14 @@ def overlaps(
         "row", F.col("h.hashes").alias("hash"), F.col("h.places").alias("place")
     )
     meant = seeds.groupBy("hash").agg(F.collect_set(F.struct("item_id", "at")).alias("of"))
-    met = salted_lookup(hits, meant, ["hash"], "inner").select("row", "place", F.explode("of").alias("o"))
+    met = looked_up(hits, meant, ["hash"]).select("row", "place", F.explode("of").alias("o"))
     diagonals = met.groupBy("row", F.col("o.item_id").alias("item_id")).agg(
         F.collect_set(F.col("place") - F.col("o.at")).alias("diagonals")
     )
     diagonals = settle(diagonals)
     items = seeds.groupBy("item_id").agg(F.first("words").alias("item_words"))
-    beside = salted_lookup(diagonals, items, ["item_id"], "inner")
-    pairs = salted_lookup(beside, marked.select("row", "words").dropDuplicates(["row"]), ["row"], "inner")
+    beside = looked_up(diagonals, items, ["item_id"])
+    pairs = beside.join(marked.select("row", "words").dropDuplicates(["row"]), "row")
 
     def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -206,4 +206,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, identity:
     """The rows of docs in which no item is found."""
     found = settle(overlaps(docs, benchmark, window, identity).select("row").distinct())
     rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"), _row_key(docs).alias("row"))
-    return rows.join(found, "row", "left_anti").select("doc.*")
+    return without(rows, found, "row").select("doc.*")

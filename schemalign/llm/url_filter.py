@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from schemalign.llm.lookups import looked_up
 from schemalign.operators.settle import settle
-from schemalign.operators.skew import salted_lookup
 
 # Fixed values: (host and path, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -101,7 +101,7 @@ def _scores(texts: DataFrame, ratios: DataFrame) -> DataFrame:
     if ratios.count() <= BROADCAST_GRAMS:  # rows of some 40 bytes
         met = each.join(F.broadcast(ratios), "gram")
     else:
-        met = salted_lookup(each, ratios, ["gram"], "inner")
+        met = looked_up(each, ratios, ["gram"])
     return met.groupBy("text").agg(F.round(F.avg("ratio"), 9).alias("score"))
 
 
@@ -133,14 +133,14 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFra
     verdict = F.coalesce(*[F.when(F.col("rule") == r, v) for r, v in rules], F.lit(None).cast("string"))
     marked = ruled.withColumn("ruled", verdict).withColumn("text", F.concat("host", "path"))
     kinds = {"allowed": "allow", "blocked": "block"}
-    texts = marked.groupBy("text").agg(*[F.count_if(F.col("ruled") == v).alias(k) for k, v in kinds.items()])
+    texts = marked.groupBy("text").agg(*[F.count_if(F.col("ruled") == v).alias(k) for k, v in kinds.items()], F.count(F.lit(1)).alias("rows"))
     texts = settle(texts)
     ratios = settle(_log_ratios(settle(_counts(texts))))
     scored = settle(texts.join(_scores(texts, ratios), "text"))
     threshold = scored.agg(_threshold(scored).alias("t")).first()["t"]
     worse = F.col("score") > F.lit(threshold) if threshold is not None else F.lit(False)
     learned = scored.select("text", F.when(worse, "block").otherwise("allow").alias("learned"))
-    done = salted_lookup(marked, learned, ["text"], "inner", counts=marked.groupBy("text").agg(F.count(F.lit(1)).alias("rows")))
+    done = looked_up(marked, learned, ["text"], texts.select("text", "rows"))
     return done.select("page_id", "host", "path", "rule", F.coalesce("ruled", "learned").alias("verdict"))
 
 
