@@ -32,7 +32,7 @@ EFFECTIVE = 200
 SMOOTHING = 0.5
 HOST_WEIGHT = 10.0
 SAID_WEIGHT = 1.0
-NOISE_SHARE = 1e-3
+NOISE_SHARE = 1e-8
 
 _TAGS = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.DOTALL | re.IGNORECASE)
 
