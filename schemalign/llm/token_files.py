@@ -17,12 +17,14 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
+import string
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,10 +34,13 @@ BLOCK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
 
 # Encoded words a task's process keeps, for speed only; others are encoded anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 800_000
+DOCS_AT_ONCE = 2048
 
-_IRREGULAR = re.compile(r"\s |^ | \s| $")
-_BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
+# A blank at an end of the text or beside other white space.
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_IRREGULAR = f"(?:{_SPACE} |^ | {_SPACE}| $)"
+_MARKS = frozenset(".,;:!?")
 
 SEGMENTS = "part int, segment int, n_docs int, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
 
@@ -100,17 +105,36 @@ class Segment:
         return values
 
 
-def _words(text: str) -> list[str]:
-    """The text cut before each single blank between two other characters; the pieces joined are the text."""
-    pieces = _BETWEEN_WORDS.split(text) if _IRREGULAR.search(text) else text.split(" ")
-    return [pieces[0], *[" " + p for p in pieces[1:]]]
+class _Kept(dict):
+    """Text -> its ids as bytes, made where missing; what was not asked for since the last but one clearing is dropped."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.older = make, {}
+
+    def __missing__(self, text: str) -> bytes:
+        if len(self) >= KEPT_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.make(text)
+        self[text] = ids
+        return ids
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones themselves, others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class Encoder:
     """Ids of texts by a tokenizer file.
 
     Byte-level vocabularies with their usual pattern cut before every blank between words whatever stands around it, so
-    there each distinct word is encoded once; with any other file whole texts are encoded.
+    there each distinct word is given to the tokenizer's cutter and model once; with any other file whole texts are
+    encoded.
     """
 
     def __init__(self, path: str):
@@ -127,29 +151,65 @@ class Encoder:
             and cutter.get("type") == "ByteLevel"
             and cutter.get("use_regex", True)
             and not cutter.get("add_prefix_space")
+            and parts["model"].get("type") == "BPE"
+            and all(t["special"] for t in parts.get("added_tokens", ()))
         )
-        self.known: dict[str, bytes] = {}
+        self.cut, self.find = self.tokenizer.pre_tokenizer, self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.pieces = _Kept(self._piece)
+        self.later = _Kept(self._after_blank)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian four-byte numbers."""
-        if not self.by_word:
-            return self._plain(texts)
-        done = []
-        for start in range(0, len(texts), 256):
-            words = [_words(t) for t in texts[start : start + 256]]
-            new = list(set().union(*words).difference(self.known))
-            if len(self.known) + len(new) > KEPT_WORDS:
-                rare, self.known = self.known, {}
-                rare.update(zip(new, self._plain(new), strict=True))
-                done += [b"".join(map(rare.__getitem__, w)) for w in words]
-                continue
-            self.known.update(zip(new, self._plain(new), strict=True))
-            done += [b"".join(map(self.known.__getitem__, w)) for w in words]
-        return done
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [token.id for token in self.find(piece)]).tobytes()
+
+    def _after_blank(self, word: str) -> bytes:
+        """Ids of a word with the blank before it; letters alone are one piece in any Unicode version."""
+        if word.isalpha():
+            if word.isascii():
+                return self._piece(self.letters[32] + word)
+            if max(word) < "\u0250":
+                return self._piece((" " + word).encode().decode("latin-1").translate(self.letters))
+        elif word[-1:] in _MARKS and word[:-1].isalpha() and max(word) < "\u0250":
+            return self.later[word[:-1]] + self.pieces[word[-1]]
+        return self._chunk(" " + word)
+
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join(self.pieces[piece] for piece, _ in self.cut.pre_tokenize_str(chunk))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each text). Nulls are empty texts."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False) if self.by_word else None
+        if odd is None or odd.any():
+            whole = np.ones(len(texts), bool) if odd is None else odd
+            plain = iter(self._plain(texts.filter(pa.array(whole)).to_pylist()))
+            ids, sizes = self._by_word(texts.filter(pa.array(~whole)))
+            regular = iter(np.split(ids, np.cumsum(sizes)[:-1]))
+            parts = [np.frombuffer(next(plain), "<u4") if w else next(regular) for w in whole]
+            return np.concatenate([np.zeros(0, np.uint32), *parts]), np.array([len(p) for p in parts], np.int64)
+        return self._by_word(texts)
+
+    def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts whose blanks all stand alone between two words: each distinct word is looked up once."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        split = pc.split_pattern(texts, " ")
+        starts = split.offsets.to_numpy()[:-1]
+        words = split.flatten()
+        coded = words.dictionary_encode()
+        place = coded.indices.to_numpy().astype(np.int64)
+        first = [self._chunk(w) for w in words.take(pa.array(starts)).to_pylist()]
+        table = [*map(self.later.__getitem__, coded.dictionary.to_pylist()), *first]
+        place[starts] = len(coded.dictionary) + np.arange(len(starts))
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        known = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(table), "<u4")))
+        ids = known.take(pa.array(place)).flatten().to_numpy()
+        return ids, np.add.reduceat(sizes[place], starts)
 
 
 @functools.lru_cache(maxsize=2)
@@ -158,34 +218,29 @@ def encoder(path: str) -> Encoder:
 
 
 def _segments(tokenizer_path: str, end_id: int, segment_tokens: int):
+    def segment(part: int, number: int, doc_ids: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        columns = [[part], [number], [len(sizes)], [len(ids)], [doc_ids.to_pylist()], [sizes], [pack(ids)]]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        names = [f.split()[0] for f in SEGMENTS.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        held: list[bytes] = []
-        doc_ids: list[int | None] = []
-        end = np.uint32(end_id).tobytes()
-
-        def segment() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
-            lengths = [len(x) // 4 for x in held]
-            columns = [[part], [number], [len(held)], [len(ids)], [doc_ids], [lengths], [pack(ids)]]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            names = [f.split()[0] for f in SEGMENTS.split(", ")]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, names)
-
-        tokens = 0
+        doc_ids, ids, sizes = pa.array([], pa.int64()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
         for batch in batches:
-            ids, texts = (batch.column(k).to_pylist() for k in (0, 1))
-            for at in range(0, len(ids), 256):
-                for doc_id, code in zip(ids[at : at + 256], encoder(tokenizer_path).encode([t or "" for t in texts[at : at + 256]]), strict=True):
-                    held.append(code + end)
-                    doc_ids.append(doc_id)
-                    tokens += len(code) // 4 + 1
-                    if tokens >= segment_tokens:
-                        yield segment()
-                        held, doc_ids, tokens, number = [], [], 0, number + 1
-        if held:
-            yield segment()
+            for at in range(0, len(batch), DOCS_AT_ONCE):
+                some = batch.slice(at, DOCS_AT_ONCE)
+                more, lengths = encoder(tokenizer_path).encode(some.column(1))
+                doc_ids = pa.concat_arrays([doc_ids, some.column(0)])
+                ids = np.concatenate([ids, np.insert(more, np.cumsum(lengths), end_id)])
+                sizes = np.concatenate([sizes, lengths + 1])
+                while len(ids) >= segment_tokens:
+                    n = int(np.searchsorted(np.cumsum(sizes), segment_tokens)) + 1
+                    tokens = int(sizes[:n].sum())
+                    yield segment(part, number, doc_ids[:n], ids[:tokens], sizes[:n])
+                    doc_ids, ids, sizes, number = doc_ids[n:], ids[tokens:], sizes[n:], number + 1
+        if len(sizes):
+            yield segment(part, number, doc_ids, ids, sizes)
 
     return write
 
@@ -211,7 +266,8 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes = Segment(row["payload"]).ids().astype("<u4")
             ends = np.cumsum(np.array(row["lengths"], np.int64))
             starts = ends - np.array(row["lengths"], np.int64)
-            sums = [zlib.crc32(codes[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
+            held = memoryview(codes)
+            sums = [zlib.crc32(held[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             n = len(sums)
             yield pa.RecordBatch.from_arrays(
                 [
