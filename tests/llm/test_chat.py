@@ -46,7 +46,7 @@ def test_best_branches(rows):
     df = rows(messages, schema).selectExpr("*", "1 AS rank", "2 AS up")
     known = {(m[0], m[1]): (m[3] or "", m[4] or "") for m in messages}
     want = {t: sorted(p, key=lambda x: (-x[0], x[1])) for t, p in plain_paths([m for m in messages if m[0] is not None]).items()}
-    for best in (1, 2, None):
+    for best in (2, None):
         got = {(r.tree_id, r.rank): (r.leaf_id, chat.read_turns(r.formatted)) for r in chat.format_conversations(df, best).collect()}
         assert got == {
             (t, k + 1): (leaf, [known[t, i] for i in path])
