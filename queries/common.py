@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def over_cores(df: DataFrame) -> DataFrame:
+    """Rows dealt out where a table has so few splits that most cores would wait; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fresh_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/queries/{uuid.uuid4().hex}"
 
