@@ -134,7 +134,7 @@ class Encoder:
 
     Byte-level vocabularies with their usual pattern cut before every blank between words whatever stands around it, so
     there each distinct word is given to the tokenizer's cutter and model once; with any other file whole texts are
-    encoded.
+    encoded, and so are texts that hold the content of an added token, as the library finds those before it cuts.
     """
 
     def __init__(self, path: str):
@@ -142,7 +142,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         cutter = parts.get("pre_tokenizer") or {}
@@ -154,6 +153,7 @@ class Encoder:
             and parts["model"].get("type") == "BPE"
             and all(t["special"] for t in parts.get("added_tokens", ()))
         )
+        self.added = [t["content"] for t in parts.get("added_tokens", ()) if t["content"]]
         self.cut, self.find = self.tokenizer.pre_tokenizer, self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.pieces = _Kept(self._piece)
@@ -180,12 +180,20 @@ class Encoder:
     def _chunk(self, chunk: str) -> bytes:
         return b"".join(self.pieces[piece] for piece, _ in self.cut.pre_tokenize_str(chunk))
 
+    def _whole(self, texts: pa.Array) -> np.ndarray:
+        """Which texts must be encoded whole."""
+        if not self.by_word:
+            return np.ones(len(texts), bool)
+        whole = pc.match_substring_regex(texts, _IRREGULAR)
+        for content in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, content))
+        return whole.to_numpy(zero_copy_only=False)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text). Nulls are empty texts."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        odd = pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False) if self.by_word else None
-        if odd is None or odd.any():
-            whole = np.ones(len(texts), bool) if odd is None else odd
+        whole = self._whole(texts)
+        if whole.any():
             plain = iter(self._plain(texts.filter(pa.array(whole)).to_pylist()))
             ids, sizes = self._by_word(texts.filter(pa.array(~whole)))
             regular = iter(np.split(ids, np.cumsum(sizes)[:-1]))

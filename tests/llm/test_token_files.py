@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from schemalign.llm import token_files
 
@@ -34,6 +35,14 @@ def test_words_are_encoded_as_in_whole_texts(text):
     assert [x.tobytes() for x in np.split(ids, np.cumsum(sizes))[:-1]] == encoder._plain(texts)
 
 
+def test_added_tokens_are_found_as_by_the_untouched_library():
+    untouched = Tokenizer.from_file(PATH)
+    texts = ["<|endoftext|>", "one two<|endoftext|>three four", "plain words", "a <|endoftext|> b", "<|endoftext |>"]
+    ids, sizes = token_files.Encoder(PATH).encode(pa.array(texts))
+    want = [untouched.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == want and want[0] == [50256]
+
+
 def test_other_tokenizers_encode_whole_texts():
     encoder = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     ids, sizes = encoder.encode(pa.array(["A b  c", None]))
