@@ -61,8 +61,9 @@ def op7_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, piece, first_token, n_tokens, bucket, padded_to, batch, slot) of all documents, tokens being words."""
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    """(doc_id, piece, first_token, n_tokens, bucket, padded_to, batch, slot) of all documents, tokens being ids."""
+    docs = token_files.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return packing.pack(docs, F.col("n_tokens"))
 
 
 def op9_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,6 +205,15 @@ class Encoder:
         """The same for texts whose blanks all stand alone between two words: each distinct word is looked up once."""
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        starts, place, table = self._table(texts)
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        known = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(table), "<u4")))
+        ids = known.take(pa.array(place)).flatten().to_numpy()
+        return ids, np.add.reduceat(sizes[place], starts)
+
+    def _table(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(first word of each text, each word's place in the table, the table of ids)."""
         split = pc.split_pattern(texts, " ")
         starts = split.offsets.to_numpy()[:-1]
         words = split.flatten()
@@ -213,11 +222,19 @@ class Encoder:
         first = [self._chunk(w) for w in words.take(pa.array(starts)).to_pylist()]
         table = [*map(self.later.__getitem__, coded.dictionary.to_pylist()), *first]
         place[starts] = len(coded.dictionary) + np.arange(len(starts))
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        known = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(table), "<u4")))
-        ids = known.take(pa.array(place)).flatten().to_numpy()
-        return ids, np.add.reduceat(sizes[place], starts)
+        return starts, place, table
+
+    def sizes(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text, as encode gives it, without putting the ids together."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        whole = self._whole(texts)
+        total = np.zeros(len(texts), np.int64)
+        total[whole] = [len(ids) // 4 for ids in self._plain(texts.filter(pa.array(whole)).to_pylist())]
+        if not whole.all():
+            starts, place, table = self._table(texts.filter(pa.array(~whole)))
+            each = np.fromiter(map(len, table), np.int64, len(table)) // 4
+            total[~whole] = np.add.reduceat(each[place], starts)
+        return total
 
 
 @functools.lru_cache(maxsize=2)
@@ -225,6 +242,19 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """docs (doc_id, text, ...) -> (doc_id, n_tokens): the number of ids of each whole text, 0 for null."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), DOCS_AT_ONCE):
+                some = batch.slice(at, DOCS_AT_ONCE)
+                n_tokens = pa.array(encoder(tokenizer_path).sizes(some.column(1)), pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column(0), n_tokens], ["doc_id", "n_tokens"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(counted, "doc_id long, n_tokens long")
+
+
 def _segments(tokenizer_path: str, end_id: int, segment_tokens: int):
     def segment(part: int, number: int, doc_ids: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
         columns = [[part], [number], [len(sizes)], [len(ids)], [doc_ids.to_pylist()], [sizes], [pack(ids)]]

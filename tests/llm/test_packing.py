@@ -7,9 +7,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from schemalign.llm import packing
+from schemalign.llm import packing, queries
 
 
 def padding(counts, ends):
@@ -58,3 +60,16 @@ def test_batches(rows):
 
 def test_empty_table(rows):
     assert packing.pack(rows([], "doc_id long, text string")).collect() == []
+
+
+def test_query_packs_ids(spark, rows, tmp_path):
+    untouched = Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER))
+    texts = ["the house", "漢字" * 3000, "A1b2/+" * 2000, "x\n\n y  z ", "", None, "a<|endoftext|>b", "Straße, naïveté."]
+    rows(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op8_length_buckets(spark, str(tmp_path)).collect()
+    tokens = Counter()
+    for r in got:
+        tokens[r.doc_id] += r.n_tokens
+        assert r.n_tokens <= packing.MAX_TOKENS
+    assert tokens == Counter({i: len(untouched.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)})
+    assert max(r.piece for r in got if r.doc_id == 1) > 0
