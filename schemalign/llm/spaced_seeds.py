@@ -1,9 +1,10 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a run of ten words of which a fixed mask looks at seven; a substituted word under a zero of the mask changes
-nothing. Seeds of the benchmark and of the documents meet by their hashes. Every hit names a diagonal, document position
+A seed is a run of words of which a fixed mask looks at some; a substituted word under a zero of the mask changes
+nothing. The masks for a length hit every pattern of substitutions that the identity allows. Seeds of the benchmark and of the documents meet by their hashes. Every hit names a diagonal, document position
 minus item position, along which words are compared one by one: an item is found where a window of `window` words (the
-whole item if it is shorter) has at least `identity` equal ones.
+whole item if it is shorter) has at least `identity` equal ones, or where RUN words in a row are equal, which also tells
+passages that an end of the document cuts.
 """
 
 from __future__ import annotations
@@ -21,11 +22,19 @@ from pyspark.sql import functions as F
 from schemalign.llm.lookups import looked_up, without
 from schemalign.operators.settle import settle
 
-MASKS = ("1110100111", "1101011011", "1011101101")
-SPAN = len(MASKS[0])
+# (width, substitutions, masks): in any window that wide or wider, with so many words substituted at most, one mask fits
+# somewhere. The tests try all patterns. No mask is longer than RUN.
+LONG = ("1111011", "11001000111", "1101010000101")
+MASK_SETS = (
+    (20, 4, LONG),
+    (15, 3, LONG),
+    (10, 2, ("111011", "11010011", "11111")),
+    (5, 1, ("1111", "11101", "11011", "10111")),
+)
 SHORTEST_ITEM = 5
 WINDOW = 20
 IDENTITY = 0.8
+RUN = 13
 MOST_FILTER_BITS = 1 << 27
 
 _WORD = re.compile(r"\w+")
@@ -60,12 +69,20 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return total
 
 
-def _masks_for(n_words: int) -> tuple[str, ...]:
-    """The fixed masks; for an item shorter than they are, one that looks at all of its words."""
-    return MASKS if n_words >= SPAN else ("1" * n_words,)
+def _masks_for(n_words: int, window: int = WINDOW, identity: float = IDENTITY) -> tuple[str, ...]:
+    """Masks that hit every window with enough equal words, and every run of RUN words, of an item of n_words.
+
+    Beyond the sets, one mask as long as the longest run that substitutions must leave somewhere.
+    """
+    width = min(window, n_words)
+    lost = width - next(n for n in range(width + 1) if n >= identity * width)
+    for least, most, masks in MASK_SETS:
+        if width >= least and lost <= most:
+            return masks
+    return ("1" * max(1, min(RUN, -(-(width - lost) // (lost + 1)))),)
 
 
-def _items(benchmark: DataFrame) -> DataFrame:
+def _items(benchmark: DataFrame, window: int = WINDOW, identity: float = IDENTITY) -> DataFrame:
     """benchmark (item_id, text) -> (item_id, words array<long>, hash, at): a row for each seed of each item."""
 
     def seeds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,7 +92,8 @@ def _items(benchmark: DataFrame) -> DataFrame:
                 words = word_hashes(text, known)
                 if len(words) < SHORTEST_ITEM:
                     continue
-                found = [(h, at) for mask in _masks_for(len(words)) for at, h in enumerate(seed_hashes(words, mask).view(np.int64))]
+                masks = _masks_for(len(words), window, identity)
+                found = [(h, at) for mask in masks for at, h in enumerate(seed_hashes(words, mask).view(np.int64))]
                 hashes, places = zip(*found, strict=True)
                 signed = words.view(np.int64).tolist()
                 yield pd.DataFrame({"item_id": item_id, "words": [signed] * len(found), "hash": hashes, "at": places})
@@ -117,11 +135,11 @@ def _row_key(docs: DataFrame) -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+def _hits(docs: DataFrame, seeds: DataFrame, window: int = WINDOW, identity: float = IDENTITY) -> DataFrame:
     """(row, words array<long>, hashes, places) of documents with a seed that may be one of the benchmark's."""
     bits, field = _filter_bits(seeds)
-    lengths = [r["n"] for r in seeds.select(F.size("words").alias("n")).filter(F.col("n") < SPAN).distinct().collect()]
-    masks = [*MASKS, *["1" * n for n in sorted(lengths)]]
+    widths = [r["n"] for r in seeds.select(F.least(F.size("words"), F.lit(window)).alias("n")).distinct().collect()]
+    masks = sorted({mask for n in widths for mask in _masks_for(n, window, identity)})
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,18 +174,27 @@ def best_window(doc: np.ndarray, item: np.ndarray, diagonal: int, window: int) -
     return low + at, width, int(sums[at])
 
 
+def exact_run(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int]:
+    """Along a diagonal: (start in the document, length) of the first longest run of equal words."""
+    low, high = max(0, diagonal), min(len(doc), diagonal + len(item))
+    ends = np.flatnonzero(np.concatenate([[True], doc[low:high] != item[low - diagonal : high - diagonal], [True]]))
+    lengths = np.diff(ends) - 1
+    at = int(lengths.argmax())
+    return low + int(ends[at]), int(lengths[at])
+
+
 def overlaps(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, identity: float = IDENTITY
 ) -> DataFrame:
     """docs (doc_id, text, ...), benchmark (item_id, text) -> (row, item_id, doc_start, item_start, n_words, n_equal).
 
-    One row per document row and item found in it, with the best window (of several, the first in the document). row is
-    a hash of doc_id and text, so repeated rows are one. Words are runs of letters, digits and underscores in lower
+    One row per document row and item found in it, with the best window (of several, the first in the document) or, where
+    no window reaches the identity, the longest run of equal words, RUN at least. row is a hash of doc_id and text, so repeated rows are one. Words are runs of letters, digits and underscores in lower
     case. Items of fewer than five words, null ones and items without id can't be told from chance and are not looked
     for; null and empty texts contain nothing. An empty table on either side gives no rows.
     """
-    seeds = settle(_items(benchmark))
-    marked = settle(_hits(docs, seeds))
+    seeds = settle(_items(benchmark, window, identity))
+    marked = settle(_hits(docs, seeds, window, identity))
     hits = marked.select("row", F.explode(F.arrays_zip("hashes", "places")).alias("h")).select(
         "row", F.col("h.hashes").alias("hash"), F.col("h.places").alias("place")
     )
@@ -187,8 +214,13 @@ def overlaps(
             for row, item_id, words, item, lines in frame[["row", "item_id", "words", "item_words", "diagonals"]].itertuples(index=False):
                 tried = [(*best_window(words, item, int(d), window), int(d)) for d in np.sort(lines)]
                 start, width, equal, line = max(tried, key=lambda t: (t[2], -t[0]))
-                if equal >= identity * width:
-                    out.append((row, item_id, start, start - line, width, equal))
+                if equal < identity * width:
+                    runs = [(*exact_run(words, item, int(d)), int(d)) for d in np.sort(lines)]
+                    start, width, line = max(runs, key=lambda t: (t[1], -t[0]))
+                    equal = width
+                    if width < RUN:
+                        continue
+                out.append((row, item_id, start, start - line, width, equal))
             yield pd.DataFrame(out, columns=["row", "item_id", "doc_start", "item_start", "n_words", "n_equal"])
 
     schema = "row long, item_id long, doc_start long, item_start long, n_words long, n_equal long"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 
@@ -65,3 +66,36 @@ def test_empty_tables(rows, tables):
     no_items = rows([], "item_id long, text string")
     assert spaced_seeds.contaminated(none, items).collect() == []
     assert spaced_seeds.clean(docs, no_items).count() == docs.count()
+
+
+@pytest.mark.parametrize("n", range(5, 21))
+def test_masks_hit_every_pattern(n):
+    fits = [{at + k for k, bit in enumerate(m) if bit == "1"} for m in spaced_seeds._masks_for(n) for at in range(n - len(m) + 1)]
+    lost = n - min(k for k in range(n + 1) if k >= spaced_seeds.IDENTITY * n)
+    assert all(any(not fit & set(places) for fit in fits) for places in itertools.combinations(range(n), lost))
+    assert all(len(m) <= spaced_seeds.RUN for m in spaced_seeds._masks_for(n))
+
+
+def test_many_substitutions(rows):
+    rng = random.Random(3)
+    items = [(n, [f"i{n}w{k}" for k in range(n)]) for n in (5, 9, 10, 12, 15, 16, 19, 20, 33)]
+    docs = []
+    for n, told in items:
+        for _ in range(40):
+            low = rng.randint(0, max(0, n - 20))
+            kept = told[low : low + 20]
+            for at in rng.sample(range(len(kept)), len(kept) // 5):
+                kept[at] = "other"
+            docs.append((len(docs), " ".join(["before", *kept, "after"])))
+    texts = [(n, " ".join(told)) for n, told in items]
+    got = {(r.doc_id, r.item_id) for r in spaced_seeds.contaminated(rows(docs, "doc_id long, text string"), rows(texts, "item_id long, text string")).collect()}
+    assert got == plain(docs, texts) and len(got) == len(docs)
+
+
+def test_passages_cut_by_an_end(rows):
+    told = [f"w{k}" for k in range(40)]
+    docs = [(0, " ".join(told[-13:] + ["after"] * 30)), (1, " ".join(["before"] * 30 + told[:13])), (2, " ".join(told[5:17])), (3, " ".join(["x", *told[7:20], "y"] * 2))]
+    items = rows([(1, " ".join(told))], "item_id long, text string")
+    got = spaced_seeds.contaminated(rows(docs, "doc_id long, text string"), items).collect()
+    want = [(0, 1, 0, 27, 13, 13), (1, 1, 30, 0, 13, 13), (3, 1, 1, 7, 13, 13)]
+    assert sorted(map(tuple, got)) == want
