@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemalign.llm import chat, language_id, lattice, licenses, packing, simhash, spaced_seeds, token_files, toxicity, url_filter
+from schemalign.llm import chat, language_id, lattice, licenses, packing, repair, simhash, spaced_seeds, token_files, toxicity, url_filter
 from schemalign.operators.settle import shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -78,6 +78,20 @@ def op10_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("key", "page_id")
 
 
+def op13_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    fixed = repair.repair(repair.damaged(conversations))
+    found = fixed.report.join(repair.digests(fixed.pieces).withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
+    asked = conversations.select(F.col("conv_id").alias("_asked")).distinct()
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return asked.join(found, F.col("_asked").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("_asked").alias("conv_id"),
+        *numbers,
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -91,6 +105,7 @@ QUERIES = {
         op8_length_buckets,
         op9_addressable_codes,
         op10_language_evidence,
+        op13_audit_repair,
     )
 }
 
@@ -135,4 +150,85 @@ ORACLES = {
            sum(chars)::BIGINT AS formatted_chars
     FROM parts GROUP BY conv_id
     """,
+    "op13_audit_repair": """
+    WITH RECURSIVE given AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+      FROM conversations
+    ),
+    faulty AS (  -- CRC-32 bit by bit
+      SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(k, ''),
+                  lambda ch: list_transform(range(8), lambda b: (ord(ch)::BIGINT >> b) & 1)))),
+                  lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295) % 20 AS fault
+      FROM given
+    ),
+    rows_after AS (
+      SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+             CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy
+      FROM faulty WHERE fault <> 0
+    ),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place,
+             regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last_sign
+      FROM rows_after
+    ),
+    judged AS (
+      SELECT *, substr(role, 1, 1) AS i,
+             CASE WHEN last_sign = '' THEN 'blank'
+                  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
+                  WHEN last_sign NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS f,
+             lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS before
+      FROM placed
+    ),
+    steps AS (  -- what a message can become, and the state before and after
+      SELECT * FROM (VALUES
+        (0, 0, 'D'), (1, 1, 'D'), (2, 2, 'D'), (3, 3, 'D'),
+        (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (2, 3, 'a'), (3, 2, 'u')) AS t(s, t, e)
+    ),
+    inserts AS (  -- messages put in before the next one
+      SELECT * FROM (VALUES (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''),
+        (0, 2, 'I', 'user:' || chr(10)), (1, 2, 'I', 'user:' || chr(10)), (2, 3, 'I', 'assistant:' || chr(10)), (3, 2, 'I', 'user:' || chr(10)),
+        (0, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+        (2, 2, 'II', 'assistant:' || chr(10) || 'user:' || chr(10)), (3, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10))) AS t(s, t, letters, lines)
+    ),
+    moves AS (
+      SELECT conv_id, place, n.s, e.t, 2 * length(letters) + 3 AS cost, letters || 'D' AS audit, lines
+      FROM judged, inserts n JOIN steps e ON n.t = e.s AND e.e = 'D'
+      UNION ALL
+      SELECT conv_id, place, n.s, e.t, 2 * length(letters) + (f = 'truncated')::INT, letters || 'K', lines || role || ':' || text || chr(10)
+      FROM judged JOIN steps e ON e.e = i JOIN inserts n ON n.t = e.s WHERE f NOT IN ('blank', 'duplicate')
+      UNION ALL
+      SELECT conv_id, place, n.s, e.t, 2 * length(letters) + 2 + (f = 'truncated')::INT, letters || 'R',
+             lines || CASE e.t WHEN 2 THEN 'user' ELSE 'assistant' END || ':' || text || chr(10)
+      FROM judged, inserts n JOIN steps e ON n.t = e.s AND e.e IN ('u', 'a') WHERE f NOT IN ('blank', 'duplicate')
+    ),
+    reached AS (
+      SELECT conv_id, 0::BIGINT AS place, 0 AS state, 0::BIGINT AS cost, '' AS audit, '' AS lines FROM (SELECT DISTINCT conv_id FROM given)
+      UNION ALL
+      SELECT conv_id, place, t, cost, audit, lines FROM (
+        SELECT r.conv_id, m.place, m.t, r.cost + m.cost AS cost, r.audit || m.audit AS audit, r.lines || m.lines AS lines,
+               row_number() OVER (PARTITION BY r.conv_id, m.t ORDER BY r.cost + m.cost, r.audit || m.audit ) AS best
+        FROM reached r JOIN moves m ON r.conv_id IS NOT DISTINCT FROM m.conv_id AND m.place = r.place + 1 AND m.s = r.state
+      ) WHERE best = 1
+    ),
+    counted AS (
+      SELECT conv_id, max(place) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (f = 'blank') AS blank, count(*) FILTER (f = 'duplicate') AS duplicate,
+             count(*) FILTER (f = 'truncated') AS truncated,
+             count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM judged GROUP BY conv_id
+    ),
+    ends AS (
+      SELECT r.conv_id, r.cost + 2 * length(letters) AS cost, r.audit || letters AS audit, r.lines || n.lines AS lines,
+             row_number() OVER (PARTITION BY r.conv_id ORDER BY r.cost + 2 * length(letters), r.audit || letters ) AS best
+      FROM reached r LEFT JOIN counted c ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+      JOIN inserts n ON n.s = r.state AND (n.t = 3 OR r.state = 0 AND n.t = 0)
+      WHERE r.place = coalesce(c.n, 0)
+    )
+    SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, e.cost, e.audit,
+           sha256(CASE WHEN e.lines = '' THEN '' ELSE substr(e.lines, 1, length(e.lines) - 1) END) AS repaired_sha256
+    FROM ends e LEFT JOIN counted c ON e.conv_id IS NOT DISTINCT FROM c.conv_id WHERE best = 1
+    """,
 }
