@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemalign.llm import chat, language_id, lattice, licenses, packing, repair, simhash, spaced_seeds, token_files, toxicity, url_filter
+from schemalign.llm import chat, language_id, lattice, licenses, multi_index, packing, repair, simhash, spaced_seeds, token_files, toxicity, url_filter
 from schemalign.operators.settle import shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -78,6 +78,12 @@ def op10_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("key", "page_id")
 
 
+def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), multi_index.scaled("embedding").alias("v"))
+    return multi_index.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op13_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = _table(spark, sf_dir, "conversations")
     fixed = repair.repair(repair.damaged(conversations))
@@ -105,6 +111,7 @@ QUERIES = {
         op8_length_buckets,
         op9_addressable_codes,
         op10_language_evidence,
+        op12_multi_index,
         op13_audit_repair,
     )
 }
@@ -150,6 +157,29 @@ ORACLES = {
            sum(chars)::BIGINT AS formatted_chars
     FROM parts GROUP BY conv_id
     """,
+    "op12_multi_index": """
+    WITH usable AS (
+      SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    scored AS (
+      SELECT a.r, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM usable a JOIN usable b ON a.r <> b.r WHERE a.vec_id % 100 = 0
+    ),
+    positives AS (
+      SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5
+    ),
+    windows AS (
+      SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+             row_number() OVER (PARTITION BY p.r, p.vec_id ORDER BY n.score DESC, n.vec_id) AS rank
+      FROM positives p JOIN scored n ON p.r = n.r AND NOT n.same
+        AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+    )
+    SELECT * FROM windows WHERE rank <= 5
+    """,
     "op13_audit_repair": """
     WITH RECURSIVE given AS (
       SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
