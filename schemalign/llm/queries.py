@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemalign.llm import chat, language_id, lattice, licenses, multi_index, packing, repair, simhash, spaced_seeds, token_files, toxicity, url_filter
+from schemalign.llm import chat, language_id, lattice, licenses, multi_index, packing, quality, repair, simhash, spaced_seeds, token_files, toxicity, url_filter
 from schemalign.operators.settle import shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -78,6 +78,12 @@ def op10_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("key", "page_id")
 
 
+def op11_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scores = quality.score(docs, quality.learn(docs, _table(spark, sf_dir, "labels")), least=0.3)
+    return scores.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), multi_index.scaled("embedding").alias("v"))
@@ -111,6 +117,7 @@ QUERIES = {
         op8_length_buckets,
         op9_addressable_codes,
         op10_language_evidence,
+        op11_ftrl_quality,
         op12_multi_index,
         op13_audit_repair,
     )
