@@ -5,8 +5,8 @@ too rare to be learned; a word that repeats the one before is the feature "again
 where the square roots of the counts are scaled to length 1, so that the score is a sparse dot product at any length.
 
 Training follows the regularised leader (proximal, per coordinate): a bucket's weight is nought until its summed gradients
-exceed the L1 bound, so that rare words stay out. The sample is dealt to a fixed number of shards; in each pass every
-shard goes on from the common state, which then becomes the mean of the shards' states.
+exceed the L1 bound, so that rare words stay out. The sample's features are written once, dealt to a few shards; in each
+pass every shard is read by one task, which goes on from the common state; that then becomes the mean of the tasks' states.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from schemalign.llm.lookups import looked_up
 from schemalign.operators.settle import settle
 
 # Labelled rows the model is fitted on, at most about so many: a sample by hash of the row's number.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 SHARDS, PASSES = 8, 6
 BITS = 18
 RATE, SMOOTH, L1, L2 = 1.0, 1.0, 0.05, 0.01
@@ -77,13 +77,23 @@ def _slices(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+def weighed(buckets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, values): square roots of the counts at length 1, and a constant in the last bucket."""
+    values = np.sqrt(counts / counts.sum()) if len(counts) else counts
+    return np.append(buckets, 1 << BITS), np.append(values, 1.0)
+
+
 class Features:
-    """Texts -> (buckets, values); the last bucket is a constant."""
+    """Texts -> buckets and what they hold."""
 
     def __init__(self):
         self.known = _Hashes()
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        return weighed(*self.counts(text))
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, how many features of the text fall in each)."""
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         before = np.zeros(0, np.uint64)
         for piece in _slices(text or ""):
@@ -103,12 +113,12 @@ class Features:
             parts.append(np.unique(hashed, return_counts=True))
             before = all_[-3:]  # one more than a run has before it: whether its first is "again" must be known
         if not parts:
-            return np.array([1 << BITS]), np.ones(1)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         buckets, counts = parts[0]
         if len(parts) > 1:
             buckets, where = np.unique(np.concatenate([b for b, _ in parts]), return_inverse=True)
-            counts = np.bincount(where, np.concatenate([c for _, c in parts]))
-        return np.append(buckets.astype(np.int64), 1 << BITS), np.append(np.sqrt(counts / counts.sum()), 1.0)
+            counts = np.bincount(where, np.concatenate([c for _, c in parts])).astype(np.int64)
+        return buckets.astype(np.int64), counts
 
 
 @dataclass
@@ -157,24 +167,31 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> n
 
     Only labels outside the held-out fifth are looked at. Without any, all weights are nought.
     """
-    rows = settle(training_rows(docs, labels, train_rows).withColumn("shard", F.pmod("number", F.lit(SHARDS)).cast("int")))
-    dealt = settle(rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "number"))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        for batch in batches:
+            found = [features.counts(text) for text in batch.column("text").to_pylist()]
+            lists = [pa.array([f[k].astype(np.int32) for f in found], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("number"), *lists], ["quality", "number", "buckets", "counts"])
+
+    rows = training_rows(docs, labels, train_rows).mapInArrow(counted, "quality double, number long, buckets array<int>, counts array<int>")
+    rows = settle(rows.repartition(SHARDS, "number").sortWithinPartitions("number")).coalesce(SHARDS)
     leader = Leader.new()
     for _ in range(PASSES):
         z, n = leader.z, leader.n
 
         def run(batches: Iterator[pa.RecordBatch], z: np.ndarray = z, n: np.ndarray = n) -> Iterator[pa.RecordBatch]:
-            features, shards = Features(), {}
+            own, seen = Leader(z.copy(), n.copy()), False
             for batch in batches:
-                columns = [batch.column(c).to_pylist() for c in ("text", "quality", "shard")]
-                for text, quality, shard in zip(*columns, strict=True):
-                    own = shards.setdefault(shard, Leader(z.copy(), n.copy()))
-                    own.learn(*features.of(text), quality)
-            for shard, own in shards.items():
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "z": [own.z.tobytes()], "n": [own.n.tobytes()]})
-
-        states = dealt.repartition(SHARDS, "shard").sortWithinPartitions("shard", "number")
-        states = states.mapInArrow(run, "shard int, z binary, n binary").orderBy("shard").collect()
+                columns = [batch.column(c) for c in ("quality", "buckets", "counts")]
+                for quality, buckets, counts in zip(*columns, strict=True):
+                    own.learn(*weighed(buckets.values.to_numpy(), counts.values.to_numpy()), quality.as_py())
+                    seen = True
+            if seen:
+                yield pa.RecordBatch.from_pydict({"z": [own.z.tobytes()], "n": [own.n.tobytes()]})
+
+        # One state for each shard: 8 of 4 MB.
+        states = rows.mapInArrow(run, "z binary, n binary").collect()
         if not states:
             break
         leader = Leader(*[np.mean([np.frombuffer(s[c]) for s in states], axis=0) for c in ("z", "n")])
