@@ -1,7 +1,7 @@
 """Text quality by logistic regression on hashed word n-grams, trained with follow-the-regularised-leader updates.
 
 A text's features are its words and runs of signs, pairs of them, and runs of three word shapes, which speak for words
-too rare to be learned; a word that repeats the one before is the feature "again". Each is hashed to one of 2**18 buckets,
+too rare to be learned; a word that repeats the one before is the feature "again". Each is hashed to one of 2**17 buckets,
 where the square roots of the counts are scaled to length 1, so that the score is a sparse dot product at any length.
 
 Training follows the regularised leader (proximal, per coordinate): a bucket's weight is nought until its summed gradients
@@ -28,7 +28,7 @@ from schemalign.operators.settle import settle
 # Labelled rows the model is fitted on, at most about so many: a sample by hash of the row's number.
 TRAIN_ROWS = 10_000
 SHARDS, PASSES = 8, 6
-BITS = 18
+BITS = 17
 RATE, SMOOTH, L1, L2 = 1.0, 1.0, 0.05, 0.01
 
 _CHARS_AT_ONCE = 1 << 20
@@ -132,6 +132,14 @@ class Leader:
     def new(cls) -> Leader:
         return cls(np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1))
 
+    def packed(self) -> bytes:
+        """In single precision, as it is sent."""
+        return np.concatenate([self.z, self.n]).astype(np.float32).tobytes()
+
+    @classmethod
+    def unpacked(cls, state: bytes) -> Leader:
+        return cls(*np.split(np.frombuffer(state, np.float32).astype(float), 2))
+
     def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         z = self.z[at]
         return -np.sign(z) * np.maximum(np.abs(z) - L1, 0) / ((SMOOTH + np.sqrt(self.n[at])) / RATE + L2)
@@ -178,23 +186,23 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> n
     rows = settle(rows.repartition(SHARDS, "number").sortWithinPartitions("number")).coalesce(SHARDS)
     leader = Leader.new()
     for _ in range(PASSES):
-        z, n = leader.z, leader.n
+        state = leader.packed()
 
-        def run(batches: Iterator[pa.RecordBatch], z: np.ndarray = z, n: np.ndarray = n) -> Iterator[pa.RecordBatch]:
-            own, seen = Leader(z.copy(), n.copy()), False
+        def run(batches: Iterator[pa.RecordBatch], state: bytes = state) -> Iterator[pa.RecordBatch]:
+            own, seen = Leader.unpacked(state), False
             for batch in batches:
                 columns = [batch.column(c) for c in ("quality", "buckets", "counts")]
                 for quality, buckets, counts in zip(*columns, strict=True):
                     own.learn(*weighed(buckets.values.to_numpy(), counts.values.to_numpy()), quality.as_py())
                     seen = True
             if seen:
-                yield pa.RecordBatch.from_pydict({"z": [own.z.tobytes()], "n": [own.n.tobytes()]})
+                yield pa.RecordBatch.from_pydict({"state": [own.packed()]})
 
-        # One state for each shard: 8 of 4 MB.
-        states = rows.mapInArrow(run, "z binary, n binary").collect()
+        # One state for each shard: 8 of 1 MB.
+        states = [Leader.unpacked(s["state"]) for s in rows.mapInArrow(run, "state binary").collect()]
         if not states:
             break
-        leader = Leader(*[np.mean([np.frombuffer(s[c]) for s in states], axis=0) for c in ("z", "n")])
+        leader = Leader(*[np.mean([getattr(s, c) for s in states], axis=0) for c in ("z", "n")])
     return leader.weights()
 
 
@@ -202,7 +210,7 @@ def score(docs: DataFrame, weights: np.ndarray, least: float = 0.5) -> DataFrame
     """docs (doc_id, text, ...) -> (doc_id, score double, predicted int: 1 from `least` on), one row per row.
 
     The score is the probability of label 1. Null and empty texts have that of the constant. Whole texts are read, a
-    slice at a time; 2 MB of weights go to every task. Only doc_id and text are looked at.
+    slice at a time; 1 MB of weights goes to every task. Only doc_id and text are looked at.
     """
     schema_type = docs.schema["doc_id"].dataType.simpleString()
 
