@@ -126,7 +126,7 @@ SELECT p_partkey, round_even(seq, 4) AS sequence_score FROM pairs JOIN ratios US
 def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = over_cores(table(spark, sf_dir, "documents").select("text")).select(text.normalize_name(F.col("text")).alias("key"))
     every = docs.withColumn("copies", F.lit(1).cast("bigint"))
-    return tfidf.cap_vocabulary(tfidf.fit_terms(every)).select("term", "tf", "df", "n_docs", F.bround("idf", 6).alias("idf"))
+    return tfidf.fit_vocabulary(every).select("term", "tf", "df", "n_docs", F.bround("idf", 6).alias("idf"))
 
 
 TERMS_SQL = f"""

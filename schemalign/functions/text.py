@@ -30,6 +30,12 @@ def normalize_name(name: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(spaced, r"\s+", " ")), F.lit(""))
 
 
+def normalize_sql(name: str) -> str:
+    """normalize_name as SQL text."""
+    spaced = rf"regexp_replace(lower({name}), r'[^\p{{L}}\p{{N}}_\s]', ' ')"
+    return rf"coalesce(trim(regexp_replace({spaced}, r'\s+', ' ')), '')"
+
+
 def words(clean: Column) -> Column:
     """Words of a normalised name, repeats kept."""
     return F.filter(F.split(clean, " "), lambda w: w != "")
@@ -44,17 +50,36 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
 
 
+def tokens_sql(text: str) -> str:
+    return rf"regexp_extract_all(lower({text}), r'([\p{{L}}\p{{N}}_]{{2,}})', 1)"
+
+
 def word_ngrams(toks: str, longest: int = 3) -> Column:
     """All runs of 1..longest consecutive tokens, each joined by a blank.
 
     toks names a column: an expression would be computed anew for every element of the lambdas.
     """
+    return F.expr(word_ngrams_sql(toks, longest))
+
+
+def word_ngrams_sql(toks: str, longest: int = 3) -> str:
 
     def of_length(n: int) -> str:
         following = "".join(f", get({toks}, i + {k})" for k in range(1, n))
         return f"transform(slice({toks}, 1, greatest(size({toks}) - {n - 1}, 0)), (w, i) -> concat_ws(' ', w{following}))"
 
-    return F.expr(f"concat({', '.join([toks, *map(of_length, range(2, longest + 1))])})")
+    return f"concat({', '.join([toks, *map(of_length, range(2, longest + 1))])})"
+
+
+def known_ngrams_sql(toks: str, lengths: tuple[int, ...]) -> str:
+    """Runs of these lengths of tokens none of which is NULL, each joined by a blank."""
+
+    def of_length(n: int) -> str:
+        run = [f"get({toks}, i + {k})" for k in range(n)]
+        joined = f"if({' AND '.join(f'{w} IS NOT NULL' for w in run)}, concat_ws(' ', {', '.join(run)}), NULL)"
+        return f"transform(slice({toks}, 1, greatest(size({toks}) - {n - 1}, 0)), (w, i) -> {joined})"
+
+    return f"array_compact(concat({', '.join(map(of_length, lengths))}))"
 
 
 def exact_score(a: Column, b: Column) -> Column:
@@ -78,11 +103,14 @@ def word_overlap(a: Column, b: Column) -> Column:
 
 def shared_characters(a: str, b: str) -> Column:
     """Size of the common character multiset of two columns: no alignment of them matches more characters."""
+    return F.expr(shared_characters_sql(a, b))
+
 
+def shared_characters_sql(a: str, b: str) -> str:
     def copies(text: str) -> str:
         return f"length({text}) - length(replace({text}, ch, ''))"
 
-    return F.expr(
+    return (
         f"if(length({a}) = 0, 0, aggregate(array_distinct(transform(sequence(1, length({a})), "
         f"i -> substring({a}, i, 1))), 0, (total, ch) -> total + least({copies(a)}, {copies(b)})))"
     )

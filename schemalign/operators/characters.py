@@ -59,11 +59,15 @@ def character_tokens(key: str, order: str) -> Column:
     order has the characters from rare to common. As sets the tokens overlap in exactly as many as the names share
     characters. NULL for long names.
     """
+    return F.expr(character_tokens_sql(key, order))
+
+
+def character_tokens_sql(key: str, order: str) -> str:
     nth = f"length(substring({key}, 1, i)) - length(replace(substring({key}, 1, i), substring({key}, i, 1), ''))"
     rank = f"instr('{order}', substring({key}, i, 1))"
     token = f"concat(lpad({rank}, 4, '0'), lpad(99 - ({nth}), 2, '0'), substring({key}, i, 1))"
     tokens = f"sort_array(transform(sequence(1, length({key})), i -> {token}))"
-    return F.expr(f"if(length({key}) BETWEEN 1 AND {SHORT_NAME}, {tokens}, NULL)")
+    return f"if(length({key}) BETWEEN 1 AND {SHORT_NAME}, {tokens}, NULL)"
 
 
 def needed_characters(a: str, b: str, ratio: float) -> str:
@@ -82,7 +86,7 @@ def _prefix(key: str, toks: str, ratio: float) -> str:
     return f"slice({toks}, 1, {size} - CAST(ceil({_length_ratio(ratio)}D * {size} - 1e-9D) AS int) + 2)"
 
 
-def character_probes(key: str, toks: str, ratio: float, indexed: bool) -> str:
+def character_probes(key: str, toks: str, ratio: float, indexed: bool, class_kind: str = "l") -> str:
     """Probes of kinds q and l: two names of sequence ratio >= ratio (0 < ratio < 1) have one in common.
 
     They share at least r(|a|+|b|)/2 characters. Where that is two or more, the two rarest shared tokens are among
@@ -97,5 +101,5 @@ def character_probes(key: str, toks: str, ratio: float, indexed: bool) -> str:
     singles = f"if({size} < {2 / ratio}D, {toks}, {none})"
     length_class = f"CAST(floor(ln({size}) / -ln({shrink}D)) AS int)"
     classes = f"sequence({length_class} - 1, {length_class} + 1)" if indexed else f"array({length_class})"
-    long_names = f"if({size} > {SHORT_NAME * shrink}D, {probes.tagged('l', classes)}, {none})"
+    long_names = f"if({size} > {SHORT_NAME * shrink}D, {probes.tagged(class_kind, classes)}, {none})"
     return f"concat(coalesce({probes.tagged('q', pairs)}, {none}), coalesce({probes.tagged('q', singles)}, {none}), {long_names})"

@@ -30,7 +30,12 @@ def lexicon(dictionary: DataFrame, top_n: int) -> DataFrame:
     Names with the same normal form score alike, so no more than their first top_n can appear in one answer;
     copies still counts all of them for the document frequencies.
     """
-    keyed = last_target(dictionary).withColumn("key", text.normalize_name(F.col("src")))
+    return keyed_rows(last_target(dictionary), top_n)
+
+
+def keyed_rows(entries: DataFrame, top_n: int) -> DataFrame:
+    """The same of (src, target, copies), a source name once."""
+    keyed = entries.withColumn("key", text.normalize_name(F.col("src")))
     by_src = Window.partitionBy("key").orderBy(F.col("src").asc_nulls_last())
     first = (
         keyed.withColumn("nth", F.row_number().over(by_src))

@@ -63,23 +63,29 @@ def one_gram(key: str, grams: str) -> str:
 
 def rarity_order(words: str, entries: str) -> Column:
     """Words from rare to common: unknown to the vocabulary, then by falling idf, single characters last."""
+    return F.expr(rarity_order_sql(words, entries))
+
+
+def rarity_order_sql(words: str, entries: str) -> str:
     known = f"aggregate({entries}, {UNKNOWN_IDF}D, (idf, e) -> if(e.term = w, e.idf, idf))"
     rank = f"if(length(w) < 2, 0D, -{known})"
     ranked = f"transform({words}, w -> struct({rank} AS rank, w AS word))"
-    return F.expr(f"transform(array_sort({ranked}), r -> r.word)")
+    return f"transform(array_sort({ranked}), r -> r.word)"
 
 
-def reachable_words(ordered: str, entries: str, share: float, threshold: float) -> str:
+def reachable_words(ordered: str, entries: str, share: float | str, threshold: float | str) -> str:
     """The words at which a pair sharing no rarer word can still reach the threshold.
 
     A pair met at word i of n shares at most the words from i on: its overlap is at most (n-i+1)/n and its cosine at
     most the length of the vector's part made of those words. Nothing else but the sequence ratio, at most 1, adds
-    to its score (containment is met elsewhere). Very long names keep all their words.
+    to its score (containment is met elsewhere). Very long names keep all their words. Share and threshold may be SQL.
     """
+    share = share if isinstance(share, str) else f"{share}D"
+    least = f"({threshold} - 1e-9D)" if isinstance(threshold, str) else f"{threshold - 1e-9}D"
     n = f"size({ordered})"
     rest = f"slice({ordered}, i + 1, greatest({n}, 1))"
     inside = f"forall(split(e.term, ' '), x -> array_contains({rest}, x))"
     squares = f"aggregate({entries}, 0D, (total, e) -> total + if({inside}, e.weight * e.weight, 0D))"
-    bound = f"{share}D * (1 + ({n} - i) / {n}) + {text.TFIDF_SHARE}D * sqrt({squares})"
-    kept = f"filter({ordered}, (w, i) -> {bound} >= {threshold - 1e-9}D)"
+    bound = f"{share} * (1 + ({n} - i) / {n}) + {text.TFIDF_SHARE}D * sqrt({squares})"
+    kept = f"filter({ordered}, (w, i) -> {bound} >= {least})"
     return f"if({n} <= {MANY_WORDS}, {kept}, {ordered})"

@@ -2,34 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from schemalign.functions import text
 from schemalign.operators import skew
+from schemalign.operators.settle import settle
 
 MAX_TERMS = 1000
 
 
+# Up to so many words are frequent enough to be looked for in n-grams by a list; with more, all n-grams are counted.
+MOST_FREQUENT = 5_000
+
+
+def _occurrences(grams: str) -> Column:
+    """Every occurrence adds to tf, the first one in a name also to df, so one map-side combined sum gives both."""
+    return F.expr(
+        f"concat(transform({grams}, g -> struct(g AS term, copies AS tf, 0L AS df)), "
+        f"transform(array_distinct({grams}), g -> struct(g AS term, 0L AS tf, copies AS df)))"
+    )
+
+
+def _summed(rows: DataFrame, grams: str) -> DataFrame:
+    inlined = rows.select(F.inline(_occurrences(grams)))
+    return inlined.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
+def count_terms(keys: DataFrame) -> DataFrame:
+    """(key, copies) -> (term, tf, df). Copies of a name count as documents of their own."""
+    rows = keys.select("copies", text.tokens(F.col("key")).alias("toks"))
+    return _summed(rows.select("copies", text.word_ngrams("toks").alias("grams")), "grams")
+
+
+def with_idf(terms: DataFrame, n_docs: Column) -> DataFrame:
+    return terms.withColumn("n_docs", n_docs).withColumn("idf", F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)
+
+
 def fit_terms(keys: DataFrame) -> DataFrame:
-    """(key, copies) -> (term, tf, df, n_docs, idf). Copies of a name count as documents of their own.
+    """(key, copies) -> (term, tf, df, n_docs, idf)."""
+    return with_idf(count_terms(keys), keys.agg(F.sum("copies").alias("n_docs")).scalar())
+
+
+def fit_vocabulary(keys: DataFrame, size: int | None = None) -> DataFrame:
+    """The most frequent terms of (key, copies), as cap_vocabulary(fit_terms(keys)) gives them, in one scan of the names.
 
-    Every occurrence adds to tf, the first one in a name also to df, so one map-side combined sum gives both.
+    No n-gram is more frequent than its words. Words are counted first; the count of the size-th bounds what can still be
+    chosen, so only n-grams made of words that reach it are counted. Tokens are written once for the two counts.
     """
-    occurrences = F.expr(
-        "concat(transform(grams, g -> struct(g AS term, copies AS tf, 0L AS df)), "
-        "transform(array_distinct(grams), g -> struct(g AS term, 0L AS tf, copies AS df)))"
-    )
-    n_docs = keys.agg(F.sum("copies").alias("n_docs")).scalar()
-    return (
-        keys.select("copies", text.tokens(F.col("key")).alias("toks"))
-        .select("copies", text.word_ngrams("toks").alias("grams"))
-        .select(F.inline(occurrences))
-        .groupBy("term")
-        .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-        .withColumn("n_docs", n_docs)
-        .withColumn("idf", F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)
-    )
+    size = MAX_TERMS if size is None else size
+    seen = Observation()
+    rows = keys.select("copies", text.tokens(F.col("key")).alias("toks"))
+    rows = settle(rows.observe(seen, F.coalesce(F.sum("copies"), F.lit(0)).alias("n_docs")))
+    words = settle(_summed(rows, "toks"))
+    chosen = cap_vocabulary(words, size).agg(F.count(F.lit(1)).alias("n"), F.min("tf").alias("least")).first()
+    least = chosen["least"] if chosen["n"] == size else 0
+    words = words.filter(F.col("tf") >= least)
+    frequent = [r["term"] for r in words.select("term").limit(MOST_FREQUENT + 1).collect()]
+    if len(frequent) <= MOST_FREQUENT:
+        kept = F.transform("toks", lambda w: F.when(w.isin(frequent), w)) if frequent else F.array().cast("array<string>")
+        rows = rows.select("copies", kept.alias("toks"))
+    rows = rows.select("copies", F.expr(text.known_ngrams_sql("toks", (2, 3))).alias("grams"))
+    grams = _summed(rows, "grams").filter(F.col("tf") >= least)
+    return with_idf(cap_vocabulary(words.unionByName(grams), size), F.lit(seen.get["n_docs"]).cast("bigint"))
 
 
 def cap_vocabulary(terms: DataFrame, size: int = MAX_TERMS) -> DataFrame:
@@ -64,13 +99,21 @@ def weigh(keys: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def vector(entries: str) -> Column:
-    return F.expr(f"map_from_entries(transform({entries}, e -> struct(e.term, e.weight)))")
+    return F.expr(vector_sql(entries))
+
+
+def vector_sql(entries: str) -> str:
+    return f"map_from_entries(transform({entries}, e -> struct(e.term, e.weight)))"
 
 
 def dot(left: str, right: str) -> Column:
     """Inner product of two term -> weight maps."""
+    return F.expr(dot_sql(left, right))
+
+
+def dot_sql(left: str, right: str) -> str:
     shared = f"array_intersect(map_keys({left}), map_keys({right}))"
-    return F.expr(f"aggregate({shared}, 0D, (total, term) -> total + {left}[term] * {right}[term])")
+    return f"aggregate({shared}, 0D, (total, term) -> total + {left}[term] * {right}[term])"
 
 
 def rarest_first(entries: str) -> Column:
