@@ -103,7 +103,7 @@ def sanitize_table_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _as_files(spark: SparkSession, sf_dir: str) -> str:
-    """Customers comma-separated, suppliers pipe-separated, under one folder."""
+    """Customers by commas, suppliers by pipes, nations by tabs, and parts whose rows are longer than their header."""
     folder = fresh_folder(spark)
     customers = table(spark, sf_dir, "customer").select(
         "c_custkey", F.col("c_name").alias("Account-Name"), "c_nationkey", F.concat("c_mktsegment", F.lit(', "x"\nline')).alias("note")
@@ -111,23 +111,50 @@ def _as_files(spark: SparkSession, sf_dir: str) -> str:
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("ACCOUNT NAME!"), "s_suppkey", "s_nationkey")
     tables.export_csv(customers, f"{folder}/customer")
     suppliers.write.option("header", True).option("sep", "|").csv(f"{folder}/supplier")
+    nations = table(spark, sf_dir, "nation").select(F.concat_ws("\t", "n_nationkey", "n_name", F.lit("")).alias("value"))
+    lines = F.concat_ws("\n", F.lit("n\to|m\tp\n\r\n"), F.sort_array(F.collect_list("value")))
+    nations.agg(lines.alias("value")).write.text(f"{folder}/nation")
+    parts = table(spark, sf_dir, "part").select(F.concat_ws(",", "p_partkey", "p_name", F.lit(""), "p_size").alias("p_partkey,p_name"))
+    parts.write.option("header", True).option("quote", "\u0000").option("sep", "\u0001").csv(f"{folder}/part")
     return folder
 
 
+def _all_folders(folder: str) -> list[str]:
+    return [f"{folder}/{name}" for name in ("customer", "supplier", "nation", "part")]
+
+
 def read_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _as_files(spark, sf_dir)
-    _, rows = delimited.read_delimited(spark, [f"{folder}/customer", f"{folder}/supplier"])
+    _, rows = delimited.read_delimited(spark, _all_folders(folder))
     return rows.select(F.array_join("values", "~", "").alias("fields"))
 
 
 READ_SQL = """
 SELECT c_custkey || '~' || c_name || '~' || c_nationkey || '~' || c_mktsegment || ', "x"' || chr(10) || 'line' AS fields FROM customer
-UNION ALL SELECT s_name || '~' || s_suppkey || '~' || s_nationkey FROM supplier"""
+UNION ALL SELECT s_name || '~' || s_suppkey || '~' || s_nationkey FROM supplier
+UNION ALL SELECT n_nationkey || '~' || n_name || '~' FROM nation"""
+
+
+def delimited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is told of the files, those that cannot be read among them, with the rows read of each kind."""
+    files, rows = delimited.read_delimited(spark, _all_folders(_as_files(spark, sf_dir)))
+    read = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.regexp_extract("source_id", "/([a-z]+)/[^/]*$", 1).alias("kind")
+    told = files.join(read, "source_id", "left").groupBy(kind, "delimiter", F.array_join("columns", "~").alias("header"), "error")
+    return told.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_read"))
+
+
+FILES_SQL = """
+SELECT 'customer' AS kind, ',' AS delimiter, 'c_custkey~Account-Name~c_nationkey~note' AS header, NULL::VARCHAR AS error,
+       count(*) AS rows_read FROM customer
+UNION ALL SELECT 'supplier', '|', 'ACCOUNT NAME!~s_suppkey~s_nationkey', NULL, count(*) FROM supplier
+UNION ALL SELECT 'nation', chr(9), 'n~o|m~p', NULL, count(*) FROM nation
+UNION ALL SELECT DISTINCT 'part', ',', 'p_partkey~p_name', 'a row has 4 fields, the header 2', 0 FROM part"""
 
 
 def map_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _as_files(spark, sf_dir)
-    files, rows = delimited.read_delimited(spark, [f"{folder}/customer", f"{folder}/supplier"])
+    files, rows = delimited.read_delimited(spark, _all_folders(folder))
     dictionary = spark.createDataFrame(
         [
             ("account name", "Account Name"), ("c_custkey", "Account No."), ("s_suppkey", "Account No."),
@@ -213,6 +240,7 @@ QUERIES = {
     "file_stats": file_stats,
     "sanitize_table_name": sanitize_table_name,
     "read_delimited": read_delimited,
+    "delimited_files": delimited_files,
     "read_dictionary": read_dictionary,
     "map_files": map_files,
     "write_conformed": write_conformed,
@@ -247,6 +275,7 @@ UNION ALL SELECT 'supplier.v1.csv', count(*), 3, 'CSV' FROM supplier""",
 SELECT page_id, substr(upper(CASE WHEN regexp_matches(s, '^[^A-Za-z]') THEN 'T_' || s ELSE s END), 1, 128) AS table_name
 FROM (SELECT page_id, regexp_replace(regexp_replace(url, '\.[^.]*$', ''), '[^a-zA-Z0-9_]', '_', 'g') AS s FROM pages)""",
     "read_delimited": READ_SQL,
+    "delimited_files": FILES_SQL,
     "read_dictionary": """
 SELECT p_name AS src, p_type AS target, 'say "' || p_brand || '", once, or' || chr(10) || 'twice' AS description
 FROM part WHERE p_size > 3""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,11 @@ from queries.common import (
 from schemalign.functions import text
 from schemalign.functions.sequence import sequence_ratio
 from schemalign.operators import names, tfidf
+from schemalign.operators.dictionary import snapshot_diff
 from schemalign.operators.lexicon import lookup_target
 from schemalign.plans.field_match import field_match
 from schemalign.plans.field_match import field_match_names as match_names
+from schemalign.plans.match_index import MatchIndex, apply_changes, build_index, create_match_function
 
 TYPE_OF_NAME = "SELECT p_name AS src, max(p_type) AS target FROM part GROUP BY p_name"
 
@@ -185,8 +189,8 @@ NAMES_SQL = (
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Names of one word each, alike in their characters only: the nations against all customers."""
-    inputs = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("customer"), "n_nationkey", F.lit("x")).alias("input_field"))
+    """Names of one word each, alike in their characters only: all suppliers against all customers."""
+    inputs = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("customer"), "s_suppkey", F.lit("x")).alias("input_field"))
     dictionary = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("customer"), "c_custkey").alias("src"), F.col("c_mktsegment").alias("target")
     )
@@ -209,11 +213,38 @@ def field_match_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_names(spark, [n.lower().replace("nation_", "customer") for n in names], dictionary, 2, 0.3)
 
 
+def _called(index: MatchIndex, names: DataFrame, top_n: int, threshold: float) -> DataFrame:
+    """SELECT * FROM field_match(array of the names, ...)."""
+    create_match_function(index, f"{index.name}_match")
+    names.createOrReplaceTempView(f"{index.name}_asked")
+    listed = f"(SELECT collect_list(input_field) FROM {index.name}_asked)"
+    return names.sparkSession.sql(f"SELECT * FROM {index.name}_match({listed}, {top_n}, {threshold}D)")
+
+
+def field_match_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matcher as an SQL function over a kept index."""
+    inputs, dictionary = _numbered(spark, sf_dir)
+    return _called(build_index(dictionary, f"ix_{uuid.uuid4().hex[:12]}"), inputs, 3, 0.1)
+
+
+def field_match_kept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after the dictionary changed: names of customers go, come and get another target."""
+    customers = table(spark, sf_dir, "customer").withColumn("description", F.lit(""))
+    known = F.concat(F.lit("customer"), "c_custkey").alias("src")
+    old = customers.filter("c_custkey % 3 <> 0").select(known, F.col("c_mktsegment").alias("target"), "description")
+    named = F.when(F.col("c_custkey") % 5 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    new = customers.filter("c_custkey % 4 <> 0").select(known, named.alias("target"), "description")
+    index = build_index(old.select("src", "target"), f"ix_{uuid.uuid4().hex[:12]}")
+    apply_changes(index, snapshot_diff(old, new))
+    inputs, _ = _numbered(spark, sf_dir)
+    return _called(index, inputs, 2, 0.1)
+
+
 CHARACTERS_SQL = (
     match_sql(
-        "SELECT n_nationkey, 'customer' || n_nationkey || 'x' AS input_field FROM nation",
+        "SELECT s_suppkey, 'customer' || s_suppkey || 'x' AS input_field FROM supplier",
         "SELECT 'customer' || c_custkey AS src, c_mktsegment AS target FROM customer",
-        "n_nationkey", 3, 0.1, 14,
+        "s_suppkey", 3, 0.1, 14,
     )
     + "SELECT * FROM matches"
 )
@@ -228,6 +259,19 @@ LIST_SQL = (
 )
 
 
+FUNCTION_SQL = CHARACTERS_SQL.replace("SELECT * FROM matches", "SELECT * EXCLUDE (s_suppkey) FROM matches")
+
+KEPT_INDEX_SQL = (
+    match_sql(
+        "SELECT s_suppkey, 'customer' || s_suppkey || 'x' AS input_field FROM supplier",
+        """SELECT 'customer' || c_custkey AS src, CASE WHEN c_custkey % 5 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS target
+           FROM customer WHERE c_custkey % 4 <> 0""",
+        "s_suppkey", 2, 0.1, 14,
+    )
+    + "SELECT * EXCLUDE (s_suppkey) FROM matches"
+)
+
+
 def lookup_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     asked = part.select("p_partkey", F.when(F.col("p_size") < 25, F.col("p_name")).otherwise(F.upper("p_name")).alias("src"))
@@ -252,6 +296,8 @@ QUERIES = {
     "field_match_characters": field_match_characters,
     "field_match_shuffled": field_match_shuffled,
     "field_match_list": field_match_list,
+    "field_match_function": field_match_function,
+    "field_match_kept_index": field_match_kept_index,
     "lookup_target": lookup_targets,
 }
 ORACLES = {
@@ -267,5 +313,7 @@ ORACLES = {
     "field_match_characters": CHARACTERS_SQL,
     "field_match_shuffled": CHARACTERS_SQL,
     "field_match_list": LIST_SQL,
+    "field_match_function": FUNCTION_SQL,
+    "field_match_kept_index": KEPT_INDEX_SQL,
     "lookup_target": LOOKUP_SQL,
 }

@@ -75,9 +75,77 @@ def test_headers_over_lines_odd_names_and_long_rows(spark, tmp_path):
     files, rows = delimited.read_delimited(spark, str(folder))
     assert sorted(r["columns"] for r in files.collect()) == [["a", "b", "c", "d"], ["a\nx", "b"], ["n", "m"]]
     assert sorted((r["values"] for r in rows.collect()), key=repr) == [["1", "2", "3", "4"], ["1", "2"], ["3", "4"], ["5", None]]
-    (folder / "long.csv").write_text("a,b\n3,4,5\n")
-    with pytest.raises(Exception, match="more fields than the header"):
-        delimited.read_delimited(spark, str(folder))[1].collect()
+
+
+def _read(spark, folder):
+    files, rows = delimited.read_delimited(spark, str(folder))
+    told = {r["source_id"].split("/")[-1]: (r["columns"], r["error"]) for r in files.collect()}
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r["source_id"].split("/")[-1], []).append(r["values"])
+    return told, {name: sorted(values, key=repr) for name, values in got.items()}
+
+
+def test_bad_files_are_told_and_good_ones_read(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "good.csv").write_text("a,b\n1,2\n\n3\n")
+    (folder / "long.csv").write_text("a,b\n3,4\n1,2,,5\n")
+    (folder / "long2.csv").write_text('a,b\n"x\ny",4\n1,2,\n')
+    (folder / "open.csv").write_text('a,b\n1,"2\n3,4\n')
+    (folder / "open_head.csv").write_text('a,"b\n1,2\n')
+    (folder / "latin.csv").write_bytes("a,b\nné,2\n".encode("latin-1"))
+    (folder / "empty.csv").write_text("")
+    (folder / "blank.csv").write_text("\n\r\n")
+    (folder / "late.csv").write_text("\n\nk,l\n1,2\n")
+    (folder / "bom.csv").write_bytes(b"\xef\xbb\xbfk\tl\r\n1\t\r\n")
+    (folder / "mac.csv").write_text("k|l\r1|2\r3|4\r")
+    (folder / "quote.csv").write_text('size,b\n5" pipe,x\n"6"" pipe",y\n')
+    told, got = _read(spark, folder)
+    assert told == {
+        "good.csv": (["a", "b"], None), "long.csv": (["a", "b"], "a row has 4 fields, the header 2"),
+        "long2.csv": (["a", "b"], "a row has 3 fields, the header 2"), "open.csv": (["a", "b"], "a quote is not closed"),
+        "open_head.csv": (["a", "b\n1,2"], "a quote is not closed"), "latin.csv": (["a", "b"], "not UTF-8"),
+        "blank.csv": (None, "no header"), "late.csv": (["k", "l"], None), "bom.csv": (["k", "l"], None), "mac.csv": (["k", "l"], None),
+        "quote.csv": (["size", "b"], None),
+    }
+    assert got == {
+        "good.csv": [["1", "2"], ["3", None]], "late.csv": [["1", "2"]], "bom.csv": [["1", None]], "mac.csv": [["1", "2"], ["3", "4"]],
+        "quote.csv": [['5" pipe', "x"], ['6" pipe', "y"]],
+    }
+
+
+@pytest.mark.parametrize("facts_fit", [True, False])
+def test_records_over_the_ends_of_splits(spark, tmp_path, monkeypatch, facts_fit):
+    import csv as standard
+    import random
+
+    from schemalign.sources import delimited as d
+
+    monkeypatch.setattr(d, "BROADCAST_LAYOUTS", 50_000_000 if facts_fit else 0)
+    draw = random.Random(2)
+    texts = ["plain", 'say "x"', "two\nlines", "a,b", "", "long " * 30, "many\n" * 40, '"', '\n"\n']
+    want = {}
+    for name in ("p.csv", "q.csv", "r.csv"):
+        rows = [[str(k), draw.choice(texts), draw.choice(texts[:1] if name == "r.csv" else texts)] for k in range(150)]
+        with open(tmp_path / name, "w", newline="") as out:
+            standard.writer(out, lineterminator="\n").writerows([["id", "x", "y"], *rows])
+        want[name] = sorted([[v or None for v in row] for row in rows], key=repr)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        told, got = _read(spark, tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(told) == 3 and all(t == (["id", "x", "y"], None) for t in told.values())
+    assert got == want
+
+
+def test_states_of_lines():
+    for line, inside, want in [('a,"b', False, True), ('a,"b"', False, False), ('b"', True, False), ('b""', True, True), ('b"",', True, True),
+                               ('5" x', False, False), ('"a""b', False, True), ('"a"b,"c', False, True), ('x","y', True, True), ("", True, True)]:
+        assert delimited.ends_open(line, ",", inside) == want, line
 
 
 def test_map_files(spark, tmp_path):
