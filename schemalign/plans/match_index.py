@@ -27,7 +27,6 @@ from schemalign.operators.settle import settle
 # Answers a call may ask for, and the lowest threshold, unless the index is built for others.
 MOST_ANSWERS = 10
 LEAST_THRESHOLD = 0.1
-BUCKETS = 64
 
 _SIDES = ("entries", "terms", "vocabulary", "facts", "names")
 _NO_PROBES = "cast(array() AS array<string>)"
@@ -68,11 +67,13 @@ def _postings(keys: DataFrame, order: str, least: float) -> DataFrame:
     return named.select(F.explode(F.array_distinct(F.expr(f"concat({', '.join(kinds)})"))).alias("probe"), "key")
 
 
-def _save(df: DataFrame, table: str, bucketed: str | None = None, mode: str = "error") -> None:
-    writer = df.write.mode(mode).format("parquet")
-    if bucketed:
-        writer = writer.bucketBy(BUCKETS, bucketed).sortBy(bucketed)
-    writer.saveAsTable(table)
+def _save(df: DataFrame, table: str, bucketed: str | None = None, mode: str = "error", buckets: int = 0) -> None:
+    if not bucketed:
+        df.write.mode(mode).format("parquet").saveAsTable(table)
+        return
+    # As many buckets as the cluster shuffles into; dealt as they are bucketed, so that a task writes one file.
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, bucketed).write.mode(mode).format("parquet").bucketBy(n, bucketed).sortBy(bucketed).saveAsTable(table)
 
 
 def _one_target(entries: DataFrame) -> DataFrame:
@@ -93,8 +94,10 @@ def _publish(spark: SparkSession, name: str, entries: DataFrame, terms: DataFram
     vectors = tfidf.weigh(sources.select("key"), spark.table(made["vocabulary"]))
     named = sources.join(vectors.select("key", tfidf.vector("entries").alias("vec")), "key")
     _save(named.select("key", "copies", "rows", text.word_set(F.col("key")).alias("words"), "vec"), made["names"], "key")
-    row = (known.has_terms, known.has_empty, known.first_keys, kept["order"], kept["least"], kept["most"], kept["postings"])
-    schema = "has_terms boolean, has_empty boolean, first_keys array<string>, chars string, least double, most int, postings string"
+    row = (known.has_terms, known.has_empty, known.first_keys, *[kept[k] for k in ("chars", "least", "most", "postings", "buckets")])
+    schema = (
+        "has_terms boolean, has_empty boolean, first_keys array<string>, chars string, least double, most int, postings string, buckets int"
+    )
     _save(spark.createDataFrame([row], schema), made["facts"])
     for side in _SIDES:
         spark.sql(f"CREATE OR REPLACE VIEW {name}_{side} AS SELECT * FROM {made[side]}")
@@ -111,9 +114,10 @@ def build_index(
     sources = settle(lexicon.keyed_rows(_one_target(entries), 1).select("key", "copies"))
     order = characters.rare_to_common(sources)
     postings = f"{name}_postings_{uuid.uuid4().hex[:12]}"
-    _save(_postings(sources, order, least_threshold), postings, "probe")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _save(_postings(sources, order, least_threshold), postings, "probe", buckets=buckets)
     spark.sql(f"CREATE OR REPLACE VIEW {name}_postings AS SELECT * FROM {postings}")
-    kept = {"order": order, "least": least_threshold, "most": most_answers, "postings": postings}
+    kept = {"chars": order, "least": least_threshold, "most": most_answers, "postings": postings, "buckets": buckets}
     _publish(spark, name, entries, tfidf.count_terms(sources), kept)
     return MatchIndex(spark, name)
 
@@ -143,9 +147,8 @@ def apply_changes(index: MatchIndex, diff: DataFrame) -> None:
     keys = copies(after, 1).select("key").distinct()
     posted = index.table("postings").filter("probe LIKE 'x:%'").select("key").distinct()
     new = settle(keys.join(posted, "key", "left_anti"))
-    _save(_postings(new, facts["chars"], facts["least"]), facts["postings"], "probe", "append")
-    kept = {"order": facts["chars"], "least": facts["least"], "most": facts["most"], "postings": facts["postings"]}
-    _publish(spark, index.name, entries, terms, kept)
+    _save(_postings(new, facts["chars"], facts["least"]), facts["postings"], "probe", "append", facts["buckets"])
+    _publish(spark, index.name, entries, terms, facts.asDict())
 
 
 def _matching(rows: DataFrame, others: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -155,8 +158,11 @@ def _matching(rows: DataFrame, others: DataFrame, keys: list[str], how: str) ->
     return rows.join(renamed, same, how)
 
 
-def _body(index: str, order: str, least: float, most: int) -> str:
-    """The table function's query; its parameters are input_fields, top_n and min_threshold."""
+def _body(index: str, order: str, least: float, most: int, parts: int) -> str:
+    """The table function's query; its parameters are input_fields, top_n and min_threshold.
+
+    Pairs are compared in so many tasks: few bytes may be much work, which the size of a shuffle does not tell.
+    """
     share = f"(if(has_terms, {text.BASIC_SHARE}D, 1D) * {text.SEQUENCE_WEIGHT}D)"
     contains = "contains(a, b) OR contains(b, a)"
     probed = [
@@ -173,7 +179,7 @@ def _body(index: str, order: str, least: float, most: int) -> str:
         "CASE WHEN length(b) >= 200 THEN NULL WHEN exact = 1 THEN 1D "
         f"WHEN inside = 1 THEN 2 * least(length(a), length(b)) / {total} END"
     )
-    highest = f"if({total} > 0, 2 * {text.shared_characters_sql('a', 'b')} / {total}, 1D)"
+    highest = f"if({total} > 0, 2 * in_common / {total}, 1D)"
 
     def combined(sequence: str) -> str:
         basic = (
@@ -223,23 +229,27 @@ def _body(index: str, order: str, least: float, most: int) -> str:
       FROM featured WHERE key <> ''
     ),
     met AS (
-      SELECT a, p.key AS b FROM probed JOIN {index}_postings p USING (probe)
+      SELECT a, p.key AS b, substring(probe, 1, 1) IN ('x', 'g', 'h', 'w') AS sure
+      FROM probed JOIN {index}_postings p USING (probe)
       WHERE CASE substring(probe, 1, 1)
               WHEN 'x' THEN true
               WHEN 'g' THEN contains(p.key, a)
               WHEN 'h' THEN contains(a, p.key)
               WHEN 'w' THEN true
-              ELSE {ratio} < 1 AND {text.shared_characters_sql('a', 'p.key')} >= {needed.replace('length(b)', 'length(p.key)')}
+              ELSE least(length(a), length(p.key)) >= {ratio} / (2 - {ratio}) * greatest(length(a), length(p.key)) - 1e-9D
             END
-      UNION ALL SELECT key, b FROM (SELECT key, explode(first_keys) AS b FROM featured WHERE key = '') WHERE b <> ''
-      UNION ALL SELECT key, '' FROM featured WHERE has_empty
+      UNION ALL SELECT key, b, true FROM (SELECT key, explode(first_keys) AS b FROM featured WHERE key = '') WHERE b <> ''
+      UNION ALL SELECT key, '', true FROM featured WHERE has_empty
     ),
+    once AS (SELECT /*+ REPARTITION({parts}, a, b) */ a, b, bool_or(sure) AS sure FROM met GROUP BY a, b),
+    counted_pairs AS (SELECT a, b, sure, {text.shared_characters_sql('a', 'b')} AS in_common FROM once),
     pairs AS (
-      SELECT a, b, f.n, f.least, f.has_terms, rows, f.words AS words_a, m.words AS words_b, f.vec AS vec_a, m.vec AS vec_b
-      FROM (SELECT DISTINCT a, b FROM met) JOIN featured f ON a = f.key JOIN {index}_names m ON b = m.key
+      SELECT a, b, in_common, f.n, f.least, f.has_terms, rows, f.words AS words_a, m.words AS words_b, f.vec AS vec_a, m.vec AS vec_b
+      FROM counted_pairs JOIN featured f ON a = f.key JOIN {index}_names m ON b = m.key
+      WHERE sure OR in_common >= {needed}
     ),
     partly AS (
-      SELECT a, b, n, least, has_terms, rows, CAST(a = b AS DOUBLE) AS exact, CAST({contains} AS DOUBLE) AS inside,
+      SELECT a, b, in_common, n, least, has_terms, rows, CAST(a = b AS DOUBLE) AS exact, CAST({contains} AS DOUBLE) AS inside,
              if({union} > 0, {shared} / {union}, 0D) AS overlap, {tfidf.dot_sql('vec_a', 'vec_b')} AS tfidf
       FROM pairs
     ),
@@ -286,5 +296,5 @@ def create_match_function(index: MatchIndex, function: str = "field_match") -> N
             RETURNS TABLE (input_field STRING, src_field STRING, target_field STRING, combined_score DOUBLE,
               exact_score DOUBLE, substring_score DOUBLE, sequence_score DOUBLE, word_overlap DOUBLE,
               tfidf_score DOUBLE, match_rank INT)
-            RETURN {_body(index.name, facts['chars'], facts['least'], facts['most'])}"""
+            RETURN {_body(index.name, facts['chars'], facts['least'], facts['most'], facts['buckets'])}"""
     )
