@@ -28,7 +28,7 @@ def looked_up(left: DataFrame, right: DataFrame, keys: Sequence[str], counts: Da
     return salted_lookup(left, right, keys, "inner", counts=counts)
 
 
-def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+def without(rows: DataFrame, ids: DataFrame, key: str | list[str]) -> DataFrame:
     """rows whose key is none of the settled ids; wide rows stay where they are while the ids are few."""
     return rows.join(_sent(ids), key, "left_anti")
 

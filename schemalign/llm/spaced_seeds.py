@@ -1,10 +1,12 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed is a run of words of which a fixed mask looks at some; a substituted word under a zero of the mask changes
-nothing. The masks for a length hit every pattern of substitutions that the identity allows. Seeds of the benchmark and of the documents meet by their hashes. Every hit names a diagonal, document position
-minus item position, along which words are compared one by one: an item is found where a window of `window` words (the
-whole item if it is shorter) has at least `identity` equal ones, or where RUN words in a row are equal, which also tells
-passages that an end of the document cuts.
+nothing. The masks for a length hit every pattern of substitutions that the identity allows. Seeds of the benchmark and
+of the documents meet by their hashes. Every hit names a diagonal, document position minus item position, along which
+words are compared one by one: an item is found where a window of `window` words (the whole item if it is shorter) has at
+least `identity` equal ones, or where RUN words in a row are equal, which also tells passages that an end of the document
+cuts. Items of fewer than five words are found where all their words stand in a row. In scripts that set no blanks every
+character is a word.
 """
 
 from __future__ import annotations
@@ -31,13 +33,14 @@ MASK_SETS = (
     (10, 2, ("111011", "11010011", "11111")),
     (5, 1, ("1111", "11101", "11011", "10111")),
 )
-SHORTEST_ITEM = 5
 WINDOW = 20
 IDENTITY = 0.8
 RUN = 13
 MOST_FILTER_BITS = 1 << 27
 
-_WORD = re.compile(r"\w+")
+# Thai to Lao, Tibetan to Myanmar, Khmer, kana, Han; these scripts set no blanks between words.
+_UNSPACED = "\u0e00-\u0eff\u0f00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W{_UNSPACED}]+|[{_UNSPACED}]")
 _PLACES = (0, 21, 42)
 
 
@@ -82,24 +85,31 @@ def _masks_for(n_words: int, window: int = WINDOW, identity: float = IDENTITY) -
     return ("1" * max(1, min(RUN, -(-(width - lost) // (lost + 1)))),)
 
 
-def _items(benchmark: DataFrame, window: int = WINDOW, identity: float = IDENTITY) -> DataFrame:
-    """benchmark (item_id, text) -> (item_id, words array<long>, hash, at): a row for each seed of each item."""
+def _items(benchmark: DataFrame) -> DataFrame:
+    """benchmark (item_id, text) -> (item long, item_id, words array<long>): every id and text once, numbered."""
 
-    def seeds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
         for frame in frames:
-            for item_id, text in zip(frame["item_id"], frame["text"], strict=True):
-                words = word_hashes(text, known)
-                if len(words) < SHORTEST_ITEM:
-                    continue
-                masks = _masks_for(len(words), window, identity)
-                found = [(h, at) for mask in masks for at, h in enumerate(seed_hashes(words, mask).view(np.int64))]
-                hashes, places = zip(*found, strict=True)
-                signed = words.view(np.int64).tolist()
-                yield pd.DataFrame({"item_id": item_id, "words": [signed] * len(found), "hash": hashes, "at": places})
+            words = [word_hashes(t, known).view(np.int64) for t in frame["text"]]
+            yield pd.DataFrame({"item_id": frame["item_id"], "words": words})
+
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna().distinct()
+    told = named.mapInPandas(read, "item_id long, words array<long>").filter(F.size("words") > 0)
+    return told.select(F.monotonically_increasing_id().alias("item"), "item_id", "words")
 
-    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna()
-    return named.mapInPandas(seeds, "item_id long, words array<long>, hash long, at int")
+
+def _seeds(items: DataFrame, window: int = WINDOW, identity: float = IDENTITY) -> DataFrame:
+    """items (item, words) -> (item, hash, at): a row for each seed of each item."""
+
+    def seeds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for item, words in zip(frame["item"], frame["words"], strict=True):
+                for mask in _masks_for(len(words), window, identity):
+                    found = seed_hashes(np.asarray(words).view(np.uint64), mask).view(np.int64)
+                    yield pd.DataFrame({"item": item, "hash": found, "at": np.arange(len(found), dtype=np.int32)})
+
+    return items.select("item", "words").mapInPandas(seeds, "item long, hash long, at int")
 
 
 def _filter_bits(seeds: DataFrame) -> tuple[int, np.ndarray]:
@@ -131,14 +141,18 @@ def _may_be_in(hashes: np.ndarray, bits: int, field: np.ndarray) -> np.ndarray:
     return hit
 
 
-def _row_key(docs: DataFrame) -> Column:
-    return F.xxhash64("doc_id", "text")
+# A document row is told by 128 bits of its id and text, so that rows do not meet by chance.
+ROW = ["row", "row2"]
+
 
+def _row_key(docs: DataFrame) -> list[Column]:
+    return [F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit(2), "text", "doc_id").alias("row2")]
 
-def _hits(docs: DataFrame, seeds: DataFrame, window: int = WINDOW, identity: float = IDENTITY) -> DataFrame:
-    """(row, words array<long>, hashes, places) of documents with a seed that may be one of the benchmark's."""
+
+def _hits(docs: DataFrame, items: DataFrame, seeds: DataFrame, window: int = WINDOW, identity: float = IDENTITY) -> DataFrame:
+    """(row, row2, words array<long>, hashes, places) of documents with a seed that may be one of the benchmark's."""
     bits, field = _filter_bits(seeds)
-    widths = [r["n"] for r in seeds.select(F.least(F.size("words"), F.lit(window)).alias("n")).distinct().collect()]
+    widths = [r["n"] for r in items.select(F.least(F.size("words"), F.lit(window)).alias("n")).distinct().collect()]
     masks = sorted({mask for n in widths for mask in _masks_for(n, window, identity)})
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
@@ -146,20 +160,20 @@ def _hits(docs: DataFrame, seeds: DataFrame, window: int = WINDOW, identity: flo
         known = _Hashes()
         for batch in batches:
             out: list[tuple] = []
-            for row, text in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+            for row, row2, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 words = word_hashes(text, known)
                 hashes = [seed_hashes(words, m) for m in masks]
                 hits = [np.flatnonzero(_may_be_in(h, bits, sent.value)) for h in hashes]
                 if any(map(len, hits)):
                     some = np.concatenate([h[at] for h, at in zip(hashes, hits, strict=True)])
-                    out.append((row, words.view(np.int64), some.view(np.int64), np.concatenate(hits)))
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3]
+                    out.append((row, row2, words.view(np.int64), some.view(np.int64), np.concatenate(hits)))
+            columns = list(zip(*out, strict=True)) or [[] for _ in range(5)]
+            kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "words", "hashes", "places"])
+            yield pa.RecordBatch.from_arrays(arrays, [*ROW, "words", "hashes", "places"])
 
-    keyed = docs.select(_row_key(docs).alias("row"), "text")
-    return keyed.mapInArrow(found, "row long, words array<long>, hashes array<long>, places array<long>")
+    keyed = docs.select(*_row_key(docs), "text")
+    return keyed.mapInArrow(found, "row long, row2 long, words array<long>, hashes array<long>, places array<long>")
 
 
 def best_window(doc: np.ndarray, item: np.ndarray, diagonal: int, window: int) -> tuple[int, int, int]:
@@ -186,32 +200,31 @@ def exact_run(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, in
 def overlaps(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, identity: float = IDENTITY
 ) -> DataFrame:
-    """docs (doc_id, text, ...), benchmark (item_id, text) -> (row, item_id, doc_start, item_start, n_words, n_equal).
+    """docs (doc_id, text, ...), benchmark (item_id, text, ...) -> (row, row2, item_id, doc_start, item_start, n_words, n_equal).
 
     One row per document row and item found in it, with the best window (of several, the first in the document) or, where
-    no window reaches the identity, the longest run of equal words, RUN at least. row is a hash of doc_id and text, so repeated rows are one. Words are runs of letters, digits and underscores in lower
-    case. Items of fewer than five words, null ones and items without id can't be told from chance and are not looked
+    no window reaches the identity, the longest run of equal words, RUN at least. row and row2 are hashes of doc_id and
+    text, so repeated rows are one. Every text of an item_id is an item of its own, equal ones are one. Words are runs of
+    letters, digits and underscores in lower case. Null items, those without id and those without a word are not looked
     for; null and empty texts contain nothing. An empty table on either side gives no rows.
     """
-    seeds = settle(_items(benchmark, window, identity))
-    marked = settle(_hits(docs, seeds, window, identity))
-    hits = marked.select("row", F.explode(F.arrays_zip("hashes", "places")).alias("h")).select(
-        "row", F.col("h.hashes").alias("hash"), F.col("h.places").alias("place")
-    )
-    meant = seeds.groupBy("hash").agg(F.collect_set(F.struct("item_id", "at")).alias("of"))
-    met = looked_up(hits, meant, ["hash"]).select("row", "place", F.explode("of").alias("o"))
-    diagonals = met.groupBy("row", F.col("o.item_id").alias("item_id")).agg(
-        F.collect_set(F.col("place") - F.col("o.at")).alias("diagonals")
+    items = settle(_items(benchmark))
+    seeds = settle(_seeds(items, window, identity))
+    marked = settle(_hits(docs, items, seeds, window, identity))
+    hits = marked.select(*ROW, F.explode(F.arrays_zip("hashes", "places")).alias("h")).select(
+        *ROW, F.col("h.hashes").alias("hash"), F.col("h.places").alias("place")
     )
+    meant = seeds.groupBy("hash").agg(F.collect_set(F.struct("item", "at")).alias("of"))
+    met = looked_up(hits, meant, ["hash"]).select(*ROW, "place", F.explode("of").alias("o"))
+    diagonals = met.groupBy(*ROW, F.col("o.item").alias("item")).agg(F.collect_set(F.col("place") - F.col("o.at")).alias("diagonals"))
     diagonals = settle(diagonals)
-    items = seeds.groupBy("item_id").agg(F.first("words").alias("item_words"))
-    beside = looked_up(diagonals, items, ["item_id"])
-    pairs = beside.join(marked.select("row", "words").dropDuplicates(["row"]), "row")
+    beside = looked_up(diagonals, items.withColumnRenamed("words", "item_words"), ["item"])
+    pairs = beside.join(marked.select(*ROW, "words").dropDuplicates(ROW), ROW)
 
     def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for row, item_id, words, item, lines in frame[["row", "item_id", "words", "item_words", "diagonals"]].itertuples(index=False):
+            for row, row2, item_id, words, item, lines in frame.itertuples(index=False):
                 tried = [(*best_window(words, item, int(d), window), int(d)) for d in np.sort(lines)]
                 start, width, equal, line = max(tried, key=lambda t: (t[2], -t[0]))
                 if equal < identity * width:
@@ -220,22 +233,21 @@ def overlaps(
                     equal = width
                     if width < RUN:
                         continue
-                out.append((row, item_id, start, start - line, width, equal))
-            yield pd.DataFrame(out, columns=["row", "item_id", "doc_start", "item_start", "n_words", "n_equal"])
+                out.append((row, row2, item_id, start, start - line, width, equal))
+            yield pd.DataFrame(out, columns=[*ROW, "item_id", "doc_start", "item_start", "n_words", "n_equal"])
 
-    schema = "row long, item_id long, doc_start long, item_start long, n_words long, n_equal long"
-    return pairs.select("row", "item_id", "words", "item_words", "diagonals").mapInPandas(verified, schema)
+    schema = "row long, row2 long, item_id long, doc_start long, item_start long, n_words long, n_equal long"
+    return pairs.select(*ROW, "item_id", "words", "item_words", "diagonals").mapInPandas(verified, schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, identity: float = IDENTITY) -> DataFrame:
     """The overlaps with the doc_id of their documents; a row for every row of docs that holds an item."""
     found = settle(overlaps(docs, benchmark, window, identity))
-    named = docs.select("doc_id", _row_key(docs).alias("row"))
-    return named.join(found, "row").drop("row")
+    return docs.select("doc_id", *_row_key(docs)).join(found, ROW).drop(*ROW)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, identity: float = IDENTITY) -> DataFrame:
     """The rows of docs in which no item is found."""
-    found = settle(overlaps(docs, benchmark, window, identity).select("row").distinct())
-    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"), _row_key(docs).alias("row"))
-    return without(rows, found, "row").select("doc.*")
+    found = settle(overlaps(docs, benchmark, window, identity).select(*ROW).distinct())
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"), *_row_key(docs))
+    return without(rows, found, ROW).select("doc.*")

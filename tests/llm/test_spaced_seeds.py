@@ -18,7 +18,7 @@ def plain(docs, items, window=20, identity=0.8):
         words = re.findall(r"\w+", (text or "").lower())
         for item_id, item in items:
             told = re.findall(r"\w+", (item or "").lower())
-            if item_id is None or len(told) < spaced_seeds.SHORTEST_ITEM:
+            if item_id is None or not told:
                 continue
             width = min(window, len(told))
             for line in range(-len(told), len(words) + 1):
@@ -99,3 +99,23 @@ def test_passages_cut_by_an_end(rows):
     got = spaced_seeds.contaminated(rows(docs, "doc_id long, text string"), items).collect()
     want = [(0, 1, 0, 27, 13, 13), (1, 1, 30, 0, 13, 13), (3, 1, 1, 7, 13, 13)]
     assert sorted(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_several_texts_under_one_id(rows, turned):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    items = [(1, a), (1, b), (1, a), (2, b)]
+    docs = [(0, f"x {a} y"), (1, f"x {b} y"), (2, f"{b} {a}"), (3, "x y")]
+    docs_df = rows(docs, "doc_id long, text string")
+    items_df = rows(items[::-1] if turned else items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.doc_start) for r in spaced_seeds.contaminated(docs_df, items_df).collect())
+    assert got == [(0, 1, 1), (1, 1, 1), (1, 2, 1), (2, 1, 0), (2, 1, 30), (2, 2, 0)]
+    assert [r.doc_id for r in spaced_seeds.clean(docs_df, items_df).collect()] == [3]
+
+
+def test_short_items_and_scripts_without_blanks(rows):
+    items = [(1, "four words are these"), (2, "東京都渋谷区の天気は晴れです"), (3, "Zyzzyva!"), (4, "ภาษาไทยไม่มีช่องว่าง"), (5, "..."), (6, "новости дня сегодня вечером поздно")]
+    docs = [(0, "See: four WORDS are these."), (1, "four words were these"), (2, "明日、東京都渋谷区の天気は晴れですね"), (3, "明日東京都渋谷区の天候は晴れです"),
+            (4, "a zyzzyva flies"), (5, "zyzzyvas"), (6, "คำภาษาไทยไม่มีช่องว่างครับ"), (7, "... ..."), (8, "новости дня сегодня утром поздно")]
+    found = spaced_seeds.contaminated(rows(docs, "doc_id long, text string"), rows(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(0, 1), (2, 2), (3, 2), (4, 3), (6, 4), (8, 6)]
