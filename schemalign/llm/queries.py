@@ -45,7 +45,8 @@ def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scores = toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
-    return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    held_out = F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
+    return scores.select("doc_id", held_out, "score", "predicted")
 
 
 def op7_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

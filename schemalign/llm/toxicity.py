@@ -258,7 +258,8 @@ def _count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counts[int(toxic > 0)].update(words)
             counts[int(toxic > 0)].update(stems)
     words = list(counts[0].keys() | counts[1].keys())
-    yield pd.DataFrame({"word": words, "toxic": [counts[1][w] for w in words], "clean": [counts[0][w] for w in words]})
+    numbers = {name: np.array([counts[k][w] for w in words], np.int64) for k, name in ((1, "toxic"), (0, "clean"))}
+    yield pd.DataFrame({"word": pd.Series(words, dtype=object)} | numbers)
 
 
 def join_stems(candidates: list[tuple[str, int, int]]) -> list[str]:

@@ -100,3 +100,10 @@ def test_nothing_to_learn(rows):
     model = toxicity.learn(empty, labels)
     assert toxicity.score(empty, model).collect() == []
     assert [r.predicted for r in toxicity.score(rows([(1, "idiot")], "doc_id long, text string"), model).collect()] == [0]
+
+
+def test_a_task_without_words(spark):
+    docs = spark.createDataFrame([(1, "11 22"), (2, "!"), (3, None), (4, "これは一つだけの文書です")], "doc_id long, text string").repartition(4, "doc_id")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 5)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert toxicity.score(docs, model).count() == 4
