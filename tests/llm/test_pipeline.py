@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import public_tokenizers
 import pytest
 from test_simhash import plain_components, plain_fingerprint
 from test_spaced_seeds import plain as plain_overlaps
+from tokenizers import Tokenizer
 
 WORDS = {
     "en": "the and with house garden between really school street over thing walking morning evening river letter winter",
@@ -34,6 +36,10 @@ def tables(spark, tmp_path):
     for k in range(20):
         docs.append([300 + k, docs[k * 7][1], docs[k * 7][2], "src0"])
     docs += [[400, "+++ 1234 ---", "en", "src0"], [401, None, None, None], [402, "", "en", "src1"]]
+    for k in range(20):
+        words = "il la casa giardino tra scuola strada sopra cosa ragazzo".split() if k % 2 else "дом сад между школа улица над эта вещь мальчик".split()
+        docs.append([500 + k, " ".join(rng.choice(words) + str(rng.randrange(99)) for _ in range(40)), "it" if k % 2 else "ru", "src2"])
+    docs.append([600, "これは一つだけの文書です。" * 3, "ja", "src2"])
     rows = [(i, t, lang, s, len(t or "")) for i, t, lang, s in docs]
     folder = tmp_path / "tables"
     schema = "doc_id long, text string, lang string, source string, n_chars long"
@@ -64,7 +70,9 @@ def test_every_stage(spark, tables, tmp_path):
     hit = {d for d, _ in plain_overlaps([(i, text[i]) for i in ids["simhash_near_dedup"]], items)}
     assert hit and ids["decontamination"] == [i for i in ids["simhash_near_dedup"] if i not in hit]
     assert ids["packing"] == ids["decontamination"]
-    assert {r.doc_id: r.n_tokens for r in now.collect()} == {i: len(text[i].split()) for i in ids["decontamination"]}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {r.doc_id: r.n_tokens for r in now.collect()} == {i: len(tokenizer.encode(text[i], add_special_tokens=False).ids) for i in ids["decontamination"]}
+    assert {*range(500, 520), 600} <= set(ids["decontamination"])
     whole = sorted(map(tuple, corpus_pipeline.run(spark, folder).collect()))
     assert whole == sorted(map(tuple, now.collect()))
 
