@@ -5,17 +5,20 @@ Every stage works on all documents its predecessor kept; between stages the docu
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from schemalign.llm import language_id, packing, simhash, spaced_seeds, toxicity
+from schemalign.llm import language_id, packing, simhash, spaced_seeds, token_files, toxicity
 from schemalign.operators.settle import settle
 
+TOKENIZER = "byte_bpe_50k.json"
 SHINGLE_WORDS = 4
 MOST_UNLIKE_BITS = 4
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined."""
+    """Documents whose language is determined; languages without a profile are kept."""
     return language_id.in_a_language(docs)
 
 
@@ -36,8 +39,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document in its place: (doc_id, piece, first_token, n_tokens, bucket, padded_to, batch, slot)."""
-    return packing.pack(docs)
+    """Every piece of every document in its place: (doc_id, piece, first_token, n_tokens, bucket, padded_to, batch, slot).
+
+    Tokens are the ids that the tokenizer makes of the whole texts.
+    """
+    counted = token_files.count_tokens(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack(counted, F.col("n_tokens"))
 
 
 STAGES = [
