@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from schemalign.llm.blocks import BLOCK_ROWS, in_cells, lowest_reachable, read_cells
 from schemalign.llm.components import components
-from schemalign.llm.lookups import looked_up
+from schemalign.llm.lookups import looked_up, named_by
 from schemalign.operators.settle import settle
 
 TABLES = 4
@@ -109,7 +109,7 @@ def _keyed(nodes: DataFrame, threshold: float, tables: int, probes: int) -> Data
                 found = cell_keys(_unit(same["embedding"]), threshold, tables, probes)
                 yield same.assign(dims=dims, cells=list(found.reshape(len(same), -1)))
 
-    fields = "node long, label int, embedding array<double>, copies long, dims int, cells array<long>"
+    fields = "node long, label string, embedding array<double>, copies long, dims int, cells array<long>"
     wide = nodes.select("node", "label", F.col("embedding").cast("array<double>"), "copies").mapInPandas(keys, fields)
     cell = F.posexplode("cells").alias("at", "key")
     return wide.select(*wide.columns, cell).withColumn("table", F.floor(F.col("at") / (1 + probes)).cast("int")).drop("at")
@@ -169,7 +169,7 @@ def near_duplicates(
     vectors of one label are one node: their copies are counted, not paired. Rows that repeat a vec_id are vectors of
     their own. An empty table gives an empty result; other columns are not looked at.
     """
-    own = vectors.select("vec_id", F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<float>").alias("embedding")).withColumn(
+    own = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).withColumn(
         "usable", _usable("embedding") & F.col("label").isNotNull()
     )
     usable = settle(own.filter("usable").drop("usable"))
@@ -190,8 +190,8 @@ def near_duplicates(
             (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         )
     )
-    named = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    lookup = members.join(named, "component").select(*kinds, "n_links", "component_id")
+    named = settle(members.groupBy("component").agg(F.min("first_id").alias("component_id")))
+    lookup = named_by(members, named, ["component"]).select(*kinds, "n_links", "component_id")
     counts = nodes.select(*kinds, F.col("copies").alias("rows"))
     found = looked_up(usable, lookup, kinds, counts).select("vec_id", "n_links", "component_id")
     alone = own.filter("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

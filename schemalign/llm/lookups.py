@@ -28,6 +28,13 @@ def looked_up(left: DataFrame, right: DataFrame, keys: Sequence[str], counts: Da
     return salted_lookup(left, right, keys, "inner", counts=counts)
 
 
+def named_by(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """looked_up where the settled right side has few columns of fixed size: it is sent while its rows are few."""
+    if right.count() <= BROADCAST_IDS:
+        return left.join(F.broadcast(right), list(keys))
+    return looked_up(left, right, keys)
+
+
 def without(rows: DataFrame, ids: DataFrame, key: str | list[str]) -> DataFrame:
     """rows whose key is none of the settled ids; wide rows stay where they are while the ids are few."""
     return rows.join(_sent(ids), key, "left_anti")

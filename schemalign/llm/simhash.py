@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from schemalign.llm.blocks import BLOCK_ROWS, in_cells, lowest_reachable, read_cells
 from schemalign.llm.components import components
-from schemalign.llm.lookups import among, looked_up, without
+from schemalign.llm.lookups import among, looked_up, named_by, without
 from schemalign.operators.settle import settle
 
 SEED = 42
@@ -158,8 +158,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, limit: int = 4, block_row
     members = nodes.join(linked.withColumnRenamed("node", "bits"), "bits", "left").withColumn(
         "component", F.coalesce("component", "bits")
     )
-    named = members.groupBy("component").agg(F.min("lowest_id").alias("component_id"))
-    lookup = members.select("bits", "component").join(named, "component").select("bits", "component_id")
+    named = settle(members.groupBy("component").agg(F.min("lowest_id").alias("component_id")))
+    lookup = named_by(members.select("bits", "component"), named, ["component"]).select("bits", "component_id")
     found = looked_up(prints, lookup, ["bits"], nodes.select("bits", "rows"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -76,3 +76,13 @@ def test_decoding_finds_the_nearest_point():
 
 def test_empty_table(rows):
     assert lattice.near_duplicates(rows([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_labels_of_any_type_and_vectors_of_any_size(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=8)
+    sizes = {1: 1.0, 2: 1e-60, 3: 1e300, 4: 1e-200}
+    for kind, one, other in (("string", "a", "b"), ("bigint", 1 << 40, 5), ("double", 0.5, 0.25)):
+        data = [(i, (x * s).tolist(), one) for i, s in sizes.items()] + [(9, x.tolist(), other)]
+        got = lattice.near_duplicates(spark.createDataFrame(data, f"vec_id long, embedding array<double>, label {kind}")).collect()
+        assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 9: (0, 9)}
