@@ -49,7 +49,7 @@ class _Hashes(dict):
 
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < 500_000:
+        if len(self) < 250_000:
             self[word] = value
         return value
 

@@ -34,7 +34,7 @@ BLOCK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
 
 # Encoded words a task's process keeps, for speed only; others are encoded anew.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 500_000
 DOCS_AT_ONCE = 2048
 
 # A blank at an end of the text or beside other white space.

@@ -143,7 +143,7 @@ class Matcher:
         """(term, edits) of all terms a token may be, each with its fewest edits."""
         found = self.known.get(token)
         if found is None:
-            if len(self.known) >= 500_000:
+            if len(self.known) >= 200_000:
                 self.known.clear()
             found = self.known[token] = self._read(bare(token)) if self.terms else ()
         return found
