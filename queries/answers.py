@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queries.common import table
+from queries.common import fresh_folder, table
 from queries.matching import part_dictionary
 from schemalign.operators import answers as a
 from schemalign.operators.mapping import suggestion_for
@@ -58,6 +58,24 @@ def complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.complete(build_prompts(spark, sf_dir), answer)
 
 
+def complete_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with answers kept: the second run asks the failing prompts only, and they fail no more."""
+    store = fresh_folder(spark)
+
+    def first(prompt: str) -> str:
+        lines = len(prompt.splitlines())
+        if lines % 5 == 0:
+            raise ValueError(f"{lines} lines")
+        return f"{lines} lines"
+
+    def second(prompt: str) -> str:
+        return f"{len(prompt.splitlines())} lines at last"
+
+    prompts = build_prompts(spark, sf_dir)
+    a.complete_kept(prompts, first, store)
+    return a.complete_kept(prompts, second, store)
+
+
 def response_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.response_status(_responses(spark, sf_dir)).select("source_id", "status")
 
@@ -97,6 +115,7 @@ RESOLVED_SQL = """
 QUERIES = {
     "build_prompts": build_prompts,
     "complete": complete,
+    "complete_kept": complete_kept,
     "response_status": response_status,
     "parse_mapping": parse_mapping,
     "resolve_responses": resolve_responses,
@@ -107,6 +126,9 @@ ORACLES = {
     "complete": f"""
 SELECT source_id, block, CASE WHEN n % 5 > 0 THEN n || ' lines' END AS response,
        CASE WHEN n % 5 = 0 THEN 'ValueError: ' || n || ' lines' END AS error
+FROM (SELECT *, len(string_split(prompt, chr(10))) AS n FROM ({PROMPT_SQL}))""",
+    "complete_kept": f"""
+SELECT source_id, block, n || CASE WHEN n % 5 > 0 THEN ' lines' ELSE ' lines at last' END AS response, NULL::VARCHAR AS error
 FROM (SELECT *, len(string_split(prompt, chr(10))) AS n FROM ({PROMPT_SQL}))""",
     "response_status": """
 SELECT event_id AS source_id, CASE event_type WHEN 'error' THEN 'no_json' WHEN 'signup' THEN 'bad_json' ELSE 'ok' END AS status

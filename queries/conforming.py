@@ -12,7 +12,9 @@ from schemalign.functions import text
 from schemalign.operators import conform as c
 from schemalign.plans.map_files import map_files as run_map_files
 from schemalign.sources import delimited, tables, workbook
+from schemalign.streaming.landing import land_files as run_land_files
 from schemalign.streaming.landing import land_stream as run_land_stream
+from schemalign.streaming.landing import landed
 
 TARGETS = ["Account Name", "Account No.", "Nation/Key?", "Segment", "Unused Field"]
 CUSTOMER_MAPPING = [
@@ -23,6 +25,7 @@ LINE_MAPPING = [
     ("l_orderkey", "Order"), ("l_linenumber", "Line"), ("l_returnflag", "Flag"), ("l_linestatus", "Status"),
     ("l_suppkey", "Flag"), ("absent", "Nowhere"),
 ]
+WORKBOOK_ROWS = 1000
 LINE_TARGETS = ["Flag", "Line", "Nowhere", "Order", "Part", "Status"]
 
 CONFORM_CUSTOMER_SQL = """
@@ -191,10 +194,11 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as workbooks, one per nation, made in tasks and read back."""
-    customers = table(spark, sf_dir, "customer").withColumn("c_custkey", F.col("c_custkey").cast("string"))
+    """Customers as workbooks of up to WORKBOOK_ROWS rows, by nation and block of keys, made in tasks and read back."""
+    block = F.floor(F.col("c_custkey") / WORKBOOK_ROWS)
+    customers = table(spark, sf_dir, "customer").withColumn("path", F.concat_ws("-", "c_nationkey", block))
     kinds = {"c_custkey": "number", "c_name": "shared", "c_mktsegment": "inline"}
-    books = customers.groupBy(F.col("c_nationkey").cast("string").alias("path")).applyInPandas(
+    books = customers.withColumn("c_custkey", F.col("c_custkey").cast("string")).groupBy("path").applyInPandas(
         lambda key, rows: pd.DataFrame({"path": [f"{key[0]}.xlsx"], "content": [workbook_bytes(rows, kinds)]}), "path string, content binary"
     )
     files, rows = workbook.sheets_of(books)
@@ -219,6 +223,35 @@ def land_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out")
 
 
+def land_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two layouts landed in two rounds, the second by a stream that is started again, a bad file parked."""
+    folder = fresh_folder(spark)
+    dictionary = spark.createDataFrame(
+        [("account name", "Account Name"), ("c_custkey", "Account No."), ("s_suppkey", "Account No.")], "src string, target string"
+    )
+
+    def run() -> None:
+        run_land_files(spark, f"{folder}/in", dictionary, f"{folder}/checkpoint", f"{folder}/out", f"{folder}/parked").awaitTermination()
+
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit(',\n"x"')).alias("Account-Name"), "c_nationkey")
+    customers.write.option("header", True).option("escape", '"').csv(f"{folder}/in")
+    run()
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("ACCOUNT NAME!"), "s_suppkey")
+    suppliers.write.mode("append").option("header", True).option("sep", "|").csv(f"{folder}/in")
+    longer = table(spark, sf_dir, "part").select(F.concat_ws(",", "p_partkey", "p_size").alias("c_custkey"))
+    longer.write.mode("append").option("header", True).option("sep", "\u0001").csv(f"{folder}/in")
+    run()
+    told = landed(spark, f"{folder}/parked").select(F.lit("parked").alias("kind"), F.col("reason").alias("Account Name"), F.lit(None).cast("string").alias("Account No.")).distinct()
+    rows = landed(spark, f"{folder}/out").select(F.lit("row").alias("kind"), "`Account Name`", "`Account No.`")
+    return rows.unionByName(told)
+
+
+LANDED_SQL = """
+SELECT 'row' AS kind, c_name || ',' || chr(10) || '"x"' AS "Account Name", c_custkey::VARCHAR AS "Account No." FROM customer
+UNION ALL SELECT 'row', s_name, s_suppkey::VARCHAR FROM supplier
+UNION ALL SELECT DISTINCT 'parked', 'a row has 2 fields, the header 1', NULL FROM part"""
+
+
 def read_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark)
     part = table(spark, sf_dir, "part").select(
@@ -247,8 +280,10 @@ QUERIES = {
     "dictionary": dictionary,
     "read_workbook": read_workbook,
     "land_stream": land_stream,
+    "land_files": land_files,
 }
 ORACLES = {
+    "land_files": LANDED_SQL,
     "conform_customer": CONFORM_CUSTOMER_SQL,
     "conform_lineitem": LINES_SQL,
     "conform_many": BOTH_SQL,
@@ -284,7 +319,7 @@ FROM part WHERE p_size > 3""",
 SELECT * FROM t UNION ALL SELECT 'rows ' || count(*), 'mapped 5', 'null 1', NULL, NULL, NULL FROM t""",
     "dictionary": "SELECT p_name AS src, p_type AS target, p_brand AS description FROM part",
     "read_workbook": """
-SELECT c_nationkey || '.xlsx' AS source_id, 'c_custkey~c_name~c_mktsegment' AS header,
+SELECT c_nationkey || '-' || c_custkey // 1000 || '.xlsx' AS source_id, 'c_custkey~c_name~c_mktsegment' AS header,
        c_custkey || '~' || c_name || '~' || c_mktsegment AS fields FROM customer""",
     "land_stream": CONFORM_CUSTOMER_SQL,
 }

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queries.common import table
 from schemalign.operators import dictionary as d
+from schemalign.operators.search import build_search_index, search_index
+from schemalign.sources import versions
 
 # Pairs of customer and priority repeat, with different descriptions.
 OLD_SQL = """
@@ -85,6 +89,21 @@ def delete_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.delete_keys(_parts(spark, sf_dir), types, keys=["src"], protect_identity=True)
 
 
+def published_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of a published dictionary: the old orders, the updates put in, the doomed pairs taken out."""
+    name = f"orders_{uuid.uuid4().hex[:12]}"
+    versions.publish(_old(spark, sf_dir), name, d.KEYS)
+    versions.republish(spark, name, lambda base: d.upsert(base, _updates(spark, sf_dir), d.KEYS, ["description"]))
+    versions.republish(spark, name, lambda base: d.delete_keys(base, _doomed(spark, sf_dir)))
+    return spark.table(name)
+
+
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search by a regular expression over an index of the names' grams."""
+    index = build_search_index(_parts(spark, sf_dir), f"parts_{uuid.uuid4().hex[:12]}")
+    return search_index(index, "^(RED|s.*l) .*nut").unionByName(search_index(index, "gear$|^b.u"))
+
+
 def deleted_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.deleted_count(_old(spark, sf_dir), _doomed(spark, sf_dir))
 
@@ -155,6 +174,8 @@ QUERIES = {
     "upsert": upsert,
     "delete_keys": delete_keys,
     "delete_sources": delete_sources,
+    "published_changes": published_changes,
+    "search_indexed": search_indexed,
     "deleted_count": deleted_count,
     "snapshot_diff": snapshot_diff,
     "change_counts": change_counts,
@@ -186,6 +207,16 @@ SELECT o.src, o.target, CASE WHEN u.src IS NULL THEN o.description ELSE u.descri
 FROM o LEFT JOIN u USING (src, target) UNION ALL
 SELECT src, target, description FROM u WHERE (src, target) NOT IN (SELECT (src, target) FROM o)""",
     "delete_keys": f"WITH x AS ({DOOMED_SQL}) SELECT * FROM ({OLD_SQL}) WHERE (src, target) NOT IN (SELECT (src, target) FROM x)",
+    "published_changes": f"""
+WITH o AS ({OLD_SQL}), u AS ({UPDATES_SQL}), x AS ({DOOMED_SQL}),
+merged AS (
+  SELECT o.src, o.target, CASE WHEN u.src IS NULL THEN o.description ELSE u.description END AS description
+  FROM o LEFT JOIN u USING (src, target) UNION ALL
+  SELECT src, target, description FROM u WHERE (src, target) NOT IN (SELECT (src, target) FROM o))
+SELECT * FROM merged WHERE (src, target) NOT IN (SELECT (src, target) FROM x)""",
+    "search_indexed": f"""
+SELECT * FROM ({PARTS_SQL}) WHERE regexp_matches(src, '(?i)^(RED|s.*l) .*nut')
+UNION ALL SELECT * FROM ({PARTS_SQL}) WHERE regexp_matches(src, '(?i)gear$|^b.u')""",
     "delete_sources": f"""
 SELECT * FROM ({PARTS_SQL}) WHERE src = target OR NOT (src LIKE 'S%' OR src LIKE 'blue%')""",
     "deleted_count": f"""

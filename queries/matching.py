@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queries.common import (
@@ -272,6 +272,19 @@ KEPT_INDEX_SQL = (
 )
 
 
+def _long(column: str) -> Column:
+    """A name of more than 64 characters in one word, of the digits of a number."""
+    digits = F.lpad(F.col(column).cast("string"), 6, "0")
+    return F.concat(F.lit("x"), F.repeat(digits, 6), F.reverse(digits), F.repeat(F.lit("customer"), 4))
+
+
+def field_match_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of 75 characters, alike in their characters only."""
+    inputs = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(_long("s_suppkey"), F.lit("z")).alias("input_field"))
+    known = table(spark, sf_dir, "customer").filter("c_custkey % 5 = 0").select(_long("c_custkey").alias("src"), F.col("c_mktsegment").alias("target"))
+    return field_match(inputs, known, 1, 0.125)
+
+
 def lookup_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     asked = part.select("p_partkey", F.when(F.col("p_size") < 25, F.col("p_name")).otherwise(F.upper("p_name")).alias("src"))
@@ -298,6 +311,7 @@ QUERIES = {
     "field_match_list": field_match_list,
     "field_match_function": field_match_function,
     "field_match_kept_index": field_match_kept_index,
+    "field_match_long": field_match_long,
     "lookup_target": lookup_targets,
 }
 ORACLES = {

@@ -6,14 +6,21 @@ least r/(2-r) of the longer one's length. What is below gives exactly the pairs
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemalign.functions import text
 from schemalign.operators import probes, skew
+from schemalign.operators.settle import settle
 
-# Character combinations are built for names up to this length; longer ones meet by length class.
+# Character combinations are built for names up to this length; longer ones are compared by their counts, in blocks.
 SHORT_NAME = 64
+BLOCK_NAMES = 1024
+CHARACTER_GROUPS, PAIR_GROUPS = 128, 256
 
 # Characters of the dictionary that get a place in the order from rare to common; others come first. Only the number of
 # candidates depends on it.
@@ -29,16 +36,17 @@ def rare_to_common(sources: DataFrame) -> str:
 
 
 def pairs_by_index(keys: DataFrame, sources: DataFrame, ratio: float, rows_per_task: int) -> DataFrame:
-    """(key), (key) -> (a, b) within the bounds, by an equi-join on character probes of both sides.
+    """(key), (key), both settled -> (a, b) within the bounds.
 
-    A pair that meets at several probes is kept at one: at its two rarest shared tokens, at its only shared one, or at
-    the length class if one of the names is long.
+    Short names meet by an equi-join on character probes of both sides; a pair that meets at several probes is kept at
+    one: at its two rarest shared tokens, or at its only shared one. Pairs with a long name come from long_pairs.
     """
     order = rare_to_common(sources)
 
     def probed(side: DataFrame, name: str, indexed: bool) -> DataFrame:
-        toks = side.filter(F.col("key") != "").select("key", character_tokens("key", order).alias("toks"))
-        every = F.expr(character_probes("key", "toks", ratio, indexed))
+        short = side.filter(F.length("key").between(1, SHORT_NAME))
+        toks = short.select("key", character_tokens("key", order).alias("toks"))
+        every = F.expr(character_probes("key", "toks", ratio, indexed, None))
         return toks.select(F.explode(every).alias("probe"), F.col("key").alias(name), F.expr(_prefix("key", "toks", ratio)).alias(f"toks_{name}"))
 
     met = skew.salted_grid_join(probed(keys, "a", False), probed(sources, "b", True), "probe", rows_per_task)
@@ -47,10 +55,83 @@ def pairs_by_index(keys: DataFrame, sources: DataFrame, ratio: float, rows_per_t
     )
     shared = F.array_intersect("toks_a", "toks_b")
     rarest = F.concat(F.get(shared, F.lit(0)), F.coalesce(F.get(shared, F.lit(1)), F.lit("")))
-    by_length = F.col("toks_a").isNull() | F.col("toks_b").isNull()
-    here = F.when(F.startswith("probe", F.lit("l:")), by_length).otherwise(F.col("probe") == F.concat(F.lit("q:"), rarest))
+    here = F.col("probe") == F.concat(F.lit("q:"), rarest)
     enough = text.shared_characters("a", "b") >= F.expr(needed_characters("a", "b", ratio))
-    return met.filter(similar).filter(here).select("a", "b").filter(enough)
+    pairs = met.filter(similar).filter(here).select("a", "b")
+    sides = keys.select("key").unionByName(sources.select("key"))
+    if (sides.agg(F.max(F.length("key")).alias("n")).first()["n"] or 0) > SHORT_NAME:
+        pairs = pairs.unionByName(long_pairs(keys, sources, ratio))
+    return pairs.filter(enough)
+
+
+def _grouped_counts(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths, counts of characters, counts of neighbouring pairs) of names, both in groups."""
+    sizes = np.array([len(n) for n in names], np.int64)
+    codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    owner = np.repeat(np.arange(len(names)), sizes)
+    characters = np.zeros((len(names), CHARACTER_GROUPS), np.int32)
+    np.add.at(characters, (owner, codes % CHARACTER_GROUPS), 1)
+    inner = owner[1:] == owner[:-1]
+    mixed = (codes[:-1] * 31 + codes[1:]) % PAIR_GROUPS
+    pairs = np.zeros((len(names), PAIR_GROUPS), np.int32)
+    np.add.at(pairs, (owner[1:][inner], mixed[inner]), 1)
+    return sizes, characters, pairs
+
+
+def within_counts(left: list[str], right: list[str], ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in left, in right) of the pairs of names whose counts allow the sequence ratio; none is lost.
+
+    Names of lengths m and n need r(m + n)/2 characters in common, so as many in groups of them. What is not matched,
+    (1 - r)(m + n) characters, cuts the matched ones in no more blocks than one more than that, so at least
+    (m + n)(3r/2 - 1) - 1 neighbouring pairs are in common, too.
+    """
+    (size_a, chars_a, pairs_a), (size_b, chars_b, pairs_b) = _grouped_counts(left), _grouped_counts(right)
+    found_a, found_b = [], []
+    for k in range(len(left)):
+        both = size_a[k] + size_b
+        needed = np.maximum(np.ceil(ratio * both / 2 - 1e-9), 1)
+        at = np.flatnonzero(2 * np.minimum(size_a[k], size_b) >= ratio * both - 1e-9)
+        at = at[np.minimum(chars_a[k], chars_b[at]).sum(axis=1) >= needed[at]]
+        at = at[np.minimum(pairs_a[k], pairs_b[at]).sum(axis=1) >= both[at] * (1.5 * ratio - 1) - 1 - 1e-6]
+        found_a.append(np.full(len(at), k))
+        found_b.append(at)
+    return np.concatenate([np.zeros(0, np.int64), *found_a]).astype(np.int64), np.concatenate([np.zeros(0, np.int64), *found_b]).astype(np.int64)
+
+
+def long_pairs(keys: DataFrame, sources: DataFrame, ratio: float, block_names: int = BLOCK_NAMES) -> DataFrame:
+    """(key), (key) -> (a, b) that the counts allow, at least one of them longer than SHORT_NAME.
+
+    Names meet by length class, the source names in the neighbouring classes, too; a class is cut in blocks of bounded
+    size on either side, and each pair of blocks is compared as one, by counts, so that only pairs within the bounds
+    become rows.
+    """
+    shrink = _length_ratio(ratio)
+    size = F.length("key")
+    length_class = F.floor(F.log(size) / -math.log(shrink)).cast("int")
+    left = settle(keys.filter(size > SHORT_NAME * shrink).select("key", length_class.alias("class")))
+    spread = F.explode(F.sequence(length_class - 1, length_class + 1)).alias("class")
+    right = settle(sources.filter(size > SHORT_NAME * shrink).select("key", spread))
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / block_names).cast("int").alias(name))
+
+    # One row for each class; lengths up to two thousand million make a few dozen.
+    parts = F.broadcast(blocks(left, "left_parts").join(blocks(right, "right_parts"), "class"))
+
+    def located(side: DataFrame, own: str, other: str) -> DataFrame:
+        placed = side.join(parts, "class").withColumn(own, F.pmod(F.xxhash64("key"), F.col(f"{own}_parts")).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1))).select("key", "class", "left", "right")
+
+    cell = ("class", "left", "right")
+
+    def compared(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names_a, names_b = a["key"].tolist(), b["key"].tolist()
+        at_a, at_b = within_counts(names_a, names_b, ratio) if names_a and names_b else ([], [])
+        found = [(names_a[i], names_b[j]) for i, j in zip(at_a, at_b, strict=True) if max(len(names_a[i]), len(names_b[j])) > SHORT_NAME]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=object)
+
+    met = located(left, "left", "right").groupBy(*cell).cogroup(located(right, "right", "left").groupBy(*cell))
+    return met.applyInPandas(compared, "a string, b string")
 
 
 def character_tokens(key: str, order: str) -> Column:
@@ -86,13 +167,13 @@ def _prefix(key: str, toks: str, ratio: float) -> str:
     return f"slice({toks}, 1, {size} - CAST(ceil({_length_ratio(ratio)}D * {size} - 1e-9D) AS int) + 2)"
 
 
-def character_probes(key: str, toks: str, ratio: float, indexed: bool, class_kind: str = "l") -> str:
+def character_probes(key: str, toks: str, ratio: float, indexed: bool, class_kind: str | None = "l") -> str:
     """Probes of kinds q and l: two names of sequence ratio >= ratio (0 < ratio < 1) have one in common.
 
     They share at least r(|a|+|b|)/2 characters. Where that is two or more, the two rarest shared tokens are among
     the first |a| - f|a| + 2 tokens of a (f the length ratio), and likewise for b: pairs of tokens from that prefix
     are the probes. Tiny names, which may share one character only, add their single tokens. Long names meet by
-    length class, the indexed side being present in the neighbouring classes too.
+    length class, the indexed side being present in the neighbouring classes too; without class_kind they have none.
     """
     none = "cast(array() AS array<string>)"
     shrink, size = _length_ratio(ratio), f"length({key})"
@@ -101,5 +182,5 @@ def character_probes(key: str, toks: str, ratio: float, indexed: bool, class_kin
     singles = f"if({size} < {2 / ratio}D, {toks}, {none})"
     length_class = f"CAST(floor(ln({size}) / -ln({shrink}D)) AS int)"
     classes = f"sequence({length_class} - 1, {length_class} + 1)" if indexed else f"array({length_class})"
-    long_names = f"if({size} > {SHORT_NAME * shrink}D, {probes.tagged(class_kind, classes)}, {none})"
+    long_names = f"if({size} > {SHORT_NAME * shrink}D, {probes.tagged(class_kind, classes)}, {none})" if class_kind else none
     return f"concat(coalesce({probes.tagged('q', pairs)}, {none}), coalesce({probes.tagged('q', singles)}, {none}), {long_names})"

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemalign.operators import skew
+from schemalign.operators.settle import settle
 
 KEYS = ("src", "target")
 
@@ -19,7 +20,7 @@ def filter_targets(dictionary: DataFrame, targets: Sequence[str] | DataFrame) ->
     """Rows of the chosen targets; an empty list chooses all. A large choice comes as a DataFrame."""
     if isinstance(targets, DataFrame):
         chosen = targets.select("target").distinct()
-        return skew.salted_lookup(dictionary, chosen, ["target"], "left_semi").select(*dictionary.columns)
+        return skew.looked_up(dictionary, chosen, ["target"], "left_semi").select(*dictionary.columns)
     return dictionary.filter(F.col("target").isin(list(targets))) if targets else dictionary
 
 
@@ -89,28 +90,32 @@ def insert_if_absent(base: DataFrame, new: DataFrame, keys: Sequence[str] = KEYS
 def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], set_cols: Sequence[str]) -> DataFrame:
     """Matched rows get the listed columns of the update, unmatched updates become rows.
 
-    Two updates for one key fail the job, as does a NULL key. The base is counted by key once: that tells its heavy keys
-    and which updates are new.
+    Two updates for one key fail the job, as does a NULL key. The updates are settled. While they are few, nothing of the
+    base is shuffled; otherwise it is counted by key once, which tells its heavy keys and which updates are new.
     """
     twice = F.raise_error(F.concat(F.lit("several updates for "), F.concat_ws(", ", *keys))).cast("boolean")
-    single = (
+    single = settle(
         _checked(updates, keys)
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), *[F.max(c).alias(f"_new_{c}") for c in set_cols])
         .filter(F.when(F.col("_n") > 1, twice).otherwise(F.lit(True)))
         .drop("_n")
+        .withColumn("_matched", F.lit(True))
     )
-    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    matched = skew.salted_lookup(base, single.withColumn("_matched", F.lit(True)), keys, "left", counts=counts)
+    if skew.fits(single):
+        matched = base.join(F.broadcast(single), list(keys), "left")
+        present = base.select(*keys).join(F.broadcast(single.select(*keys)), list(keys), "left_semi").distinct()
+    else:
+        counts = settle(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")))
+        matched = skew.by_counts(base, single, keys, "left", counts)
+        present = counts.select(*keys)
     kept = matched.select(
         *[
             F.when(F.col("_matched"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in set_cols else F.col(c)
             for c in base.columns
         ]
     )
-    inserted = single.join(counts.select(*keys), list(keys), "left_anti").select(
-        *keys, *[F.col(f"_new_{c}").alias(c) for c in set_cols]
-    )
+    inserted = single.join(present, list(keys), "left_anti").select(*keys, *[F.col(f"_new_{c}").alias(c) for c in set_cols])
     return kept.unionByName(inserted, allowMissingColumns=True)
 
 
@@ -119,7 +124,7 @@ def delete_keys(
 ) -> DataFrame:
     """base without the rows whose key is listed; identity rows (src = target) stay where protected."""
     doomed = _checked(listed.select(*keys), keys).distinct().withColumn("_doomed", F.lit(True))
-    marked = skew.salted_lookup(base, doomed, keys, "left")
+    marked = skew.looked_up(base, doomed, keys, "left")
     gone = F.coalesce(F.col("_doomed"), F.lit(False))
     if protect_identity:
         gone = gone & ~F.col("src").eqNullSafe(F.col("target"))
@@ -173,7 +178,7 @@ def apply_diff(
 ) -> DataFrame:
     """base after the diff: all copies of deleted keys gone, updated values set, inserted keys added once."""
     changed = diff.filter(F.col("change").isin("delete", "update")).select(*keys, "new_value", "change")
-    marked = skew.salted_lookup(base, changed, keys, "left").filter(~F.col("change").eqNullSafe(F.lit("delete")))
+    marked = skew.looked_up(base, changed, keys, "left").filter(~F.col("change").eqNullSafe(F.lit("delete")))
     kept = marked.withColumn(value, F.when(F.col("change") == "update", F.col("new_value")).otherwise(F.col(value)))
     inserted = diff.filter(F.col("change") == "insert").select(*keys, F.col("new_value").alias(value))
     return kept.select(*base.columns).unionByName(inserted, allowMissingColumns=True)

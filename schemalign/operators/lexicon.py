@@ -19,7 +19,7 @@ def last_target(dictionary: DataFrame) -> DataFrame:
 def lookup_target(names: DataFrame, dictionary: DataFrame, name_col: str = "src") -> DataFrame:
     """Target of each name, UNMAPPED where the dictionary has none."""
     known = last_target(dictionary).select(F.col("src").alias(name_col), F.col("target").alias("target_field"))
-    return skew.salted_lookup(names, known, [name_col], "left").select(*names.columns, "target_field").withColumn(
+    return skew.looked_up(names, known, [name_col], "left").select(*names.columns, "target_field").withColumn(
         "target_field", F.coalesce("target_field", F.lit(text.UNMAPPED))
     )
 

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from schemalign.functions import text
 from schemalign.operators import skew
+from schemalign.operators.settle import settle
 from schemalign.plans.field_match import SCORES, field_match
 
 MAPPING_THRESHOLD = 0.3
@@ -34,23 +35,33 @@ def suggestion_for(columns: DataFrame, suggestions: DataFrame) -> DataFrame:
     Where several suggestions share a name, the one of the later column counts.
     """
     answer = F.struct("position", "target", "score", "src_match")
-    exact = suggestions.groupBy("source_id", F.col("input_field").alias("src_col")).agg(F.max(answer).alias("exact"))
-    folded = suggestions.groupBy("source_id", F.lower("input_field").alias("folded")).agg(F.max(answer).alias("other"))
+    exact = settle(suggestions.groupBy("source_id", F.col("input_field").alias("src_col")).agg(F.max(answer).alias("exact")))
+    folded = exact.groupBy("source_id", F.lower("src_col").alias("folded")).agg(F.max("exact").alias("other"))
     found = F.coalesce("exact", "other")
-    return (
-        columns.join(exact, ["source_id", "src_col"], "left")
-        .withColumn("folded", F.lower("src_col"))
-        .join(folded, ["source_id", "folded"], "left")
-        .select(
-            *columns.columns, found["target"].alias("target"), found["score"].alias("score"),
-            found["src_match"].alias("src_match"),
-        )
+    named = skew.looked_up(columns, _flat(exact, "exact"), ["source_id", "src_col"], "left").withColumn("exact", _struct("exact"))
+    named = skew.looked_up(named.withColumn("folded", F.lower("src_col")), _flat(folded, "other"), ["source_id", "folded"], "left")
+    return named.withColumn("other", _struct("other")).select(
+        *columns.columns, found["target"].alias("target"), found["score"].alias("score"), found["src_match"].alias("src_match")
     )
 
 
+_ANSWER = ("position", "target", "score", "src_match")
+
+
+def _flat(df: DataFrame, name: str) -> DataFrame:
+    """The fields of a struct as columns of their own, whose size can be measured."""
+    rest = [c for c in df.columns if c != name]
+    return df.select(*rest, *[F.col(f"{name}.{f}").alias(f"_{name}_{f}") for f in _ANSWER])
+
+
+def _struct(name: str) -> Column:
+    fields = F.struct(*[F.col(f"_{name}_{f}").alias(f) for f in _ANSWER])
+    return F.when(F.col(f"_{name}_position").isNotNull(), fields)
+
+
 def valid_targets(df: DataFrame, targets: DataFrame) -> DataFrame:
     """The rows whose target is one of the known targets."""
-    return skew.salted_lookup(df, targets.select("target").distinct(), ["target"], "left_semi").select(*df.columns)
+    return skew.looked_up(df, targets.select("target").distinct(), ["target"], "left_semi").select(*df.columns)
 
 
 def select_mapping(
@@ -58,7 +69,7 @@ def select_mapping(
 ) -> DataFrame:
     """The mapping: the suggested target if it is a known one and scores at least the threshold, else '(Ignored)'."""
     known = targets.select("target").distinct().withColumn("known", F.lit(True))
-    suggested = skew.salted_lookup(suggestion_for(columns, suggestions), known, ["target"], "left")
+    suggested = skew.looked_up(suggestion_for(columns, suggestions), known, ["target"], "left")
     accepted = F.col("known") & (F.col("score") >= threshold)
     return suggested.select(
         "source_id", "position", "src_col", F.when(accepted, F.col("target")).otherwise(F.lit(text.IGNORED)).alias("target"),
@@ -75,11 +86,10 @@ def duplicate_targets(mapping: DataFrame) -> DataFrame:
 
     One row per column, so a target chosen by any number of columns is told in full without a list that grows with it.
     """
-    chosen = _chosen(mapping).select("source_id", "target", "position", "src_col")
-    counts = chosen.groupBy("source_id", "target").agg(F.count(F.lit(1)).alias("rows"))
+    chosen = settle(_chosen(mapping).select("source_id", "target", "position", "src_col"))
+    counts = settle(chosen.groupBy("source_id", "target").agg(F.count(F.lit(1)).alias("rows")))
     shared = counts.filter("rows > 1").select("source_id", "target", F.col("rows").alias("n_columns"))
-    keys = ["source_id", "target"]
-    return skew.salted_lookup(chosen, shared, keys, "inner", counts=counts).select(*chosen.columns, "n_columns")
+    return skew.looked_up(chosen, shared, ["source_id", "target"], counts=counts).select(*chosen.columns, "n_columns")
 
 
 def also_mapped_by(mapping: DataFrame, asked: DataFrame) -> DataFrame:
@@ -88,10 +98,11 @@ def also_mapped_by(mapping: DataFrame, asked: DataFrame) -> DataFrame:
     (source_id, position, src_col, target, n_others, other_position, other_col): one row per column asked for and other
     column, so the result grows with what is asked, not with the square of a target's columns.
     """
-    shared = duplicate_targets(mapping)
-    wanted = shared.join(asked.select("source_id", "position").distinct(), ["source_id", "position"])
-    others = shared.select("source_id", "target", F.col("position").alias("other_position"), F.col("src_col").alias("other_col"))
-    return wanted.join(others, ["source_id", "target"]).filter("position <> other_position").select(
+    shared = settle(duplicate_targets(mapping).withColumn("shared", F.struct("source_id", "target")))
+    wanted = skew.looked_up(shared, asked.select("source_id", "position").distinct(), ["source_id", "position"])
+    others = shared.select("shared", F.col("position").alias("other_position"), F.col("src_col").alias("other_col"))
+    met = skew.salted_grid_join(wanted, others, "shared", skew.ROWS_PER_TASK)
+    return met.filter("position <> other_position").select(
         "source_id", "position", "src_col", "target", (F.col("n_columns") - 1).alias("n_others"), "other_position", "other_col"
     )
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from schemalign.operators.settle import settle
+
 ROWS_PER_TASK = 200_000
 
 # A key is split if it holds more than this share of all rows (and more than rows_per_task), so there are at most as many
@@ -97,7 +99,35 @@ def salted_grid_join(left: DataFrame, right: DataFrame, key: str, rows_per_task:
     return lhs.join(rhs, [key, "_lpart", "_rpart"]).drop("_lpart", "_rpart")
 
 
-def spread_lookup(left: DataFrame, few: DataFrame, keys: Sequence[str], how: str, copies: int = 64) -> DataFrame:
-    """salted_lookup without counting first: for a right side so much smaller that it can be copied throughout."""
-    salted = left.withColumn("_salt", _salt(left, keys, F.lit(copies)))
-    return salted.join(_copied(few, "_salt", F.lit(copies)), [*keys, "_salt"], how).drop("_salt")
+# Right sides of lookups are sent to every task up to about so many bytes.
+BROADCAST_BYTES = 32_000_000
+
+
+def fits(df: DataFrame, most: int | None = None) -> bool:
+    """Whether a settled relation is small enough to be sent: counted in bytes, texts by their length."""
+    most = BROADCAST_BYTES if most is None else most
+    sizes = [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) if kind in ("string", "binary") else F.lit(8) for c, kind in df.dtypes]
+    row = sum(sizes, F.lit(16))
+    return df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()["bytes"] <= most
+
+
+def looked_up(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """Join many left rows to a right side holding each key at most once (inner, left, left_semi or left_anti).
+
+    The right side is settled and measured: a small one is sent to every task, so that the left rows stay where they are
+    and are not counted. Beyond that the left keys are counted once (counts, (keys..., rows), where they are known), and
+    only if one has more rows than a task should read are keys split.
+    """
+    keys = list(keys)
+    right = settle(right)
+    if fits(right):
+        return left.join(F.broadcast(right), keys, how)
+    counts = settle(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")) if counts is None else counts)
+    return by_counts(left, right, keys, how, counts)
+
+
+def by_counts(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, counts: DataFrame) -> DataFrame:
+    """The plain join, unless the settled counts tell of a key with more left rows than a task should read."""
+    if counts.filter(F.col("rows") > ROWS_PER_TASK).isEmpty():
+        return left.join(right, keys, how)
+    return salted_lookup(left, right, keys, how, counts=counts)

@@ -134,20 +134,35 @@ def sparse_cosine(
         raise ValueError("min_cosine must be positive")
     least = min_cosine - 1e-9
 
-    def postings(keys: DataFrame, name: str, vec: str) -> DataFrame:
-        ordered = weigh(keys, vocabulary).select(
-            F.col("key").alias(name), rarest_first("entries").alias("entries"), vector("entries").alias(vec)
-        )
-        tail = "sqrt(aggregate(slice(entries, i + 1, size(entries)), 0D, (total, x) -> total + x.weight * x.weight))"
-        met_at = f"transform(filter(entries, (e, i) -> {tail} >= {least}D), e -> e.term)"
-        order = F.expr("transform(entries, e -> e.term)")
-        return ordered.select(name, vec, order.alias(f"{vec}_order"), F.explode(F.expr(met_at)).alias("term"))
-
-    met = skew.salted_grid_join(
-        postings(queries, "input_key", "v_input"), postings(documents, "src_key", "v_src"), "term", rows_per_task
-    )
-    return (
-        met.filter(F.get(F.array_intersect("v_input_order", "v_src_order"), F.lit(0)) == F.col("term"))
-        .select("input_key", "src_key", dot("v_input", "v_src").alias("cosine"))
-        .filter(F.col("cosine") >= least)
-    )
+    def vectors(keys: DataFrame, name: str) -> DataFrame:
+        weighed = weigh(keys, vocabulary).filter(F.size("entries") > 0)
+        ordered = F.transform(rarest_first("entries"), lambda e: F.struct(F.xxhash64(e["term"]).alias("term"), e["weight"].alias("weight")))
+        return settle(weighed.select(F.monotonically_increasing_id().alias(name), F.col("key").alias(f"{name}_key"), ordered.alias(f"{name}_vector")))
+
+    def postings(side: DataFrame, name: str) -> DataFrame:
+        vec = f"{name}_vector"
+        tail = f"sqrt(aggregate(slice({vec}, i + 1, size({vec})), 0D, (total, x) -> total + x.weight * x.weight))"
+        met_at = f"transform(filter({vec}, (e, i) -> {tail} >= {least}D), e -> e.term)"
+        return side.select(name, F.explode(F.expr(met_at)).alias("term"))
+
+    inputs, known = vectors(queries, "input"), vectors(documents, "src")
+    # Postings are two numbers; what a pair is made of joins once for each pair.
+    met = skew.salted_grid_join(postings(inputs, "input"), postings(known, "src"), "term", rows_per_task)
+    pairs = settle(met.select("input", "src").distinct())
+    beside = _attached(_attached(pairs, inputs, "input"), known, "src")
+    return beside.select("input_key", "src_key", _inner("input_vector", "src_vector").alias("cosine")).filter(F.col("cosine") >= least)
+
+
+def _attached(pairs: DataFrame, side: DataFrame, name: str) -> DataFrame:
+    """What belongs to an id: sent while it is little, by a join otherwise, in which ids of very many pairs are split."""
+    size = F.octet_length(f"{name}_key") + 16 * F.size(f"{name}_vector") + 32
+    if (side.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0) <= skew.BROADCAST_BYTES:
+        return pairs.join(F.broadcast(side), name)
+    counts = settle(pairs.groupBy(name).agg(F.count(F.lit(1)).alias("rows")))
+    return skew.by_counts(pairs, side, [name], "inner", counts)
+
+
+def _inner(left: str, right: str) -> Column:
+    """Inner product of two lists of (term, weight)."""
+    other = f"aggregate({right}, 0D, (held, x) -> if(x.term = e.term, x.weight, held))"
+    return F.expr(f"aggregate({left}, 0D, (total, e) -> total + e.weight * {other})")

@@ -162,7 +162,7 @@ def match_keys(
         pairs = settle(pairs)
         sure = _combined(F.lit(0.0), facts.has_terms) >= share
         done = pairs.groupBy(F.col("a").alias("key")).agg(F.count_if(sure).alias("n")).filter(F.col("n") >= top_n)
-        open_keys = keys.join(done.select("key"), "key", "left_anti")
+        open_keys = settle(keys.join(done.select("key"), "key", "left_anti"))
         alike = characters.pairs_by_index(open_keys, known.select("key"), ratio, rows_per_task)
         alike = alike.filter(_share_characters_only())
         rows = known.select(F.col("key").alias("b"), "rows")

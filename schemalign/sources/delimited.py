@@ -27,6 +27,8 @@ from schemalign.operators.skew import salted_lookup
 
 DELIMITERS = ("\t", "|", ",")
 
+LINE_END = "\n"
+
 # A record that is open for so many characters is taken for a quote that is never closed.
 LONGEST_RECORD = 100_000_000
 
@@ -96,17 +98,20 @@ def _texts(raw: bytes) -> list[str]:
     return text.removesuffix("\r").split("\r") if "\r" in text and '"' not in text else [text]
 
 
-def _lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(source_id, start, nth, line): start is that of the split, nth rises within it."""
-    listed = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.option("lineSep", "\n").text(listed).select(
+def placed_lines(lines: DataFrame) -> DataFrame:
+    """(source_id, start, line) of lines read as text: start is that of their split."""
+    return lines.select(
         F.col("_metadata.file_path").alias("source_id"),
         F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("nth"),
         F.col("value").cast("binary").alias("line"),
     )
 
 
+def lines_of(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    listed = [paths] if isinstance(paths, str) else list(paths)
+    return placed_lines(spark.read.option("lineSep", LINE_END).text(listed))
+
+
 class _Split:
     """What the first scan notes of a split: for each delimiter and state at its beginning how it ends."""
 
@@ -181,7 +186,7 @@ def _note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def list_files(lines: DataFrame) -> DataFrame:
     """(source_id, delimiter, columns, error, starts) per file, settled.
 
     The delimiter is that of the first line, the columns are those of the first line that is not blank. error says why a
@@ -189,7 +194,7 @@ def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     starts tells for each split where it begins and whether inside a field; it is NULL where no field runs over a line end.
     Files without a single byte are not listed: Spark's sources leave them out.
     """
-    notes = settle(_lines(spark, paths).select("source_id", "start", "line").mapInArrow(_note, _SPLITS))
+    notes = settle(lines.select("source_id", "start", "line").mapInArrow(_note, _SPLITS))
     heads = notes.filter("start = 0").select("source_id", "delimiter", "columns", "head_open")
     own = F.array_position(F.array(*map(F.lit, DELIMITERS)), F.col("delimiter")).cast("int") - 1
 
@@ -320,10 +325,10 @@ def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _batch(out)
 
 
-def _records(spark: SparkSession, paths: str | Sequence[str], files: DataFrame) -> DataFrame:
+def _records(lines: DataFrame, files: DataFrame) -> DataFrame:
     """(source_id, values, fields) of the files given, in one scan of their lines."""
     facts = files.select("source_id", "delimiter", F.size("columns").alias("width"), "starts")
-    lines = _lines(spark, paths)
+    lines = lines.withColumn("nth", F.monotonically_increasing_id())
     size = facts.agg(F.coalesce(F.sum(F.octet_length("source_id") + 64 + 16 * F.greatest(F.size("starts"), F.lit(0))), F.lit(0)).alias("bytes")).first()
     few = size["bytes"] <= BROADCAST_LAYOUTS
     known = lines.join(F.broadcast(facts), "source_id") if few else salted_lookup(lines, facts, ["source_id"], "inner")
@@ -343,24 +348,29 @@ def _records(spark: SparkSession, paths: str | Sequence[str], files: DataFrame)
     return whole.select("source_id", "values", "fields")
 
 
-def read_delimited(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """files (source_id, delimiter, columns, error) and rows (source_id, values) of all files under the paths.
-
-    Every row has the fields its file's header names, NULL where missing or empty; all values stay text as written. A
-    file that cannot be read is told with its error and gives no rows; the others are not touched by it. Blank lines are
-    no records. One scan tells what the files are; where fields run over line ends, another counts those files' fields.
-    """
-    files = list_files(spark, paths)
+def read_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """read_delimited of files given by their lines (source_id, start, line), in the order and the splits they are read in."""
+    files = list_files(lines)
     good = files.filter("error IS NULL")
     spanning = good.filter("starts IS NOT NULL")
     if not spanning.isEmpty():
-        widest = _records(spark, paths, spanning).groupBy("source_id").agg(F.max("fields").alias("widest"))
+        widest = _records(lines, spanning).groupBy("source_id").agg(F.max("fields").alias("widest"))
         files = files.join(widest, "source_id", "left").withColumn("width", F.size("columns"))
         late = F.concat(F.lit("a row has "), "widest", F.lit(" fields, the header "), "width")
         error = F.coalesce("error", F.when(F.col("widest") > F.col("width"), late))
         files = settle(files.select("source_id", "delimiter", "columns", error.alias("error"), "starts"))
         good = files.filter("error IS NULL")
-    return files.drop("starts"), _records(spark, paths, good).select("source_id", "values")
+    return files.drop("starts"), _records(lines, good).select("source_id", "values")
+
+
+def read_delimited(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """files (source_id, delimiter, columns, error) and rows (source_id, values) of all files under the paths.
+
+    Every row has the fields its file's header names, NULL where missing or empty; all values stay text as written. A
+    file that cannot be read is told with its error and gives no rows; the others are not touched by it. Blank lines are
+    no records. One scan tells what the files are; where fields run over line ends, another counts those files' fields.
+    """
+    return read_lines(lines_of(spark, paths))
 
 
 def as_table(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

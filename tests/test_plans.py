@@ -23,14 +23,17 @@ def test_matcher_plan(spark, options):
     assert "WindowGroupLimit" in text
 
 
-def test_heavy_keys_are_split_and_nothing_is_lost(spark):
+def test_heavy_keys_are_split_and_nothing_is_lost(spark, monkeypatch):
     left = spark.range(3000, numPartitions=12).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"), "id")
     right = spark.range(0, 3000, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     assert [r["n"] for r in skew.heavy_keys(left, ["k"], 100, "n").collect()] == [10]
     for how in ("inner", "left", "left_semi", "left_anti"):
         want = sorted(map(tuple, left.join(right, "k", how).collect()), key=repr)
         assert sorted(map(tuple, skew.salted_lookup(left, right, ["k"], how, 100).collect()), key=repr) == want
-        assert sorted(map(tuple, skew.spread_lookup(left, right, ["k"], how, 8).collect()), key=repr) == want
+        for most, per_task in ((1 << 30, 100), (0, 100), (0, 10_000)):
+            monkeypatch.setattr(skew, "BROADCAST_BYTES", most)
+            monkeypatch.setattr(skew, "ROWS_PER_TASK", per_task)
+            assert sorted(map(tuple, skew.looked_up(left, right, ["k"], how).collect()), key=repr) == want
 
 
 def test_a_side_dealt_by_its_key_is_split_all_the_same(spark):
@@ -77,18 +80,26 @@ def test_settled_files_can_be_dropped(spark):
     settle._written[:] = held
 
 
-def test_upsert_has_few_shuffles(spark):
+def _shuffles(df) -> list[str]:
+    df.collect()
+    text = plan(df)
+    final = text[: text.find("Initial Plan")] if "Initial Plan" in text else text
+    return [line for line in final.splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line and "BroadcastExchange" not in line]
+
+
+@pytest.mark.parametrize("most, shuffles", [(1 << 30, 2), (0, 4)])
+def test_upsert_has_few_shuffles(spark, monkeypatch, most, shuffles):
     from schemalign.operators import dictionary
 
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", most)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         base = spark.range(50).selectExpr("id % 7 AS k", "'x' AS v")
         done = dictionary.upsert(base, spark.range(10).selectExpr("id AS k", "'y' AS v"), ["k"], ["v"])
-        done.collect()
-        text = plan(done)
-        final = text[: text.find("Initial Plan")] if "Initial Plan" in text else text
-        shuffles = [line for line in final.splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line and "BroadcastExchange" not in line]
-        assert len(shuffles) <= 6 and sorted(map(tuple, done.collect()))[-1] == (9, "y")
+        assert len(_shuffles(done)) <= shuffles and sorted(map(tuple, done.collect()))[-1] == (9, "y")
+        gone = dictionary.delete_keys(base, spark.range(3).selectExpr("id AS k"), ["k"])
+        assert plan(gone).count("Range (0, 50") <= 1 or not most
+        assert gone.count() == 28
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
