@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from schemalign.llm.blocks import BLOCK_ROWS, in_cells, lowest_reachable, read_cells
 from schemalign.llm.components import components
@@ -93,26 +94,38 @@ def _usable(embedding: str) -> F.Column:
     return F.coalesce(finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def _unit(values: pd.Series) -> np.ndarray:
+def _unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1 in double precision; the largest component is taken out first, so nothing overflows."""
-    x = np.stack(values.to_numpy()).astype(np.float64)
+    x = x.astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _keyed(nodes: DataFrame, threshold: float, tables: int, probes: int) -> DataFrame:
-    """nodes (node, label, embedding, copies) -> a row for each cell of each node, with all cells of the node."""
+def _packed(nodes: DataFrame, threshold: float, tables: int, probes: int) -> DataFrame:
+    """nodes (node, label, embedding, copies) -> (node, label, copies, dims, wide, vector, cells, keys): one row for each.
+
+    Vectors go along as bytes, in the precision they are given in; cells are the keys as bytes.
+    """
+    kind = "<f4" if nodes.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
 
     def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dims, same in frame.groupby(frame["embedding"].map(len)):
-                found = cell_keys(_unit(same["embedding"]), threshold, tables, probes)
-                yield same.assign(dims=dims, cells=list(found.reshape(len(same), -1)))
+                x = np.stack(same["embedding"].to_numpy()).astype(kind)
+                found = cell_keys(_unit(x), threshold, tables, probes).reshape(len(same), -1).astype("<i8")
+                packed = {"vector": [v.tobytes() for v in x], "cells": [c.tobytes() for c in found], "keys": list(found)}
+                yield same[["node", "label", "copies"]].assign(dims=dims, wide=kind == "<f8", **packed)
+
+    fields = "node long, label string, copies long, dims int, wide boolean, vector binary, cells binary, keys array<long>"
+    return nodes.select("node", "label", "embedding", "copies").mapInPandas(keys, fields)
 
-    fields = "node long, label string, embedding array<double>, copies long, dims int, cells array<long>"
-    wide = nodes.select("node", "label", F.col("embedding").cast("array<double>"), "copies").mapInPandas(keys, fields)
-    cell = F.posexplode("cells").alias("at", "key")
-    return wide.select(*wide.columns, cell).withColumn("table", F.floor(F.col("at") / (1 + probes)).cast("int")).drop("at")
+
+def _cells(packed: DataFrame, probes: int, block_rows: int) -> DataFrame:
+    """The cells of the nodes, found by their keys alone, and then what is compared there."""
+    keyed = packed.select("node", "label", "dims", F.posexplode("keys").alias("at", "key"))
+    keyed = keyed.withColumn("table", F.floor(F.col("at") / (1 + probes)).cast("int")).drop("at")
+    cells = in_cells(keyed, ["label", "dims", "table", "key"], "node", block_rows).drop("label", "dims")
+    return cells.join(packed.select("node", "copies", "wide", "vector", "cells"), "node")
 
 
 def _compare(threshold: float, tables: int):
@@ -121,7 +134,9 @@ def _compare(threshold: float, tables: int):
     def links(frame: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for _, cell in frame.groupby("cell", sort=False):
-            unit, copies = _unit(cell["embedding"]), cell["copies"].to_numpy()
+            kind = "<f8" if cell["wide"].iloc[0] else "<f4"
+            unit = _unit(np.frombuffer(b"".join(cell["vector"]), kind).reshape(len(cell), -1))
+            copies = cell["copies"].to_numpy()
             hit = unit @ unit.T >= threshold
             np.fill_diagonal(hit, False)
             side, nodes = cell["side"].to_numpy(), cell["node"].to_numpy()
@@ -131,7 +146,7 @@ def _compare(threshold: float, tables: int):
             if not len(a):
                 continue
             table, key = int(cell["table"].iloc[0]), int(cell["key"].iloc[0])
-            cells = np.stack(cell["cells"].to_numpy()).reshape(len(cell), tables, -1)
+            cells = np.frombuffer(b"".join(cell["cells"]), "<i8").reshape(len(cell), tables, -1)
             a, b = _first_met(cells, a, b, table, key)
             low = lowest_reachable(len(cell), a, b)
             linked = np.bincount(a, copies[b], len(cell)) + np.bincount(b, copies[a], len(cell))
@@ -155,6 +170,12 @@ def _first_met(cells: np.ndarray, a: np.ndarray, b: np.ndarray, table: int, key:
     return a[first], b[first]
 
 
+def _numbers(vectors: DataFrame) -> F.Column:
+    """The vectors as floats where they are floats, as doubles otherwise."""
+    floats = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    return F.col("embedding").cast("array<float>" if floats else "array<double>")
+
+
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.93,
@@ -169,14 +190,13 @@ def near_duplicates(
     vectors of one label are one node: their copies are counted, not paired. Rows that repeat a vec_id are vectors of
     their own. An empty table gives an empty result; other columns are not looked at.
     """
-    own = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).withColumn(
+    own = vectors.select("vec_id", F.col("label").cast("string").alias("label"), _numbers(vectors).alias("embedding")).withColumn(
         "usable", _usable("embedding") & F.col("label").isNotNull()
     )
     usable = settle(own.filter("usable").drop("usable"))
     kinds = ["label", "embedding"]
-    nodes = settle(usable.groupBy(*kinds).agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.xxhash64(*kinds)))
-    keyed = _keyed(nodes, threshold, tables, probes)
-    cells = in_cells(keyed, ["label", "dims", "table", "key"], "node", block_rows)
+    nodes = settle(usable.groupBy(*kinds).agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
+    cells = _cells(settle(_packed(nodes, threshold, tables, probes)), probes, block_rows)
     met = settle(read_cells(cells, _compare(threshold, tables), "a long, b long, linked long"))
     linked = met.groupBy(F.col("a").alias("node")).agg(F.sum("linked").alias("linked"))
     groups = components(met.select("a", "b"))
