@@ -30,7 +30,7 @@ from schemalign.operators.skew import salted_lookup
 SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 1 << 22
 # Rows a cell is to have, and the most codewords of a half: the table of cells, which all tasks get, has at most 65,536.
 CELL_ROWS, MOST_CODEWORDS = 256, 256
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 512
 # Rows each query asks for in the first round, and how many times as many in each following one.
 FIRST_ROWS, GROWTH = 8192, 4
 # A label that lies in so few cells is looked for in those only.
