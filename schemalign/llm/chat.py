@@ -99,14 +99,27 @@ def _climb(steps: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         state = settle(risen.unionByName(state.filter("up IS NULL")))
 
 
+def _each_once(messages: DataFrame) -> DataFrame:
+    """messages with every msg_id once in its tree; where none is repeated, which ids alone tell, they are left as they are."""
+    keys = ["tree_id", "msg_id"]
+    ids = messages.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    if ids.filter("rows > 1").isEmpty():
+        return messages
+    rest = ["parent_id", "role", "text", "score"]
+    least = messages.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("least"))
+    return least.select(*keys, *[F.col(f"least.{c}").alias(c) for c in rest])
+
+
 def chosen_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     """messages (tree_id, msg_id, parent_id, role, text, score, ...) -> (tree_id, leaf_id, rank, depth, role, text).
 
     A message whose parent is not in its tree is a root. A branch's score is the sum of its messages' (null: 0); the best
     so many branches of a tree are chosen (None: all), of equal ones those with the smaller leaf. Only ids and scores are
     joined repeatedly, on (tree, message), so one huge tree spreads over all tasks; texts join once, for chosen paths.
-    Messages without tree_id or msg_id are left out, as nothing can refer to them; msg_id is unique in its tree.
+    Messages without tree_id or msg_id are left out, as nothing can refer to them. Of messages that repeat a msg_id in
+    their tree one counts: the least by parent, role, text and score, nulls first.
     """
+    messages = _each_once(messages)
     own = settle(messages.select("tree_id", "msg_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score")).dropna(subset=["tree_id", "msg_id"]))
     ids = own.select("tree_id", F.col("msg_id").alias("parent_id"), F.lit(True).alias("known"))
     steps = settle(

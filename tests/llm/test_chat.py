@@ -62,3 +62,10 @@ def test_conversations_are_chains(rows):
     assert [(r.tree_id, chat.read_turns(r.formatted)) for r in got] == [(1, [("", "z"), ("user", ""), ("user", ""), ("assistant", "b")])]
     empty = rows([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.format_conversations(chat.chains(empty))).collect() == []
+
+
+def test_messages_that_repeat_an_id(spark):
+    schema = "tree_id long, msg_id long, parent_id long, role string, text string, score double"
+    tree = [(1, 1, None, "user", "a", 1.0), (1, 2, 1, "assistant", "b", 1.0), (1, 2, 1, "assistant", "c", 9.0), (1, 3, 2, "user", "d", None)]
+    found = chat.chosen_paths(spark.createDataFrame(tree + tree[:2], schema), None).orderBy("leaf_id", "depth").collect()
+    assert [(r.leaf_id, r.rank, r.text) for r in found] == [(3, 1, "a"), (3, 1, "b"), (3, 1, "d")]
