@@ -34,7 +34,8 @@ BLOCK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
 
 # Encoded words a task's process keeps, for speed only; others are encoded anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 800_000
+COUNT_KEPT_WORDS = 500_000
 DOCS_AT_ONCE = 2048
 
 # A blank at an end of the text or beside other white space.
@@ -108,11 +109,11 @@ class Segment:
 class _Kept(dict):
     """Text -> its ids as bytes, made where missing; what was not asked for since the last but one clearing is dropped."""
 
-    def __init__(self, make: Callable[[str], bytes]):
-        self.make, self.older = make, {}
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, text: str) -> bytes:
-        if len(self) >= KEPT_WORDS // 2:
+        if len(self) >= self.most // 2:
             self.older = dict(self)
             self.clear()
         ids = self.older.get(text)
@@ -137,7 +138,7 @@ class Encoder:
     encoded, and so are texts that hold the content of an added token, as the library finds those before it cuts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -156,8 +157,8 @@ class Encoder:
         self.added = [t["content"] for t in parts.get("added_tokens", ()) if t["content"]]
         self.cut, self.find = self.tokenizer.pre_tokenizer, self.tokenizer.model.tokenize
         self.letters = _byte_letters()
-        self.pieces = _Kept(self._piece)
-        self.later = _Kept(self._after_blank)
+        self.pieces = _Kept(self._piece, kept_words)
+        self.later = _Kept(self._after_blank, kept_words)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -238,8 +239,8 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, kept_words: int = KEPT_WORDS) -> Encoder:
+    return Encoder(path, kept_words)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -249,7 +250,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), DOCS_AT_ONCE):
                 some = batch.slice(at, DOCS_AT_ONCE)
-                n_tokens = pa.array(encoder(tokenizer_path).sizes(some.column(1)), pa.int64())
+                n_tokens = pa.array(encoder(tokenizer_path, COUNT_KEPT_WORDS).sizes(some.column(1)), pa.int64())
                 yield pa.RecordBatch.from_arrays([some.column(0), n_tokens], ["doc_id", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(counted, "doc_id long, n_tokens long")
