@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemalign.operators.settle import shared_folder
+from schemalign.operators.settle import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +19,7 @@ def over_cores(df: DataFrame) -> DataFrame:
 
 
 def fresh_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/queries/{uuid.uuid4().hex}"
+    return new_folder(spark, "queries")
 
 
 def norm_sql(expr: str) -> str:

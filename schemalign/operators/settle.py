@@ -27,17 +27,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder name of its own under the shared folder, which drop_settled removes with what was settled."""
+    path = f"{shared_folder(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute df now, once, into files that outlive any executor, and go on from those."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/schemalign/{uuid.uuid4().hex}"
+    path = new_folder(spark, "schemalign")
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_settled(spark: SparkSession) -> int:
-    """Remove the files settled by this program so far, once the results made from them are written; how many there were.
+    """Remove the files settled by this program so far, once the results made from them are written; how many places there were.
 
     DataFrames that still read them fail afterwards.
     """
