@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from schemalign.llm.lookups import looked_up
 from schemalign.operators.settle import settle
 
-# Labelled documents the model is fitted on, at most about so many: a sample by hash of the doc_id.
+# Labelled rows the model is fitted on, at most about so many: a sample by hash of the row's number.
 TRAIN_ROWS = 20_000
 MAX_TERMS = 500
 STEM_LENGTHS = range(4, 9)
@@ -229,19 +230,20 @@ def _fit(features: np.ndarray, toxic: np.ndarray, rows: np.ndarray) -> np.ndarra
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(text, toxic) of labelled documents outside the held-out fifth, about train_rows of them at most, by hash.
+    """(text, toxic) of labelled rows outside the held-out fifth, about train_rows of them at most, by hash of the row.
 
-    A doc_id with several labels is toxic if any of them says so.
+    A doc_id with several labels is toxic if any of them says so. Documents that repeat a doc_id are rows of their own.
     """
-    known = (
+    known = settle(
         labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
         .groupBy("doc_id")
         .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     )
-    n = known.count()
+    n = looked_up(docs.select("doc_id"), known, ["doc_id"]).count()
     share = F.lit(int(2**32 * min(1.0, train_rows / max(n, 1))))
-    sample = known.filter(F.xxhash64("doc_id").bitwiseAND(F.lit(2**32 - 1)) < share)
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    numbered = docs.select("doc_id", "text").withColumn("number", F.xxhash64(F.monotonically_increasing_id()))
+    sample = numbered.filter(F.col("number").bitwiseAND(F.lit(2**32 - 1)) < share)
+    return sample.join(known, "doc_id").select("text", "toxic")
 
 
 def _odds(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float:
