@@ -342,18 +342,21 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_at(spark: SparkSession, path: str, place: int) -> int:
-    """The id at a place of the whole stream: one segment is read, and of it one id."""
-    sizes = spark.read.schema(SEGMENTS).parquet(path).select("part", "segment", "n_tokens")
-    order = Window.orderBy("part", "segment")
-    found = (
-        sizes.withColumn("end", F.sum("n_tokens").over(order))
-        .filter(F.col("end") > place)
-        .orderBy("end")
-        .first()
-    )
+    """The id at a place of the whole stream: one segment is read, and of it one id.
+
+    Sizes are added up over parts first, then over the segments of one part.
+    """
+    segments = spark.read.schema(SEGMENTS).parquet(path)
+    sizes = segments.select("part", "segment", "n_tokens")
+
+    def reached(rows: DataFrame, name: str, before: int):
+        """The first of rows (name, n_tokens) in order whose end lies behind the place."""
+        ends = rows.withColumn("end", F.sum("n_tokens").over(Window.orderBy(name)) + before)
+        return ends.filter(F.col("end") > place).orderBy("end").first()
+
+    part = reached(sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")), "part", 0)
+    found = part and reached(sizes.filter(F.col("part") == part["part"]), "segment", part["end"] - part["n_tokens"])
     if place < 0 or found is None:
         raise IndexError(place)
-    row = spark.read.schema(SEGMENTS).parquet(path).filter(
-        (F.col("part") == found["part"]) & (F.col("segment") == found["segment"])
-    )
+    row = segments.filter((F.col("part") == found["part"]) & (F.col("segment") == found["segment"]))
     return Segment(row.first()["payload"])[place - (found["end"] - found["n_tokens"])]
