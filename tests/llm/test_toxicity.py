@@ -107,9 +107,3 @@ def test_a_task_without_words(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(1, 5)], "doc_id long, toxic int")
     model = toxicity.learn(docs, labels)
     assert toxicity.score(docs, model).count() == 4
-
-
-def test_sample_is_bounded_though_one_id_repeats(spark):
-    docs = spark.range(0, 5000, 1, 4).selectExpr("1L AS doc_id", "concat('text ', id) AS text")
-    labels = spark.createDataFrame([(1, 1), (1, 0), (1, None), (None, 1)], "doc_id long, toxic int")
-    assert 300 < toxicity.training_rows(docs, labels, 500).count() < 700
