@@ -160,6 +160,12 @@ class Encoder:
         self.pieces = _Kept(self._piece, kept_words)
         self.later = _Kept(self._after_blank, kept_words)
 
+    def forget(self) -> None:
+        """Drop the words kept."""
+        for kept in (self.pieces, self.later):
+            kept.clear()
+            kept.older = {}
+
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
@@ -243,8 +249,11 @@ def encoder(path: str, kept_words: int = KEPT_WORDS) -> Encoder:
     return Encoder(path, kept_words)
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, n_tokens): the number of ids of each whole text, 0 for null."""
+def count_tokens(docs: DataFrame, tokenizer_path: str, keep_words: bool = True) -> DataFrame:
+    """docs (doc_id, text, ...) -> (doc_id, n_tokens): the number of ids of each whole text, 0 for null.
+
+    Without keep_words a process drops its words when a task ends, so that they take no memory from what comes after.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,6 +261,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 some = batch.slice(at, DOCS_AT_ONCE)
                 n_tokens = pa.array(encoder(tokenizer_path, COUNT_KEPT_WORDS).sizes(some.column(1)), pa.int64())
                 yield pa.RecordBatch.from_arrays([some.column(0), n_tokens], ["doc_id", "n_tokens"])
+        if not keep_words:
+            encoder(tokenizer_path, COUNT_KEPT_WORDS).forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(counted, "doc_id long, n_tokens long")
 
