@@ -43,7 +43,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Tokens are the ids that the tokenizer makes of the whole texts.
     """
-    counted = token_files.count_tokens(docs, public_tokenizers.path(TOKENIZER))
+    counted = token_files.count_tokens(docs, public_tokenizers.path(TOKENIZER), keep_words=False)
     return packing.pack(counted, F.col("n_tokens"))
 
 
