@@ -143,3 +143,16 @@ def test_a_failing_run_continued_asks_each_prompt_once(spark, tmp_path):
     before = len(list(log.iterdir()))
     answers.complete_kept(prompts, answer, store).collect()
     assert len(list(log.iterdir())) == before + 1  # the failing one only
+
+
+def test_upsert_of_a_version_by_the_keys_of_dictionaries(spark, monkeypatch):
+    """Updates too many to be sent, keys as the library names them."""
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    schema = "src string, target string, description string"
+    base = spark.createDataFrame([("a", "A", "1"), ("a", "A", "2"), ("b", "B", "3"), ("c", "C", "4")], schema)
+    updates = spark.createDataFrame([("a", "A", "x"), ("n", "N", "y")], schema)
+    versions.publish(base, "by_keys", d.KEYS)
+    versions.republish(spark, "by_keys", lambda held: d.upsert(held, updates, d.KEYS, ["description"]))
+    versions.republish(spark, "by_keys", lambda held: d.delete_keys(held, base.filter("src = 'b'")))
+    found = sorted(tuple(r) for r in spark.table("by_keys").collect())
+    assert found == [("a", "A", "x"), ("a", "A", "x"), ("c", "C", "4"), ("n", "N", "y")]
