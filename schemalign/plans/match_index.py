@@ -7,8 +7,9 @@ writes the others as a next version, counting anew only what the change touches.
 pairs are joined with the names that are there. Views without a version in their name are switched to the new tables, the
 one that decides which names there are last.
 
-The function's body is an equi-join of the probes of the names asked for with the postings, and gives what field_match
-gives for any threshold from the index' least one on.
+The function's body is an equi-join of the probes of the names asked for with the postings; names that this does not give
+enough for are compared by counts of characters with blocks of the source names. It gives what field_match gives for any
+threshold from the index' least one on.
 """
 
 from __future__ import annotations
@@ -16,21 +17,22 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udf
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from schemalign.functions import text
 from schemalign.functions.sequence import sequence_ratio
 from schemalign.operators import characters, lexicon, probes, tfidf
 from schemalign.operators.settle import settle
+from schemalign.plans.field_match import common_grams, quoted_list
 
 # Answers a call may ask for, and the lowest threshold, unless the index is built for others.
 MOST_ANSWERS = 10
 LEAST_THRESHOLD = 0.1
 
 _SIDES = ("entries", "terms", "vocabulary", "facts", "names")
-_NO_PROBES = "cast(array() AS array<string>)"
-_HAS_TERM = r"rlike r'[\p{L}\p{N}_]{2}'"
 
 
 @dataclass(frozen=True)
@@ -42,29 +44,14 @@ class MatchIndex:
         return self.spark.table(f"{self.name}_{side}")
 
 
-def _ratios(least: float) -> tuple[float, float]:
-    """The sequence ratio that alone reaches the threshold: with TF-IDF in the blend, and in a dictionary without terms."""
-    return least / (text.BASIC_SHARE * text.SEQUENCE_WEIGHT), least / text.SEQUENCE_WEIGHT
-
-
-def _alike(least: float, indexed: bool) -> str:
-    """Probes of pairs that share characters only. Names without terms are indexed for the lower ratio, too."""
-    ratio, lower = _ratios(least)
-    usual = characters.character_probes("key", "toks", ratio, indexed) if ratio < 1 else _NO_PROBES
-    wider = characters.character_probes("key", "toks", lower, indexed, "m") if lower < 1 else _NO_PROBES
-    return f"if(key {_HAS_TERM}, {usual}, concat({usual}, {wider}))" if indexed else f"concat({usual}, {wider})"
-
-
-def _postings(keys: DataFrame, order: str, least: float) -> DataFrame:
+def _postings(keys: DataFrame, common: str) -> DataFrame:
     kinds = [
         probes.tagged("x", "array(key)"),
         probes.tagged("g", probes.all_grams("key")),
-        probes.tagged("h", probes.one_gram("key", f"({probes.signature_grams('key')})")),
+        probes.tagged("h", probes.one_gram("key", f"({probes.signature_grams('key', common)})")),
         probes.tagged("w", "filter(array_distinct(split(key, ' ')), w -> w <> '')"),
-        _alike(least, True),
     ]
-    named = keys.filter("key <> ''").select("key", characters.character_tokens("key", order).alias("toks"))
-    return named.select(F.explode(F.array_distinct(F.expr(f"concat({', '.join(kinds)})"))).alias("probe"), "key")
+    return keys.filter("key <> ''").select(F.explode(F.array_distinct(F.expr(f"concat({', '.join(kinds)})"))).alias("probe"), "key")
 
 
 def _save(df: DataFrame, table: str, bucketed: str | None = None, mode: str = "error", buckets: int = 0) -> None:
@@ -94,9 +81,9 @@ def _publish(spark: SparkSession, name: str, entries: DataFrame, terms: DataFram
     vectors = tfidf.weigh(sources.select("key"), spark.table(made["vocabulary"]))
     named = sources.join(vectors.select("key", tfidf.vector("entries").alias("vec")), "key")
     _save(named.select("key", "copies", "rows", text.word_set(F.col("key")).alias("words"), "vec"), made["names"], "key")
-    row = (known.has_terms, known.has_empty, known.first_keys, *[kept[k] for k in ("chars", "least", "most", "postings", "buckets")])
+    row = (known.has_terms, known.has_empty, known.first_keys, *[kept[k] for k in ("common", "least", "most", "postings", "buckets")])
     schema = (
-        "has_terms boolean, has_empty boolean, first_keys array<string>, chars string, least double, most int, postings string, buckets int"
+        "has_terms boolean, has_empty boolean, first_keys array<string>, common string, least double, most int, postings string, buckets int"
     )
     _save(spark.createDataFrame([row], schema), made["facts"])
     for side in _SIDES:
@@ -112,12 +99,12 @@ def build_index(
     spark = dictionary.sparkSession
     entries = settle(dictionary.groupBy("src", "target").agg(F.count(F.lit(1)).alias("n")))
     sources = settle(lexicon.keyed_rows(_one_target(entries), 1).select("key", "copies"))
-    order = characters.rare_to_common(sources)
+    common = quoted_list(common_grams(sources))
     postings = f"{name}_postings_{uuid.uuid4().hex[:12]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _save(_postings(sources, order, least_threshold), postings, "probe", buckets=buckets)
+    _save(_postings(sources, common), postings, "probe", buckets=buckets)
     spark.sql(f"CREATE OR REPLACE VIEW {name}_postings AS SELECT * FROM {postings}")
-    kept = {"chars": order, "least": least_threshold, "most": most_answers, "postings": postings, "buckets": buckets}
+    kept = {"common": common, "least": least_threshold, "most": most_answers, "postings": postings, "buckets": buckets}
     _publish(spark, name, entries, tfidf.count_terms(sources), kept)
     return MatchIndex(spark, name)
 
@@ -147,7 +134,7 @@ def apply_changes(index: MatchIndex, diff: DataFrame) -> None:
     keys = copies(after, 1).select("key").distinct()
     posted = index.table("postings").filter("probe LIKE 'x:%'").select("key").distinct()
     new = settle(keys.join(posted, "key", "left_anti"))
-    _save(_postings(new, facts["chars"], facts["least"]), facts["postings"], "probe", "append", facts["buckets"])
+    _save(_postings(new, facts["common"]), facts["postings"], "probe", "append", facts["buckets"])
     _publish(spark, index.name, entries, terms, facts.asDict())
 
 
@@ -158,7 +145,22 @@ def _matching(rows: DataFrame, others: DataFrame, keys: list[str], how: str) ->
     return rows.join(renamed, same, how)
 
 
-def _body(index: str, order: str, least: float, most: int, parts: int) -> str:
+def _best_pairs(asked: list[str], names: list[Row], ratio: float, most_pairs: int) -> list[tuple[str, str]]:
+    """The best pairs of the names asked for with a block of source names (key, first), as characters.best_of gives them."""
+    right, found = [n["key"] for n in names], []
+    for start in range(0, len(asked), characters.LEFT_NAMES):
+        left = asked[start : start + characters.LEFT_NAMES]
+        at = characters.best_of(left, right, [n["first"] or "" for n in names], ratio, most_pairs)
+        found += [(left[i], right[j]) for i, j in zip(*at, strict=True)]
+    return found
+
+
+# Declared nondeterministic so that the blocks are compared once, not for every use of what they give.
+_PAIRS = ArrayType(StructType([StructField("a", StringType()), StructField("b", StringType())]))
+best_pairs = udf(_best_pairs, _PAIRS, useArrow=False).asNondeterministic()
+
+
+def _body(index: str, common: str, least: float, most: int, parts: int) -> str:
     """The table function's query; its parameters are input_fields, top_n and min_threshold.
 
     Pairs are compared in so many tasks: few bytes may be much work, which the size of a shuffle does not tell.
@@ -167,13 +169,10 @@ def _body(index: str, order: str, least: float, most: int, parts: int) -> str:
     contains = "contains(a, b) OR contains(b, a)"
     probed = [
         probes.tagged("x", "array(key)"),
-        probes.tagged("g", probes.one_gram("key", f"({probes.signature_grams('key')})")),
+        probes.tagged("g", probes.one_gram("key", f"({probes.signature_grams('key', common)})")),
         probes.tagged("h", probes.all_grams("key")),
         probes.tagged("w", f"if(least > {share}, {probes.reachable_words('words', 'entries', share, 'least')}, words)"),
-        _alike(least, False),
     ]
-    ratio = "(least / share)"
-    needed = f"greatest(ceil({ratio} * (length(a) + length(b)) / 2 - 1e-9D), 1)"
     total = "(length(a) + length(b))"
     known = (
         "CASE WHEN length(b) >= 200 THEN NULL WHEN exact = 1 THEN 1D "
@@ -190,6 +189,16 @@ def _body(index: str, order: str, least: float, most: int, parts: int) -> str:
 
     shared = "size(array_intersect(words_a, words_b))"
     union = f"(size(words_a) + size(words_b) - {shared})"
+
+    def partly(pairs: str) -> str:
+        return f"""
+      SELECT *, CAST(a = b AS DOUBLE) AS exact, CAST({contains} AS DOUBLE) AS inside,
+             if({union} > 0, {shared} / {union}, 0D) AS overlap, {tfidf.dot_sql('vec_a', 'vec_b')} AS tfidf
+      FROM (
+        SELECT a, b, f.n, f.least, f.has_terms, rows, f.words AS words_a, m.words AS words_b, f.vec AS vec_a, m.vec AS vec_b
+        FROM {pairs} JOIN featured f ON a = f.key JOIN {index}_names m ON b = m.key
+      )"""
+
     rounded = ", ".join(
         f"bround({part}, 4) AS {name}"
         for part, name in (
@@ -221,39 +230,45 @@ def _body(index: str, order: str, least: float, most: int, parts: int) -> str:
     featured AS (
       SELECT key, n, least, entries, {tfidf.vector_sql('entries')} AS vec,
              {probes.rarity_order_sql("filter(array_distinct(split(key, ' ')), w -> w <> '')", 'entries')} AS words,
-             {characters.character_tokens_sql('key', order)} AS toks, has_terms, has_empty, first_keys, {share} AS share
+             has_terms, has_empty, first_keys, {share} AS share
       FROM own JOIN unit USING (key) CROSS JOIN (SELECT has_terms, has_empty, first_keys FROM {index}_facts)
     ),
     probed AS (
-      SELECT key AS a, n, least, share, explode(array_distinct(concat({', '.join(probed)}))) AS probe
+      SELECT key AS a, explode(array_distinct(concat({', '.join(probed)}))) AS probe
       FROM featured WHERE key <> ''
     ),
     met AS (
-      SELECT a, p.key AS b, substring(probe, 1, 1) IN ('x', 'g', 'h', 'w') AS sure
+      SELECT a, p.key AS b
       FROM probed JOIN {index}_postings p USING (probe)
-      WHERE CASE substring(probe, 1, 1)
-              WHEN 'x' THEN true
-              WHEN 'g' THEN contains(p.key, a)
-              WHEN 'h' THEN contains(a, p.key)
-              WHEN 'w' THEN true
-              ELSE least(length(a), length(p.key)) >= {ratio} / (2 - {ratio}) * greatest(length(a), length(p.key)) - 1e-9D
-            END
-      UNION ALL SELECT key, b, true FROM (SELECT key, explode(first_keys) AS b FROM featured WHERE key = '') WHERE b <> ''
-      UNION ALL SELECT key, '', true FROM featured WHERE has_empty
+      WHERE CASE substring(probe, 1, 1) WHEN 'g' THEN contains(p.key, a) WHEN 'h' THEN contains(a, p.key) ELSE true END
+      UNION ALL SELECT key, b FROM (SELECT key, explode(first_keys) AS b FROM featured WHERE key = '') WHERE b <> ''
+      UNION ALL SELECT key, '' FROM featured WHERE has_empty
     ),
-    once AS (SELECT /*+ REPARTITION({parts}, a, b) */ a, b, bool_or(sure) AS sure FROM met GROUP BY a, b),
-    counted_pairs AS (SELECT a, b, sure, {text.shared_characters_sql('a', 'b')} AS in_common FROM once),
-    pairs AS (
-      SELECT a, b, in_common, f.n, f.least, f.has_terms, rows, f.words AS words_a, m.words AS words_b, f.vec AS vec_a, m.vec AS vec_b
-      FROM counted_pairs JOIN featured f ON a = f.key JOIN {index}_names m ON b = m.key
-      WHERE sure OR in_common >= {needed}
+    once AS (SELECT /*+ REPARTITION({parts}, a, b) */ DISTINCT a, b FROM met),
+    sure AS ({partly('once')}),
+    done AS (
+      SELECT a FROM sure WHERE {combined('0D')} >= if(has_terms, {text.BASIC_SHARE}D, 1D) * {text.SEQUENCE_WEIGHT}D
+      GROUP BY a HAVING count(1) >= max(n)
     ),
-    partly AS (
-      SELECT a, b, in_common, n, least, has_terms, rows, CAST(a = b AS DOUBLE) AS exact, CAST({contains} AS DOUBLE) AS inside,
-             if({union} > 0, {shared} / {union}, 0D) AS overlap, {tfidf.dot_sql('vec_a', 'vec_b')} AS tfidf
-      FROM pairs
+    open AS (
+      SELECT collect_list(key) AS keys, max(least / share) AS ratio, max(n) AS n
+      FROM featured LEFT ANTI JOIN done ON key = a WHERE key <> '' AND least / share < 1 - 1e-9D
+    ),
+    blocks AS (
+      SELECT /*+ REPARTITION({parts}, block) */ block, collect_list(struct(key, first)) AS names
+      FROM (
+        SELECT key, element_at(rows, 1).src AS first,
+               pmod(xxhash64(key), (SELECT CAST(ceil(count(1) / {characters.RIGHT_NAMES}) AS BIGINT) FROM {index}_names)) AS block
+        FROM {index}_names WHERE key <> ''
+      ) GROUP BY block
+    ),
+    compared AS (
+      SELECT /*+ BROADCAST(open) */ {index}_best_pairs(keys, names, ratio, open.n) AS found
+      FROM blocks CROSS JOIN open WHERE size(keys) > 0
     ),
-    bounded AS (SELECT *, {known} AS known FROM partly),
+    alike AS (SELECT inline(found) AS (a, b) FROM compared),
+    partly AS (SELECT * FROM sure UNION ALL {partly('alike')}),
+    bounded AS (SELECT *, {known} AS known, {text.shared_characters_sql('a', 'b')} AS in_common FROM partly),
     hopeful AS (SELECT * FROM bounded WHERE {combined(f'coalesce(known, {highest})')} >= least - 1e-9D),
     sequenced AS (
       SELECT *, coalesce(known, {index}_sequence_ratio(if(known IS NULL, a, NULL), if(known IS NULL, b, NULL))) AS sequence
@@ -290,11 +305,12 @@ def create_match_function(index: MatchIndex, function: str = "field_match") -> N
     """
     facts = index.table("facts").first()
     index.spark.udf.register(f"{index.name}_sequence_ratio", sequence_ratio)
+    index.spark.udf.register(f"{index.name}_best_pairs", best_pairs)
     index.spark.sql(
         f"""CREATE OR REPLACE TEMPORARY FUNCTION {function}(
               input_fields ARRAY<STRING>, top_n INT DEFAULT 3, min_threshold DOUBLE DEFAULT {facts['least']}D)
             RETURNS TABLE (input_field STRING, src_field STRING, target_field STRING, combined_score DOUBLE,
               exact_score DOUBLE, substring_score DOUBLE, sequence_score DOUBLE, word_overlap DOUBLE,
               tfidf_score DOUBLE, match_rank INT)
-            RETURN {_body(index.name, facts['chars'], facts['least'], facts['most'], facts['buckets'])}"""
+            RETURN {_body(index.name, facts['common'], facts['least'], facts['most'], facts['buckets'])}"""
     )

@@ -65,3 +65,35 @@ def test_short_and_long_sides_meet_once(spark):
     found = characters.pairs_by_index(*sides, 0.75, 1000).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()
     assert all(r["n"] == 1 for r in found)
     assert {(a, b) for a in left for b in right if SequenceMatcher(None, a, b).ratio() >= 0.75} <= {(r["a"], r["b"]) for r in found}
+
+
+def _best(left, right, ratio, most):
+    """(a, b) by the standard matcher, equal ratios in order of the reversed name."""
+    found = set()
+    for a in left:
+        alike = [b for b in right if a not in b and b not in a and not set(a.split()) & set(b.split())]
+        scored = sorted((-SequenceMatcher(None, a, b).ratio(), b[::-1], b) for b in alike)
+        found |= {(a, b) for score, _, b in scored[:most] if -score >= ratio}
+    return found
+
+
+@pytest.mark.parametrize("features", [24, 512])
+@pytest.mark.parametrize("ratio, most, length", [(0.714, 3, 14), (0.9, 1, 75), (0.3, 2, 240)])
+def test_best_pairs_by_bounds(monkeypatch, features, ratio, most, length):
+    monkeypatch.setattr(characters, "FEATURES", features)
+    draw = random.Random(length)
+    left, right = _names(draw, 40, length, "ab cdé_0"), _names(draw, 60, length, "ab cdé_0")
+    left, right = [sorted({" ".join(n.split()) for n in x}) for x in (left, right)]
+    right = sorted({*right, *(b[1:] + b[0] for b in left)})
+    at = characters.best_of(left, right, [b[::-1] for b in right], ratio, most)
+    assert {(left[i], right[j]) for i, j in zip(*at, strict=True)} == _best(left, right, ratio, most)
+
+
+def test_best_pairs_give_few_rows_for_each_block(spark, monkeypatch):
+    monkeypatch.setattr(characters, "LEFT_NAMES", 50)
+    monkeypatch.setattr(characters, "RIGHT_NAMES", 100)
+    left, right = [f"customer{k}x" for k in range(120)], [f"customer{k}" for k in range(1000, 1300)]
+    sides = [spark.createDataFrame([(n, n[::-1]) for n in x], "key string, first string") for x in (left, right)]
+    found = [tuple(r) for r in characters.best_pairs(*sides, 0.714, 2).collect()]
+    assert len(set(found)) == len(found) <= 120 * 3 * 2  # 36,000 pairs are within the bound
+    assert _best(left, right, 0.714, 2) <= set(found)
