@@ -224,12 +224,21 @@ class Model:
 
     @property
     def anchors(self) -> list[str]:
-        return sorted({w for g in self.vocabulary for w in g.split(" ")} - set(STOP_WORDS))
+        return _anchors(self.vocabulary)
+
+
+def _anchors(vocabulary: list[str]) -> list[str]:
+    return sorted({w for g in vocabulary for w in g.split(" ")} - set(STOP_WORDS))
 
 
 def _probabilities(rows: DataFrame, model: Model) -> DataFrame:
     """rows (words, ...) -> and family, probability: the likeliest class of each."""
-    seen = model.regression.transform(model.vectors.transform(_features(rows)))
+    return _likeliest(_features(rows), model).select(*rows.columns, "family", "probability")
+
+
+def _likeliest(featured: DataFrame, model: Model) -> DataFrame:
+    """featured (grams, ...) -> and family, probability."""
+    seen = model.regression.transform(model.vectors.transform(featured))
     chances = vector_to_array("chances")
     best = F.array_max(F.transform(chances, lambda p, i: F.struct(p.alias("p"), (-i).alias("i"))))
     named = F.get(F.array(*map(F.lit, model.families)), -F.col("best.i"))
@@ -237,7 +246,7 @@ def _probabilities(rows: DataFrame, model: Model) -> DataFrame:
         seen.withColumn("best", best)
         .withColumn("family", named)
         .withColumn("probability", F.col("best.p"))
-        .select(*rows.columns, "family", "probability")
+        .select(*featured.columns, "family", "probability")
     )
 
 
@@ -310,39 +319,56 @@ def template_share(family: Column) -> Column:
 
 
 def train(docs: DataFrame, background_rows: int = BACKGROUND_ROWS) -> Model:
-    """Fit on the templates, the sentences that declare nothing, and about background_rows paragraphs of docs at most.
+    """Fit on the templates, the sentences that declare nothing, and all distinct paragraphs of docs: the background.
 
-    The background is a sample of the documents' distinct paragraphs by hash, without those that hold a template's pairs
-    or name a licence; half of it trains the unknown class, the other half sets the bound: at most one in a thousand of it
-    may pass it.
+    Paragraphs that hold a template's pairs or name a licence are no background. Half of it, by hash, trains the unknown
+    class; the other half sets the bound: at most one in a thousand of it may pass it. Paragraphs with the same features
+    are one row that counts as many times; together they weigh as much as background_rows rows at most, so that a large
+    background does not outweigh the templates. Paragraphs are told apart by 64 bits of hash.
     """
     spark = docs.sparkSession
     vocabulary = _vocabulary(spark)
     families = [*TEMPLATES, UNKNOWN]
-    lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n")).first()["n"]
-    share = int(2**32 * min(1.0, background_rows / max(lines or 0, 1)))
-    # By content, so that the same lines are drawn whatever the partitions; equal ones count once.
-    drawn = F.xxhash64(F.lit(SEED), "text").bitwiseAND(F.lit(2**32 - 1)) < share
-    sample = docs.select(F.explode(F.split("text", "\n")).alias("text")).filter(drawn).withColumn("doc_id", F.lit(0))
-    some = settle(paragraphs(sample).select("words").distinct())
-    alike = F.greatest(*[_held(name) for name in TEMPLATES])
-    naming = F.array(*map(F.lit, sorted(_naming_pairs())))
-    unlike = _word_pairs(some).filter((alike < TEMPLATE_SHARE / 2) & ~F.arrays_overlap("pairs", naming))
-    background = settle(unlike.select("words", F.pmod(F.xxhash64("words"), F.lit(2)).alias("half")))
-    examples = _examples(spark).unionByName(background.filter("half = 0").select(F.lit(UNKNOWN).alias("family"), "words"))
-    place = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
-    rows = settle(_features(examples).withColumn("label", place.cast("double")))
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features")
     vectors.setBinary(True)
-    fitted = LogisticRegression(family="multinomial", regParam=0.001, maxIter=60, probabilityCol="chances").fit(vectors.transform(rows))
-    model = Model(vocabulary, families, vectors, fitted, 0.5)
-    known = settle(_probabilities(background.filter("half = 1"), model)).filter(F.col("family") != UNKNOWN)
+    background = settle(_background(docs, vocabulary))
+    total = background.agg(F.sum("weight").alias("n")).first()["n"] or 0
+    scaled = F.col("weight") * min(1.0, background_rows / max(total, 1))
+    place = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
+    examples = _features(_examples(spark)).select("family", "grams", F.lit(1.0).alias("weight"))
+    half = background.filter("half = 0").select(F.lit(UNKNOWN).alias("family"), "grams", scaled.alias("weight"))
+    rows = settle(examples.unionByName(half).withColumn("label", place.cast("double")))
+    regression = LogisticRegression(family="multinomial", regParam=0.001, maxIter=60, probabilityCol="chances", weightCol="weight")
+    model = Model(vocabulary, families, vectors, regression.fit(vectors.transform(rows)), 0.5)
+    seen = settle(_likeliest(background.filter("half = 1"), model)).filter(F.col("family") != UNKNOWN)
+    # As many times as there are paragraphs with these features.
+    known = seen.select("probability", F.explode(F.sequence(F.lit(1), F.col("weight").cast("long"))))
     reached = F.percentile_approx("probability", 1 - MISTAKES_ALLOWED, 10_000)
     worst = known.agg(reached.alias("p")).first()["p"]
     model.bound = max(0.5, worst or 0.0)
     return model
 
 
+def _background(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(half, grams, weight): the features of the distinct paragraphs that are no licence's, and how many have them."""
+    anchors = F.array(*map(F.lit, _anchors(vocabulary)))
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
+    told = lines.select(F.array_remove(words(F.col("line")), "").alias("words")).filter(F.size("words") > 0)
+    # Paragraphs without an anchor have no feature; only how many they are counts.
+    marked = told.select(F.xxhash64("words").alias("id"), F.when(F.arrays_overlap("words", anchors), F.col("words")).alias("words"))
+    once = settle(marked.groupBy("id").agg(F.first("words").alias("words")))
+    half = F.pmod("id", F.lit(2)).alias("half")
+    plain = once.filter("words IS NULL").select("id", F.array().cast("array<string>").alias("grams"))
+    naming = F.array(*map(F.lit, sorted(_naming_pairs())))
+    some = _word_pairs(once.filter("words IS NOT NULL")).filter(~F.arrays_overlap("pairs", naming))
+    held = _held_by_any(some.select("id", "pairs"), TEMPLATE_SHARE / 2)
+    alike = held.filter(F.greatest(*[_held(name) for name in TEMPLATES]) >= TEMPLATE_SHARE / 2).select("id")
+    unlike = _features(some.join(alike, "id", "left_anti"))
+    known = F.array_sort(F.array_intersect("grams", F.array(*map(F.lit, vocabulary))))
+    every = plain.unionByName(unlike.select("id", known.alias("grams")))
+    return every.groupBy(half, "grams").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
 def _wrapped_findings(docs: DataFrame, model: Model) -> DataFrame:
     """The findings of scan that more than one line is needed for: confirmed neither by the line nor by those after it."""
     wrapped = _wrapped(docs, model.anchors)

@@ -142,3 +142,13 @@ def test_the_sample_does_not_depend_on_partitions(spark):
     models = [licenses.train(docs.repartition(n), 200) for n in (1, 7)]
     assert models[0].bound == models[1].bound
     assert abs(models[0].regression.coefficientMatrix.toArray() - models[1].regression.coefficientMatrix.toArray()).max() < 1e-6
+
+
+def test_every_paragraph_counts_in_the_background(spark):
+    filler = [(k, f"plain line {k}\nthe software of town {k % 7} is free") for k in range(300)]
+    docs = spark.createDataFrame([*filler, *filler[:50], (900, None), (901, " \n")], "doc_id long, text string")
+    vocabulary = licenses._vocabulary(spark)
+    weights = [r["weight"] for r in licenses._background(docs, vocabulary).collect()]
+    assert sum(weights) == 307  # distinct paragraphs, however many rows the fit is to weigh
+    models = [licenses.train(d, 20) for d in (docs, docs.repartition(5))]
+    assert models[0].bound == models[1].bound
