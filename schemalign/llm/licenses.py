@@ -20,7 +20,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemalign.functions.text import word_ngrams
 from schemalign.operators.settle import settle
 
 UNKNOWN = "unknown"
@@ -152,9 +151,17 @@ def words(text: Column) -> Column:
 
 def _features(rows: DataFrame) -> DataFrame:
     """(words) -> and grams: words that tell something, and pairs that hold one of them."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    grams = F.filter(word_ngrams("words", 2), lambda g: F.size(F.array_except(F.split(g, " "), stop)) > 0)
-    return rows.withColumn("grams", F.array_distinct(grams))
+    telling = F.filter("words", lambda w: ~w.isin(STOP_WORDS))
+    following = lambda i: F.get("words", i + 1)
+    pair = lambda w, i: F.when(~w.isin(STOP_WORDS) | ~following(i).isin(STOP_WORDS), F.concat_ws(" ", w, following(i)))
+    firsts = F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0)))
+    pairs = F.filter(F.transform(firsts, pair), lambda g: g.isNotNull())
+    return rows.withColumn("grams", F.array_distinct(F.concat(telling, pairs)))
+
+
+def _holds_any(words: Column | str, listed: list[str]) -> Column:
+    """Whether one of the words is listed: one look for each word, however long the list."""
+    return F.exists(words, lambda w: w.isin(listed))
 
 
 def paragraphs(docs: DataFrame, anchors: list[str] | None = None) -> DataFrame:
@@ -163,9 +170,9 @@ def paragraphs(docs: DataFrame, anchors: list[str] | None = None) -> DataFrame:
     With anchors, only lines that hold one of these words; the others have no feature at all, so nothing is lost.
     """
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    told = lines.select("doc_id", "paragraph", words(F.col("line")).alias("words"))
+    told = lines.select("doc_id", "paragraph", _once(words(F.col("line"))).alias("words"))
     if anchors is not None:
-        told = told.filter(F.arrays_overlap("words", F.array(*map(F.lit, anchors))))
+        told = told.filter(_holds_any("words", anchors))
     return told.select("doc_id", "paragraph", F.array_remove("words", "").alias("words")).filter(F.size("words") > 0)
 
 
@@ -179,8 +186,9 @@ def _wrapped(docs: DataFrame, anchors: list[str]) -> DataFrame:
     end are the line's last words, rest the first words of the lines after it up to one without words, REACH at most of
     each. Only lines that hold one of the anchors or stand before a line that does.
     """
-    told = docs.select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.array_remove(words(x), "")).alias("lines"))
-    marked = told.withColumn("marked", F.transform("lines", lambda w: F.arrays_overlap(w, F.array(*map(F.lit, anchors)))))
+    several = docs.filter(F.contains("text", F.lit("\n")))
+    told = several.select("doc_id", _once(F.transform(F.split("text", "\n"), lambda x: F.array_remove(words(x), ""))).alias("lines"))
+    marked = told.select("*", _once(F.transform("lines", lambda w: _holds_any(w, anchors))).alias("marked"))
     starts = F.filter(
         F.sequence(F.lit(0), F.size("lines") - 2),
         lambda i: (F.size(F.get("lines", i)) > 0) & (F.size(F.get("lines", i + 1)) > 0) & (F.get("marked", i) | F.get("marked", i + 1)),
@@ -193,10 +201,10 @@ def _wrapped(docs: DataFrame, anchors: list[str]) -> DataFrame:
             F.transform(F.slice("lines", i + 2, REACH), lambda w: F.slice(w, 1, REACH)).alias("after"),
         ),
     )
-    several = marked.filter(F.size("lines") > 1).select("doc_id", F.explode(cut).alias("at")).select("doc_id", "at.*")
+    found = marked.filter(F.array_contains("marked", True)).select("doc_id", F.explode(cut).alias("at")).select("doc_id", "at.*")
     blank = F.array_position(F.transform("after", lambda w: F.size(w) == 0), True)
     held = F.when(blank > 0, F.slice("after", 1, (blank - 1).cast("int"))).otherwise(F.col("after"))
-    return several.select("doc_id", "paragraph", "end", F.slice(F.flatten(held), 1, REACH).alias("rest"))
+    return found.select("doc_id", "paragraph", "end", F.slice(F.flatten(held), 1, REACH).alias("rest"))
 
 
 def _examples(spark: SparkSession) -> DataFrame:
@@ -233,7 +241,9 @@ def _anchors(vocabulary: list[str]) -> list[str]:
 
 def _probabilities(rows: DataFrame, model: Model) -> DataFrame:
     """rows (words, ...) -> and family, probability: the likeliest class of each."""
-    return _likeliest(_features(rows), model).select(*rows.columns, "family", "probability")
+    known = F.filter("grams", lambda g: g.isin(model.vocabulary))
+    featured = _features(rows).select(*rows.columns, _once(known).alias("grams"))
+    return _likeliest(featured, model).select(*rows.columns, "family", "probability")
 
 
 def _likeliest(featured: DataFrame, model: Model) -> DataFrame:
@@ -255,7 +265,7 @@ _PAIRS = "transform(slice(words, 1, greatest(size(words) - 1, 0)), (w, i) -> con
 
 def _word_pairs(rows: DataFrame) -> DataFrame:
     """(words) -> and pairs: each word with the next."""
-    return rows.withColumn("pairs", F.array_distinct(F.expr(_PAIRS)))
+    return rows.select(*[c for c in rows.columns if c != "pairs"], _once(F.array_distinct(F.expr(_PAIRS))).alias("pairs"))
 
 
 def _naming_pairs() -> set[str]:
@@ -295,14 +305,17 @@ def _held(name: str) -> Column:
     return F.greatest(F.lit(0.0), *shares)
 
 
-def _held_by_any(rows: DataFrame, share: float) -> DataFrame:
-    """The rows whose pairs may hold so much of some template; of their pairs those that stand in a template are left."""
-    every = {t: _pairs_of(t) for ts in TEMPLATES.values() for t in ts}
-    listed = ", ".join(f"'{p}'" for p in sorted({p for pairs in every.values() for p in pairs}))
-    least = min(math.ceil(share * len(pairs)) for pairs in every.values())
+def _with_template_pairs(rows: DataFrame) -> DataFrame:
+    """Of the rows' pairs those that stand in a template."""
+    listed = sorted({p for ts in TEMPLATES.values() for t in ts for p in _pairs_of(t)})
     rest = [c for c in rows.columns if c != "pairs"]
-    kept = rows.select(*rest, _once(F.expr(f"filter(pairs, p -> p IN ({listed}))")).alias("pairs"))
-    return kept.filter(F.size("pairs") >= least)
+    return rows.select(*rest, _once(F.filter("pairs", lambda p: p.isin(listed))).alias("pairs"))
+
+
+def _held_by_any(share: float) -> Column:
+    """Whether the pairs hold so much of some template; most rows have too few pairs for any."""
+    least = min(math.ceil(share * len(_pairs_of(t))) for ts in TEMPLATES.values() for t in ts)
+    return (F.size("pairs") >= least) & (F.greatest(*[_held(name) for name in TEMPLATES]) >= share)
 
 
 def _once(value: Column) -> Column:
@@ -351,20 +364,16 @@ def train(docs: DataFrame, background_rows: int = BACKGROUND_ROWS) -> Model:
 
 def _background(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """(half, grams, weight): the features of the distinct paragraphs that are no licence's, and how many have them."""
-    anchors = F.array(*map(F.lit, _anchors(vocabulary)))
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    told = lines.select(F.array_remove(words(F.col("line")), "").alias("words")).filter(F.size("words") > 0)
+    told = lines.select(_once(F.array_remove(words(F.col("line")), "")).alias("words")).filter(F.size("words") > 0)
     # Paragraphs without an anchor have no feature; only how many they are counts.
-    marked = told.select(F.xxhash64("words").alias("id"), F.when(F.arrays_overlap("words", anchors), F.col("words")).alias("words"))
-    once = settle(marked.groupBy("id").agg(F.first("words").alias("words")))
+    marked = told.select(F.xxhash64("words").alias("id"), F.when(_holds_any("words", _anchors(vocabulary)), F.col("words")).alias("words"))
+    once = settle(marked.distinct())
     half = F.pmod("id", F.lit(2)).alias("half")
     plain = once.filter("words IS NULL").select("id", F.array().cast("array<string>").alias("grams"))
-    naming = F.array(*map(F.lit, sorted(_naming_pairs())))
-    some = _word_pairs(once.filter("words IS NOT NULL")).filter(~F.arrays_overlap("pairs", naming))
-    held = _held_by_any(some.select("id", "pairs"), TEMPLATE_SHARE / 2)
-    alike = held.filter(F.greatest(*[_held(name) for name in TEMPLATES]) >= TEMPLATE_SHARE / 2).select("id")
-    unlike = _features(some.join(alike, "id", "left_anti"))
-    known = F.array_sort(F.array_intersect("grams", F.array(*map(F.lit, vocabulary))))
+    some = _word_pairs(once.filter("words IS NOT NULL")).filter(~_holds_any("pairs", sorted(_naming_pairs())))
+    unlike = _features(_with_template_pairs(some).filter(~_held_by_any(TEMPLATE_SHARE / 2)))
+    known = F.array_sort(F.filter("grams", lambda g: g.isin(vocabulary)))
     every = plain.unionByName(unlike.select("id", known.alias("grams")))
     return every.groupBy(half, "grams").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
@@ -373,8 +382,7 @@ def _wrapped_findings(docs: DataFrame, model: Model) -> DataFrame:
     """The findings of scan that more than one line is needed for: confirmed neither by the line nor by those after it."""
     wrapped = _wrapped(docs, model.anchors)
     both = _word_pairs(wrapped.select("*", _once(F.concat("end", "rest")).alias("words")))
-    both = _held_by_any(both, TEMPLATE_SHARE)
-    alike = settle(both.filter(F.greatest(*[_held(name) for name in TEMPLATES]) >= TEMPLATE_SHARE).drop("pairs"))
+    alike = settle(_with_template_pairs(both).filter(_held_by_any(TEMPLATE_SHARE)).drop("pairs"))
     likely = settle(_probabilities(alike, model)).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= model.bound))
     whole = _word_pairs(likely).withColumn("template_share", F.round(template_share(F.col("family")), 4))
     for part in ("end", "rest"):

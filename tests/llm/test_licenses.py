@@ -152,3 +152,9 @@ def test_every_paragraph_counts_in_the_background(spark):
     assert sum(weights) == 307  # distinct paragraphs, however many rows the fit is to weigh
     models = [licenses.train(d, 20) for d in (docs, docs.repartition(5))]
     assert models[0].bound == models[1].bound
+
+
+def test_lines_are_cut_into_words_once(spark):
+    docs = spark.createDataFrame([(1, "a stone\nReleased under the MIT License.\n")], "doc_id long, text string")
+    for made in (licenses._wrapped(docs, ["mit", "license"]), licenses.paragraphs(docs, ["mit", "license"])):
+        assert made._jdf.queryExecution().executedPlan().toString().count("split(lower(") == 1
