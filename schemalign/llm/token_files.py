@@ -36,6 +36,7 @@ SEGMENT_TOKENS = 1 << 20
 # Encoded words a task's process keeps, for speed only; others are encoded anew.
 KEPT_WORDS = 800_000
 COUNT_KEPT_WORDS = 500_000
+TASK_KEPT_WORDS = 100_000
 DOCS_AT_ONCE = 2048
 
 # A blank at an end of the text or beside other white space.
@@ -252,17 +253,20 @@ def encoder(path: str, kept_words: int = KEPT_WORDS) -> Encoder:
 def count_tokens(docs: DataFrame, tokenizer_path: str, keep_words: bool = True) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, n_tokens): the number of ids of each whole text, 0 for null.
 
-    Without keep_words a process drops its words when a task ends, so that they take no memory from what comes after.
+    Without keep_words a process keeps fewer words, and drops them and the tokenizer when a task ends, so that they take no
+    memory from what comes after.
     """
+    kept_words = COUNT_KEPT_WORDS if keep_words else TASK_KEPT_WORDS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), DOCS_AT_ONCE):
                 some = batch.slice(at, DOCS_AT_ONCE)
-                n_tokens = pa.array(encoder(tokenizer_path, COUNT_KEPT_WORDS).sizes(some.column(1)), pa.int64())
+                n_tokens = pa.array(encoder(tokenizer_path, kept_words).sizes(some.column(1)), pa.int64())
                 yield pa.RecordBatch.from_arrays([some.column(0), n_tokens], ["doc_id", "n_tokens"])
         if not keep_words:
-            encoder(tokenizer_path, COUNT_KEPT_WORDS).forget()
+            encoder.cache_clear()
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(counted, "doc_id long, n_tokens long")
 

@@ -69,3 +69,16 @@ def test_files(spark, rows, tmp_path):
 def test_empty_table(spark, rows, tmp_path):
     token_files.write_tokens(rows([], "doc_id long, text string"), str(tmp_path / "t"), PATH, 2)
     assert token_files.read_documents(spark, str(tmp_path / "t")).collect() == []
+
+
+def test_counting_leaves_no_tokenizer_behind(spark, rows):
+    docs = rows([(1, "some words here"), (2, None)], "doc_id long, text string").coalesce(1)
+
+    def kept(batches):
+        counted = [{"doc_id": batch.column(0), "n_tokens": batch.column(1)} for batch in batches]
+        found = token_files.encoder.cache_info().currsize
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(c["doc_id"]) for c in counted)]), pa.array([found])], ["docs", "found"])
+
+    # One process does both: what counting leaves is seen by what comes after it in the same task.
+    after = token_files.count_tokens(docs, PATH, keep_words=False).mapInArrow(kept, "docs long, found long")
+    assert [(r["docs"], r["found"]) for r in after.collect()] == [(2, 0)]
