@@ -10,7 +10,6 @@ expressions and Spark's own regression.
 
 from __future__ import annotations
 
-import functools
 import math
 from dataclasses import dataclass
 
@@ -274,17 +273,24 @@ def _naming_pairs() -> set[str]:
     return marks | {"general public", "public license", "creative commons", "cc by", "rights reserved"}
 
 
+def _listed(names: list[str] | tuple[str, ...]) -> Column:
+    return F.array(*map(F.lit, names))
+
+
+def _by_family(values: dict[str, Column], family: Column) -> Column:
+    """The family's value, null for one without: the values are one constant, not a branch of code for each family."""
+    return F.try_element_at(F.create_map(*[c for name, value in values.items() for c in (F.lit(name), value)]), family)
+
+
 def confirmed(family: Column, share: Column) -> Column:
     """Whether a paragraph (words) of the family that holds such a share of a template declares that licence."""
     told = F.concat("words", F.expr(_PAIRS))
-    foreign = lacking = F.lit(False)
-    for name in TEMPLATES:
-        others = sorted(m for m, of in MARKS.items() if name not in of)
-        foreign = F.when(family == name, F.arrays_overlap(told, F.array(*map(F.lit, others)))).otherwise(foreign)
-    for name, kinds in NEEDED.items():
-        has_all = functools.reduce(Column.__and__, [F.arrays_overlap(told, F.array(*map(F.lit, kind))) for kind in kinds])
-        lacking = F.when(family == name, ~has_all).otherwise(lacking)
-    return (share >= TEMPLATE_SHARE) & ~foreign & ~lacking & ~_denied()
+    others = {name: _listed(sorted(m for m, of in MARKS.items() if name not in of)) for name in TEMPLATES}
+    kinds = {name: F.array(*map(_listed, of)) for name, of in NEEDED.items()}
+    foreign = F.arrays_overlap(told, _by_family(others, family))
+    lacking = F.exists(_by_family(kinds, family), lambda kind: ~F.arrays_overlap(told, kind))
+    no = F.lit(False)
+    return (share >= TEMPLATE_SHARE) & ~F.coalesce(foreign, no) & ~F.coalesce(lacking, no) & ~_denied()
 
 
 def _denied() -> Column:
@@ -299,10 +305,14 @@ def _pairs_of(template: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(plain, plain[1:], strict=False)})
 
 
-def _held(name: str) -> Column:
-    """The largest share of a template's word pairs, among the family's templates, that a paragraph's pairs hold."""
-    shares = [F.size(F.array_intersect(F.array(*map(F.lit, _pairs_of(t))), "pairs")) / len(_pairs_of(t)) for t in TEMPLATES[name]]
-    return F.greatest(F.lit(0.0), *shares)
+def _templates() -> Column:
+    """(family, pairs) of every template, as one constant: an expression on each would be code that grows with them."""
+    return F.array(*[F.struct(F.lit(name).alias("family"), _listed(_pairs_of(t)).alias("pairs")) for name, ts in TEMPLATES.items() for t in ts])
+
+
+def _held(template: Column) -> Column:
+    """The share of a template's word pairs that a paragraph's pairs hold."""
+    return F.size(F.array_intersect(template["pairs"], F.col("pairs"))) / F.size(template["pairs"])
 
 
 def _with_template_pairs(rows: DataFrame) -> DataFrame:
@@ -315,7 +325,7 @@ def _with_template_pairs(rows: DataFrame) -> DataFrame:
 def _held_by_any(share: float) -> Column:
     """Whether the pairs hold so much of some template; most rows have too few pairs for any."""
     least = min(math.ceil(share * len(_pairs_of(t))) for ts in TEMPLATES.values() for t in ts)
-    return (F.size("pairs") >= least) & (F.greatest(*[_held(name) for name in TEMPLATES]) >= share)
+    return (F.size("pairs") >= least) & F.exists(_templates(), lambda t: _held(t) >= share)
 
 
 def _once(value: Column) -> Column:
@@ -324,11 +334,8 @@ def _once(value: Column) -> Column:
 
 
 def template_share(family: Column) -> Column:
-    """_held of the family in question."""
-    shares = F.lit(0.0)
-    for name in TEMPLATES:
-        shares = F.when(family == name, _held(name)).otherwise(shares)
-    return shares
+    """The largest share of _held among the templates of the family in question."""
+    return F.greatest(F.lit(0.0), F.array_max(F.transform(F.filter(_templates(), lambda t: t["family"] == family), _held)))
 
 
 def train(docs: DataFrame, background_rows: int = BACKGROUND_ROWS) -> Model:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from schemalign.llm import licenses
 
 PLANTED = {
@@ -158,3 +160,19 @@ def test_lines_are_cut_into_words_once(spark):
     docs = spark.createDataFrame([(1, "a stone\nReleased under the MIT License.\n")], "doc_id long, text string")
     for made in (licenses._wrapped(docs, ["mit", "license"]), licenses.paragraphs(docs, ["mit", "license"])):
         assert made._jdf.queryExecution().executedPlan().toString().count("split(lower(") == 1
+
+
+def test_templates_are_one_constant(spark):
+    """Code that grew with the templates took gigabytes of an executor to compile."""
+    texts = ["mit license mit license under the mit license", "eclipse public license version 2 0", "licensed under cc by sa 4 0", "a b", ""]
+    rows = licenses._word_pairs(spark.createDataFrame([(t.split(),) for t in texts], "words array<string>"))
+    kinds = [rows.crossJoin(spark.createDataFrame([(f,)], "family string")) for f in (*licenses.TEMPLATES, licenses.UNKNOWN)]
+    for named in kinds:
+        made = named.withColumn("share", licenses.template_share(named["family"])).withColumn("alike", licenses._held_by_any(0.3))
+        told = made.withColumn("confirmed", licenses.confirmed(named["family"], made["share"]))
+        plan = told._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("array_intersect(") <= 3 and plan.count("arrays_overlap(") <= 4
+    for r in kinds[0].unionByName(kinds[7]).unionByName(kinds[-1]).withColumn("share", licenses.template_share(F.col("family"))).collect():
+        plain = [[tuple(p.split()) for p in licenses._pairs_of(t)] for t in licenses.TEMPLATES.get(r.family, ())]
+        own = set(zip(r.words, r.words[1:], strict=False))
+        assert r.share == max([len(own.intersection(t)) / len(t) for t in plain], default=0.0)
