@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,41 @@ def test_best_pairs_give_few_rows_for_each_block(spark, monkeypatch):
     found = [tuple(r) for r in characters.best_pairs(*sides, 0.714, 2).collect()]
     assert len(set(found)) == len(found) <= 120 * 3 * 2  # 36,000 pairs are within the bound
     assert _best(left, right, 0.714, 2) <= set(found)
+
+
+def _subsequence(a, b):
+    lengths = [0] * (len(b) + 1)
+    for x in a:
+        made = [0]
+        for j, y in enumerate(b):
+            made.append(lengths[j] + 1 if x == y else max(lengths[j + 1], made[j]))
+        lengths = made
+    return lengths[-1]
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefgh 0123", "".join(map(chr, range(0x4E00, 0x4EC8)))])
+def test_bounds_by_sequence(alphabet):
+    draw = random.Random(len(alphabet))
+    name = lambda most: "".join(draw.choices(alphabet, k=draw.randint(0, most)))
+    left, right = [[*(name(n) for n in (5, 64, 65, 130, 256, 300)), "", "a" * 64, "a" * 256] for _ in range(2)]
+    pairs = [(i, j) for i in range(len(left)) for j in range(len(right))]
+    found = characters._Sequences(left, right).bounds(*np.array(pairs).T)
+    for (i, j), bound in zip(pairs, found.tolist(), strict=True):
+        true = 2 * _subsequence(left[i], right[j]) / max(len(left[i]) + len(right[j]), 1)
+        if max(len(left[i]), len(right[j])) > 256:
+            assert bound == 1
+        else:
+            assert bound >= true - 1e-12 and (len(alphabet) > 64 or bound <= true + 1e-12)
+
+
+def test_few_ratios_are_computed(monkeypatch):
+    """Names alike in their counts: most ratios are spared by the longest common subsequence."""
+    draw = random.Random(5)
+    names = [f"x{d * 6}{d[::-1]}{'customer' * 4}" for d in sorted({f"{draw.randrange(10**6):06}" for _ in range(1500)})]
+    left, right = [n + "z" for n in draw.sample(names, 8)], draw.sample(names, 500)
+    seen = []
+    ratios = characters.sequence_ratios
+    monkeypatch.setattr(characters, "sequence_ratios", lambda a, b: seen.extend(a) or ratios(a, b))
+    found = characters.best_of(left, right, [b[::-1] for b in right], 0.8, 1)
+    assert len(seen) < 40
+    assert {(left[i], right[j]) for i, j in zip(*found, strict=True)} == _best(left, right, 0.8, 1)
