@@ -14,6 +14,7 @@ threshold from the index' least one on.
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
@@ -26,12 +27,15 @@ from schemalign.functions import text
 from schemalign.functions.sequence import sequence_ratio
 from schemalign.operators import characters, lexicon, probes, tfidf
 from schemalign.operators.settle import settle
-from schemalign.plans.field_match import common_grams, quoted_list
+from schemalign.plans.field_match import KEYS_PER_TASK, common_grams, quoted_list, spread
 
 # Answers a call may ask for, and the lowest threshold, unless the index is built for others.
 MOST_ANSWERS = 10
 LEAST_THRESHOLD = 0.1
 
+# Postings are written anew once so many times their buckets are due.
+_OUTGROWN = 4
+
 _SIDES = ("entries", "terms", "vocabulary", "facts", "names")
 
 
@@ -54,13 +58,21 @@ def _postings(keys: DataFrame, common: str) -> DataFrame:
     return keys.filter("key <> ''").select(F.explode(F.array_distinct(F.expr(f"concat({', '.join(kinds)})"))).alias("probe"), "key")
 
 
-def _save(df: DataFrame, table: str, bucketed: str | None = None, mode: str = "error", buckets: int = 0) -> None:
+def _shuffled_into(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _buckets(spark: SparkSession, n_keys: int) -> int:
+    """Buckets for so many source names: as many as their scoring is worth, at most as many as the cluster shuffles into."""
+    return min(max(math.ceil(n_keys / KEYS_PER_TASK), 1), _shuffled_into(spark))
+
+
+def _save(df: DataFrame, table: str, bucketed: str | None = None, mode: str = "error", buckets: int = 1) -> None:
     if not bucketed:
         df.write.mode(mode).format("parquet").saveAsTable(table)
         return
-    # As many buckets as the cluster shuffles into; dealt as they are bucketed, so that a task writes one file.
-    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, bucketed).write.mode(mode).format("parquet").bucketBy(n, bucketed).sortBy(bucketed).saveAsTable(table)
+    # Dealt as they are bucketed, so that a task writes one file.
+    df.repartition(buckets, bucketed).write.mode(mode).format("parquet").bucketBy(buckets, bucketed).sortBy(bucketed).saveAsTable(table)
 
 
 def _one_target(entries: DataFrame) -> DataFrame:
@@ -71,14 +83,14 @@ def _one_target(entries: DataFrame) -> DataFrame:
 def _publish(spark: SparkSession, name: str, entries: DataFrame, terms: DataFrame, kept: dict) -> None:
     """Write the version that follows from entries (src, target, n) and terms (term, tf, df), then point to it."""
     made = {side: f"{name}_{side}_{uuid.uuid4().hex[:12]}" for side in _SIDES}
-    _save(entries, made["entries"], "src")
-    _save(terms, made["terms"], "term")
+    _save(entries, made["entries"], "src", buckets=kept["buckets"])
+    _save(terms, made["terms"], "term", buckets=kept["buckets"])
     sources = settle(lexicon.keyed_rows(_one_target(spark.table(made["entries"])), kept["most"]))
-    n_docs = sources.agg(F.coalesce(F.sum("copies"), F.lit(0)).cast("bigint").alias("n")).first()["n"]
-    weighed = tfidf.with_idf(spark.table(made["terms"]).filter("tf > 0"), F.lit(n_docs))
+    size = sources.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("copies"), F.lit(0)).cast("bigint").alias("docs")).first()
+    weighed = tfidf.with_idf(spark.table(made["terms"]).filter("tf > 0"), F.lit(size["docs"]))
     _save(tfidf.cap_vocabulary(weighed).select("term", "idf"), made["vocabulary"])
     known = lexicon.inspect(sources, 2 * kept["most"])
-    vectors = tfidf.weigh(sources.select("key"), spark.table(made["vocabulary"]))
+    vectors = tfidf.weigh(spread(sources.select("key"), size["keys"]), spark.table(made["vocabulary"]))
     named = sources.join(vectors.select("key", tfidf.vector("entries").alias("vec")), "key")
     _save(named.select("key", "copies", "rows", text.word_set(F.col("key")).alias("words"), "vec"), made["names"], "key")
     row = (known.has_terms, known.has_empty, known.first_keys, *[kept[k] for k in ("common", "least", "most", "postings", "buckets")])
@@ -98,10 +110,13 @@ def build_index(
         raise ValueError("least_threshold must be positive")
     spark = dictionary.sparkSession
     entries = settle(dictionary.groupBy("src", "target").agg(F.count(F.lit(1)).alias("n")))
-    sources = settle(lexicon.keyed_rows(_one_target(entries), 1).select("key", "copies"))
+    settled = settle(lexicon.keyed_rows(_one_target(entries), 1).select("key", "copies"))
+    n_keys = settled.count()
+    # The names' few bytes are read as one split, and are much work.
+    sources = spread(settled, n_keys)
     common = quoted_list(common_grams(sources))
     postings = f"{name}_postings_{uuid.uuid4().hex[:12]}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _buckets(spark, n_keys)
     _save(_postings(sources, common), postings, "probe", buckets=buckets)
     spark.sql(f"CREATE OR REPLACE VIEW {name}_postings AS SELECT * FROM {postings}")
     kept = {"common": common, "least": least_threshold, "most": most_answers, "postings": postings, "buckets": buckets}
@@ -133,9 +148,18 @@ def apply_changes(index: MatchIndex, diff: DataFrame) -> None:
     terms = both.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).filter("tf > 0")
     keys = copies(after, 1).select("key").distinct()
     posted = index.table("postings").filter("probe LIKE 'x:%'").select("key").distinct()
-    new = settle(keys.join(posted, "key", "left_anti"))
-    _save(_postings(new, facts["common"]), facts["postings"], "probe", "append", facts["buckets"])
-    _publish(spark, index.name, entries, terms, facts.asDict())
+    new, kept = settle(keys.join(posted, "key", "left_anti")), facts.asDict()
+    n_new = new.count()
+    postings = _postings(spread(new, n_new), facts["common"])
+    buckets = _buckets(spark, posted.count() + n_new)
+    if buckets > _OUTGROWN * facts["buckets"]:
+        # Written anew, as a table's buckets stay as they are.
+        kept |= {"buckets": buckets, "postings": f"{index.name}_postings_{uuid.uuid4().hex[:12]}"}
+        _save(index.table("postings").unionByName(postings), kept["postings"], "probe", buckets=buckets)
+        spark.sql(f"CREATE OR REPLACE VIEW {index.name}_postings AS SELECT * FROM {kept['postings']}")
+    else:
+        _save(postings, facts["postings"], "probe", "append", facts["buckets"])
+    _publish(spark, index.name, entries, terms, kept)
 
 
 def _matching(rows: DataFrame, others: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -312,5 +336,5 @@ def create_match_function(index: MatchIndex, function: str = "field_match") -> N
             RETURNS TABLE (input_field STRING, src_field STRING, target_field STRING, combined_score DOUBLE,
               exact_score DOUBLE, substring_score DOUBLE, sequence_score DOUBLE, word_overlap DOUBLE,
               tfidf_score DOUBLE, match_rank INT)
-            RETURN {_body(index.name, facts['common'], facts['least'], facts['most'], facts['buckets'])}"""
+            RETURN {_body(index.name, facts['common'], facts['least'], facts['most'], _shuffled_into(index.spark))}"""
     )

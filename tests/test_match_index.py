@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from schemalign.operators import dictionary as kept
+from schemalign.plans import match_index
 from schemalign.plans.field_match import SCORES, field_match
 from schemalign.plans.match_index import apply_changes, build_index, create_match_function
 
@@ -101,3 +102,20 @@ def test_calls_join_written_postings(spark):
     plan = spark.sql("SELECT * FROM match_plan(array('order 7 dat', 'x'))")._jdf.queryExecution().executedPlan().toString()
     assert "ix_plan_postings" in plan and "CartesianProduct" not in plan
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_buckets_follow_the_names(spark, monkeypatch):
+    few = spark.createDataFrame([("order date", "A"), ("total", "B")], "src string, target string")
+    index = build_index(few, "ix_buckets")
+    assert index.table("facts").first()["buckets"] == 1  # not as many as are shuffled into
+    monkeypatch.setattr(match_index, "KEYS_PER_TASK", 4)
+    more = [(n, "C") for n in dict.fromkeys(names(random.Random(8), 40))]
+    grown = spark.createDataFrame([("order date", "A"), *more], "src string, target string").dropDuplicates(["src"])
+    apply_changes(index, kept.snapshot_diff(few.withColumn("description", F.lit("")), grown.withColumn("description", F.lit(""))))
+    facts = index.table("facts").first()
+    assert 4 < facts["buckets"] <= 8
+    for side in (facts["postings"], "ix_buckets_postings"):
+        assert spark.table(side).filter("probe = 'x:order date'").count() == 1
+    create_match_function(index, "match_buckets")
+    asked = ["Order-Date", "total", "custmer nam", "zzz"]
+    assert called(spark, asked, 3, 0.1, "match_buckets") == matched(spark, asked, grown, 3, 0.1)
