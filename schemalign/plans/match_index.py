@@ -36,6 +36,9 @@ LEAST_THRESHOLD = 0.1
 # Postings are written anew once so many times their buckets are due.
 _OUTGROWN = 4
 
+# Names asked for that are compared with a block of source names in one call.
+_RUN_NAMES = 16 * characters.LEFT_NAMES
+
 _SIDES = ("entries", "terms", "vocabulary", "facts", "names")
 
 
@@ -92,7 +95,7 @@ def _publish(spark: SparkSession, name: str, entries: DataFrame, terms: DataFram
     known = lexicon.inspect(sources, 2 * kept["most"])
     vectors = tfidf.weigh(spread(sources.select("key"), size["keys"]), spark.table(made["vocabulary"]))
     named = sources.join(vectors.select("key", tfidf.vector("entries").alias("vec")), "key")
-    _save(named.select("key", "copies", "rows", text.word_set(F.col("key")).alias("words"), "vec"), made["names"], "key")
+    _save(named.select("key", "copies", "rows", text.word_set(F.col("key")).alias("words"), "vec"), made["names"], "key", buckets=kept["buckets"])
     row = (known.has_terms, known.has_empty, known.first_keys, *[kept[k] for k in ("common", "least", "most", "postings", "buckets")])
     schema = (
         "has_terms boolean, has_empty boolean, first_keys array<string>, common string, least double, most int, postings string, buckets int"
@@ -187,7 +190,9 @@ best_pairs = udf(_best_pairs, _PAIRS, useArrow=False).asNondeterministic()
 def _body(index: str, common: str, least: float, most: int, parts: int) -> str:
     """The table function's query; its parameters are input_fields, top_n and min_threshold.
 
-    Pairs are compared in so many tasks: few bytes may be much work, which the size of a shuffle does not tell.
+    Pairs are compared in so many tasks: few bytes may be much work, which the size of a shuffle does not tell. The planner
+    takes the array for one row and knows neither how many names it holds nor how many probes they have, also while it runs,
+    so joins with what is made of them are told to merge: broadcast, it would have to fit the driver.
     """
     share = f"(if(has_terms, {text.BASIC_SHARE}D, 1D) * {text.SEQUENCE_WEIGHT}D)"
     contains = "contains(a, b) OR contains(b, a)"
@@ -219,7 +224,7 @@ def _body(index: str, common: str, least: float, most: int, parts: int) -> str:
       SELECT *, CAST(a = b AS DOUBLE) AS exact, CAST({contains} AS DOUBLE) AS inside,
              if({union} > 0, {shared} / {union}, 0D) AS overlap, {tfidf.dot_sql('vec_a', 'vec_b')} AS tfidf
       FROM (
-        SELECT a, b, f.n, f.least, f.has_terms, rows, f.words AS words_a, m.words AS words_b, f.vec AS vec_a, m.vec AS vec_b
+        SELECT /*+ MERGE(f, m) */ a, b, f.n, f.least, f.has_terms, rows, f.words AS words_a, m.words AS words_b, f.vec AS vec_a, m.vec AS vec_b
         FROM {pairs} JOIN featured f ON a = f.key JOIN {index}_names m ON b = m.key
       )"""
 
@@ -230,14 +235,15 @@ def _body(index: str, common: str, least: float, most: int, parts: int) -> str:
             ("sequence", "sequence_score"), ("overlap", "word_overlap"), ("tfidf", "tfidf_score"),
         )
     )
+    n_blocks = f"(SELECT CAST(greatest(ceil(count(1) / {characters.RIGHT_NAMES}), 1) AS BIGINT) FROM {index}_names)"
     limits = f"the index answers up to {most} matches from a threshold of {least} on"
     return f"""
     WITH asked AS (
-      SELECT if(top_n > {most} OR min_threshold < {least}D, raise_error('{limits}'), top_n) AS n,
-             CAST(min_threshold AS DOUBLE) AS least, posexplode(input_fields) AS (pos, input_field)
+      SELECT posexplode(input_fields) AS (pos, input_field)
+      WHERE if(top_n > {most} OR min_threshold < {least}D, raise_error('{limits}'), true)
     ),
-    keyed AS (SELECT pos, input_field, n, least, {text.normalize_sql('input_field')} AS key FROM asked),
-    own AS (SELECT DISTINCT key, n, least, {text.tokens_sql('key')} AS toks FROM keyed),
+    keyed AS (SELECT pos, input_field, {text.normalize_sql('input_field')} AS key FROM asked),
+    own AS (SELECT key, {text.tokens_sql('key')} AS toks FROM (SELECT DISTINCT key FROM keyed)),
     counted AS (
       SELECT key, term, count(1) AS tf, max(idf) AS idf
       FROM (SELECT key, explode(concat({text.word_ngrams_sql('toks')}, array(''))) AS term FROM own)
@@ -252,17 +258,18 @@ def _body(index: str, common: str, least: float, most: int, parts: int) -> str:
       FROM (SELECT key, raw, sqrt(aggregate(raw, 0D, (total, e) -> total + e.weight * e.weight)) AS size FROM weighed)
     ),
     featured AS (
-      SELECT key, n, least, entries, {tfidf.vector_sql('entries')} AS vec,
+      SELECT /*+ BROADCAST(facts) */ key, top_n AS n, CAST(min_threshold AS DOUBLE) AS least, entries,
+             {tfidf.vector_sql('entries')} AS vec,
              {probes.rarity_order_sql("filter(array_distinct(split(key, ' ')), w -> w <> '')", 'entries')} AS words,
              has_terms, has_empty, first_keys, {share} AS share
-      FROM own JOIN unit USING (key) CROSS JOIN (SELECT has_terms, has_empty, first_keys FROM {index}_facts)
+      FROM unit CROSS JOIN (SELECT has_terms, has_empty, first_keys FROM {index}_facts) facts
     ),
     probed AS (
       SELECT key AS a, explode(array_distinct(concat({', '.join(probed)}))) AS probe
       FROM featured WHERE key <> ''
     ),
     met AS (
-      SELECT a, p.key AS b
+      SELECT /*+ MERGE(probed, p) */ a, p.key AS b
       FROM probed JOIN {index}_postings p USING (probe)
       WHERE CASE substring(probe, 1, 1) WHEN 'g' THEN contains(p.key, a) WHEN 'h' THEN contains(a, p.key) ELSE true END
       UNION ALL SELECT key, b FROM (SELECT key, explode(first_keys) AS b FROM featured WHERE key = '') WHERE b <> ''
@@ -275,20 +282,22 @@ def _body(index: str, common: str, least: float, most: int, parts: int) -> str:
       GROUP BY a HAVING count(1) >= max(n)
     ),
     open AS (
-      SELECT collect_list(key) AS keys, max(least / share) AS ratio, max(n) AS n
+      SELECT /*+ MERGE(done) */ key, least / share AS ratio, n, (row_number() OVER (ORDER BY key) - 1) DIV {_RUN_NAMES} AS run
       FROM featured LEFT ANTI JOIN done ON key = a WHERE key <> '' AND least / share < 1 - 1e-9D
     ),
+    runs AS (
+      SELECT keys, ratio, n, explode(sequence(0, {n_blocks} - 1)) AS block
+      FROM (SELECT collect_list(key) AS keys, max(ratio) AS ratio, max(n) AS n FROM open GROUP BY run)
+    ),
     blocks AS (
-      SELECT /*+ REPARTITION({parts}, block) */ block, collect_list(struct(key, first)) AS names
+      SELECT block, collect_list(struct(key, first)) AS names
       FROM (
-        SELECT key, element_at(rows, 1).src AS first,
-               pmod(xxhash64(key), (SELECT CAST(ceil(count(1) / {characters.RIGHT_NAMES}) AS BIGINT) FROM {index}_names)) AS block
+        SELECT /*+ REPARTITION({parts}, block) */ key, element_at(rows, 1).src AS first, pmod(xxhash64(key), {n_blocks}) AS block
         FROM {index}_names WHERE key <> ''
       ) GROUP BY block
     ),
     compared AS (
-      SELECT /*+ BROADCAST(open) */ {index}_best_pairs(keys, names, ratio, open.n) AS found
-      FROM blocks CROSS JOIN open WHERE size(keys) > 0
+      SELECT /*+ MERGE(runs, blocks) */ {index}_best_pairs(keys, names, ratio, n) AS found FROM runs JOIN blocks USING (block)
     ),
     alike AS (SELECT inline(found) AS (a, b) FROM compared),
     partly AS (SELECT * FROM sure UNION ALL {partly('alike')}),
@@ -315,7 +324,7 @@ def _body(index: str, common: str, least: float, most: int, parts: int) -> str:
       SELECT a, n, src AS src_field, coalesce(target, '{text.UNMAPPED}') AS target_field, {rounded}, match_rank
       FROM ranked
     )
-    SELECT input_field, src_field, target_field, combined_score, exact_score, substring_score, sequence_score,
+    SELECT /*+ MERGE(keyed, answers) */ input_field, src_field, target_field, combined_score, exact_score, substring_score, sequence_score,
            word_overlap, tfidf_score, match_rank
     FROM keyed JOIN answers ON key = a WHERE match_rank <= answers.n
     """

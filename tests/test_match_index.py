@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from schemalign.operators import characters
 from schemalign.operators import dictionary as kept
 from schemalign.plans import match_index
 from schemalign.plans.field_match import SCORES, field_match
@@ -119,3 +120,43 @@ def test_buckets_follow_the_names(spark, monkeypatch):
     create_match_function(index, "match_buckets")
     asked = ["Order-Date", "total", "custmer nam", "zzz"]
     assert called(spark, asked, 3, 0.1, "match_buckets") == matched(spark, asked, grown, 3, 0.1)
+
+
+def broadcast(plan):
+    """The subtrees of a plan's text that are broadcast."""
+    lines = plan.splitlines()
+    depths = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, line in enumerate(lines):
+        if line.lstrip(" :+-").startswith("BroadcastExchange"):
+            end = next((j for j in range(i + 1, len(lines)) if depths[j] <= depths[i]), len(lines))
+            yield "\n".join(lines[i:end])
+
+
+def test_names_asked_for_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(match_index, "KEYS_PER_TASK", 4)
+    draw = random.Random(6)
+    dictionary = spark.createDataFrame([(n, "T") for n in dict.fromkeys(names(draw, 40))], "src string, target string")
+    index = build_index(dictionary, "ix_merged")
+    create_match_function(index, "match_merged")
+    spark.createDataFrame([(n,) for n in names(draw, 30)], "name string").createOrReplaceTempView("asked_merged")
+    found = spark.sql("SELECT * FROM match_merged((SELECT collect_list(name) FROM asked_merged))")
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()  # as it ended and as it began
+    sent = list(broadcast(plan))
+    assert sent and all("posexplode" not in s and "ix_merged_names" not in s and "ix_merged_postings" not in s for s in sent)
+    assert index.table("facts").first()["buckets"] > 1 and "out of 1\n" not in plan and " out of 1)" not in plan
+
+
+@pytest.mark.parametrize("run_names, block_names", [(3, 16), (1, 5)])
+def test_open_names_in_runs_and_blocks(spark, monkeypatch, run_names, block_names):
+    monkeypatch.setattr(match_index, "_RUN_NAMES", run_names)
+    monkeypatch.setattr(characters, "RIGHT_NAMES", block_names)
+    draw = random.Random(7)
+    made = ["".join(draw.choice("abcde") for _ in range(draw.randint(3, 8))) for _ in range(60)]
+    dictionary = spark.createDataFrame([(n, draw.choice("AB")) for n in made[:40]], "src string, target string")
+    create_match_function(build_index(dictionary, "ix_runs"), "match_runs")
+    asked = [*made[30:], "", "order"]
+    rows = matched(spark, asked, dictionary, 3, 0.1)
+    assert len(rows) > 40 and called(spark, asked, 3, 0.1, "match_runs") == rows
+    plan = spark.sql("SELECT * FROM match_runs(array('abcd'))")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block" in plan and "REPARTITION_BY_NUM" in plan.split("hashpartitioning(block")[-1].splitlines()[0]
